@@ -97,18 +97,29 @@ def without_suffix(text: Column, suffix: str) -> Column:
     return F.regexp_replace(text, "(?:" + re.escape(suffix) + r")+\z", "")
 
 
+def json_value(raw: Column) -> Column:
+    """Parsed JSON, null unless the whole text is one value.
+
+    The parser stops after the first value; only one complete value is valid both as the element of an array
+    and as the value of an object.
+    """
+    element = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
+    field = F.try_parse_json(F.concat(F.lit('{"x":'), raw, F.lit("}")))
+    return F.when((F.size(element) == 1) & field.isNotNull(), F.try_parse_json(raw))
+
+
 def has_text(value: Column) -> Column:
     return F.coalesce(F.trim(value) != "", F.lit(False))
 
 
 # Cues of the two planes a message can ask for (Russian and English)
-WORKING_CUES = (r"(?i)где мы остановил|что (сейчас )?в работе|что осталось|заблокирован|следующий шаг|"
+WORKING_CUES = (r"где мы остановил|что (сейчас )?в работе|что осталось|заблокирован|следующий шаг|"
                 r"рабоч[а-яё]* заметк|where did we (stop|leave)|in progress|what('| i)s blocked|next (step|action)|"
                 r"working note")
-RESEARCH_CUES = (r"(?i)эксперимент|исследован|\btce\b|доказательств|not_run|не проверен|research|evidence|candidate|"
+RESEARCH_CUES = (r"эксперимент|исследован|\btce\b|доказательств|not_run|не проверен|research|evidence|candidate|"
                  r"кандидат|experiment")
 
 
 def message_intent(text: Column, working: str = WORKING_CUES, research: str = RESEARCH_CUES) -> Column:
-    work, study = text.rlike(working), text.rlike(research)
+    work, study = text.rlike("(?iu)" + working), text.rlike("(?iu)" + research)
     return F.when(work & study, "MIXED").when(study, "RESEARCH").when(work, "WORKING").otherwise("DEFAULT")

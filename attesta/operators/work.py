@@ -64,7 +64,7 @@ def normalise_items(raw: DataFrame) -> DataFrame:
 
 def normalise_tags(value: Column) -> tuple[Column, Column]:
     """Trimmed tags and whether the text is a JSON array of non-blank strings."""
-    kind = F.try_parse_json(value)
+    kind = tx.json_value(value)
     tags = F.from_json(value, "array<string>")
     trimmed = F.transform(tags, lambda t: F.trim(t))
     all_text = F.forall(F.try_variant_get(kind, "$", "array<variant>"),

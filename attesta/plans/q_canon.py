@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attesta.functions import vocabulary as v
 from attesta.functions.identity import content_hash
 from attesta.functions.rules import Rule, violations
+from attesta.functions.text import json_value
 from attesta.operators import canon
 from attesta.operators import reference as ref
 from attesta.plans.registry import query
@@ -296,7 +297,7 @@ def package_status(lake):
     raw = (F.when(key % 7 == 0, F.substring("props", 1, 4)).when(key % 5 == 0, F.replace("props", F.lit('"k"'), F.lit('"j"')))
            .otherwise(F.col("props")))
     rows = lake.table("events").select("event_id", raw.alias("raw")).withColumn("k", F.get_json_object("raw", "$.k").cast("long"))
-    parsed = F.try_parse_json("raw").isNotNull()
+    parsed = json_value(F.col("raw")).isNotNull()
     status = canon.package_status(parsed, [Rule("FIELD_MISSING", F.col("k").isNull())])
     return rows.withColumn("status", status).select("event_id", "status", F.when(F.col("status") == "READY", F.col("k")).alias("payload"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.functions import vocabulary as v
+from attesta.functions.text import json_value
 from attesta.session import scratch_path
 
 _TEXT = T.StringType()
@@ -32,7 +33,7 @@ def bundle_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Parsed records; blank and comment lines are skipped and bad JSON becomes an error row."""
     kept = lines.where((F.col("raw") != "") & ~F.col("raw").startswith("//"))
-    shape = F.try_parse_json("raw")
+    shape = json_value(F.col("raw"))
     record = F.from_json("raw", BUNDLE_SCHEMA)
     rows = kept.withColumn("is_json", shape.isNotNull()).withColumn("record", record)
     known = F.col("record.source").isNotNull() | F.col("record.item").isNotNull() | F.col("record.relation").isNotNull()

@@ -89,7 +89,7 @@ class Lake:
         """Revisions of one logical item per customer, in the order of (order date, order key)."""
         return self.table("orders").select(
             F.col("o_custkey").alias("logical_id"), F.col("o_orderkey").alias("revision_no"),
-            F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("status"),
+            F.to_date("o_orderdate").alias("at"), F.col("o_orderstatus").alias("status"),
             F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"),
             F.col("o_orderpriority").alias("priority"),
             F.to_date("o_orderdate").alias("day"), F.shiftright("o_orderkey", 16).alias("block"))
@@ -143,8 +143,7 @@ class Lake:
         return self.table("events").select(
             "event_id", "ts", F.col("user_id").alias("scope"), kind.alias("event_type"),
             (F.get_json_object("props", "$.k").cast("long") % 2).alias("parity"),
-            F.date_trunc("hour", "ts").alias("hour"), F.to_date("ts").alias("day"),
-            F.shiftright("event_id", 16).alias("block"))
+            F.date_trunc("hour", "ts").alias("hour"), F.date_trunc("minute", "ts").alias("minute"))
 
     def messages(self) -> DataFrame:
         speaker = (F.when(F.col("role") == "user", "USER").when(F.col("role") == "assistant", "MODEL")
