@@ -45,17 +45,17 @@ def _line_flags(line: Column) -> Column:
     return F.when(F.size(strict) > 0, strict).otherwise(loose)
 
 
-def authority_problems(text: Column) -> Column:
-    """Sorted problems ``KEY:PROBLEM`` of the header block; an empty array means the contract holds.
+def with_authority_problems(documents: DataFrame, text: str, name: str = "problems") -> DataFrame:
+    """Add the sorted problems ``KEY:PROBLEM`` of the header block; an empty array means the contract holds.
 
-    Works inside the row: a document is read as a whole and nothing is shuffled.
+    Works inside the row: a document is read as a whole and nothing is shuffled.  The intermediate columns are
+    used several times and stand in projections of their own, so each is computed once.
     """
-    lines = F.split(text, "\r?\n")
-    first_section = F.array_position(F.transform(lines, lambda l: l.startswith("## ")), True)
-    header = F.when(first_section > 0, F.slice(lines, 1, (first_section - 1).cast("int"))).otherwise(lines)
-    found = F.flatten(F.transform(header, _line_flags))
-    problems = [p for key, required in v.AUTHORITY_FLAGS.items() for p in _key_problems(found, key, required)]
-    return F.array_sort(F.flatten(F.array(*problems)))
+    rows = documents.withColumn("__header", F.split(F.regexp_extract(
+        text, r"(?s)\A(.*?)(?:(?:^|\r?\n)## .*)?\z", 1), "\r?\n"))
+    rows = rows.withColumn("__flags", F.flatten(F.transform("__header", _line_flags)))
+    problems = [p for key, required in v.AUTHORITY_FLAGS.items() for p in _key_problems(F.col("__flags"), key, required)]
+    return rows.withColumn(name, F.array_sort(F.flatten(F.array(*problems)))).drop("__header", "__flags")
 
 
 def _key_problems(found: Column, key: str, required: str) -> list[Column]:
@@ -133,8 +133,9 @@ def document_status(documents: DataFrame, card_rows: DataFrame, key: str, text:
     per_document = numbers.groupBy(key).agg(F.sum("times").alias("cards"), F.max("times").alias("most"),
                                             F.sum("malformed").alias("malformed"), F.sum("unsupported").alias("unsupported"))
     looks = F.coalesce(text.contains("RESEARCH_INDEX_ONLY") & text.rlike(r"(?m)^## C\. "), F.lit(False))
-    base = documents.select(key, text.isNull().alias("no_text"), (text == "").alias("blank"), looks.alias("looks"),
-                            F.size(authority_problems(text)).alias("problems"))
+    checked = with_authority_problems(documents.withColumn("__text", text), "__text")
+    base = checked.select(key, text.isNull().alias("no_text"), (text == "").alias("blank"), looks.alias("looks"),
+                          F.size("problems").alias("problems"))
     rows = base.join(per_document, key, "left")
     ladder = [
         Rule("INDEX_UNAVAILABLE", F.col("no_text") | F.col("blank")),

@@ -97,7 +97,8 @@ SELECT page_id, concat_ws(',', CASE kind WHEN 1 THEN 'CANON:MISSING' WHEN 2 THEN
    WHEN 4 THEN 'CANON:AMBIGUOUS' WHEN 5 THEN 'CANON:INLINE,CANON:WRONG_VALUE' WHEN 6 THEN 'CANON:WRONG_VALUE' END,
    CASE WHEN kind = 0 THEN 'STATUS:WRONG_VALUE' END) AS problems FROM (SELECT page_id, page_id % {KINDS} AS kind FROM pages)""")
 def authority_contract(lake):
-    return index_documents(lake).select("page_id", F.concat_ws(",", cards.authority_problems(F.col("text"))).alias("problems"))
+    rows = cards.with_authority_problems(index_documents(lake), "text")
+    return rows.select("page_id", F.concat_ws(",", "problems").alias("problems"))
 
 
 @query("V14_document_status", sql=DOCS_SQL + """
