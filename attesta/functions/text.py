@@ -19,7 +19,6 @@ TERM = r"[\p{L}\p{N}_]{2,}"
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}_'’-]*"
 TOKEN = r"[a-zа-я0-9]+(?:[-_][a-zа-я0-9]+)*"
 RUSSIAN_STEM = r"^([а-я]{3,}?)(?:" + "|".join(RUSSIAN_ENDINGS) + r")$"
-ENGLISH_STEM = r"(ing|ed|es|s)$"
 PIECE = r"[^.\n]*[.\n]+|[^.\n]+"
 FINE_PIECE = r"[^.,\n]*[.,\n]+|[^.,\n]+"
 
@@ -50,28 +49,39 @@ def folded(text: Column) -> Column:
 def stem(word: Column) -> Column:
     """Russian: reflexive ending, then the first listed ending that leaves three letters.  English: plain suffixes."""
     bare = F.when(F.length(word) > 5, F.regexp_replace(word, r"(ся|сь)$", "")).otherwise(word)
-    russian = F.when(bare.rlike(RUSSIAN_STEM), _longest_ending(bare)).otherwise(bare)
-    return (F.when(word.rlike("^[а-я]+$"), russian)
-            .when(word.rlike("^[a-z]+$") & (F.length(word) > 4), F.regexp_replace(word, ENGLISH_STEM, ""))
-            .otherwise(word))
-
-
-def _longest_ending(word: Column) -> Column:
-    """The lazy group finds the longest ending; the list is ordered from long to short."""
-    return F.regexp_extract(word, RUSSIAN_STEM, 1)
+    # the lazy group finds the longest ending; the list is ordered from long to short
+    russian = F.when(bare.rlike(RUSSIAN_STEM), F.regexp_extract(bare, RUSSIAN_STEM, 1)).otherwise(bare)
+    # plain string tests first: most Latin words are decided without a pattern
+    size = F.length(word)
+    ending = (F.when(word.endswith("ing"), 3).when(word.endswith("ed") | word.endswith("es"), 2)
+              .when(word.endswith("s"), 1).otherwise(0))
+    english = F.when((size > 4) & (ending > 0) & word.rlike("^[a-z]+$"), F.left(word, size - ending)).otherwise(word)
+    return F.when(word < "а", english).when(word.rlike("^[а-я]+$"), russian).otherwise(word)
 
 
 def tokens(text: Column) -> Column:
     """Stemmed tokens; hyphenated words count as a whole and by their parts."""
-    found = F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    return _expanded(F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0)))
+
+
+def token_set(text: Column) -> Column:
+    """Distinct tokens of a text; repeated words are dropped before they are stemmed."""
+    return F.array_distinct(_expanded(F.array_distinct(F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0)))))
+
+
+def _expanded(found: Column) -> Column:
+    """Plain words by their stem; hyphenated ones as a whole and by the stems of their parts."""
+    def kept(word: Column) -> Column:
+        return (F.length(word) >= 2) & ~word.isin(STOP_WORDS)
+
+    def parts(token: Column) -> Column:
+        return F.concat(F.array(token), F.transform(F.filter(F.split(token, "[-_]"), kept), stem))
 
-    def expand(token: Column) -> Column:
-        parts = F.filter(F.split(token, "[-_]"), lambda p: (F.length(p) >= 2) & ~F.array_contains(stop, p))
-        stems = F.transform(parts, stem)
-        return F.when(token.rlike("[-_]"), F.concat(F.array(token), stems)).otherwise(stems)
+    def joined(token: Column) -> Column:
+        return token.contains("-") | token.contains("_")
 
-    return F.flatten(F.transform(found, expand))
+    plain = F.transform(F.filter(found, lambda t: ~joined(t) & kept(t)), stem)
+    return F.concat(plain, F.flatten(F.transform(F.filter(found, joined), parts)))
 
 
 def word_count(text: Column) -> Column:

@@ -114,7 +114,7 @@ def record_rules() -> list[Rule]:
 def edge_violations(edges: DataFrame, records: DataFrame) -> DataFrame:
     """Relations with a type outside the list, a target that does not exist, or that point at themselves."""
     known = records.select(F.col("id").alias("target"), F.lit(True).alias("known"))
-    rows = lookup_join(edges, known, ["target"], ["id", "target"])
+    rows = lookup_join(edges, known, ["target"], ["id", "target"], salts=1)
     hits = F.filter(F.array(F.when(outside("rel", v.SEED_RELATIONS), F.lit("RELATION_NOT_ALLOWED")),
                             F.when(F.col("known").isNull(), F.lit("TARGET_MISSING")),
                             F.when(F.col("id") == F.col("target"), F.lit("SELF_RELATION"))), lambda h: h.isNotNull())
@@ -124,7 +124,7 @@ def edge_violations(edges: DataFrame, records: DataFrame) -> DataFrame:
 def supersession_violations(records: DataFrame) -> DataFrame:
     """``superseded_by`` must name a record that declares the matching ``supersedes``."""
     other = records.select(F.col("id").alias("superseded_by"), F.col("supersedes").alias("back"), F.lit(True).alias("found"))
-    rows = lookup_join(records.where(F.col("superseded_by").isNotNull()), other, ["superseded_by"], ["id"])
+    rows = lookup_join(records.where(F.col("superseded_by").isNotNull()), other, ["superseded_by"], ["id"], salts=1)
     rule = F.when(F.col("found").isNull(), "TARGET_MISSING").when(~F.col("back").eqNullSafe(F.col("id")), "NOT_SYMMETRIC")
     return rows.withColumn("rule", rule).where(F.col("rule").isNotNull()).select("id", "rule")
 
@@ -132,7 +132,7 @@ def supersession_violations(records: DataFrame) -> DataFrame:
 def pin_violations(edges: DataFrame, versions: DataFrame, row_key: str) -> DataFrame:
     """A pin must be a known version and belong to the declared endpoint (a logical id or that very version)."""
     dim = versions.select("version_id", "logical_item_id")
-    rows = lookup_join(edges, dim, ["version_id"], [row_key])
+    rows = lookup_join(edges, dim, ["version_id"], [row_key], salts=1)
     exact = F.col("endpoint").rlike(r"^(.*)@([0-9a-f]{14})$")
     rule = (F.when(F.col("logical_item_id").isNull(), "PIN_UNKNOWN")
             .when(exact & (F.col("endpoint") != F.col("version_id")), "PIN_OF_OTHER_VERSION")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import spans as sp
-from attesta.plans.scale import Running, one_row_flag, running_values, top_k_per_group
+from attesta.plans.scale import Running, lookup_join, one_row_flag, running_values, top_k_per_group
 from attesta.session import cut_lineage
 
 
@@ -43,10 +43,11 @@ def sample_window(messages: DataFrame, stream: str, order: str, size: int, start
     return top_k_per_group(messages.where(start), [stream], [F.col(order).asc(), F.col("message_id").asc()], size, "place")
 
 
-def without_calibration(rows: DataFrame, calibration: DataFrame, text: str) -> DataFrame:
-    """Leave out what the calibration set holds, by id-free content hash."""
-    known = calibration.select(F.sha2(text, 256).alias("__h")).distinct()
-    return rows.withColumn("__h", F.sha2("text", 256)).join(known, "__h", "left_anti").drop("__h")
+def without_calibration(rows: DataFrame, calibration: DataFrame, row_key: str) -> DataFrame:
+    """Leave out what the calibration set holds, by content hash; very many copies of one text are spread."""
+    known = calibration.select(F.sha2("text", 256).alias("__h")).distinct()
+    hashed = rows.withColumn("__h", F.sha2("text", 256))
+    return lookup_join(hashed, known, ["__h"], [row_key], "left_anti").drop("__h")
 
 
 # ---- span matching ----------------------------------------------------------

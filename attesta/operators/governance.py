@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from attesta.plans.scale import Running, lookup_join, running_values
 
 ORDER = ["ts", "event_id"]
-# minutes and hours follow the event time; a scope with a third of all events is cut at every minute
-LEVELS = [["hour", "minute"], ["hour"]]
+# minutes follow the event time: a scope with a third of all events is cut at every minute, and what is carried
+# from minute to minute is one row (half a million rows for a year of events in one scope)
+LEVELS = [["minute"]]
 DECISION, PROPOSAL, CLAIM, RESUME = "USER_DECISION", "MODEL_PROPOSAL", "RESEARCH_CLAIM", "QUERY_RESUME"
 NEXT_WITH_LOOP = "resolve the open question first"
 NEXT_WITHOUT_LOOP = "continue from the active decision"

@@ -27,10 +27,10 @@ def conflicting_records(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def missing_references(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str,
-                       row_key: str) -> DataFrame:
+                       row_key: str, salts: int = 1) -> DataFrame:
     """Rows whose reference names no parent; an empty reference is not a broken one."""
     known = parent.select(F.col(parent_key).alias(child_key))
-    return lookup_join(child.where(F.col(child_key).isNotNull()), known, [child_key], [row_key], "left_anti")
+    return lookup_join(child.where(F.col(child_key).isNotNull()), known, [child_key], [row_key], "left_anti", salts)
 
 
 def present_in(rows: DataFrame, used: DataFrame, keys: list[str], flag: str) -> DataFrame:

@@ -71,7 +71,7 @@ def superseding_edges(items: DataFrame) -> DataFrame:
     """Automatic SUPERSEDES edges for declared targets that exist; others stay a warning."""
     known = items.select(F.col("item_id").alias("supersedes_item_id"), F.lit(True).alias("known"))
     declared = items.where(F.col("supersedes_item_id").isNotNull()).select("item_id", "supersedes_item_id", "source_id")
-    joined = lookup_join(declared, known, ["supersedes_item_id"], ["item_id"])
+    joined = lookup_join(declared, known, ["supersedes_item_id"], ["item_id"], salts=1)
     return joined.select(
         F.concat(F.lit("rel:auto:SUPERSEDES:"), "item_id", F.lit("->"), "supersedes_item_id").alias("relation_id"),
         F.col("item_id").alias("from_item_id"), F.col("supersedes_item_id").alias("to_item_id"), "source_id",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
 from attesta.plans.scale import lookup_join, top_k_per_group
+from attesta.session import written
 
 MAX_QUERY_TERMS = 400
 INDEX_TERM = r"[\p{L}\p{N}_]+"
@@ -50,9 +51,9 @@ def postings(items: DataFrame, id_column: str, text: Column) -> DataFrame:
     return words.groupBy("term", "item_id").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(items: DataFrame, id_column: str, tokens: Column) -> DataFrame:
+def document_frequency(items: DataFrame, text: Column) -> DataFrame:
     """In how many records each token occurs; repeats inside a record are dropped before any shuffle."""
-    return items.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(
+    return items.select(F.explode(tx.token_set(text)).alias("term")).groupBy("term").agg(
         F.count("*").alias("documents"))
 
 
@@ -61,7 +62,8 @@ def search(items: DataFrame, queries: dict[str, str], *, id_column: str, text: C
            limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over prefix terms.  All terms must match; a query of several terms without such a hit takes any term.
 
-    Term statistics come from all records (one aggregate row), the filter applies before the decision between
+    The texts are read once: what the scoring needs of a record (its length and one count per term) is written
+    to a small table.  Term statistics come from all records, the filter applies before the decision between
     all and any.  Hits are ranked with full matches first, so the first ``limit`` rows already tell the mode.
     """
     limit = max(1, min(limit, 100))
@@ -69,13 +71,13 @@ def search(items: DataFrame, queries: dict[str, str], *, id_column: str, text: C
     terms = list(dict.fromkeys(t for ts in parsed.values() for t in ts))
     if not terms or len(terms) > MAX_QUERY_TERMS:
         raise ValueError(f"a search takes 1 to {MAX_QUERY_TERMS} terms")
-    folded = index_fold(text)
-    # a prefix counts all its expansions as one term
-    counted = [F.regexp_count("__text", F.lit(r"(?<![\p{L}\p{N}_])" + re.escape(t))) for t in terms]
-    base = items.withColumn("__text", folded).withColumn(
-        "__len", F.regexp_count("__text", F.lit(INDEX_TERM))).withColumn("__tf", F.array(*counted))
-    stats = items.select(folded.alias("__text")).select(
-        F.regexp_count("__text", F.lit(INDEX_TERM)).alias("__len"), F.array(*counted).alias("__tf")).agg(
+    # a prefix counts all its expansions as one term; the literal comes first, so most places fail at once
+    counted = [F.regexp_count("__text", F.lit(re.escape(t) + r"(?<![\p{L}\p{N}_]" + re.escape(t) + ")")) for t in terms]
+    read = items.select(F.col(id_column).alias("item_id"), index_fold(text).alias("__text"),
+                        (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("__keep"))
+    base = written(read.select("item_id", "__keep", F.regexp_count("__text", F.lit(INDEX_TERM)).alias("__len"),
+                               F.array(*counted).alias("__tf")), "search")
+    stats = base.agg(
         F.struct(F.count("*").alias("n"), F.avg("__len").alias("avg_len"),
                  F.array(*[F.count_if(F.col("__tf")[i] > 0) for i in range(len(terms))]).alias("df")).alias("s")).scalar()
     place = {t: i for i, t in enumerate(terms)}
@@ -96,8 +98,8 @@ def search(items: DataFrame, queries: dict[str, str], *, id_column: str, text: C
             found, score = found + h, score + part(t)
         per_query.append(F.struct(F.lit(name).alias("query"), (found == len(ts)).alias("all_terms"),
                                   (found > 0).alias("any_term"), score.alias("score")))
-    rows = base if keep is None else base.where(keep)
-    rows = rows.withColumn("__s", stats).select(F.col(id_column).alias("item_id"), F.explode(F.array(*per_query)).alias("q"))
+    some = F.exists("__tf", lambda n: n > 0)
+    rows = base.where(F.col("__keep") & some).withColumn("__s", stats).select("item_id", F.explode(F.array(*per_query)).alias("q"))
     hits = rows.where("q.any_term").select("item_id", "q.query", "q.all_terms", "q.score")
     top = top_k_per_group(hits, ["query"], [F.col("all_terms").desc(), F.col("score").desc(), F.col("item_id").asc()], limit)
     mode = top.groupBy("query").agg(F.max("all_terms").alias("best"))
@@ -142,7 +144,8 @@ def intent_boost(query: str, type_column: Column, status_column: Column) -> Colu
 def lexical_search(records: DataFrame, queries: dict[str, str], *, k: int = 5, ratio: float = 0.4) -> DataFrame:
     """Token overlap weighted by rarity, with meta and prefix matches, intent boosts and a cut at 40 % of the best.
 
-    ``records`` has (id, type, status, statement, keywords).  Tokens are made once per record; a query token is
+    ``records`` has (id, type, status, statement, keywords).  Texts are read and cut into tokens once; what the
+    scoring needs (which query tokens a record has, and where) is written to a small table.  A query token is
     tested against the record's own token set, so nothing is joined.
     """
     spark = records.sparkSession
@@ -153,22 +156,26 @@ def lexical_search(records: DataFrame, queries: dict[str, str], *, k: int = 5, r
     if not tokens or len(tokens) > MAX_QUERY_TERMS:
         raise ValueError(f"a search takes 1 to {MAX_QUERY_TERMS} tokens")
     wanted = F.array(*[F.lit(t) for t in tokens])
-    main = F.array_distinct(F.concat(tx.tokens(F.col("statement")), tx.tokens(F.coalesce("keywords", F.lit("")))))
-    meta = F.array_distinct(tx.tokens(F.concat_ws(" ", "id", "type", "status")))
-    base = records.select("id", "type", "status", main.alias("main"), meta.alias("meta")).select(
-        "id", "type", "status",
-        F.array_intersect("main", wanted).alias("in_main"), F.array_intersect("meta", wanted).alias("in_meta"),
-        F.filter(F.concat("main", "meta"), lambda x: F.length(x) >= 5).alias("long_tokens"))
+    long_wanted = F.array(*[F.lit(t) for t in tokens if len(t) >= 5]).cast("array<string>")
+    main = tx.token_set(F.concat_ws(" ", "statement", "keywords"))
+    meta = tx.token_set(F.concat_ws(" ", "id", "type", "status"))
+    long_tokens = F.filter(F.concat("main", "meta"), lambda x: F.length(x) >= 5)
+
+    def near_some(t: Column) -> Column:
+        return F.exists("long_tokens", lambda x: x.startswith(t) | F.startswith(t, x))
+
+    base = written(records.select("id", "type", "status", main.alias("main"), meta.alias("meta"))
+                   .withColumn("long_tokens", long_tokens).select(
+        "id", "type", "status", F.array_intersect("main", wanted).alias("in_main"),
+        F.array_intersect("meta", wanted).alias("in_meta"), F.filter(long_wanted, near_some).alias("near")), "lexical")
     stats = base.agg(F.struct(F.count("*").alias("n"), F.array(*[
         F.count_if(F.array_contains("in_main", t) | F.array_contains("in_meta", t)) for t in tokens]).alias("df")).alias("s")).scalar()
     place = {t: i for i, t in enumerate(tokens)}
 
     def part(token: str) -> Column:
         idf = F.log(1 + F.col("__s.n") / (1 + F.col("__s.df")[place[token]]))
-        near = F.exists("long_tokens", lambda x: x.startswith(F.lit(token)) | F.startswith(F.lit(token), x)) \
-            if len(token) >= 5 else F.lit(False)
         weight = (F.when(F.array_contains("in_main", token), 1.0).when(F.array_contains("in_meta", token), 0.5)
-                  .when(near, 0.6).otherwise(0.0))
+                  .when(F.array_contains("near", token), 0.6).otherwise(0.0))
         return weight * idf
 
     scored = base.withColumn("__s", stats)

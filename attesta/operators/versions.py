@@ -11,8 +11,8 @@ from attesta.plans.scale import Running, lookup_join, one_row_flag, running_valu
 from attesta.session import cut_lineage
 
 REVISION_CONTENT = ["status", "price", "priority"]
-# buckets follow the revision order (at, revision_no): a day, and blocks of revision numbers within it
-REVISION_LEVELS = [["day", "block"], ["day"]]
+# buckets follow the revision order (at, revision_no); ``at`` is a date, so a day is one bucket
+REVISION_LEVELS = [["day"]]
 
 
 def with_neighbours(revisions: DataFrame, values: list[str], earlier: bool = True, later: bool = True) -> DataFrame:
@@ -46,7 +46,7 @@ def version_rows(revisions: DataFrame) -> DataFrame:
         name.alias("logical_item_id"), vid.alias("version_id"), F.when(current, name).otherwise(vid).alias("item_id"),
         F.when(current, "ACTIVE").otherwise("SUPERSEDED").alias("lifecycle"),
         F.when(~current, name).alias("superseded_by"), current.alias("is_current_version"), "record_hash",
-        "logical_id", "revision_no", "at", "day", "block", *REVISION_CONTENT,
+        "logical_id", "revision_no", "at", "day", *REVISION_CONTENT,
         F.col("later.revision_no").alias("next_revision"))
 
 
@@ -67,7 +67,7 @@ def resolve_endpoints(relations: DataFrame, versions: DataFrame, row_key: str) -
                               F.col("logical_item_id").alias(f"{end}_logical_id"),
                               F.col("lifecycle").alias(f"{end}_lifecycle"),
                               F.col("is_current_version").alias(f"{end}_is_current"))
-        out = lookup_join(out, dim, [f"{end}_version_id"], [row_key])
+        out = lookup_join(out, dim, [f"{end}_version_id"], [row_key], salts=1)
         out = out.withColumn(f"{end}_unresolved", F.col(f"{end}_logical_id").isNull())
     return out
 
@@ -116,7 +116,7 @@ def lineage_heads(links: DataFrame, max_hops: int = 50) -> DataFrame:
     for _ in range(rounds):
         ahead = state.select(F.col("item_id").alias("head_id"), F.col("head_id").alias("far_id"),
                              F.col("hops").alias("far_hops"), F.col("done").alias("far_done"))
-        state = lookup_join(state, ahead, ["head_id"], ["item_id"]).select(
+        state = lookup_join(state, ahead, ["head_id"], ["item_id"], salts=1).select(
             "item_id", F.when(F.col("done"), F.col("head_id")).otherwise(F.coalesce("far_id", "head_id")).alias("head_id"),
             F.when(F.col("done"), F.col("hops")).otherwise(F.col("hops") + F.coalesce("far_hops", F.lit(0))).alias("hops"),
             (F.col("done") | F.coalesce("far_done", F.lit(True))).alias("done"))

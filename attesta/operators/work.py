@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
 from attesta.functions import vocabulary as v
-from attesta.functions.rules import Rule, outside
-from attesta.plans.scale import Running, running_values, top_k_per_group
+from attesta.functions.rules import Rule, first_violation, outside
+from attesta.plans.scale import Running, lookup_join, running_values, top_k_per_group
 
 WORK_ID = r"^WRK-([A-Z][A-Z0-9-]*[A-Z0-9]|[A-Z])-(\d{8})-(\d{3,})$"
 PROJECT_CODE = r"^([A-Z][A-Z0-9-]*[A-Z0-9]|[A-Z])$"
@@ -93,7 +93,7 @@ def number_new_items(new: DataFrame, taken: DataFrame) -> DataFrame:
     numbered = running_values(blocks, ["code", "day"], ["order_key"],
                               {"place": Running("sum", F.lit(1), inclusive=True)}, [["block"]])
     used = taken.groupBy("code", "day").agg(F.max("sequence").alias("used"))
-    joined = numbered.join(used, ["code", "day"], "left")
+    joined = lookup_join(numbered, used, ["code", "day"], ["order_key"])
     sequence = F.coalesce("used", F.lit(0)) + F.col("place")
     return joined.withColumn("sequence", sequence.cast("long")).withColumn(
         "new_work_id", F.concat(F.lit("WRK-"), "code", F.lit("-"), "day", F.lit("-"),
@@ -239,6 +239,28 @@ def switch_primary(links: DataFrame) -> DataFrame:
     last = links.groupBy("work_id", "source_id").agg(F.max_by("is_primary", "seq").alias("is_primary"),
                                                      F.max("seq").alias("seq"))
     primary = links.where("is_primary").groupBy("work_id").agg(F.max_by("source_id", "seq").alias("primary_source"))
-    joined = last.join(primary, "work_id", "left")
+    joined = lookup_join(last, primary, ["work_id"], ["work_id", "source_id"])
     return joined.select("work_id", "source_id",
                          (F.col("is_primary") & F.col("source_id").eqNullSafe(F.col("primary_source"))).alias("is_primary"))
+
+
+def check_change_rows(rows: DataFrame, key: str) -> DataFrame:
+    """First failing rule of each change row (JSON text in ``raw``) of an export."""
+    columns = v.WORK_TABLES["changes"]
+    allowed = F.array(*map(F.lit, columns))
+    found = F.json_object_keys("raw")
+    exact = (F.size(F.array_except(found, allowed)) == 0) & (F.size(F.array_except(allowed, found)) == 0)
+    parsed = F.from_json("raw", ", ".join(f"{c} string" for c in columns))
+    out = rows.withColumn("exact", F.coalesce(exact, F.lit(False))).withColumn("row", parsed)
+    _, fields_ok = normalise_tags(F.col("row.changed_fields_json"))
+    images_ok = F.lit(True)
+    for image in ("row.before_json", "row.after_json"):
+        images_ok = images_ok & (F.col(image).isNull() | tx.json_value(F.col(image)).isNotNull())
+    ladder = [
+        Rule("FIELDS", ~F.col("exact")),
+        Rule("TIMESTAMP", F.try_to_timestamp("row.created_at").isNull()),
+        Rule("CHANGED_FIELDS", ~fields_ok),
+        Rule("ACTOR", ~tx.has_text(F.col("row.actor_class"))),
+        Rule("IMAGE", ~images_ok),
+    ]
+    return out.select(key, first_violation(ladder, "OK").alias("verdict"))

@@ -482,5 +482,5 @@ def private_scan(lake):
     rules["LISTED_WORD"] = F.lit(False)
     for word in listed:
         rules["LISTED_WORD"] = rules["LISTED_WORD"] | lowered.contains(word.lower())
-    rows = violations(lake.table("documents"), F.col("doc_id"), [Rule(k, c) for k, c in rules.items()])
+    rows = violations(lake.texts("documents", "doc_id"), F.col("doc_id"), [Rule(k, c) for k, c in rules.items()])
     return rows.select(F.col("key").cast("long").alias("doc_id"), "rule")

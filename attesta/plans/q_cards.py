@@ -15,6 +15,7 @@ from attesta.operators import cards
 from attesta.operators import retrieval as rt
 from attesta.plans.registry import query
 from attesta.plans.scale import top_k_per_group
+from attesta.session import written
 
 # how a page breaks the contract, by its id: kind 0..13, all others are fine
 KINDS = 29
@@ -47,14 +48,14 @@ def index_documents(lake):
                       F.lit("\nNOTION_STATUS: seen DRIVE_STATUS: old CONSISTENCY: `MATCH`. LAST_VERIFIED: 2026\n"))
     section = F.when(kind == 7, "## C. Cards\nno card\n").when(kind == 12, F.concat(F.lit("## D. Cards\n"), first, second)).otherwise(
         F.concat(F.lit("## C. Cards\n"), first, second))
-    rows = lake.table("pages").select("page_id", "url", _title().alias("title"), words.alias("words"))
+    rows = lake.texts("pages", "page_id").select("page_id", "url", _title().alias("title"), words.alias("words"))
     return rows.select("page_id", F.concat(_flag_lines(), section, F.lit("## E. End\nSTATUS: outside\n")).alias("text"))
 
 
 DOCS_SQL = rf"""
 WITH d AS (SELECT page_id, page_id % {KINDS} AS kind, url,
-  trim(regexp_replace(regexp_extract(html, '(?s)<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title,
-  trim(regexp_replace(regexp_extract(html, '(?s)<article>.*?<p>(.*?)<', 1), '\s+', ' ', 'g')) AS words FROM pages),
+  trim(regexp_replace(split_part(split_part(html, '<title>', 2), '</title>', 1), '\s+', ' ', 'g')) AS title,
+  trim(regexp_replace(split_part(split_part(split_part(html, '<article>', 2), '<p>', 2), '<', 1), '\s+', ' ', 'g')) AS words FROM pages),
 c AS (SELECT page_id, kind, 1 AS card_number, 1 AS place, title, 'open' AS status, words AS question, CASE WHEN kind = 9 THEN '' ELSE 'NOT_RUN' END AS verdict,
    'page ' || page_id AS evidence, 'g1' AS github, 'n1' AS notion, 'd1' AS drive, NULL AS consistency FROM d WHERE title <> '' AND kind NOT IN (7, 12)
  UNION ALL SELECT page_id, kind, CASE WHEN kind = 8 THEN 1 ELSE 2 END, 2, CASE WHEN kind = 8 THEN 'copy' ELSE 'Card ' || page_id END, 'done', NULL, 'PASS',
@@ -63,8 +64,8 @@ c AS (SELECT page_id, kind, 1 AS card_number, 1 AS place, title, 'open' AS statu
 
 
 def _cards(lake):
-    documents = index_documents(lake)
-    lines = cards.card_lines(documents, "page_id", F.col("text"))
+    documents = written(index_documents(lake), "documents")
+    lines = written(cards.card_lines(documents, "page_id", F.col("text")), "lines")
     return documents, cards.cards(lines, cards.card_fields(lines, "page_id"), "page_id")
 
 

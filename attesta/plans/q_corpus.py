@@ -9,6 +9,7 @@ from attesta.functions.text import FINE_PIECE, PIECE
 from attesta.operators import corpus
 from attesta.operators.integrity import missing_references
 from attesta.plans.registry import query
+from attesta.session import written
 
 LEXICON = {"BECAUSE": r"(que|with)", "REQUEST_PLEASE": r"(the|les) ", "QUESTION_MARK": r"\?"}
 # every third fine piece is missing and some are merged with the next one, so that the metrics are not trivial
@@ -53,7 +54,7 @@ SELECT doc_id, count(*) AS spans, CAST(sum(length(piece)) AS BIGINT) AS chars, C
   SELECT doc_id, unnest(regexp_extract_all(text, '[^.\n]*[.\n]+|[^.\n]+')) AS piece FROM documents) GROUP BY 1""")
 def document_spans(lake):
     """The same cut over whole documents of up to 20,000 words."""
-    rows = corpus.atoms(lake.table("documents").select(F.col("doc_id").alias("message_id"), "text"), PIECE)
+    rows = corpus.atoms(lake.texts("documents", "doc_id").select(F.col("doc_id").alias("message_id"), "text"), PIECE)
     size = F.col("end_at") - F.col("start_at")
     return rows.groupBy(F.col("message_id").alias("doc_id")).agg(F.count("*").alias("spans"), F.sum(size).alias("chars"), F.max(size).alias("longest"))
 
@@ -126,7 +127,7 @@ def calibration_exclusion(lake):
     """By content hash against the calibration texts: the benchmark and every tenth document."""
     docs = lake.table("documents").select("doc_id", "text")
     known = lake.table("benchmark").select("text").unionByName(docs.where("doc_id % 10 = 0").select("text"))
-    return corpus.without_calibration(docs, known, "text").select("doc_id")
+    return corpus.without_calibration(docs, known, "doc_id").select("doc_id")
 
 
 @query("C5_sample_manifest", needs=("msg",), sql="""
@@ -135,7 +136,7 @@ WITH e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, mess
 SELECT conv_id AS stream, count(*) AS collected, min(turn) AS first_turn, max(turn) AS last_turn, max(length(text)) AS longest FROM e WHERE place <= 3 GROUP BY 1""")
 def sample_manifest(lake):
     """What is sampled is written down per stream before anything is annotated."""
-    rows = corpus.without_calibration(_eligible(lake), lake.table("benchmark").select("text"), "text")
+    rows = corpus.without_calibration(_eligible(lake), lake.table("benchmark").select("text"), "message_id")
     sample = corpus.sample_window(rows, "conv_id", "turn", 3, F.lit(True))
     return sample.groupBy(F.col("conv_id").alias("stream")).agg(
         F.count("*").alias("collected"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"),
@@ -195,7 +196,7 @@ def overlap_counts(lake):
 
 @query("A14_segmentation_metrics")
 def segmentation_metrics(lake):
-    gold, pred = _gold(lake), _pred(lake)
+    gold, pred = written(_gold(lake), "gold"), written(_pred(lake), "pred")
     matched = corpus.one_to_one(corpus.overlap_pairs(gold, pred, "message_id"), "message_id")
     return corpus.segmentation_metrics(gold, pred, matched, "message_id")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attesta.operators import governance as gov
 from attesta.operators import reference as ref
 from attesta.plans.registry import query
+from attesta.session import written
 from attesta.streaming import decisions as st
 
 STATES_SQL = """
@@ -137,7 +138,7 @@ SELECT coalesce(sm.scope, lo.scope) AS scope, active_event, coalesce(active_coun
   open_loop, CASE WHEN open_loop IS NOT NULL THEN '{gov.NEXT_WITH_LOOP}' ELSE '{gov.NEXT_WITHOUT_LOOP}' END AS next_action
 FROM sm FULL JOIN lo ON lo.scope = sm.scope""")
 def resume_projection(lake):
-    states = _states(lake)
+    states = written(_states(lake), "states")
     return gov.resume(states, lake.governance_events(), gov.edges(states))
 
 
@@ -145,7 +146,7 @@ def resume_projection(lake):
 SELECT scope, TRUE AS one_active, TRUE AS active_from_user, TRUE AS nothing_deleted, TRUE AS rationale_present
 FROM gov WHERE event_type <> 'OPEN_LOOP' GROUP BY 1""")
 def governance_invariants(lake):
-    states = _states(lake)
+    states = written(_states(lake), "states")
     return gov.invariants(states, gov.edges(states))
 
 
@@ -153,7 +154,7 @@ def governance_invariants(lake):
 SELECT event_id, CAST(row_number() OVER w AS BIGINT) AS seq, lag(props) OVER w AS before, lag(props) OVER w IS DISTINCT FROM props AS changed
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def change_sequence(lake):
-    rows = lake.table("events").withColumn("hour", F.date_trunc("hour", "ts")).withColumn("minute", F.date_trunc("minute", "ts"))
+    rows = lake.table("events").withColumn("minute", F.date_trunc("minute", "ts"))
     out = gov.change_sequence(rows, "user_id", ["ts", "event_id"], "props", gov.LEVELS)
     return out.select("event_id", "seq", "before", (~F.col("before").eqNullSafe(F.col("props"))).alias("changed"))
 

@@ -239,8 +239,8 @@ def _known_endpoints(lake):
         F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("from_hit"))
     parts = lake.table("part").where(F.col("p_partkey") % 7 != 0).select(
         F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("to_hit"))
-    rows = lookup_join(lake.relations(), orders, ["l_orderkey"], ["edge_id"])
-    rows = lookup_join(rows, parts, ["l_partkey"], ["edge_id"])
+    rows = lookup_join(lake.relations(), orders, ["l_orderkey"], ["edge_id"], salts=1)
+    rows = lookup_join(rows, parts, ["l_partkey"], ["edge_id"], salts=1)
     return (rows.withColumn("from_known", F.coalesce("from_hit", F.lit(False)))
             .withColumn("to_known", F.coalesce("to_hit", F.lit(False))))
 

@@ -47,7 +47,7 @@ def terms(lake):
 @query("X7_stemmed_tokens", sql="WITH " + token_sql("documents", "doc_id", "text") + """
 SELECT id AS doc_id, term, count(*) AS n FROM tok GROUP BY 1, 2""")
 def stemmed_tokens(lake):
-    rows = lake.table("documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
+    rows = lake.texts("documents", "doc_id").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
@@ -175,13 +175,13 @@ def message_intent_default(lake):
 WITH w AS (SELECT doc_id AS item_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]+')) AS term FROM documents)
 SELECT term, item_id, count(*) AS tf FROM w GROUP BY 1, 2""")
 def postings(lake):
-    return rt.postings(lake.table("documents"), "doc_id", F.col("text"))
+    return rt.postings(lake.texts("documents", "doc_id"), "doc_id", F.col("text"))
 
 
 @query("A11_document_frequency", sql="WITH " + token_sql("documents", "doc_id", "text") + """
 SELECT term, count(DISTINCT id) AS documents FROM tok GROUP BY 1""")
 def document_frequency(lake):
-    return rt.document_frequency(lake.table("documents"), "doc_id", tx.tokens(F.col("text")))
+    return rt.document_frequency(lake.texts("documents", "doc_id"), F.col("text"))
 
 
 SEARCHES = {"q1": "thread erthand", "q2": "zzz que", "q3": "Éeau"}
@@ -203,7 +203,7 @@ SELECT query, item_id, round(score, 6) AS score, CASE WHEN best THEN 'all' ELSE
 
 @query("R2_ranked_retrieval", sql=SEARCH_SQL)
 def ranked_retrieval(lake):
-    return rt.search(lake.table("documents"), SEARCHES, id_column="doc_id", text=F.col("text"), keep=F.col("lang") != "es")
+    return rt.search(lake.texts("documents", "doc_id"), SEARCHES, id_column="doc_id", text=F.col("text"), keep=F.col("lang") != "es")
 
 
 @query("J2_hits_with_items", needs=("items", "cur"), sql=SEARCH_SQL.replace("SELECT query, item_id, round(score, 6)", "SELECT query, rank, i.item_id, i.item_type, c.title AS source_title, round(score, 6)")
@@ -211,7 +211,7 @@ def ranked_retrieval(lake):
 def hits_with_items(lake):
     """The few hits pick their items and sources."""
     from attesta.operators import reference as ref
-    hits = rt.search(lake.table("documents"), SEARCHES, id_column="doc_id", text=F.col("text"), keep=F.col("lang") != "es")
+    hits = rt.search(lake.texts("documents", "doc_id"), SEARCHES, id_column="doc_id", text=F.col("text"), keep=F.col("lang") != "es")
     hits = hits.withColumn("item_id", F.concat(F.lit("d"), "item_id"))
     items = lake.raw_items(False).select("item_id", "item_type", "source_id")
     sources = ref.normalise_sources(lake.current_sources()).select("source_id", F.col("title").alias("source_title"))
@@ -234,7 +234,7 @@ def _lex_records(lake):
     doc = F.col("doc_id")
     kind = F.when(doc % 3 == 0, "OPEN_QUESTION").when(doc % 3 == 1, "USER_IDENTITY").otherwise("CURRENT_PRIORITY")
     status = F.when(doc % 4 == 0, "SUPERSEDED").when(doc % 4 == 1, "CURRENT").otherwise("OPEN")
-    return lake.table("documents").select(
+    return lake.texts("documents", "doc_id").select(
         F.concat(F.lit("d"), doc).alias("id"), kind.alias("type"), status.alias("status"), F.col("text").alias("statement"),
         F.col("lang").alias("keywords"))
 
@@ -311,7 +311,7 @@ ch AS (SELECT doc_id, start_at // 600 AS chunk, start_at, substr(text, CAST(star
 
 @query("R8_document_chunks", sql=CHUNK_SQL + "SELECT doc_id, chunk, start_at, sha256(piece) AS piece_hash, length(piece) AS chars FROM ch")
 def document_chunks(lake):
-    rows = rt.chunks(lake.table("documents").select("doc_id", "text"))
+    rows = rt.chunks(lake.texts("documents", "doc_id").select("doc_id", "text"))
     return rows.select("doc_id", "chunk", "start_at", F.sha2("piece", 256).alias("piece_hash"), F.length("piece").cast("long").alias("chars"))
 
 
@@ -326,5 +326,5 @@ sc AS (SELECT query, tf.item_id, count(*) = max(terms) AS all_terms, sum(greates
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id) AS rank FROM (SELECT *, max(all_terms) OVER (PARTITION BY query) AS best FROM sc) WHERE all_terms = best)
 SELECT query, item_id, round(score, 6) AS score, CASE WHEN best THEN 'all' ELSE 'any' END AS match_mode, rank FROM r WHERE rank <= 5""")
 def relevant_chunks(lake):
-    rows = rt.chunks(lake.table("documents").select("doc_id", "text")).withColumn("item_key", F.concat_ws("/", "doc_id", "chunk"))
+    rows = rt.chunks(lake.texts("documents", "doc_id").select("doc_id", "text")).withColumn("item_key", F.concat_ws("/", "doc_id", "chunk"))
     return rt.search(rows, {"c1": "thread token"}, id_column="item_key", text=F.col("piece"), limit=5)

@@ -10,6 +10,7 @@ from attesta.operators import reference as ref
 from attesta.operators.integrity import missing_references
 from attesta.plans.registry import query
 from attesta.plans.scale import lookup_join
+from attesta.session import written
 
 REV_HASH = "sha256(CAST(to_json([CAST(logical_id AS VARCHAR), CAST(revision_no AS VARCHAR), status, price, priority]) AS VARCHAR))"
 VERSIONS_SQL = f"""
@@ -32,9 +33,13 @@ def _versions(lake):
     return versions.version_rows(lake.revisions())
 
 
-def _pinned(lake):
+def _stored_versions(lake):
+    """The version table, written once because several joins read it."""
+    return written(_versions(lake), "versions")
+
+
+def _pinned(lake, rows):
     """Order lines as edges: from the version an order is, to the current version of another item."""
-    rows = _versions(lake)
     start = rows.select(F.col("revision_no").alias("l_orderkey"), F.col("version_id").alias("from_version_id"),
                         F.col("item_id").alias("from_item_id"))
     end = rows.where("is_current_version").select(F.col("item_id").alias("to_item_id"),
@@ -42,8 +47,8 @@ def _pinned(lake):
     part = F.col("l_partkey")
     edges = lake.relations().select("edge_id", "relation_type", "l_orderkey", F.when(
         part % 10 != 0, F.concat(F.lit("c"), part % 3000)).alias("to_item_id"))
-    edges = lookup_join(edges, start, ["l_orderkey"], ["edge_id"])
-    return lookup_join(edges, end, ["to_item_id"], ["edge_id"])
+    edges = lookup_join(edges, start, ["l_orderkey"], ["edge_id"], salts=1)
+    return lookup_join(edges, end, ["to_item_id"], ["edge_id"], salts=1)
 
 
 @query("W12_version_rows", needs=("revs",), sql=VERSIONS_SQL + """
@@ -67,7 +72,8 @@ SELECT p.edge_id, f.logical_item_id AS from_logical_id, f.lifecycle AS from_life
        f.version_id IS NULL AS from_unresolved, t.version_id IS NULL AS to_unresolved
 FROM pinned p LEFT JOIN ver f ON f.version_id = p.from_version_id LEFT JOIN ver t ON t.version_id = p.to_version_id""")
 def resolved_endpoints(lake):
-    out = versions.resolve_endpoints(_pinned(lake), _versions(lake), "edge_id")
+    rows = _stored_versions(lake)
+    out = versions.resolve_endpoints(_pinned(lake, rows), rows, "edge_id")
     return out.select("edge_id", "from_logical_id", "from_lifecycle", "to_logical_id", "from_unresolved", "to_unresolved")
 
 
@@ -77,8 +83,9 @@ SELECT edge_id, 'outgoing' AS direction FROM pinned WHERE from_version_id IN (SE
 UNION SELECT edge_id, 'incoming' FROM pinned WHERE to_version_id IN (SELECT version_id FROM w)
 UNION SELECT edge_id, 'unpinned' FROM pinned WHERE to_version_id IS NULL AND to_item_id IN (SELECT item_id FROM w)""")
 def edges_of_versions(lake):
-    wanted = _versions(lake).where(F.col("logical_id").isin(4, 8, 15)).select("version_id", "item_id")
-    return versions.edge_directions(_pinned(lake), wanted, "edge_id")
+    rows = _stored_versions(lake)
+    wanted = rows.where(F.col("logical_id").isin(4, 8, 15)).select("version_id", "item_id")
+    return versions.edge_directions(_pinned(lake, rows), wanted, "edge_id")
 
 
 @query("J7_lineage_heads", sql="""
@@ -315,10 +322,10 @@ def as_of_event(lake):
         "o_orderkey", F.col("o_custkey").alias("user_id"), F.expr("o_orderdate + INTERVAL 23 YEAR").alias("ts"))
     events = lake.table("events").select("user_id", "ts", "event_id", "event_type")
     def buckets(df, tie):
-        return df.withColumn("tie", F.col(tie)).withColumn("day", F.to_date("ts")).withColumn("hour", F.date_trunc("hour", "ts"))
+        return df.withColumn("tie", F.col(tie)).withColumn("minute", F.date_trunc("minute", "ts"))
     value = F.struct("event_id", "event_type")
     out = versions.as_of_values(buckets(orders, "o_orderkey"), buckets(events, "event_id"), ["user_id"], "ts", "tie",
-                                value, [["day", "hour"], ["day"]], "o_orderkey")
+                                value, [["minute"]], "o_orderkey")
     return out.select("o_orderkey", "value.event_id", "value.event_type")
 
 
@@ -368,10 +375,11 @@ WHERE v.logical_item_id <> c.endpoint""")
 def pin_rules(lake):
     """An explicit pin must be a version of the declared endpoint."""
     from attesta.operators.canon import pin_violations
-    edges = _pinned(lake).where(F.col("to_version_id").isNotNull()).select(
+    rows = _stored_versions(lake)
+    edges = _pinned(lake, rows).where(F.col("to_version_id").isNotNull()).select(
         "edge_id", F.when(F.length("edge_id") % 2 == 0, "c1").otherwise(F.col("to_item_id")).alias("endpoint"),
         F.col("to_version_id").alias("version_id"))
-    return pin_violations(edges, _versions(lake), "edge_id")
+    return pin_violations(edges, rows, "edge_id")
 
 
 @query("V6_relation_revision", needs=("edges",), sql="""
@@ -432,9 +440,10 @@ UNION ALL SELECT 'outgoing', edge_id, relation_type FROM pinned WHERE from_versi
 UNION ALL SELECT 'incoming', edge_id, relation_type FROM pinned WHERE to_version_id IN (SELECT version_id FROM w WHERE is_current_version)""")
 def trace(lake):
     """Trace of one logical item: its versions and the edges pinned to the current one."""
-    rows = versions.version_rows(lake.revisions().where("logical_id = 8"))
+    stored = _stored_versions(lake)
+    rows = stored.where("logical_id = 8")
     current = rows.where("is_current_version").select("version_id")
-    edges = _pinned(lake)
+    edges = _pinned(lake, stored)
     parts = rows.select(F.lit("version").alias("part"), F.col("version_id").alias("ref"),
                         F.when(F.col("is_current_version"), "current").otherwise("archived").alias("detail"))
     for label, column in (("outgoing", "from_version_id"), ("incoming", "to_version_id")):

@@ -126,18 +126,15 @@ def project_scope(lake):
 
 
 @query("J3_item_sources", sql="""
-SELECT l_orderkey AS work_id, 's' || l_suppkey AS source_id, min(l_linenumber) = 1 AS is_primary, any_value(s_name) AS title,
-       row_number() OVER (PARTITION BY l_orderkey ORDER BY (min(l_linenumber) = 1) DESC, 's' || l_suppkey) AS place
+SELECT l_orderkey AS work_id, 's' || l_suppkey AS source_id, min(l_linenumber) = 1 AS is_primary, any_value(s_name) AS title
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey, l_suppkey""")
 def item_sources(lake):
-    from pyspark.sql import Window
+    """Primary links first, in a distributed sort."""
     links = lake.table("lineitem").groupBy("l_orderkey", "l_suppkey").agg(
         (F.min("l_linenumber") == 1).alias("is_primary"))
     links = links.select(F.col("l_orderkey").alias("work_id"), F.concat(F.lit("s"), "l_suppkey").alias("source_id"), "is_primary")
     joined = lookup_join(links, lake.work_sources().select("source_id", "title"), ["source_id"], ["work_id", "source_id"], "inner")
-    # the links of one item: distinct sources of one record, numbered in the order a reader sees them
-    window = Window.partitionBy("work_id").orderBy(F.col("is_primary").desc(), F.col("source_id"))
-    return joined.withColumn("place", F.row_number().over(window).cast("long"))
+    return joined.orderBy("work_id", F.col("is_primary").desc(), "source_id")
 
 
 @query("J6_touching_relations", needs=("edges",), sql="""
@@ -404,6 +401,22 @@ def changed_fields(lake):
         F.concat_ws(",", work.changed_fields("earlier", "now", fields)).alias("changed"))
 
 
+@query("V11_strict_export_check", sql="""
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'FIELDS' WHEN event_id % 5 = 0 THEN 'TIMESTAMP' WHEN event_id % 3 = 0 THEN 'CHANGED_FIELDS'
+  WHEN event_id % 11 = 0 THEN 'ACTOR' ELSE 'OK' END AS verdict FROM events""")
+def strict_export_check(lake):
+    """Change rows of an export: exact fields, real timestamps, a JSON array of field names, a named actor, valid images."""
+    key = F.col("event_id")
+    row = F.to_json(F.struct(
+        F.concat(F.lit("c"), key).alias("change_id"), F.lit(None).cast("string").alias("work_id"), F.col("event_type").alias("change_type"),
+        F.when(key % 11 == 0, " ").otherwise("USER").alias("actor_class"),
+        F.when(key % 3 == 0, '["a", 1]').otherwise('["a"]').alias("changed_fields_json"), F.lit(None).cast("string").alias("before_json"),
+        F.col("props").alias("after_json"),
+        F.when(key % 5 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("created_at")), {"ignoreNullFields": "false"})
+    raw = F.when(key % 7 == 0, F.replace(row, F.lit('"actor_class"'), F.lit('"actor"'))).otherwise(row)
+    return work.check_change_rows(lake.table("events").select("event_id", raw.alias("raw")), "event_id")
+
+
 @query("U2_exact_keys", sql="""
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'k' ELSE '' END AS missing_keys,
        CASE WHEN event_id % 3 = 0 THEN 'other' ELSE '' END AS unknown_keys FROM events""")

@@ -27,9 +27,14 @@ def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str], spread_by: list[
     The fact side is spread over ``salts`` by a hash of its own row key (stable when a task is
     retried) and the dimension is repeated once per salt.  Adaptive execution turns this into a
     broadcast when the measured dimension is below the broadcast threshold.
+
+    ``salts=1`` is for dimensions about as large as the fact side, where repeating them would cost more
+    than the join: there the hot partitions of the fact side are split by the adaptive skew join.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot repeat the right side for {how}")
+    if salts == 1:
+        return fact.join(dim, on, how)
     salted_fact = fact.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     salted_dim = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_fact.join(salted_dim, [*on, "__salt"], how).drop("__salt")
@@ -114,9 +119,13 @@ def _running(df, keys, order, specs, levels, reverse):
     return df.select(*[F.col(c) for c in kept], *columns)
 
 
-def id_block(column: Column | str, bits: int = 16) -> Column:
-    """Block number of a whole-number id; one block holds at most ``2**bits`` different ids."""
-    return F.shiftright(F.col(column) if isinstance(column, str) else column, bits)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give costly row work at least one partition per core.
+
+    A table with more splits than cores (any large one) is left alone; only few large splits are spread by key.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
 def one_row_flag(df: DataFrame) -> bool:

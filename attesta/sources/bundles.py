@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from attesta.functions import vocabulary as v
 from attesta.functions.text import json_value
+from attesta.plans.scale import Running, lookup_join, running_values
 from attesta.session import scratch_path
 
 _TEXT = T.StringType()
@@ -24,10 +25,16 @@ BUNDLE_SCHEMA = T.StructType([T.StructField("manifest", MANIFEST_SCHEMA), T.Stru
 
 
 def bundle_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of many bundle files with file and line number; one file is one unit of reading."""
-    files = spark.read.text(path, wholetext=True).withColumn("bundle", F.input_file_name())
-    lines = files.select("bundle", F.posexplode(F.split("value", "\r?\n")).alias("pos", "raw"))
-    return lines.select("bundle", (F.col("pos") + 1).cast("long").alias("line"), F.trim("raw").alias("raw"))
+    """Lines of bundle files with file and line number.
+
+    A file of any size is read in its splits: inside a split the rows keep their order, and the splits of a file
+    are put in order by where they start, so the line number is a running count and no file goes through one task.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("bundle"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.trim("value").alias("raw"))
+    numbered = running_values(rows, ["bundle"], ["block", "place"], {"line": Running("sum", F.lit(1), inclusive=True)}, [["block"]])
+    return numbered.select("bundle", F.col("line").cast("long").alias("line"), "raw")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -63,7 +70,7 @@ def first_records(rows: DataFrame, inline_sources: DataFrame) -> DataFrame:
                                         F.min_by(F.struct(*others), "line").alias("record"))
     seen = inline_sources.groupBy("source_id").agg(F.min("line").alias("source_line"))
     flat = first.select("item_id", "line", "record.*")
-    return flat.join(seen, "source_id", "left").withColumn(
+    return lookup_join(flat, seen, ["source_id"], ["item_id"]).withColumn(
         "source_visible", F.coalesce(F.col("source_line") <= F.col("line"), F.lit(False)))
 
 
@@ -76,7 +83,7 @@ def bundle_export(items: DataFrame, sources: DataFrame, relations: DataFrame, ma
     source_fields = F.struct(*["source_id", *v.SOURCE_CONTENT])
     carried = sources.select("source_id", source_fields.alias("source"))
     item_fields = F.struct(*[c for c in items.columns if c not in ("record_hash", "line", "source_known")])
-    paired = items.select("item_id", "source_id", item_fields.alias("item")).join(carried, "source_id")
+    paired = lookup_join(items.select("item_id", "source_id", item_fields.alias("item")), carried, ["source_id"], ["item_id"], "inner")
     item_lines = paired.select(F.lit(1).alias("part"), F.col("source_id").alias("k1"), F.col("item_id").alias("k2"),
                                F.to_json(F.struct("source", "item")).alias("value"))
     unused = carried.join(items.select("source_id").distinct(), "source_id", "left_anti").select(

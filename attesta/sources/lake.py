@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.vocabulary import (
     AUTHORITY_CLASSES, MAPPED_CURRENTNESS, SOURCE_KINDS, SURFACES, WORK_ROLES, WORK_SURFACES, WORK_TYPES)
-from attesta.plans.scale import lookup_join
+from attesta.plans.scale import lookup_join, spread
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -25,6 +25,10 @@ class Lake:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def texts(self, name: str, key: str) -> DataFrame:
+        """A table of texts for costly row work, on at least as many partitions as there are cores."""
+        return spread(self.table(name), key)
+
     # ---- reference memory -------------------------------------------------
     def raw_sources(self) -> DataFrame:
         """One record per document source, with blanks where a bundle would leave a field empty."""
@@ -92,7 +96,7 @@ class Lake:
             F.to_date("o_orderdate").alias("at"), F.col("o_orderstatus").alias("status"),
             F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("price"),
             F.col("o_orderpriority").alias("priority"),
-            F.to_date("o_orderdate").alias("day"), F.shiftright("o_orderkey", 16).alias("block"))
+            F.to_date("o_orderdate").alias("day"))
 
     # ---- working memory ---------------------------------------------------
     def work_projects(self) -> DataFrame:
@@ -120,7 +124,7 @@ class Lake:
         level = F.substring("o_orderpriority", 1, 1)
         priority = (F.when(level == "1", "P0").when(level == "2", "P1").when(level == "3", "P2")
                     .when(level == "4", "P3").otherwise("TAIL"))
-        joined = lookup_join(orders, customers, ["o_custkey"], ["o_orderkey"], "inner")
+        joined = lookup_join(orders, customers, ["o_custkey"], ["o_orderkey"], "inner", salts=1)
         return joined.select(
             F.concat(F.lit("w"), F.lpad(key.cast("string"), 12, "0")).alias("work_id"), "project_id", "thread",
             pick(WORK_TYPES, key).alias("type"), status.alias("status"), priority.alias("priority"),
@@ -143,7 +147,7 @@ class Lake:
         return self.table("events").select(
             "event_id", "ts", F.col("user_id").alias("scope"), kind.alias("event_type"),
             (F.get_json_object("props", "$.k").cast("long") % 2).alias("parity"),
-            F.date_trunc("hour", "ts").alias("hour"), F.date_trunc("minute", "ts").alias("minute"))
+            F.date_trunc("minute", "ts").alias("minute"))
 
     def messages(self) -> DataFrame:
         speaker = (F.when(F.col("role") == "user", "USER").when(F.col("role") == "assistant", "MODEL")

@@ -43,7 +43,7 @@ class DecisionStream:
             rows = lookup_join(rows, carried, ["scope"], ["event_id"])
             rows = rows.withColumn("prior", F.coalesce("prior", "carried")).drop("carried")
         rows = rows.withColumn("admission", gov.admission(gov.same_parity()))
-        log = rows.select("scope", "event_id", "ts", "hour", "minute", "event_type", "parity", "prior",
+        log = rows.select("scope", "event_id", "ts", "minute", "event_type", "parity", "prior",
                           F.col("admission.outcome").alias("outcome"), F.col("admission.target").alias("target"))
         log.write.mode("overwrite").parquet(f"{self.root}/log/batch={batch_id}")
         decisions = batch.where(F.col("event_type") == gov.DECISION)
