@@ -75,10 +75,10 @@ def resolve_endpoints(relations: DataFrame, versions: DataFrame, row_key: str) -
 def touching(relations: DataFrame, wanted: DataFrame, row_key: str, start: str, end: str, key: str) -> DataFrame:
     """Relations with a wanted item at either end, each once: two equality joins and a union."""
     keys = wanted.select(key).distinct()
-    outgoing = lookup_join(relations, keys.withColumnRenamed(key, start), [start], [row_key], "left_semi")
-    incoming = lookup_join(relations, keys.withColumnRenamed(key, end), [end], [row_key], "left_semi")
+    outgoing = lookup_join(relations, keys.withColumnRenamed(key, start), [start], [row_key], "left_semi", salts=1)
+    incoming = lookup_join(relations, keys.withColumnRenamed(key, end), [end], [row_key], "left_semi", salts=1)
     # an edge between two wanted items comes from both sides; it is kept on the outgoing one
-    second = lookup_join(incoming, keys.withColumnRenamed(key, start), [start], [row_key], "left_anti")
+    second = lookup_join(incoming, keys.withColumnRenamed(key, start), [start], [row_key], "left_anti", salts=1)
     return outgoing.unionByName(second)
 
 
@@ -88,11 +88,11 @@ def edge_directions(relations: DataFrame, wanted: DataFrame, row_key: str) -> Da
     names = wanted.select("item_id").distinct()
     parts = []
     for label, column in (("outgoing", "from_version_id"), ("incoming", "to_version_id")):
-        hit = lookup_join(relations, pins.withColumnRenamed("version_id", column), [column], [row_key], "left_semi")
+        hit = lookup_join(relations, pins.withColumnRenamed("version_id", column), [column], [row_key], "left_semi", salts=1)
         parts.append(hit.withColumn("direction", F.lit(label)))
     for pin, column in (("from_version_id", "from_item_id"), ("to_version_id", "to_item_id")):
         loose = relations.where(F.col(pin).isNull())
-        hit = lookup_join(loose, names.withColumnRenamed("item_id", column), [column], [row_key], "left_semi")
+        hit = lookup_join(loose, names.withColumnRenamed("item_id", column), [column], [row_key], "left_semi", salts=1)
         parts.append(hit.withColumn("direction", F.lit("unpinned")))
     out = parts[0]
     for part in parts[1:]:
@@ -156,3 +156,25 @@ def compare_snapshots(old: DataFrame, new: DataFrame, keys: list[str], full_hash
     status = (F.when(F.col("old_hash").isNull(), "inserted").when(F.col("new_hash").isNull(), "absent")
               .when(F.col("old_hash") == F.col("new_hash"), "unchanged").otherwise("revised"))
     return before.join(after, keys, "full_outer").withColumn("outcome", status)
+
+
+def trace(versions: DataFrame, relations: DataFrame, row_key: str) -> DataFrame:
+    """Versions of each logical item and the edges of its current version, by direction.
+
+    A current version never takes over the edges of older ones; an edge without a pin belongs to the declared item.
+    """
+    parts = [versions.select("logical_item_id", F.lit("version").alias("part"), F.col("version_id").alias("ref"),
+                             F.when(F.col("is_current_version"), "current").otherwise("archived").alias("detail"))]
+    current = versions.where("is_current_version")
+    for label, column, name, loose in (
+            ("outgoing", "from_version_id", "version_id", False), ("incoming", "to_version_id", "version_id", False),
+            ("unpinned", "from_item_id", "item_id", True), ("unpinned", "to_item_id", "item_id", True)):
+        dim = current.select(F.col(name).alias(column), "logical_item_id")
+        edges = relations.where(F.col(column.replace("item", "version")).isNull()) if loose else relations
+        hit = lookup_join(edges, dim, [column], [row_key], "inner", salts=1)
+        parts.append(hit.select("logical_item_id", F.lit(label).alias("part"), F.col(row_key).alias("ref"),
+                                F.col("relation_type").alias("detail")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

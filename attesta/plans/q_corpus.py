@@ -9,6 +9,7 @@ from attesta.functions.text import FINE_PIECE, PIECE
 from attesta.operators import corpus
 from attesta.operators.integrity import missing_references
 from attesta.plans.registry import query
+from attesta.plans.scale import spread
 from attesta.session import written
 
 LEXICON = {"BECAUSE": r"(que|with)", "REQUEST_PLEASE": r"(the|les) ", "QUESTION_MARK": r"\?"}
@@ -25,7 +26,7 @@ pairs AS (SELECT *, CAST(common AS DOUBLE) / CAST(gl + pl - common AS DOUBLE) AS
 
 
 def _atoms(lake, pattern=PIECE):
-    return corpus.atoms(lake.messages(), pattern)
+    return corpus.atoms(spread(lake.messages(), "message_id"), pattern)
 
 
 def _gold(lake):

@@ -78,13 +78,14 @@ def resolved_endpoints(lake):
 
 
 @query("J5_edges_of_versions", needs=("revs", "edges"), sql=PINNED_SQL + """
-, w AS (SELECT version_id, item_id FROM ver WHERE logical_id IN (4, 8, 15))
+, w AS (SELECT version_id, item_id FROM ver WHERE is_current_version)
 SELECT edge_id, 'outgoing' AS direction FROM pinned WHERE from_version_id IN (SELECT version_id FROM w)
 UNION SELECT edge_id, 'incoming' FROM pinned WHERE to_version_id IN (SELECT version_id FROM w)
 UNION SELECT edge_id, 'unpinned' FROM pinned WHERE to_version_id IS NULL AND to_item_id IN (SELECT item_id FROM w)""")
 def edges_of_versions(lake):
+    """Outgoing, incoming and unpinned edges of all current versions."""
     rows = _stored_versions(lake)
-    wanted = rows.where(F.col("logical_id").isin(4, 8, 15)).select("version_id", "item_id")
+    wanted = rows.where("is_current_version").select("version_id", "item_id")
     return versions.edge_directions(_pinned(lake, rows), wanted, "edge_id")
 
 
@@ -101,10 +102,11 @@ def lineage_heads(lake):
 
 
 @query("J8_all_versions", needs=("revs",), sql=VERSIONS_SQL + """
-SELECT logical_item_id, version_id, is_current_version FROM ver WHERE logical_id IN (4, 8, 15, 16, 23, 42)""")
+SELECT logical_item_id, version_id, is_current_version FROM ver""")
 def all_versions(lake):
-    wanted = lake.revisions().where(F.col("logical_id").isin(4, 8, 15, 16, 23, 42))
-    return versions.version_rows(wanted).select("logical_item_id", "version_id", "is_current_version")
+    """All versions of every logical item, archived ones first, in a distributed sort."""
+    rows = _versions(lake).select("logical_item_id", "version_id", "is_current_version")
+    return rows.orderBy("logical_item_id", "is_current_version", "version_id")
 
 
 BUNDLE_SQL = """
@@ -233,19 +235,18 @@ def restored_meta(lake):
 @query("M7_schema_backfill", needs=("raw_items", "src"), sql="""
 SELECT r.item_id, s.title AS source_title_at_capture, s.revision AS source_revision_at_capture,
        TRUE AS capture_backfilled
-FROM raw_items r LEFT JOIN src s ON s.source_id = r.source_id WHERE r.doc_id % 2 = 0""")
+FROM raw_items r LEFT JOIN src s ON s.source_id = r.source_id""")
 def schema_backfill(lake):
-    """Rows stored without capture (every second one) take the source as it is at migration time."""
-    stored = lake.raw_items(False).where(F.col("line") % 2 == 0).select("item_id", "source_id")
+    """Rows stored without capture take the source as it is at migration time."""
+    stored = lake.raw_items(False).select("item_id", "source_id")
     return versions.backfill_capture(stored, ref.normalise_sources(lake.raw_sources())).select(
         "item_id", "source_title_at_capture", "source_revision_at_capture", "capture_backfilled")
 
 
 @query("J14_capture_backfill", needs=("raw_items", "src"), sql="""
-SELECT s.source_id, count(*) AS backfilled FROM raw_items r JOIN src s ON s.source_id = r.source_id
-WHERE r.doc_id % 2 = 0 GROUP BY 1""")
+SELECT s.source_id, count(*) AS backfilled FROM raw_items r JOIN src s ON s.source_id = r.source_id GROUP BY 1""")
 def capture_backfill(lake):
-    stored = lake.raw_items(False).where(F.col("line") % 2 == 0).select("item_id", "source_id")
+    stored = lake.raw_items(False).select("item_id", "source_id")
     rows = versions.backfill_capture(stored, ref.normalise_sources(lake.raw_sources()))
     return rows.groupBy("source_id").agg(F.count_if("capture_backfilled").alias("backfilled"))
 
@@ -434,20 +435,12 @@ def first_record_wins(lake):
 
 
 @query("R7_trace", needs=("revs", "edges"), sql=PINNED_SQL + """
-, w AS (SELECT * FROM ver WHERE logical_id = 8)
-SELECT 'version' AS part, version_id AS ref, CASE WHEN is_current_version THEN 'current' ELSE 'archived' END AS detail FROM w
-UNION ALL SELECT 'outgoing', edge_id, relation_type FROM pinned WHERE from_version_id IN (SELECT version_id FROM w WHERE is_current_version)
-UNION ALL SELECT 'incoming', edge_id, relation_type FROM pinned WHERE to_version_id IN (SELECT version_id FROM w WHERE is_current_version)""")
+SELECT logical_item_id, 'version' AS part, version_id AS ref, CASE WHEN is_current_version THEN 'current' ELSE 'archived' END AS detail FROM ver
+UNION ALL SELECT logical_item_id, 'outgoing', edge_id, relation_type FROM pinned JOIN ver ON from_version_id = version_id WHERE is_current_version
+UNION ALL SELECT logical_item_id, 'incoming', edge_id, relation_type FROM pinned JOIN ver ON to_version_id = version_id WHERE is_current_version
+UNION ALL SELECT DISTINCT logical_item_id, 'unpinned', edge_id, relation_type FROM pinned JOIN ver ON (from_version_id IS NULL AND from_item = ver.item_id)
+  OR (to_version_id IS NULL AND to_item_id = ver.item_id) WHERE is_current_version""")
 def trace(lake):
-    """Trace of one logical item: its versions and the edges pinned to the current one."""
-    stored = _stored_versions(lake)
-    rows = stored.where("logical_id = 8")
-    current = rows.where("is_current_version").select("version_id")
-    edges = _pinned(lake, stored)
-    parts = rows.select(F.lit("version").alias("part"), F.col("version_id").alias("ref"),
-                        F.when(F.col("is_current_version"), "current").otherwise("archived").alias("detail"))
-    for label, column in (("outgoing", "from_version_id"), ("incoming", "to_version_id")):
-        hit = lookup_join(edges, current.withColumnRenamed("version_id", column), [column], ["edge_id"], "left_semi")
-        parts = parts.unionByName(hit.select(F.lit(label).alias("part"), F.col("edge_id").alias("ref"),
-                                             F.col("relation_type").alias("detail")))
-    return parts
+    """Trace of every logical item: its versions, and the edges of its current one by direction."""
+    rows = _stored_versions(lake)
+    return versions.trace(rows, _pinned(lake, rows), "edge_id")

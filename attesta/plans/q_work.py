@@ -138,11 +138,13 @@ def item_sources(lake):
 
 
 @query("J6_touching_relations", needs=("edges",), sql="""
-SELECT edge_id, from_item_id, to_item_id FROM edges WHERE from_item_id IN ('p7', 'o7', 'p11', 'o12') OR to_item_id IN ('p7', 'o7', 'p11', 'o12')""")
+WITH w AS (SELECT 'o' || o_orderkey AS item_id FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_type = 'ECONOMY')
+SELECT edge_id, from_item_id, to_item_id FROM edges WHERE from_item_id IN (SELECT item_id FROM w) OR to_item_id IN (SELECT item_id FROM w)""")
 def touching_relations(lake):
-    """Two equality filters and a union, instead of one OR join."""
+    """Edges that touch an urgent order or an economy part: two equality joins and a union, instead of one OR join."""
     from attesta.operators.versions import touching
-    wanted = lake.spark.createDataFrame([("p7",), ("o7",), ("p11",), ("o12",)], "item_id string")
+    wanted = lake.table("orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), "o_orderkey").alias("item_id")).unionByName(
+        lake.table("part").where("p_type = 'ECONOMY'").select(F.concat(F.lit("p"), "p_partkey").alias("item_id")))
     return touching(lake.relations().select("edge_id", "from_item_id", "to_item_id"), wanted, "edge_id",
                     "from_item_id", "to_item_id", "item_id")
 
