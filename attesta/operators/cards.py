@@ -110,19 +110,24 @@ def card_fields(lines: DataFrame, key: str) -> DataFrame:
 
 
 def cards(lines: DataFrame, fields: DataFrame, key: str) -> DataFrame:
-    """One row per card: number, title, its fields as columns (first value wins) and its issues."""
+    """One row per card: number, title, a map of its fields (the first value wins) and its issues.
+
+    A card has one entry per known field name at most, so the map and the lists are bounded by the field list.
+    """
     heads = lines.where("is_heading").select(
         key, "card_line", F.regexp_extract("line", HEADING, 1).cast("long").alias("card_number"),
         F.regexp_extract("line", HEADING, 2).alias("title"))
-    at = F.struct("line_no", "place")
-    named = [F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, at)).alias(f) for f in v.CARD_FIELDS]
-    repeats = [F.when(F.count_if(F.col("field") == f) > 1, F.lit(f)) for f in v.CARD_FIELDS]
-    wide = fields.groupBy(key, "card_line").agg(
-        *named, F.array_compact(F.array(*repeats)).alias("duplicate_fields"),
-        F.count_if(F.col("field").isNull()).alias("unrecognised_lines"))
-    out = heads.join(wide, [key, "card_line"], "left")
-    missing = F.array_compact(F.array(*[F.when(F.coalesce(F.trim(f"`{f}`"), F.lit("")) == "", F.lit(f)) for f in v.CARD_REQUIRED]))
-    return out.withColumn("missing_fields", missing)
+    per_field = fields.groupBy(key, "card_line", "field").agg(
+        F.min_by("value", F.struct("line_no", "place")).alias("value"), F.count("*").alias("times"))
+    known = F.col("field").isNotNull()
+    per_card = per_field.groupBy(key, "card_line").agg(
+        F.map_from_entries(F.collect_list(F.when(known, F.struct("field", "value")))).alias("fields"),
+        F.array_sort(F.collect_list(F.when(known & (F.col("times") > 1), F.col("field")))).alias("duplicate_fields"),
+        F.sum(F.when(known, 0).otherwise(F.col("times"))).alias("unrecognised_lines"))
+    out = heads.join(per_card, [key, "card_line"], "left")
+    required = F.array(*[F.lit(f) for f in v.CARD_REQUIRED])
+    blank = F.filter(required, lambda f: F.coalesce(F.trim(F.element_at("fields", f)), F.lit("")) == "")
+    return out.withColumn("missing_fields", blank)
 
 
 def document_status(documents: DataFrame, card_rows: DataFrame, key: str, text: Column) -> DataFrame:

@@ -58,11 +58,14 @@ def normalise_relations(raw: DataFrame) -> DataFrame:
         *given)
 
 
-def mark_superseded(items: DataFrame) -> DataFrame:
-    """First declared superseder (in bundle order) wins; nothing is deleted or revived."""
-    claims = (items.where(F.col("supersedes_item_id").isNotNull())
-              .groupBy(F.col("supersedes_item_id").alias("item_id"))
-              .agg(F.min_by("item_id", "line").alias("superseded_by")))
+def mark_superseded(items: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """First declared superseder (in bundle order) wins; nothing is deleted or revived.
+
+    ``declared`` may be the raw records: they hold the same claims without the joins behind ``items``.
+    """
+    target = blank_to_null(F.col("supersedes_item_id"))
+    claims = ((items if declared is None else declared).select("line", F.col("item_id").alias("by_id"), target.alias("item_id"))
+              .where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min_by("by_id", "line").alias("superseded_by")))
     marked = items.join(claims, "item_id", "left")
     return marked.withColumn("lifecycle", F.when(F.col("superseded_by").isNotNull(), "SUPERSEDED").otherwise("ACTIVE"))
 

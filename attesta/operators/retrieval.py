@@ -228,7 +228,7 @@ def chunks(documents: DataFrame, size: int = 800, overlap: int = 200) -> DataFra
 
 
 def card_haystack(fields: list[str]) -> Column:
-    return F.lower(F.concat_ws("\n", "title", *[F.coalesce(F.col(f"`{f}`"), F.lit("")) for f in fields]))
+    return F.lower(F.concat_ws("\n", "title", *[F.coalesce(F.element_at("fields", f), F.lit("")) for f in fields]))
 
 
 def all_terms_match(haystack: Column, query: str) -> Column:

@@ -14,7 +14,6 @@ from attesta.functions import vocabulary as v
 from attesta.operators import cards
 from attesta.operators import retrieval as rt
 from attesta.plans.registry import query
-from attesta.plans.scale import top_k_per_group
 from attesta.session import written
 
 # how a page breaks the contract, by its id: kind 0..13, all others are fine
@@ -66,7 +65,7 @@ c AS (SELECT page_id, kind, 1 AS card_number, 1 AS place, title, 'open' AS statu
 def _cards(lake):
     documents = written(index_documents(lake), "documents")
     lines = written(cards.card_lines(documents, "page_id", F.col("text")), "lines")
-    return documents, cards.cards(lines, cards.card_fields(lines, "page_id"), "page_id")
+    return documents, written(cards.cards(lines, cards.card_fields(lines, "page_id"), "page_id"), "cards")
 
 
 def _served(lake):
@@ -125,10 +124,10 @@ def card_issues(lake):
 SELECT page_id, card_number, title, status, question, verdict, evidence, github, notion, drive, consistency FROM c""")
 def card_projection(lake):
     _, rows = _cards(lake)
-    return rows.select("page_id", F.col("card_number").cast("int").alias("card_number"), "title", F.col("STATUS").alias("status"),
-                       F.col("QUESTION").alias("question"), F.col("EXECUTION_VERDICT").alias("verdict"),
-                       F.col("PRIMARY_EVIDENCE").alias("evidence"), F.col("GITHUB_REF").alias("github"),
-                       F.col("NOTION_REF").alias("notion"), F.col("DRIVE_REF").alias("drive"), F.col("CONSISTENCY").alias("consistency"))
+    return rows.select("page_id", F.col("card_number").cast("int").alias("card_number"), "title", F.col("fields")["STATUS"].alias("status"),
+                       F.col("fields")["QUESTION"].alias("question"), F.col("fields")["EXECUTION_VERDICT"].alias("verdict"),
+                       F.col("fields")["PRIMARY_EVIDENCE"].alias("evidence"), F.col("fields")["GITHUB_REF"].alias("github"),
+                       F.col("fields")["NOTION_REF"].alias("notion"), F.col("fields")["DRIVE_REF"].alias("drive"), F.col("fields")["CONSISTENCY"].alias("consistency"))
 
 
 OK_SQL = DOCS_SQL + """
@@ -138,15 +137,14 @@ hit AS (SELECT *, lower(concat_ws(chr(10), title, '', coalesce(question, ''), st
 
 
 @query("R5_card_search", sql=OK_SQL + """
-SELECT page_id, card_number, title, rank, matched FROM (SELECT *, row_number() OVER (ORDER BY page_id, card_number) AS rank, count(*) OVER () AS matched
-  FROM hit WHERE contains(hay, 'page') AND contains(hay, 'not_run')) WHERE rank <= 3""")
+SELECT page_id, card_number, title, count(*) OVER () AS matched
+  FROM hit WHERE contains(hay, 'page') AND contains(hay, 'not_run') ORDER BY page_id, card_number LIMIT 3""")
 def card_search(lake):
     """All terms in the six search fields; the first cards in full and the number of all matches."""
     rows = _served(lake).where(rt.all_terms_match(rt.card_haystack(v.CARD_SEARCH), "NOT_RUN page"))
-    one = rows.withColumn("query", F.lit("q"))
-    matched = one.groupBy("query").agg(F.count("*").alias("matched"))
-    top = top_k_per_group(one, ["query"], [F.col("page_id").asc(), F.col("card_number").asc()], 3)
-    return top.join(matched, "query").select("page_id", F.col("card_number").cast("int").alias("card_number"), "title", "rank", "matched")
+    rows = written(rows.select("page_id", F.col("card_number").cast("int").alias("card_number"), "title"), "matches")
+    matched = rows.agg(F.count("*").alias("matched")).scalar()
+    return rows.orderBy("page_id", "card_number").limit(3).withColumn("matched", matched)
 
 
 @query("A6_card_totals", sql=OK_SQL + """
@@ -166,9 +164,9 @@ ORDER BY page_id, card_number LIMIT 30""")
 def card_overview(lake):
     rows = _served(lake).orderBy("page_id", "card_number").limit(30)
     return rows.select("page_id", F.col("card_number").cast("int").alias("card_number"), tx.clipped(F.col("title"), 120).alias("title"),
-                       F.col("STATUS").alias("status"), F.col("EXECUTION_VERDICT").alias("verdict"))
+                       F.col("fields")["STATUS"].alias("status"), F.col("fields")["EXECUTION_VERDICT"].alias("verdict"))
 
 
 @query("R6_card_by_number", sql=OK_SQL + "SELECT page_id, title, evidence FROM ok WHERE card_number = 2")
 def card_by_number(lake):
-    return _served(lake).where("card_number = 2").select("page_id", "title", F.col("PRIMARY_EVIDENCE").alias("evidence"))
+    return _served(lake).where("card_number = 2").select("page_id", "title", F.col("fields")["PRIMARY_EVIDENCE"].alias("evidence"))

@@ -29,7 +29,7 @@ def _items(lake, with_text=False, hashed=False):
 
 
 def _marked(lake):
-    return ref.mark_superseded(_items(lake))
+    return ref.mark_superseded(_items(lake), lake.raw_items(False))
 
 
 @query("P1_normalise_source", needs=("src",), sql="""
