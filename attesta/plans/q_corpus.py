@@ -177,7 +177,30 @@ def span_overlap(lake):
                                F.round("iou", 6).alias("iou"))
 
 
-@query("W9_one_to_one_match")
+def _match_sql(rounds: int = 5) -> str:
+    """The greedy walk as rounds of pairs that come first for both spans; a pair left over would show as a missing row."""
+    text, last = "", "pairs"
+    order = "iou DESC, gold_start, pred_start, gold_id, pred_id"
+    for i in range(1, rounds + 1):
+        text += f""", b{i} AS (SELECT *, row_number() OVER (PARTITION BY message_id, gold_id ORDER BY {order}) AS rg,
+          row_number() OVER (PARTITION BY message_id, pred_id ORDER BY {order}) AS rp FROM {last}),
+        a{i} AS (SELECT message_id, gold_id, pred_id, iou FROM b{i} WHERE rg = 1 AND rp = 1),
+        r{i} AS (SELECT p.* FROM {last} p WHERE NOT EXISTS (SELECT 1 FROM a{i} a WHERE a.message_id = p.message_id AND a.gold_id = p.gold_id)
+          AND NOT EXISTS (SELECT 1 FROM a{i} a WHERE a.message_id = p.message_id AND a.pred_id = p.pred_id))"""
+        last = f"r{i}"
+    taken = " UNION ALL ".join(f"SELECT * FROM a{i}" for i in range(1, rounds + 1))
+    return text + f", matched AS ({taken})"
+
+
+MATCH_SQL = "WITH nothing AS (SELECT 1)" + PAIRS_SQL + _match_sql()
+LABEL_SQL = MATCH_SQL + """
+, lab AS (SELECT a.speaker AS gold_label, CASE WHEN length(p.piece) % 3 = 0 THEN 'MODEL' ELSE 'USER' END AS pred_label FROM matched m
+  JOIN atoms a ON a.message_id = m.message_id AND a.pos = m.gold_id JOIN halves p ON p.message_id = m.message_id AND p.pos = m.pred_id)
+"""
+
+
+@query("W9_one_to_one_match", needs=("atoms", "preds"), sql=MATCH_SQL + """
+SELECT message_id, CAST(gold_id AS VARCHAR) AS gold_id, CAST(pred_id AS VARCHAR) AS pred_id, round(iou, 6) AS iou FROM matched""")
 def one_to_one_match(lake):
     return corpus.one_to_one(_pairs(lake), "message_id").select("message_id", "gold_id", "pred_id", F.round("iou", 6).alias("iou"))
 
@@ -195,7 +218,15 @@ def overlap_counts(lake):
     return corpus.overlap_counts(_gold(lake), _pred(lake), "message_id").select("message_id", F.col("span_id").cast("long").alias("span_id"), "partners")
 
 
-@query("A14_segmentation_metrics")
+@query("A14_segmentation_metrics", needs=("atoms", "preds"), sql=MATCH_SQL + """
+, wide AS (SELECT p.message_id, p.start_at, p.end_at FROM pred p JOIN gold g ON g.message_id = p.message_id AND g.start_at < p.end_at AND g.end_at > p.start_at
+   GROUP BY p.message_id, p.span_id, p.start_at, p.end_at HAVING count(*) > 1),
+cnt AS (SELECT count(*) AS n_gold, count(*) FILTER (WHERE (SELECT count(*) FROM pred p WHERE p.message_id = g.message_id AND p.start_at < g.end_at AND p.end_at > g.start_at) > 1) AS split,
+   count(*) FILTER (WHERE (SELECT count(*) FROM wide w WHERE w.message_id = g.message_id AND w.start_at < g.end_at AND w.end_at > g.start_at) > 0) AS merged FROM gold g),
+tp AS (SELECT count(*) AS tp, avg(iou) AS mean_iou FROM matched)
+SELECT n_gold, (SELECT count(*) FROM pred WHERE end_at > start_at) AS n_pred, tp, round(tp / n_gold, 6) AS recall,
+  round(tp / (SELECT count(*) FROM pred WHERE end_at > start_at), 6) AS precision, round((n_gold - tp) / n_gold, 6) AS missed_rate, round(mean_iou, 6) AS mean_iou,
+  round(split / n_gold, 6) AS over_segmentation, round(merged / n_gold, 6) AS under_segmentation FROM cnt, tp""")
 def segmentation_metrics(lake):
     gold, pred = written(_gold(lake), "gold"), written(_pred(lake), "pred")
     matched = corpus.one_to_one(corpus.overlap_pairs(gold, pred, "message_id"), "message_id")
@@ -211,12 +242,15 @@ def _matched_labels(lake):
     return matched.join(gold, ["message_id", "gold_id"]).join(pred, ["message_id", "pred_id"])
 
 
-@query("J21_typing_on_matches")
+@query("J21_typing_on_matches", needs=("atoms", "preds"), sql=LABEL_SQL + """
+SELECT gold_label, pred_label, count(*) AS pairs FROM lab GROUP BY 1, 2""")
 def typing_on_matches(lake):
     return _matched_labels(lake).groupBy("gold_label", "pred_label").agg(F.count("*").alias("pairs"))
 
 
-@query("C6_segmentation_report")
+@query("C6_segmentation_report", needs=("atoms", "preds"), sql=LABEL_SQL + """
+SELECT 'SOURCE' AS axis, gold_label, pred_label, n, CASE WHEN sum(n) OVER (PARTITION BY gold_label) < 20 THEN 'SPARSE / NOT_ESTIMABLE' ELSE 'ESTIMABLE' END AS status
+FROM (SELECT gold_label, pred_label, count(*) AS n FROM lab GROUP BY 1, 2)""")
 def segmentation_report(lake):
     """Detection first, typing only on matched spans."""
     labels = _matched_labels(lake)

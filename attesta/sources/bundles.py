@@ -186,13 +186,6 @@ def store_profile(tables: dict[str, DataFrame | None], cap: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("near_cap", F.coalesce(F.col("row_count") >= 0.9 * cap, F.lit(False)))
 
 
-def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Logical fingerprint of a table that depends on neither order nor partitioning: count, sum and xor of row hashes."""
-    row = F.xxhash64(*columns)
-    return df.agg(F.count("*").alias("row_count"), F.bit_xor(row).alias("xor_hash"),
-                  F.sum(row.cast("decimal(38,0)")).cast("string").alias("sum_hash"))
-
-
 def secret_rules() -> dict[str, Column]:
     """Generic private patterns on ``text``; the hit is reported, the matched text never."""
     text = F.col("text")
