@@ -191,7 +191,8 @@ def evidence_blocks(items: DataFrame, sources: DataFrame, with_claim: bool = Fal
     changed = changed_source_fields()
     return rows.select(
         "item_id", "project_id", "item_type", "epistemic_state", "lifecycle", "superseded_by", "as_of", "source_id",
-        *(["claim", "version_id"] if with_claim else []),
+        *(["claim", "version_id", "source_section", "source_status", effective("source_currentness").alias("source_currentness")]
+          if with_claim else []),
         effective("source_title").alias("source_title"), effective("source_surface").alias("source_surface"),
         effective("source_kind").alias("source_kind"),
         effective("source_authority_class").alias("authority_class"),
@@ -204,15 +205,18 @@ def evidence_blocks(items: DataFrame, sources: DataFrame, with_claim: bool = Fal
 def block_text() -> Column:
     """Rendered evidence block; claims never appear without their provenance."""
     dash = F.lit("-")
-    status = F.concat_ws(" / ", "epistemic_state")
+    status = F.concat_ws(" / ", "epistemic_state", F.concat(F.lit("source_status="), "source_status"),
+                         F.concat(F.lit("currentness="), "source_currentness"))
     return F.concat_ws(
         "\n",
         F.concat(F.lit("[REFERENCE MEMORY] "), F.coalesce("project_id", dash), F.lit(" / "), F.col("item_type"),
                  F.lit(" / "), status),
         F.concat(F.lit("source (at capture): "), F.col("source_title"), F.lit(" ("), F.col("source_id"), F.lit("; "),
                  F.col("source_surface"), F.lit("/"), F.col("source_kind"), F.lit("; authority="),
-                 F.coalesce("authority_class", F.lit("UNSPECIFIED")), F.lit(")")),
-        F.concat(F.lit("as_of: "), F.coalesce("as_of", F.lit("UNKNOWN"))),
+                 F.coalesce("authority_class", F.lit("UNSPECIFIED")),
+                 F.coalesce(F.concat(F.lit("; rev="), "source_revision"), F.lit("")), F.lit(")")),
+        F.concat(F.lit("as_of: "), F.coalesce("as_of", F.lit("UNKNOWN")),
+                 F.coalesce(F.concat(F.lit(" · section: "), "source_section"), F.lit(""))),
         F.concat(F.lit("version: "), F.coalesce("version_id", dash)),
         F.concat(F.lit("claim (source-bound, not verified truth): "), F.col("claim")),
         F.when(F.col("caveats") != "", F.concat(F.lit("! "), F.replace("caveats", F.lit("|"), F.lit("\n! ")))))

@@ -90,11 +90,7 @@ e AS (SELECT *, concat_ws(',', CASE WHEN et IS DISTINCT FROM ct THEN 'title' END
 """
 
 
-@query("P12_evidence_blocks", needs=("items", "cur"), sql="WITH dummy AS (SELECT 1)" + EVIDENCE_SQL + """
-SELECT item_id, project_id, item_type, epistemic_state, lifecycle, superseded_by, as_of, source_id,
-       et AS source_title, es AS source_surface, ek AS source_kind, ea AS authority_class, er AS source_revision,
-       changed_fields, changed_fields <> '' AS source_changed, impl AS is_implementation_evidence, draft AS is_draft,
-       concat_ws('|',
+CAVEATS_SQL = """concat_ws('|',
          CASE WHEN es = 'demo' OR ea = 'DEMO_ONLY' THEN 'DEMO_DATA' END,
          CASE WHEN es = 'fixture' THEN 'TEST_FIXTURE' END,
          CASE WHEN ea = 'NAVIGATION_ONLY' THEN 'ROUTE_ONLY' END,
@@ -108,12 +104,33 @@ SELECT item_id, project_id, item_type, epistemic_state, lifecycle, superseded_by
          CASE WHEN draft THEN 'DRAFT_STATE' END,
          CASE WHEN lifecycle = 'SUPERSEDED' THEN 'SUPERSEDED:' || superseded_by END,
          CASE WHEN changed_fields <> '' THEN 'SOURCE_CHANGED:' || changed_fields || ';captured=' || coalesce(er, '-')
-              || '/' || coalesce(eo, '-') || ';now=' || coalesce(cr, '-') || '/' || coalesce(co, '-') END) AS caveats
+              || '/' || coalesce(eo, '-') || ';now=' || coalesce(cr, '-') || '/' || coalesce(co, '-') END)"""
+
+
+@query("P12_evidence_blocks", needs=("items", "cur"), sql="WITH dummy AS (SELECT 1)" + EVIDENCE_SQL + """
+SELECT item_id, project_id, item_type, epistemic_state, lifecycle, superseded_by, as_of, source_id,
+       et AS source_title, es AS source_surface, ek AS source_kind, ea AS authority_class, er AS source_revision,
+       changed_fields, changed_fields <> '' AS source_changed, impl AS is_implementation_evidence, draft AS is_draft,
+       """ + CAVEATS_SQL + """ AS caveats
 FROM e""")
 def evidence(lake):
     return ref.evidence_blocks(_marked(lake), _current(lake))
 
 
+@query("P12_block_text", needs=("items", "cur"), sql="WITH dummy AS (SELECT 1)" + EVIDENCE_SQL + f"""
+, c AS (SELECT e.*, {CAVEATS_SQL} AS caveats, {ITEM_HASH} AS full_hash FROM e)
+SELECT item_id, '[REFERENCE MEMORY] ' || coalesce(project_id, '-') || ' / ' || item_type || ' / ' || concat_ws(' / ', epistemic_state,
+    'source_status=' || source_status, 'currentness=' || ec) || chr(10) || 'source (at capture): ' || et || ' (' || source_id || '; ' || es || '/' || ek
+    || '; authority=' || coalesce(ea, 'UNSPECIFIED') || coalesce('; rev=' || er, '') || ')' || chr(10) || 'as_of: ' || coalesce(as_of, 'UNKNOWN')
+    || coalesce(' · section: ' || source_section, '') || chr(10) || 'version: ' || item_id || '@' || substr(full_hash, 1, 14) || chr(10)
+    || 'claim (source-bound, not verified truth): ' || claim || CASE WHEN caveats <> '' THEN chr(10) || '! ' || replace(caveats, '|', chr(10) || '! ') ELSE '' END AS block
+FROM c""")
+def block_text(lake):
+    """Rendered blocks: a claim never stands without its provenance."""
+    rows = ref.evidence_blocks(ref.mark_superseded(_items(lake, True, True), lake.raw_items(False)), _current(lake), with_claim=True)
+    return rows.select("item_id", ref.block_text().alias("block"))
+
+
 @query("P13_draft_items", needs=("items", "cur"), sql="WITH dummy AS (SELECT 1)" + EVIDENCE_SQL + """
 SELECT source_id, count(*) FILTER (WHERE draft) AS drafts, count(*) AS items FROM e GROUP BY source_id""")
 def draft_items(lake):
