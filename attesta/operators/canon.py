@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from attesta.functions import vocabulary as v
 from attesta.functions.rules import Rule, missing, outside
-from attesta.functions.text import token_estimate
 from attesta.plans.scale import lookup_join
 
 RECONCILED = ["MATCH", "PARTIAL_MISMATCH", "STALE_LEFT", "STALE_RIGHT", "SOURCE_ONLY_LEFT", "SOURCE_ONLY_RIGHT", "UNKNOWN"]
@@ -92,10 +91,6 @@ def render_size(lines: DataFrame, keys: list[str]) -> DataFrame:
     return total.withColumn("approx_tokens", F.floor(F.col("chars") / 4 + 0.5).cast("long"))
 
 
-def text_sizes(text: Column) -> tuple[Column, Column]:
-    return F.length(text).cast("long"), token_estimate(text)
-
-
 # ---- validation -------------------------------------------------------------
 def record_rules() -> list[Rule]:
     """Needs the source row joined in as ``known_kind``."""

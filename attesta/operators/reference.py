@@ -219,7 +219,12 @@ def block_text() -> Column:
                  F.coalesce(F.concat(F.lit(" · section: "), "source_section"), F.lit(""))),
         F.concat(F.lit("version: "), F.coalesce("version_id", dash)),
         F.concat(F.lit("claim (source-bound, not verified truth): "), F.col("claim")),
-        F.when(F.col("caveats") != "", F.concat(F.lit("! "), F.replace("caveats", F.lit("|"), F.lit("\n! ")))))
+        F.when(F.col("caveats") != "", F.array_join(F.transform(F.split("caveats", r"\|"), _caveat_line), "\n")))
+
+
+def _caveat_line(caveat: Column) -> Column:
+    texts = F.create_map(*[F.lit(x) for pair in CAVEAT_TEXT.items() for x in pair])
+    return F.concat(F.lit("! "), caveat, F.lit(" ("), F.element_at(texts, F.regexp_extract(caveat, "^[A-Z_]+", 0)), F.lit(")"))
 
 
 # ---- checks -----------------------------------------------------------------

@@ -216,6 +216,21 @@ def item_rules() -> list[Rule]:
     ]
 
 
+def source_rules() -> list[Rule]:
+    return [
+        Rule("UNKNOWN_SURFACE", outside("surface", v.WORK_SURFACES)),
+        Rule("UNKNOWN_ROLE", outside("role", v.WORK_ROLES)),
+        Rule("LOCATOR_REQUIRED", ~tx.has_text(F.col("locator"))),
+    ]
+
+
+def relation_rules() -> list[Rule]:
+    return [
+        Rule("SELF_RELATION", F.col("from_work_id") == F.col("to_work_id")),
+        Rule("UNKNOWN_RELATION_TYPE", outside("relation_type", v.WORK_RELATIONS)),
+    ]
+
+
 def changed_fields(before: str, after: str, fields: list[str]) -> Column:
     """Sorted names of the fields that differ, null-safe."""
     return F.array_sort(F.filter(

@@ -122,7 +122,9 @@ def context_package(lake):
     records = seed_records(lake).withColumn("record_hash", content_hash(v.PACKAGE_FIELDS))
     manifest = _manifest(records)
     gate = canon.integrity_gate(records, _no_violations(records), manifest, ["tenant"]).where("ok").select("tenant")
-    rows = lookup_join(_package(lake), gate, ["tenant"], ["id"], "left_semi")
+    path = bundles.export_packages(_package(lake), gate, "tenant", v.PACKAGE_FIELDS, scratch_path(lake.spark, "packages"))
+    schema = ", ".join(f"{c} string" for c in ["section", *v.PACKAGE_FIELDS]) + ", tenant long"
+    rows = lake.spark.read.schema(schema).json(path)
     return rows.groupBy("tenant", "section").agg(F.count("*").alias("records"))
 
 

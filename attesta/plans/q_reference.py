@@ -117,13 +117,17 @@ def evidence(lake):
     return ref.evidence_blocks(_marked(lake), _current(lake))
 
 
+CAVEAT_CASES = " ".join(f"WHEN '{code}' THEN '{text}'" for code, text in ref.CAVEAT_TEXT.items())
+
+
 @query("P12_block_text", needs=("items", "cur"), sql="WITH dummy AS (SELECT 1)" + EVIDENCE_SQL + f"""
 , c AS (SELECT e.*, {CAVEATS_SQL} AS caveats, {ITEM_HASH} AS full_hash FROM e)
 SELECT item_id, '[REFERENCE MEMORY] ' || coalesce(project_id, '-') || ' / ' || item_type || ' / ' || concat_ws(' / ', epistemic_state,
     'source_status=' || source_status, 'currentness=' || ec) || chr(10) || 'source (at capture): ' || et || ' (' || source_id || '; ' || es || '/' || ek
     || '; authority=' || coalesce(ea, 'UNSPECIFIED') || coalesce('; rev=' || er, '') || ')' || chr(10) || 'as_of: ' || coalesce(as_of, 'UNKNOWN')
     || coalesce(' · section: ' || source_section, '') || chr(10) || 'version: ' || item_id || '@' || substr(full_hash, 1, 14) || chr(10)
-    || 'claim (source-bound, not verified truth): ' || claim || CASE WHEN caveats <> '' THEN chr(10) || '! ' || replace(caveats, '|', chr(10) || '! ') ELSE '' END AS block
+    || 'claim (source-bound, not verified truth): ' || claim || CASE WHEN caveats <> '' THEN chr(10) || array_to_string(list_transform(string_split(caveats, '|'), lambda x: '! ' || x || ' ('
+         || CASE regexp_extract(x, '^[A-Z_]+') {CAVEAT_CASES} END || ')'), chr(10)) ELSE '' END AS block
 FROM c""")
 def block_text(lake):
     """Rendered blocks: a claim never stands without its provenance."""

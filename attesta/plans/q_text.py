@@ -51,12 +51,12 @@ def stemmed_tokens(lake):
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
-@query("X7_russian_stems", sql="WITH words AS (SELECT o_orderkey, list_extract(['исследованиями', 'открытого', 'занимается', 'проверенный', 'ёлка', 'HAP-01'], "
+@query("X7_russian_stems", sql="WITH words AS (SELECT o_orderkey, list_extract(['исследованиями', 'открытого', 'занимается', 'проверенный', 'ёлка', 'ABC-01'], "
        "CAST(o_orderkey % 6 + 1 AS INT)) || ' ' || o_orderstatus AS w FROM orders), " + token_sql("words", "o_orderkey", "w") + """
 SELECT id AS o_orderkey, term, count(*) AS n FROM tok GROUP BY 1, 2""")
 def russian_stems(lake):
     from attesta.sources.lake import pick
-    words = ["исследованиями", "открытого", "занимается", "проверенный", "ёлка", "HAP-01"]
+    words = ["исследованиями", "открытого", "занимается", "проверенный", "ёлка", "ABC-01"]
     rows = lake.table("orders").select("o_orderkey", F.concat_ws(" ", pick(words, F.col("o_orderkey")), "o_orderstatus").alias("w"))
     return rows.select("o_orderkey", F.explode(tx.tokens(F.col("w"))).alias("term")).groupBy("o_orderkey", "term").agg(
         F.count("*").alias("n"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
-from attesta.functions import vocabulary as v
 from attesta.functions.rules import violations
 from attesta.operators import work
 from attesta.operators.integrity import changed_rows, duplicate_keys, missing_references
@@ -322,6 +321,18 @@ def work_item_rules(lake):
     return violations(lake.work_items(), F.col("work_id"), work.item_rules())
 
 
+@query("V7_work_relation_rules", sql="""
+WITH r AS (SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS key, l_orderkey = l_partkey AS self, l_returnflag = 'N' AND l_linenumber = 2 AS bad FROM lineitem)
+SELECT 'SELF_RELATION' AS rule, 'ERROR' AS severity, key FROM r WHERE self UNION ALL SELECT 'UNKNOWN_RELATION_TYPE', 'ERROR', key FROM r WHERE bad""")
+def work_relation_rules(lake):
+    flag, line = F.col("l_returnflag"), F.col("l_linenumber")
+    kind = (F.when(flag == "R", "BLOCKED_BY").when(flag == "A", "DEPENDS_ON").when(line == 2, "LIKES").otherwise("RELATED_TO"))
+    rows = lake.table("lineitem").select(
+        F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("relation_id"),
+        F.col("l_orderkey").cast("string").alias("from_work_id"), F.col("l_partkey").cast("string").alias("to_work_id"), kind.alias("relation_type"))
+    return violations(rows, F.col("relation_id"), work.relation_rules())
+
+
 @query("V8_uniqueness", sql="""
 SELECT o_custkey || '|' || strftime(o_orderdate, '%Y-%m-%d') AS key_value, count(*) AS copies, min(o_orderkey) AS first_id
 FROM orders GROUP BY 1 HAVING count(*) > 1""")

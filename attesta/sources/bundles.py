@@ -158,6 +158,17 @@ def work_rows(documents: DataFrame, table: str) -> DataFrame:
         "file", "fields_ok", "row.*")
 
 
+def export_packages(package: DataFrame, passed: DataFrame, key: str, fields: list[str], path: str) -> str:
+    """Packages that passed their gate, one folder of JSON lines per package, ordered by section and place.
+
+    The folder is cut by a distributed sort, so a package of any size is written by many tasks.
+    """
+    rows = lookup_join(package, passed.select(key), [key], ["id"], "left_semi")
+    ordered = rows.orderBy(key, "section_place", "late", "order_key")
+    ordered.select(key, "section", *fields).write.mode("errorifexists").partitionBy(key).json(path)
+    return path
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of each file, read and hashed inside the tasks."""
     return spark.read.format("binaryFile").load(path).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attesta.functions.vocabulary import (
     AUTHORITY_CLASSES, MAPPED_CURRENTNESS, SOURCE_KINDS, SURFACES, WORK_ROLES, WORK_SURFACES, WORK_TYPES)
@@ -15,6 +16,9 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Lake:
     """Reads the given tables of one folder and derives the domain tables from them."""
 
@@ -23,7 +27,11 @@ class Lake:
         self.root = root
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """One table; its schema is read from the files once and then given, so that later reads start no job."""
+        path = f"{self.root}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def texts(self, name: str, key: str) -> DataFrame:
         """A table of texts for costly row work, on at least as many partitions as there are cores."""

@@ -154,8 +154,8 @@ def test_stems(spark, word, want):
 
 
 def test_tokens_keep_compounds_and_drop_stop_words(spark):
-    got = spark.range(1).select(tx.tokens(F.lit("The HAP-01 of a run_time")).alias("t")).first().t
-    assert sorted(got) == sorted(["hap-01", "hap", "01", "run_time", "run", "time"])
+    got = spark.range(1).select(tx.tokens(F.lit("The ABC-01 of a run_time")).alias("t")).first().t
+    assert sorted(got) == sorted(["abc-01", "abc", "01", "run_time", "run", "time"])
 
 
 def test_json_must_be_one_whole_value(spark):
@@ -222,3 +222,25 @@ def test_work_export_document(spark):
     assert sorted(r.keys_ok for r in documents.collect()) == [False, True]
     back = bundles.work_rows(documents, "projects").collect()
     assert [(r.project_id, r.fields_ok) for r in back] == [("p", True)]
+
+
+def test_schemas_refuse_or_fill_up(spark):
+    from attesta.sources import schemas
+    old = spark.createDataFrame([("r1", "SUPPORTS", "a", "b")], "relation_id string, relation_type string, from_item_id string, to_item_id string")
+    with pytest.raises(schemas.SchemaMismatch, match="missing scope"):
+        schemas.require(old, schemas.REF_RELATIONS)
+    full = schemas.filled_up(old, schemas.REF_RELATIONS)
+    assert schemas.require(full, schemas.REF_RELATIONS).first().to_item_id == "b"
+    with pytest.raises(schemas.SchemaMismatch, match="unknown extra"):
+        schemas.filled_up(old.withColumn("extra", F.lit(1)), schemas.REF_RELATIONS)
+    assert len(schemas.REF_SOURCES) == 17 and len(schemas.WORK["items"]) == 19
+
+
+def test_links_and_sources_of_work(spark):
+    rows = spark.createDataFrame([("a", "a", "RELATED_TO"), ("a", "b", "LIKES"), ("a", "b", "SUPERSEDES")],
+                                 "from_work_id string, to_work_id string, relation_type string").withColumn("k", F.concat_ws("-", "*"))
+    got = {(r.key, r.rule) for r in violations(rows, F.col("k"), work.relation_rules()).collect()}
+    assert got == {("a-a-RELATED_TO", "SELF_RELATION"), ("a-b-LIKES", "UNKNOWN_RELATION_TYPE")}
+    sources = spark.createDataFrame([("s", "GITHUB", "PRIMARY", " "), ("t", "MOON", "BOSS", "x")], "source_id string, surface string, role string, locator string")
+    got = {(r.key, r.rule) for r in violations(sources, F.col("source_id"), work.source_rules()).collect()}
+    assert got == {("s", "LOCATOR_REQUIRED"), ("t", "UNKNOWN_SURFACE"), ("t", "UNKNOWN_ROLE")}
