@@ -103,28 +103,29 @@ def edge_directions(relations: DataFrame, wanted: DataFrame, row_key: str) -> Da
 def lineage_heads(links: DataFrame, max_hops: int = 50) -> DataFrame:
     """Newest item reachable from every item over ``superseded_by``, for all items at once.
 
-    Pointer jumping: each round doubles the distance, so 50 hops take six joins.  ``links`` has (item_id,
-    superseded_by); the result has (item_id, head_id, hops, cyclic).  A chain longer than the bound stops at
-    the bound, a chain that meets itself is marked.
+    Pointer jumping: each round doubles the distance, so 50 hops take six joins at most.  Only items that have a
+    successor take part; an item without one, or with one that does not exist, is its own head.  ``links`` has
+    (item_id, superseded_by); the result has (item_id, head_id, hops, over_bound_or_cyclic): a chain longer than
+    the bound and a chain that meets itself are marked.
     """
-    base = links.select("item_id", F.col("superseded_by").alias("next_id"))
-    # hops counted by distance from the end: items without successor end a chain
-    state = base.select("item_id", F.coalesce("next_id", "item_id").alias("head_id"),
-                        F.when(F.col("next_id").isNull(), 0).otherwise(1).cast("long").alias("hops"),
-                        F.col("next_id").isNull().alias("done"))
-    rounds = max(1, max_hops - 1).bit_length()
-    for _ in range(rounds):
+    known = links.select(F.col("item_id").alias("superseded_by"), F.lit(True).alias("known"))
+    base = cut_lineage(lookup_join(links.select("item_id", "superseded_by"), known, ["superseded_by"], ["item_id"], salts=1))
+    alone = base.where(F.col("known").isNull()).select(
+        "item_id", F.col("item_id").alias("head_id"), F.lit(0).cast("long").alias("hops"), F.lit(False).alias("over_bound_or_cyclic"))
+    state = base.where("known").select("item_id", F.col("superseded_by").alias("head_id"), F.lit(1).cast("long").alias("hops"),
+                                       F.lit(False).alias("done"))
+    for _ in range(max(1, max_hops - 1).bit_length() + 1):
         ahead = state.select(F.col("item_id").alias("head_id"), F.col("head_id").alias("far_id"),
                              F.col("hops").alias("far_hops"), F.col("done").alias("far_done"))
-        state = lookup_join(state, ahead, ["head_id"], ["item_id"], salts=1).select(
+        # a head that is no item with a successor ends the chain
+        state = cut_lineage(lookup_join(state, ahead, ["head_id"], ["item_id"], salts=1).select(
             "item_id", F.when(F.col("done"), F.col("head_id")).otherwise(F.coalesce("far_id", "head_id")).alias("head_id"),
             F.when(F.col("done"), F.col("hops")).otherwise(F.col("hops") + F.coalesce("far_hops", F.lit(0))).alias("hops"),
-            (F.col("done") | F.coalesce("far_done", F.lit(True))).alias("done"))
-        state = cut_lineage(state)
-        if not one_row_flag(state.where(~F.col("done"))):
+            (F.col("done") | F.coalesce("far_done", F.lit(True))).alias("done")))
+        if not one_row_flag(state.where(~F.col("done") & (F.col("hops") <= max_hops))):
             break
     over = ~F.col("done") | (F.col("hops") > max_hops)
-    return state.select("item_id", "head_id", "hops", over.alias("over_bound_or_cyclic"))
+    return alone.unionByName(state.select("item_id", "head_id", "hops", over.alias("over_bound_or_cyclic")))
 
 
 def as_of_values(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: str, value: Column,

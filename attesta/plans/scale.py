@@ -63,7 +63,7 @@ def running_values(df: DataFrame, keys: list[str], order: list[str], outputs: di
                    levels: list[list[str]], reverse: bool = False) -> DataFrame:
     """Window values over the rows before (or after) each row, exact for keys of any size.
 
-    ``levels`` lists bucket columns from fine to coarse; the buckets must follow ``order`` and the
+    Keys are never null (they are primary keys of the domain tables).  ``levels`` lists bucket columns from fine to coarse; the buckets must follow ``order`` and the
     columns of a coarser level must be among those of the finer one.  Each task sorts one
     (key, bucket) only.  What earlier buckets contribute is one partially aggregated row per bucket,
     carried over the buckets of the key by the next coarser level, and joined back on (key, bucket).

@@ -73,7 +73,6 @@ class ChangeFold:
     def __init__(self, spark: SparkSession, key: str, order: list[str], after: list[str], root: str | None = None):
         self.spark, self.key, self.order, self.after = spark, key, order, after
         self.root = root or scratch_path(spark, "fold")
-        self.last_batch: int | None = None
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         new = batch.select(self.key, F.struct(*self.order).alias("at"), F.struct(*self.after).alias("image"), F.lit(1).alias("changes"))
@@ -82,14 +81,14 @@ class ChangeFold:
         state = new.groupBy(self.key).agg(F.max("at").alias("at"), F.max_by("image", "at").alias("image"),
                                           F.sum("changes").cast("int").alias("changes"))
         state.write.mode("overwrite").parquet(f"{self.root}/state/batch={batch_id}")
-        self.last_batch = batch_id
 
     def run(self, changes: DataFrame) -> DataFrame:
         query = (changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.root}/checkpoint")
                  .trigger(availableNow=True).start())
         query.awaitTermination()
-        state = self.spark.read.parquet(f"{self.root}/state/batch={self.last_batch}")
-        return state.select(self.key, "image.*", F.col("changes").cast("long").alias("changes"))
+        states = self.spark.read.parquet(f"{self.root}/state")
+        newest = states.agg(F.max("batch").alias("batch")).scalar()
+        return states.where(F.col("batch") == newest).select(self.key, "image.*", F.col("changes").cast("long").alias("changes"))
 
 
 def without_redelivery(events: DataFrame, watermark: str = "1 hour") -> DataFrame:

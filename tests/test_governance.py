@@ -80,3 +80,17 @@ def test_decay_deprecates_the_forgotten(spark):
                                   "fact_id string, last_accessed timestamp, stability double, access_count long")
     got = {r.fact_id: r.state for r in gov.decayed(facts, F.lit(now)).collect()}
     assert got == {"old": "Deprecated", "new": "Active"}
+
+
+def test_change_fold_over_several_batches_and_a_restart(spark):
+    from attesta.streaming.decisions import ChangeFold
+    df = spark.range(90).select((F.col("id") % 4).alias("work_id"), F.col("id").alias("at"), F.concat(F.lit("v"), "id").alias("after"))
+    folder = scratch_path(spark, "changes")
+    for part in range(3):
+        df.where(f"at % 3 = {part}").coalesce(1).write.mode("append").parquet(folder)
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    fold = ChangeFold(spark, "work_id", ["at"], ["after"])
+    want = {tuple(r) for r in gov.fold_changes(df, "work_id", ["at"], ["after"]).collect()}
+    assert {tuple(r) for r in fold.run(stream()).collect()} == want
+    again = ChangeFold(spark, "work_id", ["at"], ["after"], root=fold.root)
+    assert {tuple(r) for r in again.run(stream()).collect()} == want

@@ -125,12 +125,13 @@ def test_rules_of_lens_and_pairs(spark):
 
 
 def test_lineage_marks_cycles_and_long_chains(spark):
-    rows = [("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "x")] + [(f"n{i}", f"n{i + 1}") for i in range(60)] + [("n60", None)]
+    rows = [("a", "b"), ("b", "c"), ("c", None), ("lost", "nowhere"), ("x", "y"), ("y", "x")] + [(f"n{i}", f"n{i + 1}") for i in range(60)] + [("n60", None)]
     got = {r.item_id: r for r in versions.lineage_heads(spark.createDataFrame(rows, "item_id string, superseded_by string")).collect()}
     assert (got["a"].head_id, got["a"].hops, got["c"].hops) == ("c", 2, 0)
     assert got["x"].over_bound_or_cyclic and got["y"].over_bound_or_cyclic and not got["a"].over_bound_or_cyclic
     assert (got["n10"].head_id, got["n10"].hops, got["n10"].over_bound_or_cyclic) == ("n60", 50, False)
     assert got["n9"].over_bound_or_cyclic
+    assert (got["lost"].head_id, got["lost"].hops) == ("lost", 0)
 
 
 def test_pins_stay_when_a_relation_comes_again(spark):
