@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import exact_dedup, mixing, quality, sharding
-from attesta.llm.common import documents
+from attesta.llm import exact_dedup, mixing, pieces, quality, sharding, token_store
+from attesta.llm.common import documents, tokenizer_file
 from attesta.llm.registry import query
 
 
@@ -32,3 +32,13 @@ grouped AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size F
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM keyed JOIN grouped USING (text_sha256)""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(documents(spark, sf_dir))
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_and_checked(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op9_token_store")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))

@@ -71,9 +71,13 @@ def _histogram(rows, key, size, intervals):
     place = halving(F.col(key), starts)
     inside = rows.select(F.col(key).alias("k"), F.col(size).alias("s"), place.alias("i")).where("i > 0")
     inside = inside.withColumn("lo", F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("i")))
-    inside = inside.where(F.col("k") < F.element_at(F.array(*[F.lit(x).cast("long") for _, x in intervals]), F.col("i")))
+    ends = F.array(*[F.lit(hi - 1).cast("long") for _, hi in intervals])
+    inside = inside.where(F.col("k") <= F.element_at(ends, F.col("i")))
     inside = inside.withColumn("width", F.element_at(widths, F.col("i")))
-    found = inside.groupBy("lo", F.expr("(k - lo) div width").alias("bin")).agg(F.sum("s").alias("bytes")).collect()
+    # a key range wider than 63 bits needs wider arithmetic
+    kind = "decimal(20,0)" if max(hi - lo for lo, hi in intervals) >= 2**63 else "long"
+    step = F.expr(f"(cast(k as {kind}) - lo) div width")
+    found = inside.groupBy("lo", step.alias("bin")).agg(F.sum("s").alias("bytes")).collect()
     return {(r["lo"], r["bin"]): int(r["bytes"]) for r in found}
 
 
