@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,36 @@ def matched(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int
     return on_hot.unionByName(rest.join(cold, key, "left"))
 
 
+def slices(batches, column: str = "text", most: int = 2**21, rows: int = 512):
+    """Arrow batches cut to at most ``rows`` rows and about ``most`` bytes of ``column`` (a longer value alone), so
+    that what a task unpacks at a time stays small whatever the session's batch size."""
+    for batch in batches:
+        values = batch.column(column)
+        measure = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        lengths = pc.fill_null(measure(values), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < batch.num_rows:
+            ends = lengths[at:at + rows].cumsum()
+            n = max(1, int((ends <= most).sum()))
+            yield batch.slice(at, n)
+            at += n
+
+
+def runs(batches, keys: list[str], columns: list[str]):
+    """(key values, rows) for each run of equal ``keys`` in batches that are sorted by them; holds one run."""
+    last, held = None, []
+    for batch in batches:
+        for key, row in zip(zip(*[batch.column(k).to_pylist() for k in keys]),
+                            zip(*[batch.column(c).to_pylist() for c in columns])):
+            if held and key != last:
+                yield last, held
+                held = []
+            last = key
+            held.append(row)
+    if held:
+        yield last, held
+
+
 def halving(key: Column, points: list[int]) -> Column:
     """How many of the ascending ``points`` are at or below ``key``: a few comparisons for each row."""
     def between(lo: int, hi: int) -> Column:

@@ -1,7 +1,7 @@
 """Token ids as binary files: one compressed frame per document, a shared zstandard dictionary, an offset index.
 
 A store is a folder with two Parquet tables.  ``dictionary`` holds one row: the dictionary and its hash.  ``segments``
-holds the documents in ascending ``doc_id`` order, a few megabytes of frames to a row: ``payload`` is the frames one
+holds the documents in ascending ``doc_id`` order, about a megabyte of frames to a row: ``payload`` is the frames one
 after the other, ``doc_ids``, ``n_tokens`` and ``offsets`` (one more entry than documents) are the index, and
 ``dict_hash`` names the dictionary without which the frames cannot be read.  A frame is the ids of one document as
 little-endian unsigned 32-bit integers, end id included, compressed on its own, so one short document is read without
@@ -21,18 +21,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import halving, ranked
+from attesta.llm.common import halving, ranked, slices
 from attesta.llm.sharding import split_points
 from attesta.session import scratch_path, written
 
 END_ID = 0
 PART_BYTES = 16 * 2**20       # text of one sorted run
-SEGMENT_BYTES = 4 * 2**20     # payload of one row
+SEGMENT_BYTES = 2**20         # payload of one row
 SAMPLE_DOCS = 2000            # documents the dictionary is trained on, at most ...
 SAMPLE_BYTES = 8192           # ... and bytes of ids of each
 DICTIONARY_BYTES = 32768
 LEVEL = 3
-CACHE = 400_000               # words a worker remembers
+CACHE = 100_000               # words a worker remembers
 
 # in byte-level BPE a space followed by a non-space always starts a new piece, so the stretches between such spaces
 # are encoded on their own, each distinct one once
@@ -55,6 +55,10 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        # in the byte-level alphabet a character of a piece is one byte
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(piece)
 
     @classmethod
     def of(cls, file: str) -> ByteBpe:
@@ -62,21 +66,36 @@ class ByteBpe:
             cls._loaded[file] = cls(file)
         return cls._loaded[file]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def encode(self, text: str) -> bytes:
-        """Ids of ``text`` as little-endian unsigned 32-bit integers, without an end id."""
-        head, *words = (_GAP.split(text) if _LOOSE_SPACE.search(text) else text.split(" "))
+    def _solve(self, words: list[str]) -> list[bytes]:
+        """Ids of each of ``words`` with a space before it, encoded as one text: no piece crosses such a space, and
+        the bytes that an id stands for tell where a word ends."""
+        sizes = [len(w.encode()) + 1 for w in words]
+        ids = self._ids("".join([" " + w for w in words]))
+        ends = np.searchsorted(self.bytes_of[ids].cumsum(), np.cumsum(sizes), "left") + 1
+        return [ids[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, without an end id.
+
+        The first words a worker meets are remembered, up to ``CACHE``; others are encoded once for these texts.
+        """
+        cut = [_GAP.split(t) if _LOOSE_SPACE.search(t) else t.split(" ") for t in texts]
         known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) > CACHE:
-                known.clear()
-                missing = list(set(words))
-            known.update(zip(missing, self._ids([" " + w for w in missing])))
-        return b"".join([self._ids([head])[0] if head else b"", *[known[w] for w in words]])
+        missing = list({w for words in cut for w in words[1:] if w not in known})
+        short = [w for w in missing if len(w) <= 64]
+        fresh = dict(zip(short, self._solve(short))) if short else {}
+        fresh.update((w, self._ids(" " + w).tobytes()) for w in missing if len(w) > 64)
+        if len(known) < CACHE:
+            known.update((w, fresh[w]) for w in short[:CACHE - len(known)])
+        out = []
+        for head, *words in cut:
+            ids = [self._ids(head).tobytes()] if head else []
+            ids += [known[w] if w in known else fresh[w] for w in words]
+            out.append(b"".join(ids))
+        return out
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -101,8 +120,8 @@ def _encoded(docs: DataFrame, file: str, limit: int | None = None) -> DataFrame:
 
     def run(batches):
         bpe = ByteBpe.of(file)
-        for batch in batches:
-            ids = [bpe.encode(t or "") + end for t in batch.column("text").to_pylist()]
+        for batch in slices(batches):
+            ids = [i + end for i in bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([i[:limit] for i in ids], pa.binary())], ["doc_id", "ids"])
 
@@ -136,7 +155,7 @@ def write_store(docs: DataFrame, path: str, file: str) -> None:
 
     def compress(batches):
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_as_dict(dictionary))
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             raw = batch.column("ids").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(r) // 4 for r in raw], pa.int64()),
@@ -153,7 +172,7 @@ def write_store(docs: DataFrame, path: str, file: str) -> None:
                     "n_tokens": [n for _, n, _ in rows], "offsets": ends, "tokens": sum(n for _, n, _ in rows),
                     "dict_hash": name, "payload": b"".join(f for _, _, f in rows)}
 
-        for batch in batches:
+        for batch in slices(batches, "frame"):
             for p, d, n, f in zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "frame")]):
                 if rows and (p != part or held + len(f) > SEGMENT_BYTES):
                     yield pa.RecordBatch.from_pylist([row()], schema=_SEGMENT_SCHEMA)
@@ -206,7 +225,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def digest(batches):
         unpacker = zstandard.ZstdDecompressor(dict_data=_as_dict(dictionary))
-        for batch in batches:
+        for batch in slices(batches, "payload"):
             rows = [(p, s, d, b, n, zlib.crc32(ids)) for p, s, d, b, n, ids in _frames(batch, name, unpacker)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.int64()] * 4))],
