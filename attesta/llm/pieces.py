@@ -9,24 +9,26 @@ such cuts each distinct stretch is solved once per worker.
 A text longer than ``CHUNK`` characters is split into chunks of that size, wherever they fall.  A state at a chunk
 boundary is the number of characters between the last cut and the boundary.  Each chunk yields the matrix of best sums
 from entry state to exit state; matrices are combined associatively (max-plus products, ``FAN`` at a time, level by
-level), the states at all boundaries follow from the top down, and every chunk is then backtraced on its own.
+level), the states at all boundaries follow from the top down, and every chunk is then backtraced on its own.  A
+document is one row, so its chunks are read where the document is; only states and matrices are exchanged.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.common import partitions, runs, slices
 from attesta.session import written
 
 CHUNK = 16384
 FAN = 256
-CACHE = 400_000
+CACHE = 100_000
 NEVER = -(2**60)
 # scores below this (the model's marks for pieces and characters to avoid) are raised to it: a piece of up to 16
 # characters still loses to any cover by ordinary pieces, and sums of long texts stay within 64 bits
@@ -63,7 +65,12 @@ class Pieces:
         if any(" " in p.lstrip(" ") for p in self.score):
             raise ValueError("a piece holds a blank after another character")
         self.longest = max(map(len, self.score))
-        self.starts = {p[:n] for p in self.score for n in range(1, len(p) + 1)}
+        self.tree: dict = {}
+        for piece, value in self.score.items():
+            node = self.tree
+            for character in piece:
+                node = node.setdefault(character, {})
+            node[""] = value
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -72,47 +79,51 @@ class Pieces:
             cls._loaded[file] = cls(file)
         return cls._loaded[file]
 
-    def sweep(self, text: str, start: int, stop: int, beyond: int):
-        """Best sums of paths from a cut at ``start`` to every place up to ``stop``, and where the last piece began.
-        The first piece must end after ``beyond``."""
-        best, came = {start: 0}, {}
-        score, starts = self.score, self.starts
-        for at in range(start, stop):
-            so_far = best.get(at)
-            if so_far is None:
+    def sweep(self, text: str, start: int, stop: int, beyond: int) -> tuple[list[int], list[int]]:
+        """Best sums of paths from a cut at ``start`` to every place up to ``stop``, and where the last piece began;
+        both by distance from ``start``.  The first piece must end after ``beyond``."""
+        size = stop - start
+        best, came = [NEVER] * (size + 1), [-1] * (size + 1)
+        best[0] = 0
+        least = beyond - start
+        for at in range(size):
+            so_far = best[at]
+            if so_far == NEVER:
                 continue
-            least = beyond + 1 if at == start else at + 1
-            for end in range(at + 1, min(at + self.longest, stop) + 1):
-                piece = text[at:end]
-                if piece not in starts and end > at + 1:
+            node, end = self.tree, at
+            for character in text[start + at:min(start + at + self.longest, stop)]:
+                node = node.get(character)
+                if node is None:
                     break
-                gain = score.get(piece)
-                if gain is None and end == at + 1:
-                    gain = FLOOR - 10
-                if gain is not None and end >= least and so_far + gain > best.get(end, NEVER):
+                end += 1
+                gain = node.get("")
+                if gain is not None and so_far + gain > best[end] and (at or end > least):
                     best[end], came[end] = so_far + gain, at
+            if text[start + at] not in self.score and so_far + FLOOR - 10 > best[at + 1] and (at or at + 1 > least):
+                best[at + 1], came[at + 1] = so_far + FLOOR - 10, at
         return best, came
 
-    def trace(self, text: str, came: dict, start: int, stop: int) -> bytes:
-        found = []
-        while stop > start:
-            begin = came[stop]
-            piece = text[begin:stop]
+    def trace(self, text: str, came: list[int], start: int, stop: int) -> bytes:
+        """Ids of the best path's pieces; ``came`` comes from a sweep that began at ``start``."""
+        found, at = [], stop - start
+        while at > 0:
+            begin = came[at]
+            piece = text[start + begin:start + at]
             i = self.id.get(piece)
-            found.append([i] if i is not None else [self.byte[b] for b in piece.encode()])
-            stop = begin
-        return np.asarray([i for ids in reversed(found) for i in ids], "<i4").tobytes()
+            if i is None:
+                found += [self.byte[b] for b in reversed(piece.encode())]
+            else:
+                found.append(i)
+            at = begin
+        found.reverse()
+        return struct.pack(f"<{len(found)}i", *found)
 
     def solve(self, stretch: str) -> bytes:
-        """Ids of a stretch that begins and ends at certain cuts."""
-        ids = self.known.get(stretch)
-        if ids is None:
-            _, came = self.sweep(stretch, 0, len(stretch), 0)
-            ids = self.trace(stretch, came, 0, len(stretch))
-            if len(self.known) > CACHE:
-                self.known.clear()
-            if len(stretch) <= 64:
-                self.known[stretch] = ids
+        """Ids of a stretch that begins and ends at certain cuts; the first ``CACHE`` short ones are remembered."""
+        _, came = self.sweep(stretch, 0, len(stretch), 0)
+        ids = self.trace(stretch, came, 0, len(stretch))
+        if len(self.known) < CACHE and len(stretch) <= 64:
+            self.known[stretch] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -135,7 +146,8 @@ class Pieces:
         return [cuts[0], cuts[-1]] if cuts else []
 
     def matrix(self, full: str, off: int) -> np.ndarray:
-        """Best sums from every entry state to every exit state."""
+        """Best sums from every entry state to every exit state.  What lies between the first and the last certain
+        cut adds the same to all of them and is left out."""
         size, end = self.longest, len(full)
         out = np.full((size, size), NEVER, np.int64)
         cuts = self._certain(full, off)
@@ -143,28 +155,23 @@ class Pieces:
         if not cuts:
             for s in entries:
                 best, _ = self.sweep(full, off - s, end, off if s else off - s)
-                for place, total in best.items():
-                    if end - place < size and (place > off or place == off - s):
-                        out[s, end - place] = total
+                for t in range(min(size - 1, end - off + s) + 1):
+                    place = end - t
+                    if place > off or place == off - s:
+                        out[s, t] = best[place - off + s]
             return out
         first, last = cuts
         head = [NEVER] * size
         for s in entries:
-            best, _ = self.sweep(full, off - s, first, off if s else off - s)
-            head[s] = best.get(first, NEVER) if first > off or s == 0 else NEVER
-        middle = sum(self._sum(m.group()) for m in _RUN.finditer(full, first, last))
+            if first > off or s == 0:
+                head[s] = self.sweep(full, off - s, first, off if s else off - s)[0][-1]
         tail, _ = self.sweep(full, last, end, last)
-        for t in range(size):
-            if end - t in tail:
-                for s in entries:
-                    if head[s] > NEVER:
-                        out[s, t] = head[s] + middle + tail[end - t]
+        for t in range(min(size - 1, end - last) + 1):
+            for s in entries:
+                if head[s] > NEVER and tail[end - t - last] > NEVER:
+                    out[s, t] = head[s] + tail[end - t - last]
         return out
 
-    def _sum(self, stretch: str) -> int:
-        best, _ = self.sweep(stretch, 0, len(stretch), 0)
-        return best[len(stretch)]
-
     def chunk_ids(self, full: str, off: int, entry: int, leave: int) -> bytes:
         """Ids of the pieces that end inside a chunk, for known boundary states."""
         start, stop = off - entry, len(full) - leave
@@ -175,9 +182,10 @@ class Pieces:
         first, last = cuts
         _, came = self.sweep(full, start, first, off if entry else start)
         head = self.trace(full, came, start, first)
-        middle = b"".join([self.solve(m.group()) for m in _RUN.finditer(full, first, last)])
+        known, solve = self.known, self.solve
+        middle = [known.get(x) or solve(x) for x in _RUN.findall(full, first, last)]
         _, came = self.sweep(full, last, stop, last)
-        return head + middle + self.trace(full, came, last, stop)
+        return b"".join([head, *middle, self.trace(full, came, last, stop)])
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,45 +212,46 @@ def _matrix(blob: bytes) -> np.ndarray:
     return values.reshape(side, side)
 
 
-def _chunks(long_texts: DataFrame, file: str, chunk: int) -> DataFrame:
-    def cut(batches):
-        behind = Pieces.of(file).longest - 1
-        for batch in batches:
-            for row, text in zip(batch.column("__row").to_pylist(), batch.column("text").to_pylist()):
-                text = " " + text
-                for idx, at in enumerate(range(0, len(text), chunk)):
-                    off = min(behind, at)
-                    yield pa.RecordBatch.from_pylist(
-                        [{"row": row, "idx": idx, "off": off, "full": text[at - off:at + chunk]}], schema=schema)
-
-    schema = pa.schema([("row", pa.int64()), ("idx", pa.int64()), ("off", pa.int32()), ("full", pa.string())])
-    return long_texts.select("__row", "text").mapInArrow(cut, "row long, idx long, off int, full string")
+def _chunks(text: str, chunk: int, behind: int):
+    """Each chunk with the characters before it that a piece can reach back to, and how many those are."""
+    text = " " + text
+    for at in range(0, len(text), chunk):
+        off = min(behind, at)
+        yield text[at - off:at + chunk], off
 
 
 def _scan(matrices: DataFrame) -> DataFrame:
     """``row, idx, entry, leave``: the boundary states of every chunk, by levels of ``FAN`` matrices."""
-    def combine(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        product = _matrix(group.m.iloc[0])
-        for blob in group.m.iloc[1:]:
-            product = max_plus(product, _matrix(blob))
-        return pd.DataFrame({"row": [group.row.iloc[0]], "idx": [group.block.iloc[0]], "m": [product.tobytes()]})
-
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        states = boundary_states([_matrix(b) for b in group.m], int(group.entry.iloc[0]), int(group.leave.iloc[0]))
-        return pd.DataFrame({"row": group.row, "idx": group.idx, "entry": states[:-1], "leave": states[1:]})
+    parts = partitions(matrices.sparkSession)
+
+    def combine(batches):
+        for (row, block), group in runs(batches, ["row", "block"], ["m"]):
+            product = _matrix(group[0][0])
+            for (blob,) in group[1:]:
+                product = max_plus(product, _matrix(blob))
+            yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([block]), pa.array([product.tobytes()])],
+                                             ["row", "idx", "m"])
+
+    def resolve(batches):
+        for (row, _), group in runs(batches, ["row", "block"], ["idx", "m", "entry", "leave"]):
+            states = boundary_states([_matrix(g[1]) for g in group], group[0][2], group[0][3])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row] * len(group)), pa.array([g[0] for g in group]), pa.array(states[:-1]),
+                 pa.array(states[1:])], ["row", "idx", "entry", "leave"])
+
+    def grouped(df):
+        return df.repartition(parts, "row", "block").sortWithinPartitions("row", "block", "idx")
 
     block = F.expr(f"idx div {FAN}")
     levels = [matrices]
     while (levels[-1].agg(F.max("idx")).first()[0] or 0) > 0:
-        grouped = levels[-1].withColumn("block", block).groupBy("row", "block")
-        levels.append(written(grouped.applyInPandas(combine, "row long, idx long, m binary"), "piece-products"))
+        products = grouped(levels[-1].withColumn("block", block)).mapInArrow(combine, "row long, idx long, m binary")
+        levels.append(written(products, "piece-products"))
     zero = F.lit(0).cast("long")
     states = levels[-1].select("row", "idx", zero.alias("entry"), zero.alias("leave"))
     for level in reversed(levels[:-1]):
         inner = level.withColumn("block", block).join(states.withColumnRenamed("idx", "block"), ["row", "block"])
-        states = inner.groupBy("row", "block").applyInPandas(resolve, "row long, idx long, entry long, leave long")
+        states = grouped(inner).mapInArrow(resolve, "row long, idx long, entry long, leave long")
     return states
 
 
@@ -255,40 +264,41 @@ def encode(docs: DataFrame, file: str, chunk: int = CHUNK) -> DataFrame:
 
     def short(batches):
         pieces = Pieces.of(file)
-        for batch in batches:
+        for batch in slices(batches):
             found = [None if t is None else pieces.encode(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, _int_lists(found)], [*batch.schema.names, "ids"])
 
     schema = docs.withColumn("ids", F.lit(None).cast("array<int>")).schema
     plain = docs.where(~is_long).mapInArrow(short, schema)
 
+    # stored with row numbers of its own: ids of documents may be missing or repeated
     long_texts = written(docs.where(is_long).withColumn("__row", F.monotonically_increasing_id()), "long-texts")
-    chunks = _chunks(long_texts, file, chunk)
 
     def transfer(batches):
-        pieces = Pieces.of(file)
-        for batch in batches:
-            blobs = [pieces.matrix(f, o).tobytes()
-                     for f, o in zip(batch.column("full").to_pylist(), batch.column("off").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("idx"), pa.array(blobs, pa.binary())],
-                                             ["row", "idx", "m"])
+        model = Pieces.of(file)
+        for batch in slices(batches):
+            for row, text in zip(batch.column("__row").to_pylist(), batch.column("text").to_pylist()):
+                blobs = [model.matrix(*c).tobytes() for c in _chunks(text, chunk, model.longest - 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row] * len(blobs)), pa.array(range(len(blobs)), pa.int64()),
+                     pa.array(blobs, pa.binary())], ["row", "idx", "m"])
 
     def back(batches):
-        pieces = Pieces.of(file)
-        for batch in batches:
-            found = [pieces.chunk_ids(*x) for x in zip(*[batch.column(c).to_pylist()
-                                                         for c in ("full", "off", "entry", "leave")])]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("idx"), _int_lists(found)],
-                                             ["row", "idx", "ids"])
-
-    matrices = written(chunks.mapInArrow(transfer, "row long, idx long, m binary"), "piece-matrices")
-    solved = chunks.join(_scan(matrices), ["row", "idx"]).select("row", "idx", "full", "off", "entry", "leave") \
-        .mapInArrow(back, "row long, idx long, ids array<int>")
-    # one list per document: as long as the document itself
-    joined = solved.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("idx", "ids"))).alias("runs")) \
-        .select(F.col("row").alias("__row"), F.flatten("runs.ids").alias("ids"))
-    giant = long_texts.join(joined, "__row").select(*columns, "ids")
-    return plain.unionByName(giant)
+        model = Pieces.of(file)
+        for batch in slices(batches):
+            found = []
+            for text, states in zip(batch.column("text").to_pylist(), batch.column("__states").to_pylist()):
+                cut = _chunks(text, chunk, model.longest - 1)
+                found.append(b"".join([model.chunk_ids(*c, s["entry"], s["leave"]) for c, s in zip(cut, states)]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], _int_lists(found)],
+                                             [*columns, "ids"])
+
+    matrices = written(long_texts.select("__row", "text").mapInArrow(transfer, "row long, idx long, m binary"),
+                       "piece-matrices")
+    # two small numbers per chunk of the document
+    states = _scan(matrices).groupBy(F.col("row").alias("__row")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", "entry", "leave"))).alias("__states"))
+    return plain.unionByName(long_texts.join(states, "__row").mapInArrow(back, schema))
 
 
 def _int_lists(blobs: list[bytes | None]) -> pa.Array:
@@ -301,14 +311,16 @@ def _int_lists(blobs: list[bytes | None]) -> pa.Array:
 
 def decode(encoded: DataFrame, file: str, into: str = "decoded") -> DataFrame:
     """``encoded`` plus the texts that ``ids`` stand for; missing ids give a missing text."""
+    schema = encoded.withColumn(into, F.lit(None).cast("string")).schema
+
     def run(batches):
         pieces = Pieces.of(file)
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             texts = [None if ids is None else pieces.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              [*batch.schema.names, into])
 
-    return encoded.mapInArrow(run, encoded.withColumn(into, F.lit(None).cast("string")).schema)
+    return encoded.mapInArrow(run, schema)
 
 
 def encoded_and_checked(docs: DataFrame, file: str, chunk: int = CHUNK) -> DataFrame:
