@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -32,17 +33,28 @@ SAMPLE_DOCS = 2000            # documents the dictionary is trained on, at most
 SAMPLE_BYTES = 8192           # ... and bytes of ids of each
 DICTIONARY_BYTES = 32768
 LEVEL = 3
-CACHE = 100_000               # words a worker remembers
+CACHE = 200_000               # words a worker remembers
 
 # in byte-level BPE a space followed by a non-space always starts a new piece, so the stretches between such spaces
 # are encoded on their own, each distinct one once
 _LOOSE_SPACE = re.compile(r" (?!\S)")
 _GAP = re.compile(r" (?=\S)")
 
+# letters with or without marks after them are two pieces whatever follows
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]{0,8})")
+
 SEGMENTS = ("part int, segment int, first_doc_id long, last_doc_id long, doc_ids array<long>, n_tokens array<long>, "
             "offsets array<long>, tokens long, dict_hash string, payload binary")
 
 
+def _byte_alphabet() -> dict[str, str]:
+    """The character that stands for each byte in a byte-level vocabulary (a fixed rule of such vocabularies):
+    printable Latin-1 characters stand for themselves, the others follow from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): chr(b) for b in printable} | {chr(b): chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class ByteBpe:
     """The tokenizer of one worker, with a bounded memory of encoded words."""
 
@@ -55,10 +67,9 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        # in the byte-level alphabet a character of a piece is one byte
-        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.bytes_of[i] = len(piece)
+        self.cores: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.alphabet = str.maketrans(_byte_alphabet())
 
     @classmethod
     def of(cls, file: str) -> ByteBpe:
@@ -66,16 +77,29 @@ class ByteBpe:
             cls._loaded[file] = cls(file)
         return cls._loaded[file]
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _solve(self, words: list[str]) -> list[bytes]:
-        """Ids of each of ``words`` with a space before it, encoded as one text: no piece crosses such a space, and
-        the bytes that an id stands for tell where a word ends."""
-        sizes = [len(w.encode()) + 1 for w in words]
-        ids = self._ids("".join([" " + w for w in words]))
-        ends = np.searchsorted(self.bytes_of[ids].cumsum(), np.cumsum(sizes), "left") + 1
-        return [ids[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a space and letters: one piece of the pre-tokenizer, so only the merges are left to do."""
+        found = self.cores.get(word)
+        if found is None:
+            mapped = (" " + word).encode().decode("latin-1").translate(self.alphabet)
+            ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.cores) < CACHE:
+                self.cores[word] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with a space before it."""
+        plain = _PLAIN.fullmatch(word)
+        if not plain:
+            return self._ids(" " + word)
+        letters, marks = plain.groups()
+        if marks and marks not in self.marks:
+            self.marks[marks] = self._ids(marks)
+        return self._letters(letters) + (self.marks[marks] if marks else b"")
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without an end id.
@@ -84,15 +108,12 @@ class ByteBpe:
         """
         cut = [_GAP.split(t) if _LOOSE_SPACE.search(t) else t.split(" ") for t in texts]
         known = self.known
-        missing = list({w for words in cut for w in words[1:] if w not in known})
-        short = [w for w in missing if len(w) <= 64]
-        fresh = dict(zip(short, self._solve(short))) if short else {}
-        fresh.update((w, self._ids(" " + w).tobytes()) for w in missing if len(w) > 64)
+        fresh = {w: self._word(w) for w in {w for words in cut for w in words[1:]}.difference(known)}
         if len(known) < CACHE:
-            known.update((w, fresh[w]) for w in short[:CACHE - len(known)])
+            known.update((w, fresh[w]) for w in list(fresh)[:CACHE - len(known)] if len(w) <= 64)
         out = []
         for head, *words in cut:
-            ids = [self._ids(head).tobytes()] if head else []
+            ids = [self._ids(head)] if head else []
             ids += [known[w] if w in known else fresh[w] for w in words]
             out.append(b"".join(ids))
         return out
