@@ -28,12 +28,18 @@ from attesta.session import written
 
 CHUNK = 16384
 FAN = 256
-CACHE = 100_000
+CACHE = 200_000
 NEVER = -(2**60)
 # scores below this (the model's marks for pieces and characters to avoid) are raised to it: a piece of up to 16
 # characters still loses to any cover by ordinary pieces, and sums of long texts stay within 64 bits
 FLOOR = -1_000_000
 _RUN = re.compile(r" +[^ ]*")
+KEY_BASE = 0x5851F42D4C957F2D
+TABLE_BITS = 18
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 class Pieces:
@@ -72,6 +78,8 @@ class Pieces:
                 node = node.setdefault(character, {})
             node[""] = value
         self.known: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
+        self._table()
 
     @classmethod
     def of(cls, file: str) -> Pieces:
@@ -119,19 +127,106 @@ class Pieces:
         return struct.pack(f"<{len(found)}i", *found)
 
     def solve(self, stretch: str) -> bytes:
-        """Ids of a stretch that begins and ends at certain cuts; the first ``CACHE`` short ones are remembered."""
+        """Ids of a stretch that begins and ends at certain cuts."""
         _, came = self.sweep(stretch, 0, len(stretch), 0)
-        ids = self.trace(stretch, came, 0, len(stretch))
-        if len(self.known) < CACHE and len(stretch) <= 64:
-            self.known[stretch] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        known, solve = self.known, self.solve
-        return b"".join([known.get(s) or solve(s) for s in _RUN.findall(" " + text)])
+        return self.trace(stretch, came, 0, len(stretch))
+
+    def _table(self):
+        """Open table of the vocabulary for whole arrays: polynomial keys, and the row of scores and ids."""
+        pieces = list(self.id)
+        keys = np.array([self._key(p) for p in pieces], np.uint64)
+        slots = np.full(2**TABLE_BITS, -1, np.int64)
+        clash = {}
+        for i, (k, at) in enumerate(zip(keys.tolist(), _slot(keys).tolist())):
+            if slots[at] >= 0:
+                clash[k] = i
+            else:
+                slots[at] = i
+        order = np.array(sorted(clash), np.uint64)
+        scores = np.array([self.score[p] for p in pieces] + [NEVER], np.int64)
+        ids = np.array([self.id[p] for p in pieces] + [0], np.int32)
+        self.table = keys, slots, order, np.array([clash[k] for k in order.tolist()], np.int64), scores, ids
+
+    @staticmethod
+    def _key(piece: str) -> int:
+        key = 0
+        for character in piece:
+            key = (key * KEY_BASE + ord(character) + 1) % 2**64
+        return key
+
+    def _rows(self, keys: np.ndarray) -> np.ndarray:
+        """Vocabulary row of every key, -1 where there is none."""
+        known, slots, order, clash, _, _ = self.table
+        rows = slots[_slot(keys)]
+        rows[known[rows] != keys] = -1
+        at = np.searchsorted(order, keys)
+        at[at == len(order)] = 0
+        hit = order[at] == keys
+        rows[hit] = clash[at[hit]]
+        return rows
+
+    def solve_many(self, stretches: list[str]) -> dict[str, bytes]:
+        """``solve`` for many stretches: those of one length are swept together, place by place."""
+        out: dict[str, bytes] = {}
+        by_length: dict[int, list[str]] = {}
+        for x in stretches:
+            by_length.setdefault(len(x), []).append(x)
+        for size, group in by_length.items():
+            if size > 40 or len(group) < 8:
+                out.update((x, self.solve(x)) for x in group)
+                continue
+            codes = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64)
+            codes += np.uint64(1)
+            rows, keys = [], np.zeros_like(codes)
+            for length in range(1, min(size, self.longest) + 1):
+                keys = keys[:, :size - length + 1] * np.uint64(KEY_BASE) + codes[:, length - 1:]
+                rows.append(self._rows(keys))
+            scores, ids = self.table[4], self.table[5]
+            best = np.full((len(group), size + 1), NEVER, np.int64)
+            came = np.zeros((len(group), size + 1), np.int64)
+            best[:, 0] = 0
+            for end in range(1, size + 1):
+                for length in range(min(end, self.longest), 0, -1):
+                    total = best[:, end - length] + scores[rows[length - 1][:, end - length]]
+                    better = total > best[:, end]
+                    best[better, end] = total[better]
+                    came[better, end] = length
+            complete = (rows[0] >= 0).all(1)
+            place, every = np.full(len(group), size), np.arange(len(group))
+            found = np.zeros((len(group), size), np.int32)
+            used = np.zeros(len(group), np.int64)
+            while (place * complete).any():
+                on = complete & (place > 0)
+                who, end = every[on], place[on]
+                length = came[who, end]
+                begin = end - length
+                row = np.zeros(len(who), np.int64)
+                for n in np.unique(length):
+                    of = length == n
+                    row[of] = rows[n - 1][who[of], begin[of]]
+                used[who] += 1
+                found[who, size - used[who]] = ids[row]
+                place[who] = begin
+            for x, sure, ids_of, n in zip(group, complete.tolist(), found, used.tolist()):
+                out[x] = ids_of[size - n:].tobytes() if sure else self.solve(x)
+        return out
+
+    def learn(self, stretches: set[str]) -> None:
+        """Solve what is not known yet; the first ``CACHE`` stretches stay known, others until the next call."""
+        self.fresh = self.solve_many(list(stretches.difference(self.known)))
+        if len(self.known) < CACHE:
+            self.known.update(list(self.fresh.items())[:CACHE - len(self.known)])
+
+    def of_stretch(self, stretch: str) -> bytes:
+        return self.known.get(stretch) or self.fresh.get(stretch) or self.solve(stretch)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
+        """Ids of whole texts as little-endian 32-bit integers."""
+        cut = [_RUN.findall(" " + t) if t else [] for t in texts]
+        self.learn(set().union(*cut))
+        known, fresh = self.known, self.fresh
+        return [None if t is None else b"".join([known[x] if x in known else fresh[x] for x in runs_of])
+                for t, runs_of in zip(texts, cut)]
 
     def decode(self, ids) -> str:
         of = self.bytes_of
@@ -182,8 +277,7 @@ class Pieces:
         first, last = cuts
         _, came = self.sweep(full, start, first, off if entry else start)
         head = self.trace(full, came, start, first)
-        known, solve = self.known, self.solve
-        middle = [known.get(x) or solve(x) for x in _RUN.findall(full, first, last)]
+        middle = [self.of_stretch(x) for x in _RUN.findall(full, first, last)]
         _, came = self.sweep(full, last, stop, last)
         return b"".join([head, *middle, self.trace(full, came, last, stop)])
 
@@ -265,7 +359,7 @@ def encode(docs: DataFrame, file: str, chunk: int = CHUNK) -> DataFrame:
     def short(batches):
         pieces = Pieces.of(file)
         for batch in slices(batches):
-            found = [None if t is None else pieces.encode(t) for t in batch.column("text").to_pylist()]
+            found = pieces.encode_all(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, _int_lists(found)], [*batch.schema.names, "ids"])
 
     schema = docs.withColumn("ids", F.lit(None).cast("array<int>")).schema
@@ -286,8 +380,9 @@ def encode(docs: DataFrame, file: str, chunk: int = CHUNK) -> DataFrame:
     def back(batches):
         model = Pieces.of(file)
         for batch in slices(batches):
-            found = []
-            for text, states in zip(batch.column("text").to_pylist(), batch.column("__states").to_pylist()):
+            found, texts = [], batch.column("text").to_pylist()
+            model.learn(set().union(*[_RUN.findall(" " + t) for t in texts]))
+            for text, states in zip(texts, batch.column("__states").to_pylist()):
                 cut = _chunks(text, chunk, model.longest - 1)
                 found.append(b"".join([model.chunk_ids(*c, s["entry"], s["leave"]) for c, s in zip(cut, states)]))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], _int_lists(found)],

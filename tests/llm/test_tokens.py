@@ -87,7 +87,15 @@ def test_segmentation_is_the_library_lattice():
     viterbi = sentencepiece.SentencePieceProcessor(model_proto=raw.replace(bpe_type, b"tok_v0\x18\x01"))
     model = pieces.Pieces.of(MODEL)
     for word in "The quick brown fox enpfeinung chäte achgeber thwhtion oftionnten representation".split():
-        assert list(np.frombuffer(model.encode(word), "<i4")) == viterbi.encode(word)
+        assert list(np.frombuffer(model.encode_all([word])[0], "<i4")) == viterbi.encode(word)
+
+
+def test_many_at_once(spark):
+    """Stretches swept together give what each gives alone."""
+    model = pieces.Pieces.of(MODEL)
+    texts = [r.text for r in documents(spark, SF).limit(40).collect()]
+    stretches = list({x for t in texts for x in pieces._RUN.findall(" " + t)} | {" 日本é", " 日本x", "  a", " ▁b"})
+    assert model.solve_many(stretches) == {x: model.solve(x) for x in stretches}
 
 
 @pytest.mark.parametrize("chunk", [5, 17, 64])
@@ -101,7 +109,7 @@ def test_chunks_equal_whole(spark, chunk, monkeypatch):
         best, ids = whole_text_ids(r.text)
         assert model.decode(r.ids) == r.text
         assert score(r.ids) == score(ids), r.text
-        assert list(np.frombuffer(model.encode(r.text), "<i4")) == ids
+        assert list(np.frombuffer(model.encode_all([r.text])[0], "<i4")) == ids
 
 
 @pytest.mark.parametrize("which", ["fixture", "table"])
