@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import exact_dedup, mixing, pieces, quality, sharding, token_store
+from attesta.llm import exact_dedup, jaccard_join, katz, mixing, pieces, quality, sharding, suffix_dedup, token_store, warc
 from attesta.llm.common import documents, tokenizer_file
 from attesta.llm.registry import query
 
@@ -42,3 +42,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_store")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query("op7_katz_scores")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir))
+
+
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(documents(spark, sf_dir))
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(documents(spark, sf_dir))
+
+
+@query("op6_warc_derivatives")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
