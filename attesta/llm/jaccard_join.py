@@ -1,9 +1,9 @@
 """N-gram Jaccard join with a prefix tree.
 
-Documents are sets of distinct word n-grams; two link when their Jaccard similarity is at least ``NUM / DEN``.
+Documents are sets of distinct word n-grams; two link when their Jaccard similarity is at least ``least`` per cent.
 
 1. Every set is hashed; equal sets are one node.
-2. Candidates: sets that can link differ in at most (sum of sizes) * (DEN - NUM) / (DEN + NUM) n-grams.  The n-grams
+2. Candidates: sets that can link differ in at most (sum of sizes) * (100 - least) / (100 + least) n-grams.  The n-grams
    of a set are dealt by hash into more parts than that, so linked sets agree in whole parts.  Nodes that share a part
    (the hash of all n-grams in it) are candidates; sizes are grouped in classes, and a set near the upper end of its
    class is dealt for the next class too.  No link is lost (see ``signatures``).
@@ -31,17 +31,17 @@ from attesta.llm.exact_dedup import BITS_PER_ROW, SLICE_WORDS, _signature
 from attesta.session import written
 
 N = 3
-NUM, DEN = 90, 100
+LEAST = 90         # per cent
 RATIO = 1.4        # of the size classes
 SPARE = 2          # parts beyond the number of differences, plus one
 BLOCK = 256        # sets of one prefix tree
 BLOCK_BYTES = 32 * 2**20
 
 
-def size_classes(most: int) -> np.ndarray:
+def size_classes(most: int, least: int = LEAST) -> np.ndarray:
     """Lower ends of the size classes up to beyond ``most``."""
     lows = [1]
-    while lows[-1] <= most * DEN // NUM + 1:
+    while lows[-1] <= most * 100 // least + 1:
         lows.append(max(lows[-1] + 1, int(np.ceil(lows[-1] * RATIO))))
     return np.array([*lows, lows[-1] * 2 + 2])
 
@@ -78,16 +78,16 @@ def _sums(groups: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
     return wordhash.join(low.astype(np.uint64), high.astype(np.uint64))
 
 
-def signatures(grams: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(grams: np.ndarray, upto: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Part hashes of all sets, and their number up to and with each set.
 
-    In a class whose sets have at most ``r`` members, linked sets differ in at most d = 2 r (DEN-NUM)/(DEN+NUM)
+    In a class whose sets have at most ``r`` members, linked sets differ in at most d = 2 r (100 - least) / (100 + least)
     members; with d + 1 + SPARE parts at least 1 + SPARE parts agree.  A set with at most SPARE empty parts leaves
     those out: the parts that agree are then not all empty.  A set with more of them gives the empty ones too.
     Classes with d = 0 hold equal sets only and need no parts.
     """
     sizes = np.diff(upto, prepend=0)
-    lows = size_classes(int(sizes.max(initial=1)))
+    lows = size_classes(int(sizes.max(initial=1)), least)
     own = np.searchsorted(lows, sizes, "right") - 1
     rows = np.repeat(np.arange(len(sizes)), sizes)
     values = wordhash.mix(grams + np.uint64(0x5851F42D4C957F2D))
@@ -96,10 +96,10 @@ def signatures(grams: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndar
     for step in (0, 1):
         tag = np.maximum(own, 0) + step
         most = lows[tag + 1] - 1
-        differ = 2 * most * (DEN - NUM) // (DEN + NUM)
+        differ = 2 * most * (100 - least) // (100 + least)
         use = (sizes > 0) & (differ > 0)
         if step:
-            use &= sizes * DEN // NUM >= lows[tag]
+            use &= sizes * 100 // least >= lows[tag]
         parts = np.where(use, differ + 1 + SPARE, 0)
         first = np.concatenate([[0], parts.cumsum()])
         on = use[rows]
@@ -183,7 +183,8 @@ class Groups:
         self.up[self.root(i)] = self.root(j)
 
 
-def link_sets(sets: list[np.ndarray], labels: list[int], stored: list[int], asking: list[int]) -> Groups:
+def link_sets(sets: list[np.ndarray], labels: list[int], stored: list[int], asking: list[int],
+              least: int = LEAST) -> Groups:
     """Groups after linking each of ``asking`` with what it links to among ``stored`` (positions in ``sets``); equal
     ``labels`` are one group from the start and not compared."""
     groups = Groups(labels)
@@ -207,36 +208,36 @@ def link_sets(sets: list[np.ndarray], labels: list[int], stored: list[int], aski
             # what the stored sets have lost so far, and what this set has passed without a match
             missed = depth - overlap
             passed = bisect_right(ordered, node.last) - overlap
-            if (DEN * node.most < NUM * size + (DEN + NUM) * missed or NUM * node.least > DEN * size
-                    or (DEN + NUM) * (size - passed) < NUM * (size + node.least)):
+            if (100 * node.most < least * size + (100 + least) * missed or least * node.least > 100 * size
+                    or (100 + least) * (size - passed) < least * (size + node.least)):
                 continue
             for i in node.ends:
-                if DEN * overlap >= NUM * (size + len(seqs[i]) - overlap):
+                if 100 * overlap >= least * (size + len(seqs[i]) - overlap):
                     groups.link(q, i)
             todo += [(child, overlap, depth) for child in node.children]
     return groups
 
 
-def _sets_of(texts: list, nodes: list[int]) -> tuple[list[np.ndarray], list[int]]:
+def _sets_of(texts: list, nodes: list[int], n: int) -> tuple[list[np.ndarray], list[int]]:
     """Sets of the texts that have the expected node (rows that share an id may have another text)."""
-    grams, upto = shingle_sets(pa.array(texts, pa.large_string()))
+    grams, upto = shingle_sets(pa.array(texts, pa.large_string()), n)
     found = set_nodes(grams, upto)
     sets = np.split(grams, upto[:-1])
-    keep = [i for i, n in enumerate(nodes) if found[i] == n]
+    keep = [i for i, node in enumerate(nodes) if found[i] == node]
     return [sets[i] for i in keep], keep
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, n: int, least: int) -> DataFrame:
     """Links found inside each (``comp``, ``block``) of ``rows`` (``node, label, text``): ``a, b``."""
     def join(batches):
         for _, group in runs(slices(batches), ["comp", "block"], ["node", "label", "text"]):
             group = list({g[0]: g for g in group}.values())
-            sets, keep = _sets_of([g[2] for g in group], [g[0] for g in group])
+            sets, keep = _sets_of([g[2] for g in group], [g[0] for g in group], n)
             if len(sets) < 2:
                 continue
             nodes = [group[i][0] for i in keep]
             every = list(range(len(sets)))
-            found = link_sets(sets, [group[i][1] for i in keep], every, every)
+            found = link_sets(sets, [group[i][1] for i in keep], every, every, least)
             yield _links(nodes, found)
 
     parts = partitions(rows.sparkSession)
@@ -244,16 +245,16 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
             .mapInArrow(join, "a long, b long"))
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, n: int, least: int) -> DataFrame:
     """Links between the asking and the stored sets of each (``comp``, ``block``, ``chunk``)."""
     def join(batches):
         for _, group in runs(slices(batches), ["comp", "block", "chunk"], ["node", "label", "text", "asks"]):
-            sets, keep = _sets_of([g[2] for g in group], [g[0] for g in group])
+            sets, keep = _sets_of([g[2] for g in group], [g[0] for g in group], n)
             asks = [group[i][3] for i in keep]
             if not sets or all(asks) or not any(asks):
                 continue
             found = link_sets(sets, [group[i][1] for i in keep], [i for i, a in enumerate(asks) if not a],
-                              [i for i, a in enumerate(asks) if a])
+                              [i for i, a in enumerate(asks) if a], least)
             yield _links([group[i][0] for i in keep], found)
 
     parts = partitions(rows.sparkSession)
@@ -276,11 +277,11 @@ def _blocked(rows: DataFrame) -> DataFrame:
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
 
 
-def _described(docs: DataFrame) -> DataFrame:
+def _described(docs: DataFrame, n: int, least: int) -> DataFrame:
     def describe(batches):
         for batch in slices(batches):
-            grams, upto = shingle_sets(batch.column("text"))
-            sigs, ends = signatures(grams, upto)
+            grams, upto = shingle_sets(batch.column("text"), n)
+            sigs, ends = signatures(grams, upto, least)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
                                              pa.array(sigs.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
@@ -320,10 +321,10 @@ def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return joined.withColumn("label", F.coalesce("label", "node"))
 
 
-def links(texts: DataFrame) -> DataFrame:
+def links(texts: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     """Links that connect all candidates (``comp, node, label, text``) that link, ``a, b``."""
     rows = written(_blocked(texts), "blocked-texts")
-    found = written(_in_blocks(rows), "set-links")
+    found = written(_in_blocks(rows, n, least), "set-links")
     split = rows.where("blocks > 1").drop("blocks", "block")
     if split.limit(1).count() == 0:
         return found
@@ -333,7 +334,7 @@ def links(texts: DataFrame) -> DataFrame:
         first = current.groupBy("comp", "label").agg(F.min("node").alias("node"))
         heads = written(_blocked(current.join(first, ["comp", "label", "node"])), "group-heads")
         before = first.count()
-        found = written(found.unionByName(_in_blocks(heads)), "set-links")
+        found = written(found.unionByName(_in_blocks(heads, n, least)), "set-links")
         after = _relabelled(split, found).select("comp", "label").distinct().count()
         if after == before or heads.where("blocks > 1").limit(1).count() == 0:
             break
@@ -352,18 +353,18 @@ def links(texts: DataFrame) -> DataFrame:
     left = stored.join(chunks, "comp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     right = asking.join(blocks, "comp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = left.select(*every).unionByName(right.select(F.lit(True).alias("asks"), *every[1:]))
-    return found.unionByName(written(_across(pairs), "set-links"))
+    return found.unionByName(written(_across(pairs, n, least), "set-links"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id`` (the smallest id reachable by links).
 
     A document without words is linked with nothing.  Rows that repeat an id are joined each by its own text; a row
     without an id takes the component of an equal set (missing if there is none) and links nothing itself.  An empty
     table gives no rows.
     """
-    described = _described(docs)
-    labels = components(links(_candidate_texts(docs, described)))
+    described = _described(docs, n, least)
+    labels = components(links(_candidate_texts(docs, described), n, least))
     labelled = (described.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
                 .withColumn("label", F.coalesce("label", "node")))
     labelled = written(labelled.select("doc_id", "n_shingles", "label"), "set-labels")
@@ -375,8 +376,8 @@ def groups(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     """The documents that stay: of each group the one with the smallest id; documents without an id or words stay.
     Rows that repeat an id stay or go together."""
-    gone = groups(docs).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = groups(docs, n, least).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -6,33 +6,7 @@ import pytest
 
 from attesta.llm import jaccard_join
 from attesta.llm.common import documents
-
-
-def plain_set(text):
-    w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i:i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
-
-
-def plain_groups(rows):
-    sets = [plain_set(t) for _, t in rows]
-    up = list(range(len(rows)))
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if a and b and 10 * min(len(a), len(b)) >= 9 * max(len(a), len(b)):
-                inter = len(a & b)
-                if 100 * inter >= 90 * (len(a) + len(b) - inter):
-                    up[root(i)] = root(j)
-    ids = {}
-    for i, (d, _) in enumerate(rows):
-        ids.setdefault(root(i), []).append(d)
-    return sorted((d, len(sets[i]), min(ids[root(i)])) for i, (d, _) in enumerate(rows))
+from tests_llm_plain import plain_groups
 
 
 def near_copies(seed, base_words, copies, edits):

@@ -1,7 +1,6 @@
 """Mixing, quality rules, sharding and exact dedup against plain Python."""
 
 import hashlib
-import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,8 +8,8 @@ import pytest
 
 from attesta.llm import exact_dedup, mixing, quality, sharding
 from attesta.llm.common import documents
+from tests_llm_plain import WORD, plain_quality
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
 
 
@@ -69,18 +68,6 @@ def test_mix_keeps_columns(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_sizes(empty).count() == 0
 
 
-def plain_quality(text):
-    words = WORD.findall(text or "")
-    windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
-    seen = Counter(windows)
-    covered = {j for i, w in enumerate(windows) if seen[w] > 1 for j in range(i, i + 8)}
-    lines = [line for line in (text or "").split("\n") if WORD.search(line)]
-    n = len(words)
-    return {"n_words": n, "word_chars": sum(map(len, words)),
-            "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")), "n_dup_lines": len(lines) - len(set(lines)),
-            "n_repeat_words": len(covered), "base_failed": n < 20 or 100 * len(covered) > 30 * n}
-
-
 @pytest.mark.parametrize("which", ["fixture", "table"])
 def test_quality(spark, docs, empty, which):
     table = docs if which == "fixture" else documents(spark, SF)
