@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import wordhash
-from attesta.llm.common import slices
+from attesta.llm.common import matched, slices
 from attesta.llm.exact_dedup import BITS_PER_ROW, SLICE_WORDS, _signature
 from attesta.session import written
 
@@ -77,7 +77,8 @@ def _neighbours(batch_keys: np.ndarray, idents: np.ndarray):
 
 def _in_two_documents(keys: DataFrame) -> DataFrame:
     """Keys that at least two documents have, with the smallest of these."""
-    return keys.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    return keys.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"),
+                                   F.count("*").alias("n")).where("low < high")
 
 
 def _passages(places: Column, least: int) -> Column:
@@ -126,9 +127,11 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 .where(F.col("__bits").bitwiseAND(mine) == mine)
                 .select("ident", "first", F.posexplode("stretches").alias("n", "key"))
                 .select("ident", (F.col("first") + F.col("n")).alias("place"), "key"))
-    again = _in_two_documents(extended.select("key", F.col("ident").alias("low"), F.col("ident").alias("high")))
+    again = written(_in_two_documents(extended.select("key", F.col("ident").alias("low"), F.col("ident").alias("high")))
+                    .select("key", "low", "n"), "repeated-stretches")
+    total = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     mark = F.col("place") * 2 + F.when(F.col("low") < F.col("ident"), 1).otherwise(0)
-    marks = (extended.join(again.select("key", "low"), "key").groupBy("ident")
+    marks = (matched(extended, again, "key", "n", total).where("low is not null").groupBy("ident")
              .agg(F.sort_array(F.collect_list(mark)).alias("marks")))
     spans = marks.select("ident", "marks", F.explode(_passages(F.col("marks"), least)).alias("span"))
     inside = F.filter("marks", lambda m: (m % 2 == 0) & F.shiftright(m, 1).between(
