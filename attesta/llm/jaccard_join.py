@@ -302,8 +302,8 @@ def _candidate_texts(docs: DataFrame, described: DataFrame) -> DataFrame:
     stars = matched(parts, shared, "sig", "n", total).where("leader <> node").select(
         F.col("node").alias("a"), F.col("leader").alias("b"))
     comps = components(stars)
-    chosen = written(described.where("doc_id is not null").join(comps, "node")
-                     .groupBy("node", F.col("label").alias("comp")).agg(F.min("doc_id").alias("__key")), "chosen")
+    first = described.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("__key"))
+    chosen = written(first.join(comps, "node").select("node", F.col("label").alias("comp"), "__key"), "chosen")
     # a filter of the chosen ids, of bounded size, keeps most other texts out of the exchange
     size = min(SLICE_WORDS, max(1, -(-chosen.count() * BITS_PER_ROW // 64)))
     word, mine = F.pmod(F.xxhash64("__key"), F.lit(size)), _signature(F.col("__key"))
@@ -365,7 +365,9 @@ def groups(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     """
     described = _described(docs, n, least)
     labels = components(links(_candidate_texts(docs, described), n, least))
-    labelled = (described.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    copies = described.groupBy("node").agg(F.count("*").alias("n"))
+    named = written(labels.join(copies, "node"), "node-labels")
+    labelled = (matched(described.select("doc_id", "n_shingles", "node"), named, "node", "n", described.count())
                 .withColumn("label", F.coalesce("label", "node")))
     labelled = written(labelled.select("doc_id", "n_shingles", "label"), "set-labels")
     total = labelled.count()
