@@ -33,7 +33,7 @@ SAMPLE_DOCS = 2000            # documents the dictionary is trained on, at most
 SAMPLE_BYTES = 8192           # ... and bytes of ids of each
 DICTIONARY_BYTES = 32768
 LEVEL = 3
-CACHE = 200_000               # words a worker remembers
+CACHE = 150_000               # words a worker remembers
 
 # in byte-level BPE a space followed by a non-space always starts a new piece, so the stretches between such spaces
 # are encoded on their own, each distinct one once
@@ -87,7 +87,7 @@ class ByteBpe:
             mapped = (" " + word).encode().decode("latin-1").translate(self.alphabet)
             ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
             found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.cores) < CACHE:
+            if len(self.cores) < CACHE // 2:
                 self.cores[word] = found
         return found
 
@@ -135,18 +135,18 @@ def _as_dict(dictionary: bytes):
     return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
 
 
-def _encoded(docs: DataFrame, file: str, limit: int | None = None) -> DataFrame:
-    """``doc_id`` and serialized ids, cut to ``limit`` bytes for the training sample only."""
+def _encoded(docs: DataFrame, file: str, finish, schema: str) -> DataFrame:
+    """``doc_id`` and what ``finish()`` makes of the lists of serialized ids, end id included; in one pass."""
     end = np.asarray([END_ID], "<u4").tobytes()
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        bpe = ByteBpe.of(file)
-        for batch in slices(batches):
+        bpe, make = ByteBpe.of(file), finish()
+        for batch in slices(batches, most=2**20, rows=256):
             ids = [i + end for i in bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([i[:limit] for i in ids], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *make(ids)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def write_store(docs: DataFrame, path: str, file: str) -> None:
@@ -168,19 +168,18 @@ def write_store(docs: DataFrame, path: str, file: str) -> None:
     share = min(1.0, SAMPLE_DOCS / max(count, 1))
     place = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(2**30))
     sample = docs.where(place < int(share * 2**30)).limit(2 * SAMPLE_DOCS)
-    ids = sorted(r["ids"] for r in _encoded(sample, file, SAMPLE_BYTES).select("ids").collect())
+    heads = _encoded(sample, file, lambda: lambda ids: [pa.array([i[:SAMPLE_BYTES] for i in ids], pa.binary())],
+                     "doc_id long, ids binary")
+    ids = sorted(bytes(r["ids"]) for r in heads.select("ids").collect())
     dictionary = _dictionary(ids)
     name = dictionary_hash(dictionary)
     spark.createDataFrame([(name, bytearray(dictionary))], "dict_hash string, dictionary binary") \
         .coalesce(1).write.parquet(f"{path}/dictionary")
 
-    def compress(batches):
+    def compress():
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_as_dict(dictionary))
-        for batch in slices(batches, "ids"):
-            raw = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(r) // 4 for r in raw], pa.int64()),
-                 pa.array([packer.compress(r) for r in raw], pa.binary())], ["doc_id", "n_tokens", "frame"])
+        return lambda ids: [pa.array([len(i) // 4 for i in ids], pa.int64()),
+                            pa.array([packer.compress(i) for i in ids], pa.binary())]
 
     def pack(batches):
         part, number, rows, held = None, 0, [], 0
@@ -193,7 +192,7 @@ def write_store(docs: DataFrame, path: str, file: str) -> None:
                     "n_tokens": [n for _, n, _ in rows], "offsets": ends, "tokens": sum(n for _, n, _ in rows),
                     "dict_hash": name, "payload": b"".join(f for _, _, f in rows)}
 
-        for batch in slices(batches, "frame"):
+        for batch in slices(batches, "frame", most=2**20):
             for p, d, n, f in zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "frame")]):
                 if rows and (p != part or held + len(f) > SEGMENT_BYTES):
                     yield pa.RecordBatch.from_pylist([row()], schema=_SEGMENT_SCHEMA)
@@ -204,7 +203,7 @@ def write_store(docs: DataFrame, path: str, file: str) -> None:
         if rows:
             yield pa.RecordBatch.from_pylist([row()], schema=_SEGMENT_SCHEMA)
 
-    frames = _encoded(docs, file).mapInArrow(compress, "doc_id long, n_tokens long, frame binary")
+    frames = _encoded(docs, file, compress, "doc_id long, n_tokens long, frame binary")
     key = F.coalesce(F.col("doc_id"), F.lit(-2**63))
     (frames.withColumn("part", halving(key, points)).repartition(parts, "part")
      .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
