@@ -28,7 +28,7 @@ from attesta.session import written
 
 CHUNK = 16384
 FAN = 256
-CACHE = 200_000
+CACHE = 150_000
 NEVER = -(2**60)
 # scores below this (the model's marks for pieces and characters to avoid) are raised to it: a piece of up to 16
 # characters still loses to any cover by ordinary pieces, and sums of long texts stay within 64 bits
@@ -349,20 +349,32 @@ def _scan(matrices: DataFrame) -> DataFrame:
     return states
 
 
-def encode(docs: DataFrame, file: str, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` plus ``ids`` (array<int>).  A missing text has missing ids, an empty one none.  Rows are encoded each
+def encode(docs: DataFrame, file: str, chunk: int = CHUNK, check: bool = False) -> DataFrame:
+    """``docs`` plus ``ids`` (array<int>); with ``check`` also ``round_trip``, whether the ids decode to exactly the
+    text (compared where they are made), and without the text.  A missing text has missing ids, an empty one none.  Rows are encoded each
     on its own, whatever their ids; an empty table gives no rows."""
     columns = [c for c in docs.columns if c != "ids"]
     docs = docs.select(*columns)
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
 
+    given = [c for c in columns if c != "text"] if check else columns
+
+    def finished(batch, texts, found, model):
+        extra = [_int_lists(found)]
+        if check:
+            extra.append(pa.array([(None if i is None else model.decode(np.frombuffer(i, "<i4").tolist())) == t
+                                   for i, t in zip(found, texts)], pa.bool_()))
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in given], *extra],
+                                          [*given, "ids", *(["round_trip"] if check else [])])
+
     def short(batches):
         pieces = Pieces.of(file)
-        for batch in slices(batches):
-            found = pieces.encode_all(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, _int_lists(found)], [*batch.schema.names, "ids"])
+        for batch in slices(batches, most=2**20, rows=256):
+            texts = batch.column("text").to_pylist()
+            yield finished(batch, texts, pieces.encode_all(texts), pieces)
 
-    schema = docs.withColumn("ids", F.lit(None).cast("array<int>")).schema
+    result = docs.select(*given).withColumn("ids", F.lit(None).cast("array<int>"))
+    schema = (result.withColumn("round_trip", F.lit(None).cast("boolean")) if check else result).schema
     plain = docs.where(~is_long).mapInArrow(short, schema)
 
     # stored with row numbers of its own: ids of documents may be missing or repeated
@@ -379,14 +391,13 @@ def encode(docs: DataFrame, file: str, chunk: int = CHUNK) -> DataFrame:
 
     def back(batches):
         model = Pieces.of(file)
-        for batch in slices(batches):
+        for batch in slices(batches, most=2**20, rows=256):
             found, texts = [], batch.column("text").to_pylist()
             model.learn(set().union(*[_RUN.findall(" " + t) for t in texts]))
             for text, states in zip(texts, batch.column("__states").to_pylist()):
                 cut = _chunks(text, chunk, model.longest - 1)
                 found.append(b"".join([model.chunk_ids(*c, s["entry"], s["leave"]) for c, s in zip(cut, states)]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], _int_lists(found)],
-                                             [*columns, "ids"])
+            yield finished(batch, texts, found, model)
 
     matrices = written(long_texts.select("__row", "text").mapInArrow(transfer, "row long, idx long, m binary"),
                        "piece-matrices")
@@ -420,6 +431,6 @@ def decode(encoded: DataFrame, file: str, into: str = "decoded") -> DataFrame:
 
 def encoded_and_checked(docs: DataFrame, file: str, chunk: int = CHUNK) -> DataFrame:
     """Per document its ids and whether they decode to exactly its text."""
-    both = decode(encode(docs.select("doc_id", "text"), file, chunk), file)
-    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids",
-                       F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    checked = encode(docs.select("doc_id", "text"), file, chunk, check=True)
+    return checked.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids",
+                          "round_trip")

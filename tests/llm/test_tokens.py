@@ -126,4 +126,5 @@ def test_round_trip(spark, docs, empty, which):
                 assert score(r.ids) == score(whole_text_ids(text)[1])
     encoded = pieces.encode(docs, MODEL)
     assert encoded.columns == [*docs.columns, "ids"]
+    assert all(r.decoded == r.text for r in pieces.decode(encoded, MODEL).collect())
     assert pieces.encoded_and_checked(empty, MODEL).count() == 0
