@@ -27,12 +27,12 @@ from attesta.llm.sharding import split_points
 from attesta.session import scratch_path, written
 
 END_ID = 0
-PART_BYTES = 16 * 2**20       # text of one sorted run
+PART_BYTES = 4 * 2**20        # text of one sorted run
 SEGMENT_BYTES = 2**20         # payload of one row
 SAMPLE_DOCS = 2000            # documents the dictionary is trained on, at most ...
 SAMPLE_BYTES = 8192           # ... and bytes of ids of each
 DICTIONARY_BYTES = 32768
-LEVEL = 3
+LEVEL = 1
 CACHE = 150_000               # words a worker remembers
 
 # in byte-level BPE a space followed by a non-space always starts a new piece, so the stretches between such spaces
@@ -132,7 +132,12 @@ def dictionary_hash(dictionary: bytes) -> str:
 
 
 def _as_dict(dictionary: bytes):
-    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    """The dictionary, digested once instead of for every document."""
+    if not dictionary:
+        return None
+    shared = zstandard.ZstdCompressionDict(dictionary)
+    shared.precompute_compress(level=LEVEL)
+    return shared
 
 
 def _encoded(docs: DataFrame, file: str, finish, schema: str) -> DataFrame:
