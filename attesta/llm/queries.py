@@ -61,4 +61,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_warc_derivatives")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return warc.page_derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet"))

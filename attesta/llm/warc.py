@@ -13,7 +13,8 @@ import io
 import re
 import uuid
 import zlib
-from html.parser import HTMLParser
+from html import unescape
+from itertools import accumulate
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -33,8 +34,8 @@ _SCHEMA = pa.schema([
     ("payload_digest", pa.string()), ("content_length", pa.int64()),
     ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary())])
 
-# elements whose text is not shown, and elements that end a line
-_HIDDEN = {"script", "style", "noscript", "template", "head"}
+# elements whose text is not shown (beside scripts and styles), and elements that end a line
+_HIDDEN = {"noscript", "template", "head"}
 _LINES = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "nav", "main",
           "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "hr", "aside", "form", "dd", "dt"}
 
@@ -43,14 +44,24 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record(page_id, kind: str, record_id: str, fields: list[tuple[str, str | None]], block: bytes) -> dict:
+def _record(page_id, kind: str, record_id: str, fields: list[tuple[str, str | None]], block: bytes) -> tuple:
+    """A record in the order of ``RECORD``, its header fields as pairs."""
     headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id), *[(n, v) for n, v in fields if v is not None],
                ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
     of = dict(headers)
-    return {"page_id": page_id, "record_type": kind, "record_id": record_id, "refers_to": of.get("WARC-Refers-To"),
-            "target_uri": of.get("WARC-Target-URI"), "content_type": of.get("Content-Type"),
-            "block_digest": of["WARC-Block-Digest"], "payload_digest": of.get("WARC-Payload-Digest"),
-            "content_length": len(block), "headers": [{"name": n, "value": v} for n, v in headers], "block": block}
+    return (page_id, kind, record_id, of.get("WARC-Refers-To"), of.get("WARC-Target-URI"), of.get("Content-Type"),
+            of["WARC-Block-Digest"], of.get("WARC-Payload-Digest"), len(block), headers, block)
+
+
+def _batch(records: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*records))
+    fields = [f for headers in columns[9] for f in headers]
+    pairs = pa.StructArray.from_arrays([pa.array([n for n, _ in fields], pa.string()),
+                                        pa.array([v for _, v in fields], pa.string())], ["name", "value"])
+    ends = pa.array([0, *accumulate(map(len, columns[9]))], pa.int32())
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, _SCHEMA) if f.name != "headers"]
+    arrays.insert(9, pa.ListArray.from_arrays(ends, pairs))
+    return pa.RecordBatch.from_arrays(arrays, _SCHEMA.names)
 
 
 def _urn(name: str) -> str:
@@ -61,67 +72,91 @@ def _one_line(value: str | None) -> str | None:
     return None if value is None else re.sub(r"[\r\n\x00]+", " ", value)
 
 
+def _response(page, url: str | None, html: str | None, date: str) -> tuple:
+    payload = (html or "").encode()
+    block = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+             % len(payload)) + payload
+    of_payload = digest(payload)
+    return _record(page, "response", _urn(f"{page} {url} {of_payload}"), [
+        ("WARC-Target-URI", _one_line(url)), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"),
+        ("WARC-Payload-Digest", of_payload)], block)
+
+
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """Response records of crawled pages (``page_id, url, html``).  A missing page is an empty one, a missing address
     gives no target; equal rows give equal records.  An empty table gives no rows."""
     def make(batches):
         for batch in slices(batches, "html"):
-            out = []
-            for page, url, html in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html")]):
-                payload = (html or "").encode()
-                block = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
-                         % len(payload)) + payload
-                out.append(_record(page, "response", _urn(f"{page} {url} {digest(payload)}"), [
-                    ("WARC-Target-URI", _one_line(url)), ("WARC-Date", date),
-                    ("Content-Type", "application/http; msgtype=response"),
-                    ("WARC-Payload-Digest", digest(payload))], block))
-            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+            rows = zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html")])
+            yield _batch([_response(*row, date) for row in rows])
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(make, RECORD)
 
 
-class _Page(HTMLParser):
-    """Shown text, title and links of a page."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.text, self.title, self.links, self.hidden, self.in_title = [], [], [], [], False
+def page_derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """``derivatives(responses(pages))`` in one pass: a page goes to a task's Python worker once."""
+    def make(batches):
+        for batch in slices(batches, "html"):
+            out = []
+            for row in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html")]):
+                page, *_, headers, block = _response(*row, date)
+                out += _derived(page, dict(headers), block)
+            yield _batch(out)
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "title":
-            self.in_title = True
-        elif tag in _HIDDEN:
-            self.hidden.append(tag)
-        elif tag == "body":
-            self.hidden.clear()
-        if tag in _LINES:
-            self.text.append("\n")
-        for name, value in attrs:
-            if tag == "a" and name == "href" and value:
-                self.links.append(value)
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(make, RECORD)
 
-    def handle_endtag(self, tag):
-        if tag == "title":
-            self.in_title = False
-        elif tag in self.hidden:
-            del self.hidden[self.hidden.index(tag):]
-        if tag in _LINES:
-            self.text.append("\n")
 
-    def handle_data(self, data):
-        if self.in_title:
-            self.title.append(data)
-        elif not self.hidden:
-            self.text.append(data)
+# comments, elements that hold no markup (up to their end tag), tags and declarations; a tag's end is the first ``>``
+# outside quotes
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"""
+    r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*>""", re.I | re.S)
+_HREF = re.compile(r"""(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# where joining addresses is putting them one after the other
+_ROOT = re.compile(r"https?://[\w.:-]+(?=/|\Z)")
+_PLAIN_PATH = re.compile(r"(?:/[\w-]+)+")
+_BLANKS = re.compile(r"[\t\x0b\x0c\r\x20\xa0]+")
 
 
 def plain_text(html: str) -> tuple[str, str, list[str]]:
     """(text, title, links): lines without surrounding blanks, runs of blanks as one, empty lines dropped."""
-    page = _Page()
-    page.feed(html)
-    page.close()
-    lines = (re.sub(r"[\t\x0b\x0c\r\x20\xa0]+", " ", line).strip() for line in "".join(page.text).split("\n"))
-    return "\n".join(x for x in lines if x), " ".join("".join(page.title).split()), page.links
+    text, titles, links, hidden, in_title, at = [], [], [], [], False, 0
+
+    def shown(piece: str) -> None:
+        if in_title:
+            titles.append(unescape(piece))
+        elif not hidden:
+            text.append(unescape(piece) if "&" in piece else piece)
+
+    for m in _MARKUP.finditer(html, 0, html.rfind(">") + 1):
+        begin, end = m.span()
+        if begin > at:
+            shown(html[at:begin])
+        at = end
+        tag = m[3]
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if tag == "title":
+            in_title = not m[2]
+        elif tag in _HIDDEN:
+            if not m[2]:
+                hidden.append(tag)
+            elif tag in hidden:
+                del hidden[hidden.index(tag):]
+        elif tag == "body":
+            hidden.clear()
+        elif tag == "a" and not m[2]:
+            found = _HREF.search(m[4])
+            link = found and next((x for x in found.groups() if x), None)
+            if link:
+                links.append(unescape(link))
+        if tag in _LINES:
+            text.append("\n")
+    if at < len(html):
+        shown(html[at:])
+    lines = (_BLANKS.sub(" ", line).strip() for line in "".join(text).split("\n"))
+    return "\n".join(x for x in lines if x), " ".join("".join(titles).split()), links
 
 
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -159,12 +194,12 @@ def derivatives(records: DataFrame) -> DataFrame:
             out = []
             for page, headers, block in zip(*[batch.column(c).to_pylist() for c in ("page_id", "headers", "block")]):
                 out += _derived(page, {h["name"]: h["value"] for h in headers}, block or b"")
-            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+            yield _batch(out)
 
     return records.where("record_type = 'response'").select("page_id", "headers", "block").mapInArrow(make, RECORD)
 
 
-def _derived(page, source: dict[str, str], block: bytes) -> list[dict]:
+def _derived(page, source: dict[str, str], block: bytes) -> list[tuple]:
     status, fields, payload = http_parts(block)
     text, title, links = plain_text(payload.decode(_charset(fields), "replace"))
     response, target = source["WARC-Record-ID"], source.get("WARC-Target-URI")
@@ -174,9 +209,11 @@ def _derived(page, source: dict[str, str], block: bytes) -> list[dict]:
     facts = [("http-status", status), *[(f"http-{n.lower()}", v) for n, v in fields], ("title", title),
              ("source-block-digest", source.get("WARC-Block-Digest")),
              ("source-payload-digest", source.get("WARC-Payload-Digest"))]
+    root = _ROOT.match(target or "")
     for link in links:
         try:
-            facts.append(("outlink", urljoin(target or "", link)))
+            plain = root and _PLAIN_PATH.fullmatch(link)
+            facts.append(("outlink", root[0] + link if plain else urljoin(target or "", link)))
         except ValueError:
             facts.append(("outlink", link))
     about = "".join(f"{n}: {_one_line(v)}\r\n" for n, v in facts if v).encode()

@@ -68,6 +68,7 @@ def test_warc(spark, tmp_path):
     assert of_3["conversion"] == "one two\n3 <link"
     assert "title: T & t\r\n" in of_3["metadata"] and "outlink: http://a/c\r\n" in of_3["metadata"]
     derived = warc.derivatives(warc.responses(given))
+    assert sorted(map(repr, warc.page_derivatives(given).collect())) == sorted(map(repr, rows))
     index = warc.write_files(derived, f"file://{tmp_path}/warc").collect()
     assert {i.record_id for i in index} == {r.record_id for r in rows}
     back = warc.read_files(spark, f"file://{tmp_path}/warc").collect()
