@@ -155,7 +155,7 @@ def plain_text(html: str) -> tuple[str, str, list[str]]:
             text.append("\n")
     if at < len(html):
         shown(html[at:])
-    lines = (_BLANKS.sub(" ", line).strip() for line in "".join(text).split("\n"))
+    lines = map(str.strip, _BLANKS.sub(" ", "".join(text)).split("\n"))
     return "\n".join(x for x in lines if x), " ".join("".join(titles).split()), links
 
 
