@@ -6,7 +6,9 @@ Documents are sets of distinct word n-grams; two link when their Jaccard similar
 2. Candidates: sets that can link differ in at most (sum of sizes) * (100 - least) / (100 + least) n-grams.  The n-grams
    of a set are dealt by hash into more parts than that, so linked sets agree in whole parts.  Nodes that share a part
    (the hash of all n-grams in it) are candidates; sizes are grouped in classes, and a set near the upper end of its
-   class is dealt for the next class too.  No link is lost (see ``signatures``).
+   class is dealt for the next class too.  No link is lost (see ``signatures``).  Below 90 per cent parts get so small
+   that common n-grams alone make candidates; there (``by="rare"``) a set gives its rarest n-grams instead, in a global
+   order by counted frequency, and linked sets share one of those (see ``rare_keys``).
 3. Candidate components are joined by a prefix tree: sets in a common global order (frequent n-grams first) are stored
    in a compressed trie; each set walks it once, sharing the overlap counted on common prefixes, and leaves a subtree
    as soon as the lengths that remain cannot reach the similarity, or when it is already linked to all of it.
@@ -17,6 +19,7 @@ Documents are sets of distinct word n-grams; two link when their Jaccard similar
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 
 import numpy as np
@@ -36,6 +39,8 @@ RATIO = 1.4        # of the size classes
 SPARE = 2          # parts beyond the number of differences, plus one
 BLOCK = 256        # sets of one prefix tree
 BLOCK_BYTES = 32 * 2**20
+COUNTER_BITS = 23  # frequencies are counted in 2^23 counters whatever the input: 8 MB go to the driver and the tasks
+COUNTER_SLICE = 2**17
 
 
 def size_classes(most: int, least: int = LEAST) -> np.ndarray:
@@ -119,6 +124,72 @@ def signatures(grams: np.ndarray, upto: np.ndarray, least: int = LEAST) -> tuple
     return np.concatenate(found)[order], np.bincount(owner_all, minlength=len(sizes)).cumsum()
 
 
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return (wordhash.mix(grams) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
+    """How often the n-grams of each counter occur in all documents, as ascending levels in one byte (exact up to 191).
+
+    Each task counts its own rows, the counters are added up in slices, and only the 2^COUNTER_BITS levels are fetched.
+    N-grams that share a counter get the same level: the order stays the same for all sets, so nothing is lost; with
+    far more distinct n-grams than counters the order of rare ones gets less exact, and candidates more.
+    """
+    def count(batches):
+        total = np.zeros(2**COUNTER_BITS, np.uint32)
+        for batch in slices(batches):
+            slots, counts = np.unique(_slots(shingle_sets(batch.column("text"), n)[0]), return_counts=True)
+            total[slots] += counts.astype(np.uint32)
+        for at in range(0, len(total), COUNTER_SLICE):
+            part = total[at:at + COUNTER_SLICE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array(
+                    [zlib.compress(part.tobytes(), 1)], pa.binary())], ["at", "counts"])
+
+    def add(batches):
+        last, total = None, None
+        for batch in batches:
+            for at, counts in zip(batch.column("at").to_pylist(), batch.column("counts").to_pylist()):
+                if at != last:
+                    if total is not None:
+                        yield level(last, total)
+                    last, total = at, np.zeros(COUNTER_SLICE, np.uint64)
+                total += np.frombuffer(zlib.decompress(counts), np.uint32)
+        if total is not None:
+            yield level(last, total)
+
+    def level(at, total):
+        high = np.minimum(255, 192 + 4 * np.log2(np.maximum(total, 192) / 192))
+        levels = np.where(total < 192, total, high).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([levels.tobytes()], pa.binary())],
+                                          ["at", "levels"])
+
+    counted = docs.select("text").mapInArrow(count, "at int, counts binary")
+    found = (counted.repartition(partitions(docs.sparkSession), "at").sortWithinPartitions("at")
+             .mapInArrow(add, "at int, levels binary").collect())
+    levels = np.zeros(2**COUNTER_BITS, np.uint8)
+    for row in found:
+        levels[row["at"]:row["at"] + COUNTER_SLICE] = np.frombuffer(row["levels"], np.uint8)
+    return levels
+
+
+def rare_keys(grams: np.ndarray, upto: np.ndarray, levels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest n-grams of each set, and their number up to and with each set.
+
+    Linked sets have at least ``least`` per cent of either set in common; so many that, with all n-grams in one order,
+    the first size - ceil(size * least / 100) + 1 of both share one.  N-grams whose counter stands at 1 are in no
+    other row and are left out.
+    """
+    sizes = np.diff(upto, prepend=0)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    rank = levels[_slots(grams)]
+    order = np.lexsort((rank, rows))
+    place = np.arange(len(grams)) - (upto - sizes)[rows]
+    first = sizes - -(-least * sizes // 100) + 1
+    keep = (place < first[rows]) & (rank[order] > 1)
+    return grams[order][keep], np.bincount(rows[keep], minlength=len(sizes)).cumsum()
+
+
 def set_nodes(grams: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """One 64-bit number per set, the same for equal sets."""
     sizes = np.diff(upto, prepend=0)
@@ -277,11 +348,18 @@ def _blocked(rows: DataFrame) -> DataFrame:
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
 
 
-def _described(docs: DataFrame, n: int, least: int) -> DataFrame:
+def _described(docs: DataFrame, n: int, least: int, by: str) -> DataFrame:
+    if by not in ("parts", "rare"):
+        raise ValueError(f"unknown candidate keys {by}")
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n)) if by == "rare" else None
+
     def describe(batches):
         for batch in slices(batches):
             grams, upto = shingle_sets(batch.column("text"), n)
-            sigs, ends = signatures(grams, upto, least)
+            if levels is None:
+                sigs, ends = signatures(grams, upto, least)
+            else:
+                sigs, ends = rare_keys(grams, upto, levels.value, least)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
                                              pa.array(sigs.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
@@ -356,14 +434,15 @@ def links(texts: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     return found.unionByName(written(_across(pairs, n, least), "set-links"))
 
 
-def groups(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
-    """Per document ``doc_id, n_shingles, component_id`` (the smallest id reachable by links).
+def groups(docs: DataFrame, n: int = N, least: int = LEAST, by: str = "parts") -> DataFrame:
+    """Per document ``doc_id, n_shingles, component_id`` (the smallest id reachable by links).  ``by`` names the keys
+    that make candidates, "parts" or "rare"; the result is the same.
 
     A document without words is linked with nothing.  Rows that repeat an id are joined each by its own text; a row
     without an id takes the component of an equal set (missing if there is none) and links nothing itself.  An empty
     table gives no rows.
     """
-    described = _described(docs, n, least)
+    described = _described(docs, n, least, by)
     labels = components(links(_candidate_texts(docs, described), n, least))
     copies = described.groupBy("node").agg(F.count("*").alias("n"))
     named = written(labels.join(copies, "node"), "node-labels")
@@ -378,8 +457,8 @@ def groups(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     return named.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = N, least: int = LEAST, by: str = "parts") -> DataFrame:
     """The documents that stay: of each group the one with the smallest id; documents without an id or words stay.
     Rows that repeat an id stay or go together."""
-    gone = groups(docs, n, least).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = groups(docs, n, least, by).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -35,6 +35,7 @@ def test_groups(spark, docs, which, monkeypatch):
         rows = [(r.doc_id, r.text) for r in table.collect()]
     got = sorted(tuple(r) for r in jaccard_join.groups(table).collect())
     assert got == plain_groups(rows)
+    assert sorted(tuple(r) for r in jaccard_join.groups(table, 5, 80, by="rare").collect()) == plain_groups(rows, 5, 80)
 
 
 def test_missing_ids_and_empty_table(spark, docs, empty):
@@ -43,6 +44,10 @@ def test_missing_ids_and_empty_table(spark, docs, empty):
     by_text = {r.doc_id: r.component_id for r in got.collect()}
     assert by_text[-5] == -5
     assert jaccard_join.groups(empty).count() == 0
+    assert jaccard_join.groups(empty, by="rare").count() == 0
+    assert {r.doc_id: r.component_id for r in jaccard_join.groups(docs, by="rare").collect()} == by_text
+    with pytest.raises(ValueError):
+        jaccard_join.groups(docs, by="other")
     stays = jaccard_join.one_of_each(docs)
     assert stays.columns == docs.columns
     assert stays.where("doc_id is null").count() == 2
@@ -64,3 +69,23 @@ def test_candidates_lose_no_link():
             grams, upto = np.concatenate(pair), np.cumsum([len(p) for p in pair])
             sigs, ends = jaccard_join.signatures(grams, upto)
             assert set(sigs[:ends[0]].tolist()) & set(sigs[ends[0]:].tolist())
+
+
+def test_rare_keys_lose_no_link():
+    """Sets at the limit of the similarity share a key, whatever the counters hold."""
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    for size in [5, 6, 9, 10, 19, 40, 77, 150, 400]:
+        for _ in range(40):
+            levels = rnd.integers(2, 6, 2**jaccard_join.COUNTER_BITS, dtype=np.uint8)
+            union = rnd.integers(0, 2**63, size, dtype=np.uint64)
+            differ = size - -(-size * 8 // 10)
+            cut = rnd.integers(0, differ + 1)
+            pair = [np.sort(union[cut:]), np.sort(np.concatenate([union[:cut], union[differ:]]))]
+            grams, upto = np.concatenate(pair), np.cumsum([len(p) for p in pair])
+            shared = len(set(pair[0].tolist()) & set(pair[1].tolist()))
+            if 100 * shared < 80 * (sum(map(len, pair)) - shared):
+                continue
+            keys, ends = jaccard_join.rare_keys(grams, upto, levels, 80)
+            assert set(keys[:ends[0]].tolist()) & set(keys[ends[0]:].tolist())
