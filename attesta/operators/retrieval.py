@@ -19,7 +19,7 @@ INDEX_TERM = r"[\p{L}\p{N}_]+"
 def _accents() -> tuple[str, str]:
     """Latin letters with a mark and the bare letters they fold to, by their Unicode decomposition."""
     marked, bare = [], []
-    for code in range(0xC0, 0x180):
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
         parts = unicodedata.normalize("NFD", chr(code))
         if len(parts) > 1 and chr(code).islower():
             marked.append(chr(code))

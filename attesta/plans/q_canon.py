@@ -220,7 +220,7 @@ SELECT kind, count(*) AS records, count(DISTINCT key) AS ids FROM (
 def bundle_reader(lake):
     """Documents written as a bundle and read back line by line."""
     parsed = bundles.parse_lines(bundles.bundle_lines(lake.spark, _written_bundle(lake)))
-    key = F.coalesce(F.col("record.item.item_id"), F.substring("record.relation.relation_id", 5, 40), F.col("record.manifest.seed_id"))
+    key = F.coalesce(F.col("record.item.item_id"), F.expr("substring(record.relation.relation_id, 5)"), F.col("record.manifest.seed_id"))
     return parsed.select("kind", key.alias("key")).groupBy("kind").agg(F.count("*").alias("records"),
                                                                       F.count_distinct("key").alias("ids"))
 

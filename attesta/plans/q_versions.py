@@ -163,7 +163,7 @@ SELECT coalesce(s.source_id, b.source_id) AS source_id, coalesce(b.revision, CAS
        WHEN s.revision IS NOT DISTINCT FROM b.revision AND s.as_of = b.as_of THEN 'unchanged' ELSE 'updated' END AS outcome
 FROM stored s FULL JOIN bundle b ON s.source_id = b.source_id""")
 def source_upsert(lake):
-    n = F.substring("source_id", 4, 10).cast("int")
+    n = F.expr("substring(source_id, 4)").cast("int")
     stored = ref.normalise_sources(lake.raw_sources()).where(n % 7 != 2)
     bundle = ref.normalise_sources(lake.current_sources()).where(n % 4 != 1)
     joined = stored.alias("s").join(bundle.alias("b"), F.col("s.source_id") == F.col("b.source_id"), "full_outer")

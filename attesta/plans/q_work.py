@@ -9,7 +9,7 @@ from attesta.functions.rules import violations
 from attesta.operators import work
 from attesta.operators.integrity import changed_rows, duplicate_keys, missing_references
 from attesta.plans.registry import query
-from attesta.plans.scale import lookup_join, top_k_per_group
+from attesta.plans.scale import Running, lookup_join, running_values, top_k_per_group
 
 PRIORITY_SQL = "CASE priority WHEN 'P0' THEN 0 WHEN 'P1' THEN 1 WHEN 'P2' THEN 2 WHEN 'P3' THEN 3 ELSE 4 END"
 BUCKET_SQL = """
@@ -290,11 +290,11 @@ def truncation_probe(lake):
 
 
 @query("K6_source_order", needs=("ws",), sql="""
-SELECT project_id, source_id, row_number() OVER (PARTITION BY project_id ORDER BY role, title, source_id) AS place FROM ws
-QUALIFY place <= 50""")
+SELECT project_id, source_id, row_number() OVER (PARTITION BY project_id ORDER BY role, title, source_id) AS place FROM ws""")
 def source_order(lake):
-    order = [F.col("role").asc(), F.col("title").asc(), F.col("source_id").asc()]
-    return top_k_per_group(lake.work_sources(), ["project_id"], order, 50, "place").select("project_id", "source_id", "place")
+    place = Running("sum", F.lit(1).cast("long"), inclusive=True)
+    return running_values(lake.work_sources(), ["project_id"], ["role", "title", "source_id"], {"place": place},
+                          [["role"]]).select("project_id", "source_id", "place")
 
 
 @query("R3_ranked_search", sql="""

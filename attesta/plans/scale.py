@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.session import written
-
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
                     rank_name: str = "rank") -> DataFrame:
@@ -61,43 +59,21 @@ def _combine(kind: str, value: Column) -> Column:
     raise ValueError(f"unknown running value {kind}")
 
 
-# a window task may sort this many rows of one key; larger keys are cut into buckets
-HOT_ROWS = 1_000_000
-
-
 def running_values(df: DataFrame, keys: list[str], order: list[str], outputs: dict[str, Running],
-                   levels: list[list[str]], reverse: bool = False, hot_rows: int | None = None) -> DataFrame:
+                   levels: list[list[str]], reverse: bool = False) -> DataFrame:
     """Window values over the rows before (or after) each row, exact for keys of any size.
 
-    Rows per key are counted first (partially in the tasks).  Without a key above ``hot_rows`` this is a plain
-    window.  Otherwise the rows of such keys are cut into (key, bucket): each task sorts one bucket only, what
-    earlier buckets contribute is one partially aggregated row per bucket, carried over the buckets of the key by
-    the next coarser level, and joined back.  All other keys stay one bucket.
+    Rows are cut into (key, bucket): each task sorts one bucket only, what earlier buckets contribute is one
+    partially aggregated row per bucket, carried over the buckets of the key by the next coarser level, and joined
+    back.  It is one plan for keys of every size; no job runs while it is built.
 
     Keys are never null (they are primary keys of the domain tables).  ``levels`` lists bucket columns from fine to
     coarse; the buckets must follow ``order`` and the columns of a coarser level must be among those of the finer
-    one.  The table of hot keys holds at most (all rows / ``hot_rows``) keys; it is written once, so that both
-    sides of the plan see the same keys.
+    one.  Without levels it is a plain window.
     """
-    names = list(outputs)
-    inputs = df
-    for name in names:
-        inputs = inputs.withColumn(f"__in_{name}", outputs[name].value)
-    specs = {n: (outputs[n].kind, outputs[n].inclusive) for n in names}
-    extra = [f"__in_{n}" for n in names]
-    if levels:
-        limit = HOT_ROWS if hot_rows is None else hot_rows
-        counts = df.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") > limit)
-        hot = written(counts.select(*keys, F.lit(True).alias("__hot")), "hot-keys")
-        if one_row_flag(hot):
-            inputs = inputs.join(hot, keys, "left")
-            cut = sorted({c for level in levels for c in level})
-            inputs = inputs.withColumns({f"__b_{c}": F.when(F.col("__hot"), F.col(c)) for c in cut})
-            levels = [[f"__b_{c}" for c in level] for level in levels]
-            extra += ["__hot", *[f"__b_{c}" for c in cut]]
-        else:
-            levels = []
-    return _running(inputs, keys, order, specs, levels, reverse).drop(*extra)
+    inputs = df.withColumns({f"__in_{n}": o.value for n, o in outputs.items()})
+    specs = {n: (o.kind, o.inclusive) for n, o in outputs.items()}
+    return _running(inputs, keys, order, specs, levels, reverse).drop(*[f"__in_{n}" for n in outputs])
 
 
 def _running(df, keys, order, specs, levels, reverse):
@@ -113,9 +89,7 @@ def _running(df, keys, order, specs, levels, reverse):
             else:
                 total = _combine(kind, value)
             totals.append(total.alias(f"__in_{name}"))
-        # only hot keys have buckets to carry over; coarser levels hold nothing else
-        cut = df.where("__hot") if "__hot" in df.columns else df
-        per_bucket = cut.groupBy(*keys, *bucket).agg(*totals)
+        per_bucket = df.groupBy(*keys, *bucket).agg(*totals)
         carried = _running(per_bucket, keys, bucket, {n: (kind, False) for n, (kind, _) in specs.items()},
                            levels[1:], reverse)
         carried = carried.select(*keys, *bucket, *[F.col(n).alias(f"__carry_{n}") for n in specs])

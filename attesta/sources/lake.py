@@ -42,7 +42,7 @@ class Lake:
         """One record per document source, with blanks where a bundle would leave a field empty."""
         n = F.col("n")
         return (self.table("documents").select(F.col("source").alias("source_id")).distinct()
-                .withColumn("n", F.substring("source_id", 4, 10).cast("int"))
+                .withColumn("n", F.expr("substring(source_id, 4)").cast("int"))
                 .select(
                     "source_id", F.concat(F.lit("Source "), n).alias("title"),
                     pick(SURFACES, n).alias("surface"), pick(SOURCE_KINDS, n).alias("source_kind"),
@@ -58,7 +58,7 @@ class Lake:
 
     def current_sources(self) -> DataFrame:
         """The same sources after a later revision of every third one."""
-        n = F.substring("source_id", 4, 10).cast("int")
+        n = F.expr("substring(source_id, 4)").cast("int")
         moved = n % 3 == 0
         return (self.raw_sources()
                 .withColumn("revision", F.when(moved, "r9").otherwise(F.col("revision")))
