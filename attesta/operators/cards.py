@@ -39,9 +39,11 @@ def _line_flags(line: Column) -> Column:
             F.lit(key).alias("key"), F.coalesce(value, F.lit("<ambiguous>")).alias("value"),
             F.when(value.isNull(), "AMBIGUOUS").alias("problem"))))
     strict = F.filter(F.array(*declared), lambda d: d.isNotNull())
-    inline = r"(?<![A-Za-z0-9_])(" + "|".join(keys) + r")\s*[:=]"
-    loose = F.transform(F.regexp_extract_all(line, F.lit(inline), F.lit(1)), lambda k: F.struct(
-        k.alias("key"), F.lit("<inline>").alias("value"), F.lit("INLINE").alias("problem")))
+    inline = r"(?<![A-Za-z0-9_])(" + "|".join(keys) + r")\s*[:=]\s*`?([A-Za-z0-9_]*)"
+    loose = F.zip_with(
+        F.regexp_extract_all(line, F.lit(inline), F.lit(1)), F.regexp_extract_all(line, F.lit(inline), F.lit(2)),
+        lambda k, value: F.struct(k.alias("key"), F.when(value == "", "<inline>").otherwise(value).alias("value"),
+                                  F.lit("INLINE").alias("problem")))
     return F.when(F.size(strict) > 0, strict).otherwise(loose)
 
 

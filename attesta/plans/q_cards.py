@@ -94,7 +94,7 @@ def carried_headings(lake):
 
 @query("V13_authority_contract", sql=f"""
 SELECT page_id, concat_ws(',', CASE kind WHEN 1 THEN 'CANON:MISSING' WHEN 2 THEN 'CANON:DUPLICATE' WHEN 3 THEN 'CANON:CONFLICTING'
-   WHEN 4 THEN 'CANON:AMBIGUOUS' WHEN 5 THEN 'CANON:INLINE,CANON:WRONG_VALUE' WHEN 6 THEN 'CANON:WRONG_VALUE' END,
+   WHEN 4 THEN 'CANON:AMBIGUOUS' WHEN 5 THEN 'CANON:INLINE' WHEN 6 THEN 'CANON:WRONG_VALUE' END,
    CASE WHEN kind = 0 THEN 'STATUS:WRONG_VALUE' END) AS problems FROM (SELECT page_id, page_id % {KINDS} AS kind FROM pages)""")
 def authority_contract(lake):
     rows = cards.with_authority_problems(index_documents(lake), "text")

@@ -73,7 +73,7 @@ def running_values(df: DataFrame, keys: list[str], order: list[str], outputs: di
     """
     inputs = df.withColumns({f"__in_{n}": o.value for n, o in outputs.items()})
     specs = {n: (o.kind, o.inclusive) for n, o in outputs.items()}
-    return _running(inputs, keys, order, specs, levels, reverse).drop(*[f"__in_{n}" for n in outputs])
+    return _running(inputs, keys, order, specs, levels, reverse).select(*df.columns, *outputs)
 
 
 def _running(df, keys, order, specs, levels, reverse):

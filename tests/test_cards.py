@@ -50,3 +50,15 @@ def test_inline_fields(spark, line, want):
     fields = cards.card_fields(cards.card_lines(documents, "doc", F.col("text")), "doc")
     got = {r.field: r.value for r in fields.collect()}
     assert {k: got.get(k) for k in want} == want and None not in got
+
+
+def test_inline_flags_keep_their_value(spark):
+    """A flag inside prose is a problem of its own; its value counts as a declaration like any other."""
+    heads = [[*HEAD[:2], "see CANON=NO here", *HEAD[3:]], [*HEAD, "see CANON=NO here"], [*HEAD, "see CANON=YES here"],
+             [*HEAD[:2], "see CANON: here", *HEAD[3:]]]
+    rows = spark.createDataFrame([(i, text(h)) for i, h in enumerate(heads)], "id long, text string")
+    got = {r.id: r.problems for r in cards.with_authority_problems(rows, "text").collect()}
+    assert got[0] == ["CANON:INLINE"]
+    assert got[1] == ["CANON:DUPLICATE", "CANON:INLINE"]
+    assert got[2] == ["CANON:CONFLICTING", "CANON:INLINE"]
+    assert got[3] == ["CANON:INLINE", "CANON:WRONG_VALUE"]
