@@ -8,7 +8,8 @@ Documents are sets of distinct word n-grams; two link when their Jaccard similar
    (the hash of all n-grams in it) are candidates; sizes are grouped in classes, and a set near the upper end of its
    class is dealt for the next class too.  No link is lost (see ``signatures``).  Below 90 per cent parts get so small
    that common n-grams alone make candidates; there (``by="rare"``) a set gives its rarest n-grams instead, in a global
-   order by counted frequency, and linked sets share one of those (see ``rare_keys``).
+   order by counted frequency, and linked sets share several of those (see ``rare_keys``).  A set that shares fewer
+   keys than any link needs goes, and with it its keys, round after round (see ``_peeled``).
 3. Candidate components are joined by a prefix tree: sets in a common global order (frequent n-grams first) are stored
    in a compressed trie; each set walks it once, sharing the overlap counted on common prefixes, and leaves a subtree
    as soon as the lengths that remain cannot reach the similarity, or when it is already linked to all of it.
@@ -41,6 +42,8 @@ BLOCK = 256        # sets of one prefix tree
 BLOCK_BYTES = 32 * 2**20
 COUNTER_BITS = 23  # frequencies are counted in 2^23 counters whatever the input: 8 MB go to the driver and the tasks
 COUNTER_SLICE = 2**17
+EXTRA = 10         # one key in so many n-grams beyond those that a linked set may lack
+PEELS = 3          # rounds in which sets with too few shared keys go (any number is right; more leave fewer candidates)
 
 
 def size_classes(most: int, least: int = LEAST) -> np.ndarray:
@@ -176,20 +179,27 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
 def rare_keys(grams: np.ndarray, upto: np.ndarray, levels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The rarest n-grams of each set, and their number up to and with each set.
 
-    Linked sets have at least ``least`` per cent of either set in common; so many that, with all n-grams in one order,
-    the first size - ceil(size * least / 100) + 1 of both share one.  N-grams whose counter stands at 1 are in no
-    other row and are left out.
+    Linked sets have at least ``least`` per cent of either set in common.  So a set lacks at most size - ceil(size *
+    least / 100) of its partner's, and with all n-grams in one order, the first k that both have are among the first
+    size - ceil(size * least / 100) + k of each.  A set gives k = size / EXTRA, at least 1; both share the smaller k, and
+    the partner has at least ``least`` per cent of the size (see ``keys_needed``).  N-grams whose counter stands at 1
+    are in no other row and are left out.
     """
     sizes = np.diff(upto, prepend=0)
     rows = np.repeat(np.arange(len(sizes)), sizes)
     rank = levels[_slots(grams)]
     order = np.lexsort((rank, rows))
     place = np.arange(len(grams)) - (upto - sizes)[rows]
-    first = sizes - -(-least * sizes // 100) + 1
+    first = sizes - -(-least * sizes // 100) + np.maximum(1, sizes // EXTRA)
     keep = (place < first[rows]) & (rank[order] > 1)
     return grams[order][keep], np.bincount(rows[keep], minlength=len(sizes)).cumsum()
 
 
+def keys_needed(size, least: int):
+    """How many of its rare keys a set (a column of sizes) shares with each set that it links to, at least."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(size * least / 100) / EXTRA)).cast("long")
+
+
 def set_nodes(grams: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """One 64-bit number per set, the same for equal sets."""
     sizes = np.diff(upto, prepend=0)
@@ -370,15 +380,38 @@ def _described(docs: DataFrame, n: int, least: int, by: str) -> DataFrame:
                    .mapInArrow(describe, "doc_id long, n_shingles long, node long, sigs array<long>"), "shingle-sets")
 
 
-def _candidate_texts(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """``comp, node, label, text`` of one document per node that shares a part with another node."""
-    parts = described.where("doc_id is not null").select("node", F.explode("sigs").alias("sig"))
-    shared = written(parts.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("other"),
-                                              F.count("*").alias("n")).where("leader <> other").drop("other"),
+def _with_leaders(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` (``node, sig`` and more) whose key is in several nodes, plus the ``leader`` of the key."""
+    shared = written(keys.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("other"),
+                                             F.count("*").alias("n")).where("leader <> other").drop("other"),
                      "shared-parts")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    stars = matched(parts, shared, "sig", "n", total).where("leader <> node").select(
-        F.col("node").alias("a"), F.col("leader").alias("b"))
+    return matched(keys, shared, "sig", "n", total).where("leader is not null").drop("n")
+
+
+def _peeled(keys: DataFrame) -> DataFrame:
+    """``keys`` with leaders after ``PEELS`` rounds in which nodes with fewer shared keys than they ``need`` go.
+
+    A set shares the keys it needs with each set that it links to, and so does its partner: neither goes in any round,
+    and the keys they share stay.  Sets that have only a passage in common mostly go.
+    """
+    keys = written(_with_leaders(keys).drop("leader").distinct(), "shared-keys")
+    for _ in range(PEELS):
+        enough = keys.groupBy("node").agg(F.count("*").alias("has"), F.first("need").alias("need")).where("has >= need")
+        keys = written(_with_leaders(keys.join(enough.select("node"), "node", "left_semi")), "peeled-keys")
+        keys, led = keys.drop("leader"), keys
+    return led
+
+
+def _candidate_texts(docs: DataFrame, described: DataFrame, least: int, by: str) -> DataFrame:
+    """``comp, node, label, text`` of one document per node that shares enough parts with other nodes."""
+    own = described.where("doc_id is not null")
+    if by == "rare":
+        led = _peeled(own.select("node", keys_needed(F.col("n_shingles"), least).alias("need"),
+                                 F.explode("sigs").alias("sig")))
+    else:
+        led = _with_leaders(own.select("node", F.explode("sigs").alias("sig")))
+    stars = led.where("leader <> node").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     comps = components(stars)
     first = described.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("__key"))
     chosen = written(first.join(comps, "node").select("node", F.col("label").alias("comp"), "__key"), "chosen")
@@ -443,7 +476,7 @@ def groups(docs: DataFrame, n: int = N, least: int = LEAST, by: str = "parts") -
     table gives no rows.
     """
     described = _described(docs, n, least, by)
-    labels = components(links(_candidate_texts(docs, described), n, least))
+    labels = components(links(_candidate_texts(docs, described, least, by), n, least))
     copies = described.groupBy("node").agg(F.count("*").alias("n"))
     named = written(labels.join(copies, "node"), "node-labels")
     labelled = (matched(described.select("doc_id", "n_shingles", "node"), named, "node", "n", described.count())

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.llm import jaccard_join
 from attesta.llm.common import documents
@@ -72,8 +73,9 @@ def test_candidates_lose_no_link():
 
 
 def test_rare_keys_lose_no_link():
-    """Sets at the limit of the similarity share a key, whatever the counters hold."""
+    """Sets at the limit of the similarity share as many keys as either needs, whatever the counters hold."""
     import numpy as np
+    needed = {size: max(1, -(-size * 8 // 10) // jaccard_join.EXTRA) for size in range(401)}
 
     rnd = np.random.default_rng(8)
     for size in [5, 6, 9, 10, 19, 40, 77, 150, 400]:
@@ -88,4 +90,11 @@ def test_rare_keys_lose_no_link():
             if 100 * shared < 80 * (sum(map(len, pair)) - shared):
                 continue
             keys, ends = jaccard_join.rare_keys(grams, upto, levels, 80)
-            assert set(keys[:ends[0]].tolist()) & set(keys[ends[0]:].tolist())
+            both = set(keys[:ends[0]].tolist()) & set(keys[ends[0]:].tolist())
+            assert len(both) >= max(needed[len(p)] for p in pair)
+
+
+def test_keys_needed(spark):
+    """The column agrees with whole-number arithmetic."""
+    rows = spark.range(1, 401).select("id", jaccard_join.keys_needed(F.col("id"), 80).alias("needed")).collect()
+    assert all(r.needed == max(1, -(-r.id * 8 // 10) // jaccard_join.EXTRA) for r in rows)
