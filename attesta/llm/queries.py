@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import exact_dedup, jaccard_join, katz, mixing, pieces, quality, sharding, suffix_dedup, token_store, warc
+from attesta.llm import exact_dedup, jaccard_join, mixing, pieces, quality, sharding, suffix_dedup, token_store, trigrams, warc
 from attesta.llm.common import documents, tokenizer_file
 from attesta.llm.registry import query
 
@@ -46,7 +46,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_katz_scores")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(documents(spark, sf_dir))
+    return trigrams.score(documents(spark, sf_dir))
 
 
 @query("op8_jaccard_join")
