@@ -300,7 +300,7 @@ def link_sets(sets: list[np.ndarray], labels: list[int], stored: list[int], aski
 
 
 def _sets_of(texts: list, nodes: list[int], n: int) -> tuple[list[np.ndarray], list[int]]:
-    """Sets of the texts that have the expected node (rows that share an id may have another text)."""
+    """Sets of the texts that have the expected node."""
     grams, upto = shingle_sets(pa.array(texts, pa.large_string()), n)
     found = set_nodes(grams, upto)
     sets = np.split(grams, upto[:-1])
@@ -312,8 +312,9 @@ def _in_blocks(rows: DataFrame, n: int, least: int) -> DataFrame:
     """Links found inside each (``comp``, ``block``) of ``rows`` (``node, label, text``): ``a, b``."""
     def join(batches):
         for _, group in runs(slices(batches), ["comp", "block"], ["node", "label", "text"]):
-            group = list({g[0]: g for g in group}.values())
             sets, keep = _sets_of([g[2] for g in group], [g[0] for g in group], n)
+            one = list({group[i][0]: at for at, i in enumerate(keep)}.values())   # equal rows have equal sets
+            sets, keep = [sets[at] for at in one], [keep[at] for at in one]
             if len(sets) < 2:
                 continue
             nodes = [group[i][0] for i in keep]
@@ -358,6 +359,11 @@ def _blocked(rows: DataFrame) -> DataFrame:
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
 
 
+def _row_key():
+    """What tells rows apart that share an id or have none: a hash of id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def _described(docs: DataFrame, n: int, least: int, by: str) -> DataFrame:
     if by not in ("parts", "rare"):
         raise ValueError(f"unknown candidate keys {by}")
@@ -373,11 +379,11 @@ def _described(docs: DataFrame, n: int, least: int, by: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
                                              pa.array(sigs.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(upto, prepend=0).astype(np.int64)),
-                 pa.array(set_nodes(grams, upto)), lists], ["doc_id", "n_shingles", "node", "sigs"])
+                [batch.column("doc_id"), batch.column("__row"), pa.array(np.diff(upto, prepend=0).astype(np.int64)),
+                 pa.array(set_nodes(grams, upto)), lists], ["doc_id", "__row", "n_shingles", "node", "sigs"])
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text")
-                   .mapInArrow(describe, "doc_id long, n_shingles long, node long, sigs array<long>"), "shingle-sets")
+    return written(docs.select(F.col("doc_id").cast("long"), _row_key().alias("__row"), "text").mapInArrow(
+        describe, "doc_id long, __row long, n_shingles long, node long, sigs array<long>"), "shingle-sets")
 
 
 def _with_leaders(keys: DataFrame) -> DataFrame:
@@ -405,21 +411,20 @@ def _peeled(keys: DataFrame) -> DataFrame:
 
 def _candidate_texts(docs: DataFrame, described: DataFrame, least: int, by: str) -> DataFrame:
     """``comp, node, label, text`` of one document per node that shares enough parts with other nodes."""
-    own = described.where("doc_id is not null")
     if by == "rare":
-        led = _peeled(own.select("node", keys_needed(F.col("n_shingles"), least).alias("need"),
-                                 F.explode("sigs").alias("sig")))
+        led = _peeled(described.select("node", keys_needed(F.col("n_shingles"), least).alias("need"),
+                                       F.explode("sigs").alias("sig")))
     else:
-        led = _with_leaders(own.select("node", F.explode("sigs").alias("sig")))
+        led = _with_leaders(described.select("node", F.explode("sigs").alias("sig")))
     stars = led.where("leader <> node").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     comps = components(stars)
-    first = described.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("__key"))
+    first = described.groupBy("node").agg(F.min("__row").alias("__key"))
     chosen = written(first.join(comps, "node").select("node", F.col("label").alias("comp"), "__key"), "chosen")
-    # a filter of the chosen ids, of bounded size, keeps most other texts out of the exchange
+    # a filter of the chosen rows, of bounded size, keeps most other texts out of the exchange
     size = min(SLICE_WORDS, max(1, -(-chosen.count() * BITS_PER_ROW // 64)))
     word, mine = F.pmod(F.xxhash64("__key"), F.lit(size)), _signature(F.col("__key"))
     bits = chosen.groupBy(word.alias("__word")).agg(F.bit_or(mine).alias("__bits"))
-    texts = (docs.select(F.col("doc_id").cast("long").alias("__key"), "text").withColumn("__word", word)
+    texts = (docs.select(_row_key().alias("__key"), "text").withColumn("__word", word)
              .join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(mine) == mine)
              .select("__key", "text"))
     return written(texts.join(chosen, "__key").select("comp", "node", F.col("node").alias("label"), "text"),
@@ -467,31 +472,40 @@ def links(texts: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     return found.unionByName(written(_across(pairs, n, least), "set-links"))
 
 
-def groups(docs: DataFrame, n: int = N, least: int = LEAST, by: str = "parts") -> DataFrame:
-    """Per document ``doc_id, n_shingles, component_id`` (the smallest id reachable by links).  ``by`` names the keys
-    that make candidates, "parts" or "rare"; the result is the same.
-
-    A document without words is linked with nothing.  Rows that repeat an id are joined each by its own text; a row
-    without an id takes the component of an equal set (missing if there is none) and links nothing itself.  An empty
-    table gives no rows.
-    """
+def _components(docs: DataFrame, n: int, least: int, by: str) -> DataFrame:
+    """Per row ``doc_id, __row, n_shingles`` and of its group, if that has several rows, the row ``first`` with the
+    smallest id."""
     described = _described(docs, n, least, by)
     labels = components(links(_candidate_texts(docs, described, least, by), n, least))
     copies = described.groupBy("node").agg(F.count("*").alias("n"))
     named = written(labels.join(copies, "node"), "node-labels")
-    labelled = (matched(described.select("doc_id", "n_shingles", "node"), named, "node", "n", described.count())
-                .withColumn("label", F.coalesce("label", "node")))
-    labelled = written(labelled.select("doc_id", "n_shingles", "label"), "set-labels")
+    rows = described.select("doc_id", "__row", "n_shingles", "node")
+    labelled = matched(rows, named, "node", "n", described.count()).withColumn("label", F.coalesce("label", "node"))
+    labelled = written(labelled.select("doc_id", "__row", "n_shingles", "label"), "set-labels")
     total = labelled.count()
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "__row"))
     per_label = written(labelled.where("n_shingles > 0").groupBy("label").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "set-groups")
+        F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1"), "set-groups")
     named = matched(labelled, per_label, "label", "n", total)
-    linked = F.when(F.col("n_shingles") > 0, F.col("first_id"))
-    return named.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
+    return named.select("doc_id", "__row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).alias("first"))
+
+
+def groups(docs: DataFrame, n: int = N, least: int = LEAST, by: str = "parts") -> DataFrame:
+    """Per document ``doc_id, n_shingles, component_id`` (the smallest id reachable by links).  ``by`` names the keys
+    that make candidates, "parts" or "rare"; the result is the same.
+
+    A document without words is linked with nothing.  Rows that repeat an id and rows without one are joined each by
+    its own text; the component is missing where no linked row has an id.  An empty table gives no rows.
+    """
+    rows = _components(docs, n, least, by)
+    return rows.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, least: int = LEAST, by: str = "parts") -> DataFrame:
     """The documents that stay: of each group the one with the smallest id; documents without an id or words stay.
-    Rows that repeat an id stay or go together."""
-    gone = groups(docs, n, least, by).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    Rows that repeat an id are judged each by its own text; rows equal in id and text stay or go together."""
+    gone = _components(docs, n, least, by).where(
+        (F.col("first.doc_id") < F.col("doc_id"))
+        | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.__row") != F.col("__row"))))
+    gone = gone.select(F.col("__row").alias("__gone")).distinct()
+    return docs.join(gone, _row_key() == F.col("__gone"), "left_anti")

@@ -98,3 +98,20 @@ def test_keys_needed(spark):
     """The column agrees with whole-number arithmetic."""
     rows = spark.range(1, 401).select("id", jaccard_join.keys_needed(F.col("id"), 80).alias("needed")).collect()
     assert all(r.needed == max(1, -(-r.id * 8 // 10) // jaccard_join.EXTRA) for r in rows)
+
+
+@pytest.mark.parametrize("by", ["parts", "rare"])
+def test_rows_that_share_or_lack_an_id(spark, by):
+    """Each row links by its own text, with and without an id, and only rows that are near copies go."""
+    a, b, c = (near_copies(seed, 120, 1, 0)[0] for seed in (11, 12, 13))
+    words = [f"v{i}" for i in range(140)]
+    chain = [" ".join([f"{'xyz'[k]}{i}" if i < 12 * k else w for i, w in enumerate(words)]) for k in range(2)]
+    chain.append(" ".join([*chain[1].split()[:128], *[f"q{i}" for i in range(12)]]))
+    rows = [(1, a), (1, b), (2, a + " end"), (2, c), (3, b + " end"), (4, chain[0]), (None, chain[1]), (5, chain[2]),
+            (6, a + " last"), (6, a + " last word")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.groups(table, 3, 80, by=by).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [
+        (0, 4), (1, 1), (1, 1), (2, 1), (2, 2), (3, 1), (4, 4), (5, 4), (6, 1), (6, 1)]
+    stays = [tuple(r) for r in jaccard_join.one_of_each(table, 3, 80, by=by).collect()]
+    assert sorted(stays, key=str) == sorted([(1, a), (1, b), (2, c), (4, chain[0]), (None, chain[1])], key=str)
