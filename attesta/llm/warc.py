@@ -36,6 +36,7 @@ _SCHEMA = pa.schema([
 
 # elements whose text is not shown (beside scripts and styles), and elements that end a line
 _HIDDEN = {"noscript", "template", "head"}
+_IN_HEAD = {"html", "head", "title", "meta", "link", "base", "noscript", "template"}   # scripts, styles: see _MARKUP
 _LINES = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "nav", "main",
           "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "hr", "aside", "form", "dd", "dt"}
 
@@ -111,6 +112,10 @@ def page_derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"""
     r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*>""", re.I | re.S)
+# the tags that tell whether a title, noscript or template is closed: the first one after it is its end tag
+_CLOSING = {"title": re.compile(r"<(?:(/title)|title|/?(?:head|body))(?=[\s/>])", re.I),
+            "noscript": re.compile(r"<(?:(/noscript)|noscript|/?(?:head|body))(?=[\s/>])", re.I),
+            "template": re.compile(r"<(?:(/template)|/?(?:head|body))(?=[\s/>])", re.I)}
 _HREF = re.compile(r"""(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # where joining addresses is putting them one after the other
 _ROOT = re.compile(r"https?://[\w.:-]+(?=/|\Z)")
@@ -119,13 +124,23 @@ _BLANKS = re.compile(r"[\t\x0b\x0c\r\x20\xa0]+")
 
 
 def plain_text(html: str) -> tuple[str, str, list[str]]:
-    """(text, title, links): lines without surrounding blanks, runs of blanks as one, empty lines dropped."""
-    text, titles, links, hidden, in_title, at = [], [], [], [], False, 0
+    """(text, title, links): lines without surrounding blanks, runs of blanks as one, empty lines dropped.
+
+    A head without its end tag ends at the first text or start tag that cannot stand in it, a title without one at the
+    next tag; a noscript or template without one hides nothing."""
+    text, titles, links, hidden, in_title, closed, at = [], [], [], [], False, False, 0
+
+    def has_end(tag: str, after: int) -> bool:
+        found = _CLOSING[tag].search(html, after)
+        return found is not None and found[1] is not None
 
     def shown(piece: str) -> None:
         if in_title:
             titles.append(unescape(piece))
-        elif not hidden:
+            return
+        if hidden == ["head"] and not piece.isspace():
+            hidden.clear()
+        if not hidden:
             text.append(unescape(piece) if "&" in piece else piece)
 
     for m in _MARKUP.finditer(html, 0, html.rfind(">") + 1):
@@ -137,11 +152,17 @@ def plain_text(html: str) -> tuple[str, str, list[str]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if in_title and not closed:
+            in_title = False
+        if hidden == ["head"] and not m[2] and tag not in _IN_HEAD:
+            hidden.clear()
         if tag == "title":
             in_title = not m[2]
+            closed = in_title and has_end(tag, end)
         elif tag in _HIDDEN:
             if not m[2]:
-                hidden.append(tag)
+                if tag == "head" or has_end(tag, end):
+                    hidden.append(tag)
             elif tag in hidden:
                 del hidden[hidden.index(tag):]
         elif tag == "body":

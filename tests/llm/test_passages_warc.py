@@ -76,3 +76,19 @@ def test_warc(spark, tmp_path):
     assert {key(r): (r.headers, bytes(r.block)) for r in back} == {r.record_id: (r.headers, bytes(r.block)) for r in rows}
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.derivatives(warc.responses(none)).count() == 0
+
+
+@pytest.mark.parametrize("html, text, title", [
+    ("<head><title>x</title><p>one<p>two", "one\ntwo", "x"),
+    ("<html><head><meta a><title>x</title>one <b>two</b>", "one two", "x"),
+    ("<head><title>x</title><script>no</script><style>no</style><link a><div>one</div></html>", "one", "x"),
+    ("<head><title>x</title></head>one", "one", "x"),
+    ("<head><title>x<p>one<p>two", "one\ntwo", "x"),
+    ("<title>x</head><body>one <svg><title>y</title></svg>two", "one two", "xy"),
+    ("<head><title>x</title><noscript><p>one", "one", "x"),
+    ("<head><title>x</title><noscript><img a>no</noscript></head><body>one", "one", "x"),
+    ("<body>one <template>two", "one two", ""),
+    ("<body>one <noscript>two <noscript>no</noscript> three", "one two three", ""),
+    ("<title>a <i>b</i> c</title><p>one", "one", "a b c")])
+def test_omitted_and_unclosed_tags(html, text, title):
+    assert warc.plain_text(html)[:2] == (text, title)
