@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import exact_dedup, jaccard_join, mixing, pieces, quality, sharding, suffix_dedup, token_store, trigrams, warc
+from attesta.llm import check_sql, conversations, exact_dedup, jaccard_join, mixing, pieces, quality, sharding, suffix_dedup, token_store, trigrams, warc
 from attesta.llm.common import documents, tokenizer_file
 from attesta.llm.registry import query
 
@@ -62,3 +62,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_warc_derivatives")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op13_conversation_repair", sql=check_sql.REPAIR_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
