@@ -92,3 +92,40 @@ REPAIR_SQL = REPAIR_SQL % {
     "role_a": _step(2, "1 + extra + gone", "R", "'assistant:' || text"),
     **{f"in_u{s}": _step(s, "5", "I", "'user:'") for s in (0, 1, 3)},
     "in_a": _step(2, "5", "I", "'assistant:'"), "in_a0": _twice(0), "in_a1": _twice(1)}
+
+
+RESAMPLING_SQL = f"""
+WITH {CRC_TABLE},
+lowered AS (
+    SELECT 0 AS side, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+    UNION ALL
+    SELECT 1, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+numbered AS (SELECT *, row_number() OVER () AS n FROM lowered),
+words AS (
+    SELECT n, side, unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM numbered),
+hexed AS (SELECT word, hex(encode(word)) AS bytes FROM (SELECT DISTINCT word FROM words)),
+hashed AS (SELECT word, {crc32_of("bytes")} % 10000 AS bucket FROM hexed, crc_table),
+counts AS (
+    SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t
+    FROM words JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+gains AS (
+    SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE)
+                                   / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM counts, sums),
+weighed AS (
+    SELECT n, count(*) AS n_features, sum(gain)::BIGINT AS weight
+    FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY n),
+scored AS (
+    SELECT n, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           ('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT AS h
+    FROM numbered LEFT JOIN weighed USING (n) WHERE side = 0),
+placed AS (
+    SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+ordered AS (
+    SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id NULLS LAST) AS place,
+           count(*) FILTER (n_features >= 20) OVER () AS able
+    FROM placed)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM ordered"""
