@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import check_sql, conversations, exact_dedup, jaccard_join, mixing, pieces, quality, resampling, sharding, suffix_dedup, token_store, trigrams, warc
+from attesta.llm import check_sql, conversations, exact_dedup, jaccard_join, language, mixing, pieces, quality, resampling, sharding, suffix_dedup, token_store, trigrams, warc
 from attesta.llm.common import documents, tokenizer_file
 from attesta.llm.registry import query
 
@@ -72,3 +72,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_importance_resampling", sql=check_sql.RESAMPLING_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(documents(spark, sf_dir))
