@@ -1,8 +1,7 @@
-"""Text index and ranked retrieval.  Queries are parameters; each scoring is one scan of the records."""
+"""Tokens and postings of texts, cuts and grades of hits, pieces of documents.  ``search_index`` searches."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -10,10 +9,9 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
 from attesta.plans.scale import lookup_join, top_k_per_group
-from attesta.session import written
 
-MAX_QUERY_TERMS = 400
 INDEX_TERM = r"[\p{L}\p{N}_]+"
+QUERY_TERM = r"[\p{L}\p{N}_]{2,}"
 
 
 def _accents() -> tuple[str, str]:
@@ -33,21 +31,21 @@ def index_fold(text: Column) -> Column:
     return F.translate(F.lower(text), marked, bare)
 
 
-def query_fold(text: str) -> str:
-    marked, bare = _accents()
-    return text.lower().translate(str.maketrans(marked, bare))
+def index_tokens(text: Column) -> Column:
+    """All terms of a text, for the index."""
+    return F.regexp_extract_all(index_fold(text), F.lit(INDEX_TERM), F.lit(0))
 
 
-def query_terms(query: str) -> list[str]:
-    """Distinct terms of two or more letters, digits or underscores, in order."""
-    return list(dict.fromkeys(re.findall(r"\w{2,}", query_fold(query))))
+def query_tokens(text: Column) -> Column:
+    """Terms of two or more letters, digits or underscores, for a query."""
+    return F.regexp_extract_all(index_fold(text), F.lit(QUERY_TERM), F.lit(0))
 
 
 # ---- index ------------------------------------------------------------------
 def postings(items: DataFrame, id_column: str, text: Column) -> DataFrame:
     """(term, item, tf): partially counted in the tasks, spread by (term, item), so a hot term is no hot key."""
     words = items.select(F.col(id_column).alias("item_id"),
-                         F.explode(F.regexp_extract_all(index_fold(text), F.lit(INDEX_TERM), F.lit(0))).alias("term"))
+                         F.explode(index_tokens(text)).alias("term"))
     return words.groupBy("term", "item_id").agg(F.count("*").alias("tf"))
 
 
@@ -57,144 +55,12 @@ def document_frequency(items: DataFrame, text: Column) -> DataFrame:
         F.count("*").alias("documents"))
 
 
-# ---- full text search -------------------------------------------------------
-def search(items: DataFrame, queries: dict[str, str], *, id_column: str, text: Column, keep: Column | None = None,
-           limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over prefix terms.  All terms must match; a query of several terms without such a hit takes any term.
-
-    The texts are read once: what the scoring needs of a record (its length and one count per term) is written
-    to a small table.  Term statistics come from all records, the filter applies before the decision between
-    all and any.  Hits are ranked with full matches first, so the first ``limit`` rows already tell the mode.
-    """
-    limit = max(1, min(limit, 100))
-    parsed = {name: query_terms(q) for name, q in queries.items()}
-    terms = list(dict.fromkeys(t for ts in parsed.values() for t in ts))
-    if not terms or len(terms) > MAX_QUERY_TERMS:
-        raise ValueError(f"a search takes 1 to {MAX_QUERY_TERMS} terms")
-    # a prefix counts all its expansions as one term; the literal comes first, so most places fail at once
-    counted = [F.regexp_count("__text", F.lit(re.escape(t) + r"(?<![\p{L}\p{N}_]" + re.escape(t) + ")")) for t in terms]
-    read = items.select(F.col(id_column).alias("item_id"), index_fold(text).alias("__text"),
-                        (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("__keep"))
-    base = written(read.select("item_id", "__keep", F.regexp_count("__text", F.lit(INDEX_TERM)).alias("__len"),
-                               F.array(*counted).alias("__tf")), "search")
-    stats = base.agg(
-        F.struct(F.count("*").alias("n"), F.avg("__len").alias("avg_len"),
-                 F.array(*[F.count_if(F.col("__tf")[i] > 0) for i in range(len(terms))]).alias("df")).alias("s")).scalar()
-    place = {t: i for i, t in enumerate(terms)}
-
-    def part(term: str) -> Column:
-        tf, df = F.col("__tf")[place[term]].cast("double"), F.col("__s.df")[place[term]]
-        idf = F.log((F.col("__s.n") - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__len") / F.col("__s.avg_len")))
-
-    per_query = []
-    for name, ts in parsed.items():
-        if not ts:
-            continue
-        hits = [(F.col("__tf")[place[t]] > 0).cast("int") for t in ts]
-        found, score = hits[0], part(ts[0])
-        for h, t in zip(hits[1:], ts[1:]):
-            found, score = found + h, score + part(t)
-        per_query.append(F.struct(F.lit(name).alias("query"), (found == len(ts)).alias("all_terms"),
-                                  (found > 0).alias("any_term"), score.alias("score")))
-    some = F.exists("__tf", lambda n: n > 0)
-    rows = base.where(F.col("__keep") & some).withColumn("__s", stats).select("item_id", F.explode(F.array(*per_query)).alias("q"))
-    hits = rows.where("q.any_term").select("item_id", "q.query", "q.all_terms", "q.score")
-    top = top_k_per_group(hits, ["query"], [F.col("all_terms").desc(), F.col("score").desc(), F.col("item_id").asc()], limit)
-    mode = top.groupBy("query").agg(F.max("all_terms").alias("best"))
-    return top.join(mode, "query").where(F.col("all_terms") == F.col("best")).select(
-        "query", "item_id", F.round("score", 6).alias("score"),
-        F.when(F.col("best"), "all").otherwise("any").alias("match_mode"), "rank")
-
-
 def listing(items: DataFrame, limit: int = 10) -> DataFrame:
     """A search without terms lists by project, type and id."""
     return items.orderBy("project_id", "item_type", "item_id").limit(max(1, min(limit, 100)))
 
 
-# ---- lexical search over a record set ---------------------------------------
-# Question cues and the record types or statuses they favour
-INTENTS = [
-    (r"(^|\s)кто(\s|$)|\bwho\b", {"USER_IDENTITY": 2.0}, {}),
-    (r"хоч|хотел|стремит|\bwant|\bgoal", {"USER_GOAL": 1.5}, {}),
-    (r"почему|зачем|\bwhy\b|мотив", {"USER_MOTIVATION": 1.5, "USER_GOAL": 0.5}, {}),
-    (r"сейчас|текущ|\bnow\b|\bcurrent", {"CURRENT_PRIORITY": 0.5}, {"CURRENT": 0.5}),
-    (r"открыт|остает|неизвест|нерешен|\bopen\b|\bunknown\b|unresolved", {"OPEN_QUESTION": 2.0, "KNOWN_LIMITATION": 0.5}, {}),
-    (r"сделан|уже |достигнут|установлен|\bdone\b|achiev|establish", {"RESEARCH_RESULT": 1.5, "KNOWN_LIMITATION": 0.3}, {}),
-    (r"куда смотреть|где смотреть|где искать|где найти|источник|where to look|\bsource", {"SOURCE_POINTER": 2.5}, {}),
-    (r"отлича|разниц|differ", {"KNOWN_LIMITATION": 0.5, "INVARIANT": 0.3}, {}),
-    (r"следующ|дальше|\bnext\b", {"NEXT_ACTION": 1.5}, {}),
-]
-
-
-def intent_boost(query: str, type_column: Column, status_column: Column) -> Column:
-    """What the cues of a question add to the score of a record; the cues are tested once, on the driver."""
-    lowered = query.lower().replace("ё", "е")
-    total = F.lit(0.0)
-    for cue, types, statuses in INTENTS:
-        if re.search(cue, lowered):
-            for value, boost in types.items():
-                total = total + F.when(type_column == value, boost).otherwise(0.0)
-            for value, boost in statuses.items():
-                total = total + F.when(status_column == value, boost).otherwise(0.0)
-    return total
-
-
-def lexical_search(records: DataFrame, queries: dict[str, str], *, k: int = 5, ratio: float = 0.4) -> DataFrame:
-    """Token overlap weighted by rarity, with meta and prefix matches, intent boosts and a cut at 40 % of the best.
-
-    ``records`` has (id, type, status, statement, keywords).  Texts are read and cut into tokens once; what the
-    scoring needs (which query tokens a record has, and where) is written to a small table.  A query token is
-    tested against the record's own token set, so nothing is joined.
-    """
-    spark = records.sparkSession
-    # the few query texts are tokenised by the same expression as the records
-    listed = spark.createDataFrame(list(queries.items()), "query string, text string")
-    parsed = {r["query"]: r["t"] for r in listed.select("query", F.array_distinct(tx.tokens(F.col("text"))).alias("t")).collect()}
-    tokens = list(dict.fromkeys(t for ts in parsed.values() for t in ts))
-    if not tokens or len(tokens) > MAX_QUERY_TERMS:
-        raise ValueError(f"a search takes 1 to {MAX_QUERY_TERMS} tokens")
-    wanted = F.array(*[F.lit(t) for t in tokens])
-    long_wanted = F.array(*[F.lit(t) for t in tokens if len(t) >= 5]).cast("array<string>")
-    main = tx.token_set(F.concat_ws(" ", "statement", "keywords"))
-    meta = tx.token_set(F.concat_ws(" ", "id", "type", "status"))
-    long_tokens = F.filter(F.concat("main", "meta"), lambda x: F.length(x) >= 5)
-
-    def near_some(t: Column) -> Column:
-        return F.exists("long_tokens", lambda x: x.startswith(t) | F.startswith(t, x))
-
-    base = written(records.select("id", "type", "status", main.alias("main"), meta.alias("meta"))
-                   .withColumn("long_tokens", long_tokens).select(
-        "id", "type", "status", F.array_intersect("main", wanted).alias("in_main"),
-        F.array_intersect("meta", wanted).alias("in_meta"), F.filter(long_wanted, near_some).alias("near")), "lexical")
-    stats = base.agg(F.struct(F.count("*").alias("n"), F.array(*[
-        F.count_if(F.array_contains("in_main", t) | F.array_contains("in_meta", t)) for t in tokens]).alias("df")).alias("s")).scalar()
-    place = {t: i for i, t in enumerate(tokens)}
-
-    def part(token: str) -> Column:
-        idf = F.log(1 + F.col("__s.n") / (1 + F.col("__s.df")[place[token]]))
-        weight = (F.when(F.array_contains("in_main", token), 1.0).when(F.array_contains("in_meta", token), 0.5)
-                  .when(F.array_contains("near", token), 0.6).otherwise(0.0))
-        return weight * idf
-
-    scored = base.withColumn("__s", stats)
-    per_query = []
-    for name, ts in parsed.items():
-        lexical = F.lit(0.0)
-        for t in ts:
-            lexical = lexical + part(t)
-        per_query.append(F.struct(F.lit(name).alias("query"), lexical.alias("lex"),
-                                  intent_boost(queries[name], F.col("type"), F.col("status")).alias("boost")))
-    rows = scored.select("id", "type", "status", F.explode(F.array(*per_query)).alias("q")).where("q.lex > 0")
-    score = (F.col("q.lex") + F.col("q.boost")) * F.when(F.col("status") == "SUPERSEDED", 0.5).otherwise(1.0)
-    hits = rows.select("id", "type", "status", "q.query", F.round(score, 3).alias("score")).where("score > 0")
-    top = top_k_per_group(hits, ["query"], [F.col("score").desc(), F.col("id").asc()], k)
-    # the best row of each query is among its first k, so the cut needs no other pass
-    best = top.groupBy("query").agg(F.max("score").alias("best"))
-    return top.join(best, "query").where(F.col("score") >= ratio * F.col("best")).drop("best")
-
-
+# ---- ranks and grades -------------------------------------------------------
 def ratio_cut(rows: DataFrame, key: str, score: str, tie: str, ratio: float, k: int) -> DataFrame:
     """Rows of each key with at least ``ratio`` of its best score, the first ``k`` of them."""
     best = rows.groupBy(key).agg(F.max(score).alias("__best"))
@@ -217,14 +83,23 @@ def grade(hits: DataFrame, relevant: DataFrame, queries: DataFrame, largest: int
 
 
 def chunks(documents: DataFrame, size: int = 800, overlap: int = 200) -> DataFrame:
-    """Overlapping pieces of whole texts; size and overlap are parameters."""
+    """Overlapping pieces of whole texts; size and overlap are parameters.
+
+    A text is cut into steps in one pass over it; a piece is a step and the beginning of those that follow."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(step))
-    return documents.select("doc_id", "text", F.posexplode(starts).alias("chunk", "start_at")).select(
-        "doc_id", F.col("chunk").cast("long").alias("chunk"), (F.col("start_at") - 1).cast("long").alias("start_at"),
-        F.substring(F.col("text"), F.col("start_at"), F.lit(size)).alias("piece"))
+    steps = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    cut = documents.select("doc_id", F.when(F.size(steps) == 0, F.array(F.lit(""))).otherwise(steps).alias("steps"))
+    follows = -(-overlap // step)
+
+    def piece(head: Column, n: Column) -> Column:
+        after = F.array_join(F.slice("steps", n + 2, F.lit(follows)), "")
+        return F.concat(head, F.left(after, F.lit(overlap)))
+
+    pieces = F.transform("steps", piece) if overlap else F.col("steps")
+    return cut.select("doc_id", F.posexplode(pieces).alias("chunk", "piece")).select(
+        "doc_id", F.col("chunk").cast("long").alias("chunk"), (F.col("chunk") * step).cast("long").alias("start_at"), "piece")
 
 
 def card_haystack(fields: list[str]) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
 from attesta.operators import retrieval as rt
+from attesta.operators import search_index as si
+from attesta.plans.q_reference import CAVEATS_SQL, EVIDENCE_SQL
 from attesta.plans.registry import query
 
 
@@ -201,9 +203,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item_
 SELECT query, item_id, round(score, 6) AS score, CASE WHEN best THEN 'all' ELSE 'any' END AS match_mode, rank FROM r WHERE rank <= 10"""
 
 
+def _listed(lake, queries):
+    return lake.spark.createDataFrame(list(queries.items()), "query string, text string")
+
+
+def _searched(lake):
+    """Queries of the user over all documents but Spanish ones."""
+    index = si.build_index(lake.texts("documents", "doc_id"), "doc_id", {"text": rt.index_tokens(F.col("text"))}, ["lang"])
+    return si.search(index, _listed(lake, SEARCHES), rt.query_tokens(F.col("text")), keep=F.col("lang") != "es")
+
+
 @query("R2_ranked_retrieval", sql=SEARCH_SQL)
 def ranked_retrieval(lake):
-    return rt.search(lake.texts("documents", "doc_id"), SEARCHES, id_column="doc_id", text=F.col("text"), keep=F.col("lang") != "es")
+    return _searched(lake)
 
 
 @query("J2_hits_with_items", needs=("items", "cur"), sql=SEARCH_SQL.replace("SELECT query, item_id, round(score, 6)", "SELECT query, rank, i.item_id, i.item_type, c.title AS source_title, round(score, 6)")
@@ -211,14 +223,117 @@ def ranked_retrieval(lake):
 def hits_with_items(lake):
     """The few hits pick their items and sources."""
     from attesta.operators import reference as ref
-    hits = rt.search(lake.texts("documents", "doc_id"), SEARCHES, id_column="doc_id", text=F.col("text"), keep=F.col("lang") != "es")
-    hits = hits.withColumn("item_id", F.concat(F.lit("d"), "item_id"))
+    hits = _searched(lake).withColumn("item_id", F.concat(F.lit("d"), "item_id"))
     items = lake.raw_items(False).select("item_id", "item_type", "source_id")
     sources = ref.normalise_sources(lake.current_sources()).select("source_id", F.col("title").alias("source_title"))
     return items.join(hits, "item_id").join(sources, "source_id").select(
         "query", "rank", "item_id", "item_type", "source_title", "score", "match_mode")
 
 
+ITEM_TOKENS_SQL = r"""
+toks AS (SELECT item_id, 0 AS field, regexp_extract_all(strip_accents(lower(claim)), '[\p{L}\p{N}_]+') AS ts FROM items
+  UNION ALL SELECT item_id, 1, regexp_extract_all(strip_accents(lower(coalesce(project_id, ''))), '[\p{L}\p{N}_]+') FROM items
+  UNION ALL SELECT item_id, 2, regexp_extract_all(strip_accents(lower(item_type)), '[\p{L}\p{N}_]+') FROM items),
+u AS (SELECT item_id, field, unnest(ts) AS tok FROM toks)"""
+
+
+def _item_index(lake):
+    """All claims with their project and type, as searched by the reference memory; filters use values at capture."""
+    from attesta.operators import reference as ref
+    sources = ref.normalise_sources(lake.raw_sources())
+    marked = ref.mark_superseded(ref.bind_items(lake.raw_items(), sources, hashed=False), lake.raw_items(False))
+    items = ref.with_source(marked, ref.normalise_sources(lake.current_sources())).select(
+        "item_id", "project_id", "item_type", "claim", "lifecycle", "source_id", ref.effective("source_surface").alias("surface"),
+        ref.effective("source_kind").alias("source_kind"), ref.effective("source_authority_class").alias("authority_class"))
+    fields = {name: rt.index_tokens(F.coalesce(name, F.lit(""))) for name in ("claim", "project_id", "item_type")}
+    return si.build_index(items, "item_id", fields, [*si.FILTERS, "lifecycle"])
+
+
+@query("R1_index_fields", needs=("items",), sql="WITH " + ITEM_TOKENS_SQL + """
+SELECT tok AS term, item_id, count(*) FILTER (field = 0) AS in_claim, count(*) FILTER (field = 1) AS in_project,
+  count(*) FILTER (field = 2) AS in_type FROM u GROUP BY 1, 2""")
+def index_fields(lake):
+    """The stored postings of the item index, with the count in each field."""
+    index = _item_index(lake)
+    return index.postings.select("term", "item_id", *[F.col(f"tf{n}").cast("long").alias(name) for n, name in enumerate(("in_claim", "in_project", "in_type"))])
+
+
+@query("R1_dictionary", needs=("items",), sql="WITH " + ITEM_TOKENS_SQL + """
+SELECT tok AS term, count(DISTINCT item_id) AS documents FROM u GROUP BY 1""")
+def dictionary(lake):
+    return _item_index(lake).terms.select("term", "documents")
+
+
+def _search_sql(queries: str, keep: str) -> str:
+    """Full text search by the definition: every token against every query term."""
+    return ITEM_TOKENS_SQL + f""",
+lens AS (SELECT item_id, sum(len(ts)) AS length FROM toks GROUP BY 1),
+st AS (SELECT count(*) AS n, avg(length) AS avg_len FROM lens),
+{queries},
+asked AS (SELECT query, unnest(ts) AS term, len(ts) AS n_terms FROM
+  (SELECT query, list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS ts FROM qs)),
+dict AS (SELECT DISTINCT tok FROM u),
+exp AS (SELECT t.term, dict.tok FROM (SELECT DISTINCT term FROM asked) t JOIN dict ON starts_with(dict.tok, t.term)),
+tf AS (SELECT term, item_id, count(*) AS tf FROM u JOIN exp USING (tok) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+part AS (SELECT term, item_id, greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2
+    / (tf + 1.2 * (0.25 + 0.75 * length / avg_len)) AS part
+  FROM tf JOIN df USING (term) JOIN lens USING (item_id) CROSS JOIN st),
+sc AS (SELECT a.query, p.item_id, count(*) = max(a.n_terms) AS all_terms, round(sum(part), 6) AS score
+  FROM asked a JOIN part p USING (term) JOIN e USING (item_id) JOIN qs ON qs.query = a.query WHERE {keep} GROUP BY 1, 2),
+m AS (SELECT *, max(all_terms) OVER (PARTITION BY query) AS best FROM sc),
+r AS (SELECT query, item_id, score, CASE WHEN best THEN 'all' ELSE 'any' END AS match_mode,
+    row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id) AS rank FROM m WHERE all_terms = best)"""
+
+
+@query("R2_benchmark_search", needs=("items", "cur"), sql="WITH dummy AS (SELECT 1)" + EVIDENCE_SQL + ", " + _search_sql(
+    "qs AS (SELECT item_id AS query, text FROM benchmark)", "lifecycle <> 'SUPERSEDED'")
+    + " SELECT query, item_id, score, match_mode, rank FROM r WHERE rank <= 10")
+def benchmark_search(lake):
+    """Every benchmark text as a query over all claims, projects and types."""
+    queries = lake.table("benchmark").select(F.col("item_id").alias("query"), "text")
+    return si.search(_item_index(lake), queries, rt.query_tokens(F.col("text")))
+
+
+# queries of users, each with its own filters and limit
+FILTERED = [("f1", "the thing", "en", None, None, None, None, None, False, False, 5),
+            ("f2", "Éeau que", None, "UNKNOWN", None, None, None, None, True, False, 100),
+            ("f3", "of implementation_fact", None, None, None, None, None, None, False, True, 10),
+            ("f4", "de zzz", None, None, "RESEARCH_DONOR", None, None, None, False, False, 10),
+            ("f5", "der", None, None, None, "RESEARCH", None, None, False, False, None),
+            ("f6", "hypothesis en", None, None, None, None, "drive", None, True, False, 7),
+            ("f7", "th", None, None, None, None, None, "src1", False, False, 3), ("f8", "- .", None, None, None, None, None, None, False, False, 3)]
+FILTERED_SCHEMA = ("query string, text string, project_id string, item_type string, authority_class string, source_kind string, "
+                   "surface string, source_id string, include_superseded boolean, implementation_evidence_only boolean, limit int")
+
+
+def _literal(value) -> str:
+    return "NULL" if value is None else str(value) if not isinstance(value, str) else f"'{value}'"
+
+
+@query("R2_filtered_evidence", needs=("items", "cur"), sql="WITH dummy AS (SELECT 1)" + EVIDENCE_SQL + ", " + _search_sql(
+    "qs(query, text, f_project, f_type, f_authority, f_kind, f_surface, f_source, old, proof, most) AS (VALUES "
+    + ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in FILTERED) + ")",
+    """(f_project IS NULL OR e.project_id = f_project) AND (f_type IS NULL OR e.item_type = f_type)
+   AND (f_authority IS NULL OR ea = f_authority) AND (f_kind IS NULL OR ek = f_kind) AND (f_surface IS NULL OR es = f_surface)
+   AND (f_source IS NULL OR e.source_id = f_source) AND (old OR lifecycle <> 'SUPERSEDED') AND (NOT proof OR impl)""")
+    + " SELECT r.query, rank, score, match_mode, e.item_id, e.item_type, e.project_id, et AS source_title, es AS source_surface, "
+      "ea AS authority_class, lifecycle, changed_fields, impl AS is_implementation_evidence, draft AS is_draft, " + CAVEATS_SQL
+    + " AS caveats FROM r JOIN e USING (item_id) JOIN qs ON qs.query = r.query WHERE rank <= coalesce(most, 10)")
+def filtered_evidence(lake):
+    """Searches with filters, limits and fallback; each hit comes with its evidence block."""
+    from attesta.operators import reference as ref
+    queries = lake.spark.createDataFrame(FILTERED, FILTERED_SCHEMA)
+    hits = si.search(_item_index(lake), queries, rt.query_tokens(F.col("text")))
+    sources = ref.normalise_sources(lake.raw_sources())
+    found = lake.raw_items(False).join(hits.select("item_id").distinct(), "item_id", "left_semi")
+    marked = ref.mark_superseded(ref.bind_items(found, sources, hashed=False), lake.raw_items(False))
+    blocks = ref.evidence_blocks(marked, ref.normalise_sources(lake.current_sources()))
+    return hits.join(blocks, "item_id").select(
+        "query", "rank", "score", "match_mode", "item_id", "item_type", "project_id", "source_title", "source_surface",
+        "authority_class", "lifecycle", "changed_fields", "is_implementation_evidence", "is_draft", "caveats")
+
+
 @query("R2_listing", needs=("items",), sql="""
 SELECT item_id, project_id, item_type FROM items ORDER BY project_id, item_type, item_id LIMIT 10""")
 def listing(lake):
@@ -263,9 +378,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) A
 """
 
 
+def _lexical_hits(lake):
+    return si.lexical_search(si.lexical_index(_lex_records(lake)), _listed(lake, LEX_QUERIES))
+
+
 @query("R4_lexical_search", sql=LEX_SQL + "SELECT query, id, type, status, score, rank FROM r WHERE rank <= 5 AND score >= 0.4 * best")
 def lexical_search(lake):
-    return rt.lexical_search(_lex_records(lake), LEX_QUERIES)
+    return _lexical_hits(lake)
 
 
 @query("R10_graded_retrieval", sql=LEX_SQL + """
@@ -277,7 +396,7 @@ FROM g""")
 def graded_retrieval(lake):
     """The relevance rule is put to the few hits, not to every record and query."""
     queries = lake.spark.createDataFrame([(q,) for q in LEX_QUERIES], "query string")
-    hits = rt.lexical_search(_lex_records(lake), LEX_QUERIES)
+    hits = _lexical_hits(lake)
     good = hits.where((F.col("status") != "SUPERSEDED") & (F.col("type") != "CURRENT_PRIORITY")).select("query", "id")
     return rt.grade(hits, good, queries)
 
@@ -327,4 +446,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item_
 SELECT query, item_id, round(score, 6) AS score, CASE WHEN best THEN 'all' ELSE 'any' END AS match_mode, rank FROM r WHERE rank <= 5""")
 def relevant_chunks(lake):
     rows = rt.chunks(lake.texts("documents", "doc_id").select("doc_id", "text")).withColumn("item_key", F.concat_ws("/", "doc_id", "chunk"))
-    return rt.search(rows, {"c1": "thread token"}, id_column="item_key", text=F.col("piece"), limit=5)
+    index = si.build_index(rows, "item_key", {"piece": rt.index_tokens(F.col("piece"))})
+    queries = _listed(lake, {"c1": "thread token"}).withColumn("limit", F.lit(5))
+    return si.search(index, queries, rt.query_tokens(F.col("text")))

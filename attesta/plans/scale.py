@@ -117,15 +117,6 @@ def _running(df, keys, order, specs, levels, reverse):
     return df.select(*[F.col(c) for c in kept], *columns)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give costly row work at least one partition per core.
-
-    A table with more splits than cores (any large one) is left alone; only few large splits are spread by key.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def one_row_flag(df: DataFrame) -> bool:
     """Is there any row?  Fetches at most one row."""
     return len(df.limit(1).take(1)) > 0

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from attesta.functions.vocabulary import (
     AUTHORITY_CLASSES, MAPPED_CURRENTNESS, SOURCE_KINDS, SURFACES, WORK_ROLES, WORK_SURFACES, WORK_TYPES)
-from attesta.plans.scale import lookup_join, spread
+from attesta.plans.scale import lookup_join
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -16,26 +16,29 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 class Lake:
     """Reads the given tables of one folder and derives the domain tables from them."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
+        self._schemas: dict[str, StructType] = {}
 
     def table(self, name: str) -> DataFrame:
-        """One table; its schema is read from the files once and then given, so that later reads start no job."""
+        """One table; its schema is read from the files once for each lake, so that later reads start no job."""
         path = f"{self.root}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     def texts(self, name: str, key: str) -> DataFrame:
-        """A table of texts for costly row work, on at least as many partitions as there are cores."""
-        return spread(self.table(name), key)
+        """A table of texts for costly row work.
+
+        A table of many splits is read as it lies.  Where a table is one unsplittable file, the session may ask for its
+        rows to be dealt first: ``spark.attesta.text.partitions``."""
+        asked = self.spark.conf.get("spark.attesta.text.partitions", None)
+        rows = self.table(name)
+        return rows.repartition(int(asked), key) if asked else rows
 
     # ---- reference memory -------------------------------------------------
     def raw_sources(self) -> DataFrame:

@@ -11,6 +11,7 @@ from attesta.functions.rules import violations
 from attesta.operators import merge, versions
 from attesta.operators import reference as ref
 from attesta.operators import retrieval as rt
+from attesta.operators import search_index as si
 from attesta.operators import work
 from attesta.session import scratch_path
 from attesta.sources import bundles
@@ -198,12 +199,63 @@ def test_blank_scope_is_refused(spark):
         work.scope_condition(project="  ")
 
 
+def searched(index, queries, schema="query string, text string", **options):
+    queries = index.documents.sparkSession.createDataFrame(queries, schema)
+    hits = si.search(index, queries, rt.query_tokens(F.col("text")), **options).collect()
+    return sorted((h.query, h["rank"], h.item_id, h.match_mode) for h in hits)
+
+
 def test_search_falls_back_to_any_after_the_filter(spark):
     df = spark.createDataFrame([(1, "alpha beta", "x"), (2, "alpha", "y"), (3, "gamma", "y")], "id long, t string, lang string")
-    hits = rt.search(df, {"q": "alpha beta"}, id_column="id", text=F.col("t"))
-    assert [(h.item_id, h.match_mode) for h in hits.collect()] == [(1, "all")]
-    hits = rt.search(df, {"q": "alpha beta"}, id_column="id", text=F.col("t"), keep=F.col("lang") == "y")
-    assert [(h.item_id, h.match_mode) for h in hits.collect()] == [(2, "any")]
+    index = si.build_index(df, "id", {"t": rt.index_tokens(F.col("t"))}, ["lang"])
+    assert searched(index, [("q", "alpha beta")]) == [("q", 1, 1, "all")]
+    assert searched(index, [("q", "alpha beta")], keep=F.col("lang") == "y") == [("q", 1, 2, "any")]
+
+
+def test_search_of_awkward_texts(spark):
+    rows = [(1, None, "p", "ACTIVE"), (2, "", "p", "ACTIVE"), (3, "Straße Öl öl OL", None, "ACTIVE"), (4, "oletta x y z", "q", "SUPERSEDED"),
+            (5, "z " * 5000 + "olm", "q", None), (6, "x ol", "q", None)]
+    df = spark.createDataFrame(rows, "id long, t string, project_id string, lifecycle string")
+    index = si.build_index(df, "id", {"t": rt.index_tokens(F.col("t")), "project": rt.index_tokens(F.col("project_id"))},
+                           ["project_id", "lifecycle"])
+    assert {(r.term, r.item_id): (r.tf0, r.tf1) for r in index.postings.collect()}[("ol", 3)] == (3, 0)
+    found = searched(index, [("a", "ÖL", None, None, None), ("b", "ol", "q", True, 1), ("c", "", None, None, None),
+                             ("d", "nothing", None, None, None)],
+                     "query string, text string, project_id string, include_superseded boolean, limit int")
+    assert {(q, i) for q, _, i, _ in found} == {("a", 3), ("a", 5), ("a", 6), ("b", 6)}
+    nothing = si.build_index(df.limit(0), "id", {"t": rt.index_tokens(F.col("t"))})
+    assert searched(nothing, [("a", "ol")]) == []
+
+
+def test_search_reads_only_asked_parts(spark):
+    df = spark.createDataFrame([(i, f"word{i} {chr(97 + i % 26)}{chr(97 + i // 26)}end") for i in range(600)], "id long, t string")
+    index = si.build_index(df, "id", {"t": rt.index_tokens(F.col("t"))})
+    asked = si.asked_terms(index, spark.createDataFrame([("q", "abend")], "query string, text string"), rt.query_tokens(F.col("text")))
+    plan = si.asked_parts(index, asked).postings._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert searched(index, [("q", "abend")]) == [("q", 1, 26, "all")]
+
+
+def test_index_is_kept(spark):
+    path = scratch_path(spark, "kept-index")
+    records = spark.createDataFrame([("a", "OPEN_QUESTION", "OPEN", "rivers floods", "water")],
+                                    "id string, type string, status string, statement string, keywords string")
+    fields = si.lexical_index(records, path).fields
+    queries = spark.createDataFrame([("q", "which flooding is open?")], "query string, text string")
+    got = si.lexical_search(si.open_index(spark, path, fields), queries).collect()
+    assert [(r.id, r["rank"]) for r in got] == [("a", 1)]
+
+
+def test_chunks_join_again(spark):
+    texts = [(1, "abcdefghij" * 97 + "😀é"), (2, ""), (3, None), (4, "\n" * 13)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for size, overlap in ((7, 0), (7, 3), (10, 9), (800, 200)):
+        got = {}
+        for r in rt.chunks(df, size, overlap).collect():
+            got.setdefault(r.doc_id, {})[r.chunk] = (r.start_at, r.piece)
+        for doc_id, text in texts:
+            starts = range(0, max(len(text or ""), 1), size - overlap)
+            assert [got[doc_id][n] for n in sorted(got[doc_id])] == [(s, (text or "")[s:s + size]) for s in starts]
 
 
 def test_work_id_needs_a_real_day(spark):
