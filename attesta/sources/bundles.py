@@ -14,26 +14,36 @@ from attesta.plans.scale import Running, lookup_join, running_values
 from attesta.session import scratch_path
 
 _TEXT = T.StringType()
-SOURCE_SCHEMA = T.StructType([T.StructField(n, _TEXT) for n in ["source_id", *v.SOURCE_CONTENT]])
-ITEM_SCHEMA = T.StructType([T.StructField(n, _TEXT) for n in ["item_id", *v.ITEM_CONTENT, "lifecycle", "version_id"]])
-RELATION_SCHEMA = T.StructType([T.StructField(n, _TEXT) for n in
-                                ["relation_id", *v.RELATION_CONTENT, "from_version_id", "to_version_id"]])
+# what an import or an export carries beside the content
+SEED_FIELDS = ["seed_id", "first_seed_version", "last_seed_version"]
+CAPTURED = [f"{field}_at_capture" for field in v.CAPTURE]
+SOURCE_FIELDS = ["source_id", *v.SOURCE_CONTENT, *SEED_FIELDS]
+ITEM_FIELDS = ["item_id", *v.ITEM_CONTENT, "lifecycle", "superseded_by", "logical_item_id", "version_id", *SEED_FIELDS, *CAPTURED,
+               "capture_backfilled"]
+RELATION_FIELDS = ["relation_id", *v.RELATION_CONTENT, "from_version_id", "to_version_id", "pin_backfilled", "seed_id"]
+SOURCE_SCHEMA, ITEM_SCHEMA, RELATION_SCHEMA = (T.StructType([T.StructField(n, _TEXT) for n in fields])
+                                               for fields in (SOURCE_FIELDS, ITEM_FIELDS, RELATION_FIELDS))
 MANIFEST_SCHEMA = T.StructType([T.StructField(n, _TEXT) for n in
                                 ["format", "kind", "seed_id", "seed_version", "seed_as_of", "privacy", "note"]])
 BUNDLE_SCHEMA = T.StructType([T.StructField("manifest", MANIFEST_SCHEMA), T.StructField("source", SOURCE_SCHEMA),
                               T.StructField("item", ITEM_SCHEMA), T.StructField("relation", RELATION_SCHEMA)])
 
 
-def bundle_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of bundle files with file and line number.
+def bundle_lines(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """Lines of bundle files with bundle and line number.
 
-    A file of any size is read in its splits: inside a split the rows keep their order, and the splits of a file
-    are put in order by where they start, so the line number is a running count and no file goes through one task.
+    A bundle is a file, or with ``by_folder`` all files of a folder in the order of their names (as ``write_ordered``
+    leaves them).  A file of any size is read in its splits: inside a split the rows keep their order, and the splits
+    are put in order by file and by where they start, so the line number is a running count over all splits of the
+    bundle and no file goes through one task.
     """
+    file = F.col("_metadata.file_path")
     rows = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("bundle"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"), F.trim("value").alias("raw"))
-    numbered = running_values(rows, ["bundle"], ["block", "place"], {"line": Running("sum", F.lit(1), inclusive=True)}, [["block"]])
+        (F.regexp_replace(file, "/[^/]*$", "") if by_folder else file).alias("bundle"), file.alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
+        F.trim("value").alias("raw"))
+    numbered = running_values(rows, ["bundle"], ["file", "block", "place"],
+                              {"line": Running("sum", F.lit(1), inclusive=True)}, [["file", "block"]])
     return numbered.select("bundle", F.col("line").cast("long").alias("line"), "raw")
 
 
@@ -80,7 +90,7 @@ def bundle_export(items: DataFrame, sources: DataFrame, relations: DataFrame, ma
     ``to_json`` leaves null fields out.  The order is carried in columns and applied by a distributed sort
     when the lines are written.
     """
-    source_fields = F.struct(*["source_id", *v.SOURCE_CONTENT])
+    source_fields = F.struct(*[c for c in SOURCE_FIELDS if c in sources.columns])
     carried = sources.select("source_id", source_fields.alias("source"))
     item_fields = F.struct(*[c for c in items.columns if c not in ("record_hash", "line", "source_known")])
     paired = lookup_join(items.select("item_id", "source_id", item_fields.alias("item")), carried, ["source_id"], ["item_id"], "inner")
