@@ -32,11 +32,18 @@ def _title() -> Column:
     return F.regexp_replace(F.regexp_extract("html", r"(?s)<title>([^<]*)</title>", 1), r"\s+", " ")
 
 
+def _paragraphs() -> Column:
+    """The text of all paragraphs of the page's article, without tags; a paragraph ends at its end tag or the next one."""
+    article = F.split_part(F.split_part("html", F.lit("<article>"), F.lit(2)), F.lit("</article>"), F.lit(1))
+    parts = F.transform(F.slice(F.split(article, "<p>"), 2, F.lit(2**30)), lambda part: F.split_part(part, F.lit("</p>"), F.lit(1)))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(parts, " "), "<[^>]*>", " "), r"\s+", " "))
+
+
 def index_documents(lake):
     """Index documents built from the pages."""
     key = F.col("page_id")
     kind = key % KINDS
-    words = F.regexp_replace(F.regexp_extract("html", r"(?s)<article>.*?<p>(.*?)<", 1), r"\s+", " ")
+    words = _paragraphs()
     first = F.concat(F.lit("### 1. "), F.col("title"), F.lit("\nSTATUS: open\nQUESTION: "), F.col("words"),
                      F.when(kind == 9, "\nEXECUTION_VERDICT: \n").otherwise("\nEXECUTION_VERDICT: NOT_RUN\n"),
                      F.lit("PRIMARY_EVIDENCE: page "), key,
@@ -54,7 +61,8 @@ def index_documents(lake):
 DOCS_SQL = rf"""
 WITH d AS (SELECT page_id, page_id % {KINDS} AS kind, url,
   trim(regexp_replace(split_part(split_part(html, '<title>', 2), '</title>', 1), '\s+', ' ', 'g')) AS title,
-  trim(regexp_replace(split_part(split_part(split_part(html, '<article>', 2), '<p>', 2), '<', 1), '\s+', ' ', 'g')) AS words FROM pages),
+  trim(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(split_part(split_part(html, '<article>', 2), '</article>', 1), '<p>')[2:],
+    lambda part: split_part(part, '</p>', 1)), ' '), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS words FROM pages),
 c AS (SELECT page_id, kind, 1 AS card_number, 1 AS place, title, 'open' AS status, words AS question, CASE WHEN kind = 9 THEN '' ELSE 'NOT_RUN' END AS verdict,
    'page ' || page_id AS evidence, 'g1' AS github, 'n1' AS notion, 'd1' AS drive, NULL AS consistency FROM d WHERE title <> '' AND kind NOT IN (7, 12)
  UNION ALL SELECT page_id, kind, CASE WHEN kind = 8 THEN 1 ELSE 2 END, 2, CASE WHEN kind = 8 THEN 'copy' ELSE 'Card ' || page_id END, 'done', NULL, 'PASS',
@@ -147,6 +155,16 @@ def card_search(lake):
     return rows.orderBy("page_id", "card_number").limit(3).withColumn("matched", matched)
 
 
+@query("R5_paragraph_search", sql=OK_SQL + """
+SELECT page_id, card_number, length(question) AS question_chars FROM hit
+WHERE contains(hay, 'que') AND contains(hay, 'pour') AND contains(hay, 'dans')""")
+def paragraph_search(lake):
+    """Terms that only stand in the paragraphs of the pages; all matches."""
+    rows = _served(lake).where(rt.all_terms_match(rt.card_haystack(v.CARD_SEARCH), " Pour QUE\tdans "))
+    return rows.select("page_id", F.col("card_number").cast("int").alias("card_number"),
+                       F.length(F.col("fields")["QUESTION"]).cast("long").alias("question_chars"))
+
+
 @query("A6_card_totals", sql=OK_SQL + """
 SELECT page_id, count(*) AS total_cards, count(*) FILTER (WHERE contains(hay, 'not_run')) AS matched,
   string_agg(CAST(card_number AS VARCHAR), ',' ORDER BY card_number) FILTER (WHERE NOT contains(hay, 'not_run')) AS omitted FROM hit GROUP BY 1""")
