@@ -32,7 +32,7 @@ def bind_items(raw: DataFrame, sources: DataFrame, hashed: bool = True) -> DataF
     capture = [F.col(column).alias(CAPTURED[field]) for field, column in v.CAPTURE.items()]
     dim = sources.select("source_id", F.col("project_id").alias("__project"), F.col("as_of").alias("__as_of"),
                          F.lit(True).alias("source_known"), *capture)
-    out = lookup_join(raw, dim, ["source_id"], ["item_id"])
+    out = lookup_join(raw.drop(*CAPTURED.values()), dim, ["source_id"], ["item_id"])
     state = F.coalesce(blank_to_null(F.col("epistemic_state")), F.lit(v.WEAKEST_STATE))
     inherited = {"project_id": F.coalesce(blank_to_null(F.col("project_id")), F.col("__project")),
                  "as_of": F.coalesce(blank_to_null(F.col("as_of")), F.col("__as_of")),

@@ -89,7 +89,7 @@ def chunks(documents: DataFrame, size: int = 800, overlap: int = 200) -> DataFra
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
-    steps = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    steps = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     cut = documents.select("doc_id", F.when(F.size(steps) == 0, F.array(F.lit(""))).otherwise(steps).alias("steps"))
     follows = -(-overlap // step)
 

@@ -62,14 +62,19 @@ def build_index(items: DataFrame, id_column: str, fields: dict[str, Column], att
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (counted.repartitionByRange(parts, *order).sortWithinPartitions(*order)
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
-    postings = spark.read.parquet(f"{path}/postings")
+    postings = spark.read.schema(counted.schema).parquet(f"{path}/postings")
     (postings.groupBy("bucket", "term").agg(F.count("*").alias("documents")).sortWithinPartitions("bucket", "term")
      .write.parquet(f"{path}/terms"))
     return open_index(spark, path, tuple(fields), buckets)
 
 
 def open_index(spark: SparkSession, path: str, fields: tuple[str, ...], buckets: int = BUCKETS) -> TextIndex:
-    return TextIndex(fields, buckets, *[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "documents")])
+    documents = spark.read.parquet(f"{path}/documents")
+    item = documents.schema["item_id"].dataType.simpleString()
+    # an index of no texts has no parts to read a schema from
+    counts = ", ".join(f"tf{n} int" for n in range(len(fields)))
+    postings = spark.read.schema(f"term string, item_id {item}, {counts}, bucket int").parquet(f"{path}/postings")
+    return TextIndex(fields, buckets, postings, spark.read.parquet(f"{path}/terms"), documents)
 
 
 # ---- from asked terms to postings ------------------------------------------------------------------------------
@@ -217,7 +222,7 @@ def lexical_search(index: TextIndex, queries: DataFrame, *, k: int = 5, ratio: f
     near = (prefix_expansions(parts, distinct, NEAR_CHARS).where("term <> asked")
             .unionByName(shorter).withColumn("near", F.lit(True)))
     ways = exact.withColumn("near", F.lit(False)).unionByName(near.select("bucket", "term", "asked", "near"))
-    place = F.when(F.col("near"), 1).when(F.col("tf")[0] > 0, 3).otherwise(2)
+    place = F.when(F.col("near"), 1).when(F.col("tf0") > 0, 3).otherwise(2)
     hits = written(parts.postings.join(ways, ["bucket", "term"])
                    .groupBy("asked", "item_id").agg(F.max(place).alias("place")), "lexical-hits")
     n = index.documents.count()

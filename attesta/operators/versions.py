@@ -128,6 +128,47 @@ def lineage_heads(links: DataFrame, max_hops: int = 50) -> DataFrame:
     return alone.unionByName(state.select("item_id", "head_id", "hops", over.alias("over_bound_or_cyclic")))
 
 
+def lineage_chains(links: DataFrame, max_hops: int = 50) -> DataFrame:
+    """Every newer item of every item: ``item_id, hop, newer_id, repeats``, up to ``max_hops`` hops.
+
+    Each round appends to a chain the chain of its last item, so chains double and 50 hops take six joins; a chain is
+    one row until the end, and an item that very many others lead to is looked up, not grouped.  A successor that does
+    not exist ends a chain.  ``repeats`` marks items that came before in the chain, or are its own beginning: a cycle
+    is followed to the bound and can be seen.
+    """
+    known = links.select(F.col("item_id").alias("superseded_by"), F.lit(True).alias("known"))
+    first = lookup_join(links.select("item_id", "superseded_by"), known, ["superseded_by"], ["item_id"], "inner")
+    state = cut_lineage(first.select("item_id", F.array("superseded_by").alias("chain")))
+    length = 1
+    while length < max_hops:
+        ahead = state.select(F.col("item_id").alias("last"), F.col("chain").alias("more"))
+        ends = state.withColumn("last", F.when(F.size("chain") == length, F.element_at("chain", -1)))
+        more = F.coalesce("more", F.array().cast(state.schema["chain"].dataType))
+        state = cut_lineage(lookup_join(ends, ahead, ["last"], ["item_id"]).select(
+            "item_id", F.slice(F.concat("chain", more), 1, max_hops).alias("chain")))
+        length *= 2
+    rows = state.select("item_id", "chain", F.posexplode("chain").alias("place", "newer_id"))
+    before = (F.col("newer_id") == F.col("item_id")) | (F.array_position("chain", F.col("newer_id")) <= F.col("place"))
+    return rows.select("item_id", (F.col("place") + 1).cast("long").alias("hop"), "newer_id", before.alias("repeats"))
+
+
+def lineage_trace(items: DataFrame, sources: DataFrame, max_hops: int = 50) -> DataFrame:
+    """``item_id, part, place, ref, detail`` of every item: its source as it is now, all newer items with their place in
+    the chain, and the older ones that name it directly."""
+    now = lookup_join(items.select("item_id", "source_id"), sources.select("source_id", "revision", "as_of"), ["source_id"],
+                      ["item_id"], "inner")
+    source = now.select("item_id", F.lit("source").alias("part"), F.lit(0).cast("long").alias("place"), F.col("source_id").alias("ref"),
+                        F.concat_ws("/", "revision", "as_of").alias("detail"))
+    what = items.select(F.col("item_id").alias("ref"), F.concat_ws("/", "lifecycle", "as_of").alias("detail"))
+    chains = lineage_chains(items.select("item_id", "superseded_by"), max_hops)
+    newer = chains.select("item_id", F.lit("newer").alias("part"), F.col("hop").alias("place"), F.col("newer_id").alias("ref"))
+    older = items.where(F.col("superseded_by").isNotNull()).select(
+        F.col("superseded_by").alias("item_id"), F.lit("older").alias("part"), F.lit(0).cast("long").alias("place"), F.col("item_id").alias("ref"))
+    named = older.join(items.select("item_id"), "item_id", "left_semi")
+    edges = lookup_join(newer.unionByName(named), what, ["ref"], ["item_id"], "inner")
+    return source.unionByName(edges.select(*source.columns))
+
+
 def as_of_values(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: str, value: Column,
                  levels: list[list[str]], row_key: str) -> DataFrame:
     """For each left row the latest right value at or before its time: union and one running value.

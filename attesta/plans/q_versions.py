@@ -101,6 +101,42 @@ def lineage_heads(lake):
     return versions.lineage_heads(orders.join(after, "item_id", "left"))
 
 
+@query("J7_lineage_chains", sql="""
+WITH RECURSIVE o AS (SELECT o_orderkey AS k, (SELECT max(o_orderkey) FROM orders) AS mx FROM orders),
+l AS (SELECT k AS item_id, CASE WHEN k % 10 <> 9 THEN k + 1 WHEN (k // 10) % 7 = 3 THEN k - 9 END AS superseded_by FROM o),
+r AS (SELECT item_id, 1::BIGINT AS hop, superseded_by AS newer_id, [item_id] AS seen FROM l WHERE superseded_by IN (SELECT k FROM o)
+  UNION ALL SELECT r.item_id, hop + 1, l.superseded_by, list_append(seen, newer_id) FROM r JOIN l ON l.item_id = r.newer_id
+  WHERE hop < 50 AND l.superseded_by IN (SELECT k FROM o))
+SELECT item_id, hop, newer_id, list_contains(seen, newer_id) AS repeats FROM r""")
+def lineage_chains(lake):
+    """Chains of ten orders, some of them closed to a circle: every hop of every order."""
+    key = F.col("o_orderkey")
+    after = F.when(key % 10 != 9, key + 1).when(F.floor(key / 10) % 7 == 3, key - 9)
+    return versions.lineage_chains(lake.table("orders").select(key.alias("item_id"), after.alias("superseded_by")))
+
+
+@query("R7_lineage_trace", needs=("items", "cur"), sql="""
+WITH i AS (SELECT item_id, source_id, doc_id, as_of, CASE WHEN doc_id % 8 <> 7 AND 'd' || (doc_id + 1) IN (SELECT item_id FROM items)
+    THEN 'd' || (doc_id + 1) END AS by_id FROM items),
+s AS (SELECT item_id, as_of, by_id, doc_id, CASE WHEN by_id IS NULL THEN 'ACTIVE' ELSE 'SUPERSEDED' END AS lifecycle FROM i)
+SELECT i.item_id, 'source' AS part, 0::BIGINT AS place, i.source_id AS ref, concat_ws('/', c.revision, c.as_of) AS detail
+  FROM i JOIN cur c ON c.source_id = i.source_id
+UNION ALL SELECT a.item_id, 'newer', b.doc_id - a.doc_id, b.item_id, concat_ws('/', b.lifecycle, b.as_of)
+  FROM s a JOIN s b ON b.doc_id // 8 = a.doc_id // 8 AND b.doc_id > a.doc_id
+UNION ALL SELECT b.item_id, 'older', 0, a.item_id, concat_ws('/', a.lifecycle, a.as_of) FROM s a JOIN s b ON b.item_id = a.by_id""")
+def lineage_trace(lake):
+    """Items in chains of eight: source now, all newer ones in order, direct older ones."""
+    sources = ref.normalise_sources(lake.raw_sources())
+    raw = lake.raw_items(False).withColumn("claim", F.lit("-"))
+    doc = F.expr("cast(substring(item_id, 2) as bigint)")
+    following = F.concat(F.lit("d"), (doc + 1).cast("string"))
+    items = ref.bind_items(raw, sources, hashed=False).withColumn("superseded_by", F.when(doc % 8 != 7, following))
+    there = items.select(F.col("item_id").alias("superseded_by"), F.lit(True).alias("there"))
+    items = items.join(there, "superseded_by", "left").withColumn("superseded_by", F.when(F.col("there"), F.col("superseded_by")))
+    items = items.withColumn("lifecycle", F.when(F.col("superseded_by").isNotNull(), "SUPERSEDED").otherwise("ACTIVE"))
+    return versions.lineage_trace(items, ref.normalise_sources(lake.current_sources()))
+
+
 @query("J8_all_versions", needs=("revs",), sql=VERSIONS_SQL + """
 SELECT logical_item_id, version_id, is_current_version FROM ver""")
 def all_versions(lake):

@@ -297,3 +297,20 @@ def test_links_and_sources_of_work(spark):
     sources = spark.createDataFrame([("s", "GITHUB", "PRIMARY", " "), ("t", "MOON", "BOSS", "x")], "source_id string, surface string, role string, locator string")
     got = {(r.key, r.rule) for r in violations(sources, F.col("source_id"), work.source_rules()).collect()}
     assert got == {("s", "LOCATOR_REQUIRED"), ("t", "UNKNOWN_SURFACE"), ("t", "UNKNOWN_ROLE")}
+
+
+def test_lineage_chains(spark):
+    """A long chain beyond the bound, a star, a circle with a way into it, a missing successor, a loop of one."""
+    after = {f"n{i}": f"n{i + 1}" for i in range(70)} | {f"s{i}": "n60" for i in range(40)}
+    after |= {"c0": "c1", "c1": "c2", "c2": "c0", "way": "c1", "lost": "nowhere", "self": "self", "n70": None}
+    links = spark.createDataFrame(list(after.items()), "item_id string, superseded_by string")
+    got = {}
+    for r in versions.lineage_chains(links).collect():
+        got.setdefault(r.item_id, {})[r.hop] = (r.newer_id, r.repeats)
+    for start in after:
+        want, at, seen = [], start, {start}
+        while after[at] in after and len(want) < 50:
+            at = after[at]
+            want.append((at, at in seen))
+            seen.add(at)
+        assert [got.get(start, {})[h] for h in sorted(got.get(start, {}))] == want, start
