@@ -5,19 +5,21 @@ from __future__ import annotations
 from functools import reduce
 from math import ceil, log2
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import spans as sp
 from attesta.plans.scale import Running, lookup_join, one_row_flag, running_values, top_k_per_group
-from attesta.session import cut_lineage
+from attesta.session import cut_lineage, written
 
 
 # ---- atoms ------------------------------------------------------------------
 def atoms(messages: DataFrame, pattern: str) -> DataFrame:
     """Verbatim spans of whole messages with offsets and hashes; only the piece travels with its row."""
     cut = messages.withColumn("__p", sp.pieces(F.col("text"), pattern)).drop("text")
-    rows = cut.withColumn("p", F.explode("__p")).drop("__p").select("*", "p.*").drop("p")
+    # an inner explode would ask for the size of the array first, and so cut every text twice
+    rows = cut.withColumn("p", F.explode_outer("__p")).drop("__p").where(F.col("p").isNotNull()).select("*", "p.*").drop("p")
     return rows.withColumn("atom_id", F.concat_ws("#", "message_id", "pos")).withColumn("content_sha256", F.sha2("piece", 256))
 
 
@@ -80,9 +82,53 @@ def overlap_pairs(gold: DataFrame, pred: DataFrame, parent: str, threshold: floa
     return pairs.withColumn("iou", share).where(F.col("iou") >= threshold).drop("cls", "bucket")
 
 
-def one_to_one(pairs: DataFrame, parent: str) -> DataFrame:
+def one_to_one(pairs: DataFrame, parent: str, most: int = 100_000) -> DataFrame:
     """Greedy one-to-one matching under the order (IoU down, gold start, pred start, gold id, pred id).
 
+    Pairs can only compete for a span where their ranges overlap.  A sweep over the pairs of a parent by their start
+    (running values, so a parent of any length is spread) cuts them into stretches that share no span; each stretch is
+    walked on its own, in one pass over sorted rows.  Stretches of more than ``most`` pairs go round by round instead
+    (``mutual_best``), which takes any size and gives the same pairs.
+    """
+    lo, hi = F.least("gold_start", "pred_start"), F.greatest("gold_end", "pred_end")
+    ranges = written(pairs.withColumns({"__lo": lo, "__hi": hi}).withColumn("__block", F.shiftright("__lo", 10)), "pairs")
+    order, levels = ["__lo", "gold_id", "pred_id"], [["__block"]]
+    reach = written(running_values(ranges, [parent], order, {"__reach": Running("max", F.col("__hi"))}, levels), "pair-reach")
+    begins = F.when(F.col("__reach").isNull() | (F.col("__lo") >= F.col("__reach")), F.col("__lo"))
+    cut = written(running_values(reach, [parent], order, {"__stretch": Running("last", begins, inclusive=True)}, levels)
+                  .drop("__hi", "__block", "__reach"), "pair-stretches")
+    key = [parent, "__stretch"]
+    large = cut.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*key)
+    if not one_row_flag(large):
+        return _walked(cut, key).select(*pairs.columns)
+    rest = lookup_join(cut, large, key, ["gold_id", "pred_id"], "left_anti")
+    long = lookup_join(cut, large, key, ["gold_id", "pred_id"], "left_semi")
+    return _walked(rest, key).select(*pairs.columns).unionByName(mutual_best(long, parent).select(*pairs.columns))
+
+
+def _walked(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The greedy walk over each stretch; a task keeps the used spans of one stretch."""
+    def walk(batches):
+        at, gold, pred = None, set(), set()
+        for batch in batches:
+            keep = []
+            for n, (stretch, g, p) in enumerate(zip(zip(*[batch.column(k).to_pylist() for k in key]),
+                                                    batch.column("gold_id").to_pylist(), batch.column("pred_id").to_pylist())):
+                if stretch != at:
+                    at, gold, pred = stretch, set(), set()
+                if g not in gold and p not in pred:
+                    gold.add(g)
+                    pred.add(p)
+                    keep.append(n)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    order = [F.desc("iou"), "gold_start", "pred_start", "gold_id", "pred_id"]
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(walk, rows.schema)
+
+
+def mutual_best(pairs: DataFrame, parent: str) -> DataFrame:
+    """The same matching in rounds, for stretches of any size.
+
     A pair that comes first for both of its spans is what the greedy walk would take, so each round accepts all
     such pairs at once and drops what they use up.  The first pair of the order always qualifies, so it ends.
     """
@@ -90,17 +136,15 @@ def one_to_one(pairs: DataFrame, parent: str) -> DataFrame:
                      F.col("gold_id").alias("d"), F.col("pred_id").alias("e"))
     rest = cut_lineage(pairs.withColumn("place", order))
     taken = []
-    while True:
+    while one_row_flag(rest):
         best_gold = rest.groupBy(parent, "gold_id").agg(F.min("place").alias("gold_best"))
         best_pred = rest.groupBy(parent, "pred_id").agg(F.min("place").alias("pred_best"))
         accepted = rest.join(best_gold, [parent, "gold_id"]).join(best_pred, [parent, "pred_id"]).where(
             (F.col("place") == F.col("gold_best")) & (F.col("place") == F.col("pred_best"))).select(*rest.columns)
-        accepted = cut_lineage(accepted)
-        taken.append(accepted)
-        rest = cut_lineage(rest.join(accepted.select(parent, "gold_id"), [parent, "gold_id"], "left_anti")
-                           .join(accepted.select(parent, "pred_id"), [parent, "pred_id"], "left_anti"))
-        if not one_row_flag(rest):
-            return reduce(DataFrame.unionByName, taken).drop("place")
+        taken.append(cut_lineage(accepted))
+        rest = cut_lineage(rest.join(taken[-1].select(parent, "gold_id"), [parent, "gold_id"], "left_anti")
+                           .join(taken[-1].select(parent, "pred_id"), [parent, "pred_id"], "left_anti"))
+    return reduce(DataFrame.unionByName, taken, rest).drop("place")
 
 
 def overlap_counts(left: DataFrame, right: DataFrame, parent: str) -> DataFrame:

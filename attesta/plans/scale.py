@@ -67,7 +67,7 @@ def running_values(df: DataFrame, keys: list[str], order: list[str], outputs: di
     partially aggregated row per bucket, carried over the buckets of the key by the next coarser level, and joined
     back.  It is one plan for keys of every size; no job runs while it is built.
 
-    Keys are never null (they are primary keys of the domain tables).  ``levels`` lists bucket columns from fine to
+    A missing key is a key, and a missing bucket a bucket, like any other.  ``levels`` lists bucket columns from fine to
     coarse; the buckets must follow ``order`` and the columns of a coarser level must be among those of the finer
     one.  Without levels it is a plain window.
     """
@@ -92,8 +92,11 @@ def _running(df, keys, order, specs, levels, reverse):
         per_bucket = df.groupBy(*keys, *bucket).agg(*totals)
         carried = _running(per_bucket, keys, bucket, {n: (kind, False) for n, (kind, _) in specs.items()},
                            levels[1:], reverse)
-        carried = carried.select(*keys, *bucket, *[F.col(n).alias(f"__carry_{n}") for n in specs])
-        df = df.join(carried, [*keys, *bucket], "left")
+        # a bucket may be null (an order value is missing): it is one bucket like any other
+        carried = carried.select(*[F.col(c).alias(f"__key_{c}") for c in (*keys, *bucket)],
+                                 *[F.col(n).alias(f"__carry_{n}") for n in specs])
+        same = [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in (*keys, *bucket)]
+        df = df.join(carried, same, "left").drop(*[f"__key_{c}" for c in (*keys, *bucket)])
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     window = Window.partitionBy(*keys, *bucket).orderBy(*direction)
     columns = []

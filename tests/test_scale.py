@@ -36,6 +36,19 @@ def test_running_values_equal_plain_windows(spark):
             assert rows_of(got.select("id", "last_v", "sum_x", "max_x")) == rows_of(want)
 
 
+def test_missing_buckets_are_buckets(spark):
+    rows = [(1, None, 1, "a"), (1, None, 2, "b"), (1, 5, 3, "c"), (1, 900, 4, None), (None, 5, 5, "d"), (None, None, 6, "e"), (None, 9, 7, None)]
+    df = spark.createDataFrame(rows, "k long, at long, id long, v string").withColumn("b1", F.shiftright("at", 4)).withColumn("b2", F.shiftright("at", 8))
+    for reverse in (False, True):
+        order = [F.col("at").desc(), F.col("id").desc()] if reverse else ["at", "id"]
+        w = Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        want = rows_of(df.select("id", F.last("v", True).over(w).alias("x"), F.count("v").over(w).alias("n")))
+        spec = {"x": Running("last", F.col("v")), "n": Running("sum", F.when(F.col("v").isNotNull(), 1).otherwise(0))}
+        for levels in ([["b2"]], [["b2", "b1"], ["b2"]]):
+            got = running_values(df, ["k"], ["at", "id"], spec, levels, reverse)
+            assert rows_of(got.select("id", "x", F.coalesce("n", F.lit(0)).alias("n"))) == want
+
+
 def test_a_hot_key_is_sorted_in_buckets(spark):
     df = running_values(skewed(spark), ["k"], ["at", "id"], {"last_v": Running("last", F.col("v"))}, [["b2"]])
     plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")

@@ -44,7 +44,9 @@ def test_exact_half_is_a_match(spark):
     assert {(r.gold_id, r.pred_id) for r in corpus.overlap_pairs(g, p, "parent").collect()} == {("0", "0"), ("1", "1")}
 
 
-def test_one_to_one_equals_the_greedy_walk(spark):
+@pytest.mark.parametrize("most", [0, 5, 100_000])
+def test_one_to_one_equals_the_greedy_walk(spark, most):
+    """All stretches walked, all in rounds, and long ones in rounds only."""
     rng = random.Random(11)
     gold, pred = random_spans(rng, 4, 40, 30), random_spans(rng, 4, 40, 30)
     pairs = brute_pairs(gold, pred, 0.5)
@@ -54,7 +56,7 @@ def test_one_to_one_equals_the_greedy_walk(spark):
         if ("g", parent, gi) not in used and ("p", parent, pi) not in used:
             used |= {("g", parent, gi), ("p", parent, pi)}
             want.add((parent, gi, pi))
-    got = corpus.one_to_one(corpus.overlap_pairs(*frames(spark, gold, pred), "parent"), "parent")
+    got = corpus.one_to_one(corpus.overlap_pairs(*frames(spark, gold, pred), "parent"), "parent", most)
     assert {(r.parent, r.gold_id, r.pred_id) for r in got.collect()} == want
 
 
@@ -92,3 +94,10 @@ def test_default_markers(spark):
     hits = df.select(sp.markers(F.col("text"), sp.MARKER_LEXICON).alias("m")).first().m
     assert {h.kind for h in hits} == {"REQUEST_PLEASE", "CONDITIONAL_IF", "OPTIONAL_CAN", "QUESTION_MARK"}
     assert all("Скажи, если можно, please?"[h.start_at:h.end_at] == h.piece for h in hits)
+
+
+def test_texts_are_cut_once(spark):
+    df = spark.createDataFrame([("m", "a. b.")], "message_id string, text string")
+    rows = corpus.atoms(df, PIECE)
+    plan = rows._sc._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "simple")
+    assert plan.count("ArrowEvalPython") == 1 and rows.count() == 2
