@@ -65,7 +65,8 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        # strings that the file turns into one id wherever they stand in a text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -104,8 +105,13 @@ class ByteBpe:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without an end id.
 
-        The first words a worker meets are remembered, up to ``CACHE``; others are encoded once for these texts.
+        The first words a worker meets are remembered, up to ``CACHE``; others are encoded once for these texts.  A text
+        that holds an added token's string goes through the library as a whole.
         """
+        special = {n: self._ids(t) for n, t in enumerate(texts) if any(a in t for a in self.added)}
+        if special:
+            rest = iter(self.encode_all([t for n, t in enumerate(texts) if n not in special]))
+            return [special[n] if n in special else next(rest) for n in range(len(texts))]
         cut = [_GAP.split(t) if _LOOSE_SPACE.search(t) else t.split(" ") for t in texts]
         known = self.known
         fresh = {w: self._word(w) for w in {w for words in cut for w in words[1:]}.difference(known)}

@@ -19,7 +19,6 @@ def plain_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     return [e.ids + [0] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
