@@ -32,11 +32,18 @@ def build_session(master: str | None = None, app: str = "attesta", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; only a session without one (tests) gets its own."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="attesta-")
-    return configured
+    """The folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Only a session on one machine may go without: it gets a folder of its own, once.  On a cluster a local folder would
+    lose what other machines write, so there a missing setting is an error.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attesta-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
