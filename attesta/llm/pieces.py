@@ -38,8 +38,11 @@ KEY_BASE = 0x5851F42D4C957F2D
 TABLE_BITS = 18
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+SPREADS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def _slot(keys: np.ndarray, spread: int) -> np.ndarray:
+    return ((keys * np.uint64(spread)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 class Pieces:
@@ -79,6 +82,9 @@ class Pieces:
             node[""] = value
         self.known: dict[str, bytes] = {}
         self.fresh: dict[str, bytes] = {}
+        self.piece_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.piece_sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
         self._table()
 
     @classmethod
@@ -135,17 +141,19 @@ class Pieces:
         """Open table of the vocabulary for whole arrays: polynomial keys, and the row of scores and ids."""
         pieces = list(self.id)
         keys = np.array([self._key(p) for p in pieces], np.uint64)
-        slots = np.full(2**TABLE_BITS, -1, np.int64)
-        clash = {}
-        for i, (k, at) in enumerate(zip(keys.tolist(), _slot(keys).tolist())):
-            if slots[at] >= 0:
-                clash[k] = i
-            else:
-                slots[at] = i
-        order = np.array(sorted(clash), np.uint64)
+        # what finds its slot taken goes to the next table, by another spread
+        tables, left = [], np.arange(len(pieces))
+        for spread in SPREADS:
+            slots = np.full(2**TABLE_BITS, -1, np.int64)
+            at = _slot(keys[left], spread)
+            slots[at[::-1]] = left[::-1]
+            tables.append((spread, slots))
+            left = left[slots[at] != left]
+        if len(left):
+            raise ValueError("the vocabulary is too large for its tables")
         scores = np.array([self.score[p] for p in pieces] + [NEVER], np.int64)
         ids = np.array([self.id[p] for p in pieces] + [0], np.int32)
-        self.table = keys, slots, order, np.array([clash[k] for k in order.tolist()], np.int64), scores, ids
+        self.table = keys, tables, scores, ids
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -156,13 +164,11 @@ class Pieces:
 
     def _rows(self, keys: np.ndarray) -> np.ndarray:
         """Vocabulary row of every key, -1 where there is none."""
-        known, slots, order, clash, _, _ = self.table
-        rows = slots[_slot(keys)]
-        rows[known[rows] != keys] = -1
-        at = np.searchsorted(order, keys)
-        at[at == len(order)] = 0
-        hit = order[at] == keys
-        rows[hit] = clash[at[hit]]
+        known, tables, _, _ = self.table
+        rows = np.full(keys.shape, -1, np.int64)
+        for spread, slots in tables:
+            row = slots[_slot(keys, spread)]
+            np.copyto(rows, row, where=(row >= 0) & (known[row] == keys))
         return rows
 
     def solve_many(self, stretches: list[str]) -> dict[str, bytes]:
@@ -172,7 +178,7 @@ class Pieces:
         for x in stretches:
             by_length.setdefault(len(x), []).append(x)
         for size, group in by_length.items():
-            if size > 40 or len(group) < 8:
+            if size > 40 or len(group) < 2 * min(size, self.longest):
                 out.update((x, self.solve(x)) for x in group)
                 continue
             codes = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64)
@@ -181,7 +187,7 @@ class Pieces:
             for length in range(1, min(size, self.longest) + 1):
                 keys = keys[:, :size - length + 1] * np.uint64(KEY_BASE) + codes[:, length - 1:]
                 rows.append(self._rows(keys))
-            scores, ids = self.table[4], self.table[5]
+            scores, ids = self.table[2], self.table[3]
             best = np.full((len(group), size + 1), NEVER, np.int64)
             came = np.zeros((len(group), size + 1), np.int64)
             best[:, 0] = 0
@@ -232,6 +238,19 @@ class Pieces:
         of = self.bytes_of
         return b"".join([of[i] for i in ids])[1:].decode()
 
+    def decode_many(self, blobs: list[bytes]) -> list[bytes]:
+        """Bytes that each array of ids stands for, with the blank before the text; whole arrays at a time."""
+        ids = np.frombuffer(b"".join(blobs), "<i4")
+        parts, sizes_of = [], self.piece_sizes[ids]
+        for at in range(0, len(ids), 2**18):
+            sizes = sizes_of[at:at + 2**18]
+            ends = np.cumsum(sizes)
+            shift = self.piece_starts[ids[at:at + 2**18]] - (ends - sizes)
+            parts.append(self.piece_bytes[np.repeat(shift, sizes) + np.arange(ends[-1])].tobytes())
+        data = b"".join(parts)
+        bounds = np.concatenate(([0], np.cumsum(sizes_of)))[np.cumsum([0, *[len(b) // 4 for b in blobs]])].tolist()
+        return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
     # chunks: ``full`` is the chunk with up to ``longest - 1`` characters before it, ``off`` of them
 
     def _certain(self, full: str, off: int) -> list[int]:
@@ -362,8 +381,9 @@ def encode(docs: DataFrame, file: str, chunk: int = CHUNK, check: bool = False)
     def finished(batch, texts, found, model):
         extra = [_int_lists(found)]
         if check:
-            extra.append(pa.array([(None if i is None else model.decode(np.frombuffer(i, "<i4").tolist())) == t
-                                   for i, t in zip(found, texts)], pa.bool_()))
+            back = model.decode_many([i or b"" for i in found])
+            extra.append(pa.array([(t is None) if i is None else b == (" " + t).encode() if t else not b
+                                   for i, b, t in zip(found, back, texts)], pa.bool_()))
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in given], *extra],
                                           [*given, "ids", *(["round_trip"] if check else [])])
 
