@@ -82,6 +82,16 @@ def streamed_states(lake):
     return run.states().select("event_id", "scope", "outcome", "target", "status")
 
 
+@query("T1_settled_by_watermark", needs=("gov",), sql="""
+WITH t AS (SELECT * FROM gov WHERE event_type <> 'OPEN_LOOP'), w AS (SELECT max(ts) - INTERVAL 6 HOUR AS mark FROM t)
+SELECT date_trunc('minute', ts) + INTERVAL 1 MINUTE <= mark AS settled, count(*) AS events, count(DISTINCT scope) AS scopes FROM t, w GROUP BY 1""")
+def settled_by_watermark(lake):
+    """What the watermark (six hours behind the last event) has closed and what is still open in the state."""
+    run = st.DecisionStream(lake.spark, delay="6 hours")
+    run.run(_StreamLake(lake).governance_events())
+    return run.log().groupBy("settled").agg(F.count("*").alias("events"), F.count_distinct("scope").alias("scopes"))
+
+
 @query("T2_change_fold", sql="""
 SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max_by(props, (ts, event_id)) AS props, count(*) AS changes FROM events GROUP BY 1""")
 def change_fold(lake):

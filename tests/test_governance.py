@@ -47,31 +47,57 @@ def test_conflict_is_a_parameter(spark):
     assert {r.outcome for r in states.where("event_id = 3").collect()} == {"ACCEPT"}
 
 
-@pytest.mark.parametrize("files", [1, 4])
-def test_stream_equals_batch(spark, files):
-    """The same events in one and in several micro-batches."""
+def story_files(spark, df, parts):
+    """One file for each condition, in this order of arrival."""
+    import time
+    folder = scratch_path(spark, "story")
+    for part in parts:
+        df.where(part).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.02)
+    return folder
+
+
+def opened(spark, df, folder):
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def many_events(spark, n=120):
     import random
-    rng = random.Random(files)
+    rng = random.Random(n)
     kinds = ["MODEL_PROPOSAL", "USER_DECISION", "RESEARCH_CLAIM", "QUERY_RESUME", "OPEN_LOOP"]
-    rows = [(i, rng.choice(kinds), rng.randint(0, 1)) for i in range(120)]
-    df = events(spark, rows, 1).withColumn("scope", F.col("event_id") % 3)
-    folder = scratch_path(spark, "story")
-    step = 120 // files
-    for i in range(files):
-        df.where(f"event_id >= {i * step} AND event_id < {(i + 1) * step}").coalesce(1).write.mode("append").parquet(folder)
-    run = DecisionStream(spark)
-    run.run(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder))
-    batch = status_of(gov.final_states(gov.admitted(df)))
-    assert status_of(run.states()) == batch
-    assert run.log().select("batch").distinct().count() == files
-
-
-def test_repeated_batch_writes_once(spark):
-    run = DecisionStream(spark)
-    df = events(spark, STORY)
-    run.apply(df, 0)
-    run.apply(df, 0)
-    assert run.log().count() == 5
+    rows = [(i, rng.choice(kinds), rng.randint(0, 1)) for i in range(n)]
+    return events(spark, rows, 1).withColumn("scope", F.when(F.col("event_id") % 3 > 0, F.lit(1)).otherwise(F.col("event_id") % 5))
+
+
+@pytest.mark.parametrize("parts, delay", [
+    (["true"], "10 minutes"), (["event_id >= 40 AND event_id < 80", "event_id < 40", "event_id >= 80"], "1 hour"),
+    (["event_id % 2 = 1", "event_id % 2 = 0"], "2 hours"), (["event_id < 0"], "1 hour")])
+def test_stream_equals_batch(spark, parts, delay):
+    """The same events in one and in several micro-batches, in any order of files, and no events at all."""
+    df = many_events(spark)
+    run = DecisionStream(spark, delay=delay)
+    run.run(opened(spark, df, story_files(spark, df, parts)))
+    kept = df if parts != ["event_id < 0"] else df.where("event_id < 0")
+    batch = gov.final_states(gov.admitted(kept))
+    columns = ["scope", "event_id", "event_type", "prior", "outcome", "target", "status"]
+    assert {tuple(r) for r in run.states().select(*columns).collect()} == {tuple(r) for r in batch.select(*columns).collect()}
+    assert run.ledger().count() == 0
+
+
+def test_closed_minutes_are_settled_and_late_events_go_to_the_ledger(spark):
+    """With no delay, the first file closes what lies before its end; a restart goes on from the stored state."""
+    df = many_events(spark)
+    run = DecisionStream(spark, delay="0 seconds", slices=3)
+    folder = story_files(spark, df, ["event_id < 80 AND event_id <> 20", "event_id >= 80"])
+    run.run(opened(spark, df, folder))
+    assert run.log().where("settled").count() > 60
+    again = DecisionStream(spark, root=run.root, delay="0 seconds", slices=3)
+    late = df.where("event_id = 20").withColumn("event_type", F.lit("USER_DECISION"))
+    late.coalesce(1).write.mode("append").parquet(folder)
+    again.run(opened(spark, df, folder))
+    assert [(r.event_id, r.reason) for r in again.ledger().collect()] == [(20, "LATE")]
+    batch = gov.final_states(gov.admitted(df.where("event_id <> 20")))
+    assert status_of(again.states()) == status_of(batch)
 
 
 def test_decay_deprecates_the_forgotten(spark):
