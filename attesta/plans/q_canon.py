@@ -350,29 +350,6 @@ def seed_and_manifest(lake):
         "digests_match", checked.scalar())
 
 
-@query("S8_checksum_manifest", sql="""
-SELECT 'src' || (doc_id % 20) AS name, CASE WHEN doc_id % 20 = 3 THEN 'NOT_RECOVERED' WHEN doc_id % 20 = 5 THEN 'MISMATCH' ELSE 'MATCH' END AS status
-FROM documents WHERE doc_id < 20""")
-def checksum_manifest(lake):
-    return _digest_check(lake)
-
-
-@query("J19_checksum_verification", sql="""
-SELECT CASE WHEN doc_id % 20 = 3 THEN 'NOT_RECOVERED' WHEN doc_id % 20 = 5 THEN 'MISMATCH' ELSE 'MATCH' END AS status, count(*) AS files
-FROM documents WHERE doc_id < 20 GROUP BY 1""")
-def checksum_verification(lake):
-    return _digest_check(lake).groupBy("status").agg(F.count("*").alias("files"))
-
-
-def _digest_check(lake):
-    """Content digest of each source against a checksum list with one changed and one missing entry."""
-    docs = lake.table("documents").select(F.concat(F.lit("src"), F.col("doc_id") % 20).alias("name"), F.sha2("text", 256).alias("h"))
-    actual = docs.groupBy("name").agg(canon.content_digest("h").alias("actual"))
-    listed = actual.select(F.concat_ws("  ", F.when(F.col("name") == "src5", "0").otherwise(F.col("actual")), "name").alias("value"))
-    expected = listed.select(F.split("value", "  ").alias("p")).select(F.col("p")[1].alias("name"), F.col("p")[0].alias("expected"))
-    return bundles.verify_digests(expected, actual.where(F.col("name") != "src3"))
-
-
 @query("S9_store_profile", sql="""
 SELECT 'events' AS store, 'OK' AS status, count(*) AS row_count, count(*) >= 13500 AS near_cap FROM events
 UNION ALL SELECT 'orders', 'OK', count(*), count(*) >= 13500 FROM orders
@@ -447,31 +424,6 @@ def publish_gate(lake):
         F.lit(first).alias("first_state"), F.lit(second).alias("second_state"), "served_rows")
 
 
-FINGERPRINTED = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
-                 "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"],
-                 "events": ["event_id", "user_id", "event_type", "props"], "documents": ["doc_id", "lang", "source", "text"]}
-
-
-def _digest_sql(name: str, columns: list[str]) -> str:
-    fields = ", ".join(f"CAST({c} AS VARCHAR)" for c in columns)
-    sums = " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS HUGEINT)) AS VARCHAR)" for i in range(4))
-    return f"SELECT '{name}' AS table_name, count(*) AS row_count, {sums} AS digest FROM (SELECT sha256(CAST(to_json([{fields}]) AS VARCHAR)) AS h FROM {name})"
-
-
-@query("A18_logical_fingerprint", sql=" UNION ALL ".join(_digest_sql(n, c) for n, c in FINGERPRINTED.items()))
-def logical_fingerprint(lake):
-    """Count and order-free digest of each table; the same for any order and any partitioning."""
-    parts = []
-    for name, columns in FINGERPRINTED.items():
-        rows = lake.table(name).select(content_hash(columns).alias("h"))
-        parts.append(rows.agg(F.count("*").alias("row_count"), canon.content_digest("h").alias("digest")).select(
-            F.lit(name).alias("table_name"), "row_count", "digest"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 @query("V19_namespace_completeness", sql="""
 SELECT 'events' AS store, 'FILLED' AS state FROM (SELECT 1) UNION ALL SELECT 'nation', 'FILLED'
 UNION ALL SELECT 'labels', 'FILLED' UNION ALL SELECT 'wm_changes', 'STORE_MISSING'""")
