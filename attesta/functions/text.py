@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Stop words and Russian endings in the order they are tried
 STOP_WORDS = ("и в во на с со что это как или но не за от до по к из у о об же ли бы он она они мы я ты его ее их "
@@ -99,7 +100,43 @@ def slug(text: Column) -> Column:
 
 def redacted(text: Column, start: str, end: str, placeholder: str) -> Column:
     """Replace every completed span; a start without its end stays as it is."""
-    return F.regexp_replace(text, "(?s)" + re.escape(start) + ".*?" + re.escape(end), placeholder)
+    literal = placeholder.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(text, "(?s)" + re.escape(start) + ".*?" + re.escape(end), literal)
+
+
+def redacted_values(value: Column, kind: T.DataType, start: str, end: str, placeholder: str) -> Column:
+    """``redacted`` for every string inside a value of any type: fields of structs, members of arrays, values of maps.
+
+    A span must lie in one string; field names and keys of maps stay, and what is missing stays missing.
+    """
+    def inside(inner: Column, inner_kind: T.DataType) -> Column:
+        return redacted_values(inner, inner_kind, start, end, placeholder)
+
+    if not _has_strings(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: inside(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: inside(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[inside(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), fields)
+    return redacted(value, start, end, placeholder)
+
+
+def _has_strings(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_strings(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_strings(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_has_strings(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.StringType)
+
+
+def redacted_frame(df: DataFrame, start: str, end: str, placeholder: str) -> DataFrame:
+    """A diagnostic copy of a table: every string of every column, at any depth, with its finished spans replaced."""
+    return df.select(*[redacted_values(F.col(f"`{f.name}`"), f.dataType, start, end, placeholder).alias(f.name) for f in df.schema.fields])
 
 
 def without_suffix(text: Column, suffix: str) -> Column:
@@ -107,6 +144,12 @@ def without_suffix(text: Column, suffix: str) -> Column:
     return F.regexp_replace(text, "(?:" + re.escape(suffix) + r")+\z", "")
 
 
+def without_block(text: Column, block: str, separator: str = "\n\n") -> Column:
+    """Strip a block that was added behind a separator, as often as it is repeated; a text that is the block alone,
+    which an empty text gets without a separator, becomes empty."""
+    return F.when(text == block, "").otherwise(without_suffix(text, separator + block))
+
+
 def json_value(raw: Column) -> Column:
     """Parsed JSON, null unless the whole text is one value.
 

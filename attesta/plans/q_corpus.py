@@ -326,13 +326,6 @@ def markers(lake):
     return rows.select("message_id", F.explode(F.when(F.size(found) > 0, found).otherwise(none)).alias("m")).select("message_id", "m.*")
 
 
-@query("X13_marker_coverage", needs=("msg",), sql="SELECT speaker, count(*) AS messages, CAST(0 AS BIGINT) AS with_marker FROM msg GROUP BY 1")
-def marker_coverage(lake):
-    """Coverage of the default lexicon; a missed marker is not an absent act."""
-    rows = lake.messages().select("speaker", F.size(sp.markers(F.col("text"), {"QUESTION_MARK": sp.MARKER_LEXICON["QUESTION_MARK"]})).alias("n"))
-    return rows.groupBy("speaker").agg(F.count("*").alias("messages"), F.count_if(F.col("n") > 0).alias("with_marker"))
-
-
 @query("V18_freeze_receipt", needs=("msg",), sql="""
 SELECT conv_id, count(*) AS items, count(DISTINCT turn) < count(*) AS has_duplicates, max(turn) - min(turn) + 1 > count(DISTINCT turn) AS has_gaps,
   min(turn) = 0 AS starts_at_zero, count(*) FILTER (WHERE trim(text) = '') = 0 AS all_filled FROM msg GROUP BY 1""")

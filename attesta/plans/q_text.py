@@ -95,6 +95,20 @@ def redaction(lake):
     return lake.table("pages").select("page_id", tx.redacted(F.col("html"), "<!--", "-->", "[REDACTED]").alias("html"))
 
 
+@query("X11_nested_redaction", sql=r"""
+WITH r AS (SELECT page_id, regexp_replace(html, '(?s)<p>.*?</p>', '[P]', 'g') AS html, regexp_replace(url, '(?s)<p>.*?</p>', '[P]', 'g') AS url,
+  string_split(regexp_replace(html, '(?s)<li>', chr(1), 'g'), chr(1)) AS parts FROM pages)
+SELECT page_id, html AS body, url, len(parts) AS members, array_to_string([regexp_replace(x, '(?s)<p>.*?</p>', '[P]', 'g') for x in parts], '|') AS joined FROM r""")
+def nested_redaction(lake):
+    """A copy of a nested record: the same span replaced in a field, in a map of a struct and in the members of an array."""
+    nested = lake.table("pages").select("page_id", F.struct(
+        F.create_map(F.lit("url"), "url", F.lit("html"), "html").alias("fields"),
+        F.transform(F.split("html", "<li>"), lambda x: F.struct(x.alias("text"), F.length(x).alias("size"))).alias("parts")).alias("value"))
+    rows = tx.redacted_frame(nested, "<p>", "</p>", "[P]")
+    return rows.select("page_id", F.col("value.fields")["html"].alias("body"), F.col("value.fields")["url"].alias("url"),
+                       F.size("value.parts").cast("long").alias("members"), F.array_join("value.parts.text", "|").alias("joined"))
+
+
 @query("X12_strip_suffix", sql=r"""
 SELECT o_orderkey, o_orderpriority AS base FROM orders""")
 def strip_suffix(lake):
@@ -103,6 +117,16 @@ def strip_suffix(lake):
     return lake.table("orders").select("o_orderkey", made.alias("t")).select("o_orderkey", tx.without_suffix(F.col("t"), block).alias("base"))
 
 
+@query("X12_strip_block", sql="""
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 5 = 4 THEN '[block]' || o_orderpriority ELSE o_orderpriority END AS base FROM orders""")
+def strip_block(lake):
+    """Texts that are the block alone, begin with it, or carry it once or more at their end."""
+    block, key = "[block]", F.col("o_orderkey")
+    carried = F.concat("o_orderpriority", F.repeat(F.lit("\n\n" + block), (key % 4).cast("int")))
+    made = F.when(key % 5 == 0, block).when(key % 5 == 4, F.concat(F.lit(block), carried)).otherwise(carried)
+    return lake.table("orders").select("o_orderkey", tx.without_block(made, block).alias("base"))
+
+
 @query("X14_slug", sql="""
 SELECT p_partkey, regexp_replace(regexp_replace(replace(lower(' ' || p_name || ' / ' || p_brand || '!'), 'ё', 'е'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part""")
 def slug(lake):
