@@ -409,6 +409,14 @@ def _peeled(keys: DataFrame) -> DataFrame:
     return led
 
 
+def _star_links(led: DataFrame) -> DataFrame:
+    """Links (``a, b``) that connect what shares a key: each node with the smallest of its leaders, and that one with its
+    other leaders.  In a group of copies that share many keys these are about as many as its nodes, not its keys."""
+    nodes = led.groupBy("node").agg(F.collect_set("leader").alias("leaders"))
+    ends = nodes.select(F.array_min("leaders").alias("b"), F.explode(F.array_union("leaders", F.array("node"))).alias("a"))
+    return ends.where("a <> b").select("a", "b")
+
+
 def _candidate_texts(docs: DataFrame, described: DataFrame, least: int, by: str) -> DataFrame:
     """``comp, node, label, text`` of one document per node that shares enough parts with other nodes."""
     if by == "rare":
@@ -416,8 +424,7 @@ def _candidate_texts(docs: DataFrame, described: DataFrame, least: int, by: str)
                                        F.explode("sigs").alias("sig")))
     else:
         led = _with_leaders(described.select("node", F.explode("sigs").alias("sig")))
-    stars = led.where("leader <> node").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    comps = components(stars)
+    comps = components(_star_links(led))
     first = described.groupBy("node").agg(F.min("__row").alias("__key"))
     chosen = written(first.join(comps, "node").select("node", F.col("label").alias("comp"), "__key"), "chosen")
     # a filter of the chosen rows, of bounded size, keeps most other texts out of the exchange
