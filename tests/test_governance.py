@@ -120,3 +120,18 @@ def test_change_fold_over_several_batches_and_a_restart(spark):
     assert {tuple(r) for r in fold.run(stream()).collect()} == want
     again = ChangeFold(spark, "work_id", ["at"], ["after"], root=fold.root)
     assert {tuple(r) for r in again.run(stream()).collect()} == want
+
+
+def test_the_stream_runs_in_a_session_with_the_default_state_store(spark):
+    """The operator has two state variables and a timer: a session of Spark's own defaults serves it too, and stays as it was."""
+    name, default = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    df = many_events(spark, 40)
+    before = spark.conf.get(name)
+    spark.conf.set(name, default)
+    try:
+        run = DecisionStream(spark)
+        run.run(opened(spark, df, story_files(spark, df, ["event_id < 20", "event_id >= 20"])))
+        assert status_of(run.states()) == status_of(gov.final_states(gov.admitted(df)))
+        assert spark.conf.get(name) == default
+    finally:
+        spark.conf.set(name, before)
