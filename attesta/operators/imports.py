@@ -3,12 +3,17 @@
 ``Memory`` holds the three stored tables.  ``import_bundle`` reads a bundle's parsed lines once, finds all errors, and
 gives the memory after the import: stored and incoming rows of a table are tagged, brought together by one exchange on
 their id, and classified in that one pass.  Nothing stored is deleted; a revised item stays as ``item@hash``.
+
+Claims are long texts that no check compares but by their hash.  They stay in the table of the parsed lines: an import
+moves the heads of items (all but the claim, with the line that holds it), and the claims come back by that line when
+somebody reads the items.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +28,7 @@ from attesta.sources import bundles
 
 SOURCES = [*bundles.SOURCE_FIELDS, "record_hash"]
 ITEMS = [*bundles.ITEM_FIELDS, "record_hash"]
+HEADS = [*(c for c in ITEMS if c != "claim"), "body"]
 RELATIONS = [*bundles.RELATION_FIELDS, "record_hash"]
 COUNTERS = ["sources_inserted", "sources_updated", "sources_unchanged", "items_inserted", "items_unchanged", "items_revised",
             "items_superseded", "relations_inserted", "relations_unchanged", "not_in_this_seed"]
@@ -30,9 +36,14 @@ COUNTERS = ["sources_inserted", "sources_updated", "sources_unchanged", "items_i
 
 @dataclass(frozen=True)
 class Memory:
+    """The three tables.  After an import the items are there in their two parts as well: ``heads`` and ``claims``, whose
+    ``body`` names the line that brought the claim."""
+
     sources: DataFrame
     items: DataFrame
     relations: DataFrame
+    heads: DataFrame | None = None
+    claims: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -53,6 +64,24 @@ def empty_memory(spark: SparkSession) -> Memory:
     return Memory(nothing(SOURCES), nothing(ITEMS), nothing(RELATIONS))
 
 
+def _in_parts(memory: Memory) -> tuple[DataFrame, DataFrame]:
+    """Heads and claims of the items; ids of items are unique."""
+    if memory.heads is not None:
+        return memory.heads, memory.claims
+    items = memory.items.withColumn("body", F.concat(F.lit("stored:"), F.coalesce("item_id", F.lit(""))))
+    return items.select(*HEADS), items.select("body", "claim")
+
+
+def _whole(heads: DataFrame, claims: DataFrame) -> DataFrame:
+    return heads.join(claims, "body", "left").select(*ITEMS)
+
+
+def items_with_digests(memory: Memory) -> DataFrame:
+    """The items with the SHA-256 of each claim in its place; it is taken before anything moves."""
+    heads, claims = _in_parts(memory)
+    return _whole(heads, claims.withColumn("claim", F.sha2("claim", 256)))
+
+
 def _flag(name: str) -> Column:
     return F.coalesce(F.col(name).isin("1", "true"), F.lit(False))
 
@@ -172,15 +201,21 @@ def import_bundle(stored: Memory, lines: DataFrame, seed_id: str, seed_version:
     are blank or comments count for the numbering only.  Errors name their line; warnings do not refuse.
     """
     spark = lines.sparkSession
-    parsed = written(bundles.parse_lines(lines), "bundle")
+    heads, claims = _in_parts(stored)
+    parsed = written(bundles.parse_lines(lines).drop("raw"), "bundle")
+    body = F.concat(F.lit(f"{uuid4().hex[:12]}:"), "line")
+    claims = claims.unionByName(parsed.where(F.col("record.item").isNotNull()).select(
+        body.alias("body"), blank_to_null(F.col("record.item.claim")).alias("claim")))
     sources, source_clash = _firsts(_bundle_sources(parsed), "source_id")
     sources = written(sources, "bundle-sources")
-    every_item = written(_bundle_items(parsed, sources, stored.sources), "bundle-items")
-    items, item_clash = _firsts(every_item, "item_id")
+    # whether there is a claim is all that the rules ask: its first letter is kept for them
+    every_item = written(_bundle_items(parsed, sources, stored.sources).withColumn("claim", F.left("claim", F.lit(1)))
+                         .withColumn("body", body), "bundle-items")
+    items, item_clash = _firsts(every_item.drop("claim"), "item_id")
     items = written(items, "bundle-item-firsts")
     every_relation = _bundle_relations(parsed)
     relations, relation_clash = _firsts(every_relation.where(F.col("relation_id").isNotNull()), "relation_id")
-    pinned = written(_pins(relations, items, stored.items), "bundle-relations")
+    pinned = written(_pins(relations, items, heads), "bundle-relations")
     old = stored.relations.select("relation_id", F.struct("record_hash", "from_version_id", "to_version_id").alias("old"))
     against = pinned.join(old, "relation_id", "left").withColumn("is_known", F.col("old").isNotNull())
 
@@ -207,7 +242,7 @@ def import_bundle(stored: Memory, lines: DataFrame, seed_id: str, seed_version:
     # (an export brings the marks and edges of its declarations itself)
     wanted = items.where(F.col("supersedes_item_id").isNotNull() & F.lit(not restore)).select(
         F.col("supersedes_item_id").alias("item_id"), F.col("item_id").alias("by_id"), "line", "source_id")
-    exists = stored.items.select("item_id").unionByName(items.select("item_id")).distinct().withColumn("is_there", F.lit(True))
+    exists = heads.select("item_id").unionByName(items.select("item_id")).distinct().withColumn("is_there", F.lit(True))
     aimed = wanted.join(exists, "item_id", "left")
     absent = aimed.where(F.col("is_there").isNull())
     missing = absent.select(F.lit("SUPERSEDED_ITEM_ABSENT").alias("rule"), F.lit("WARNING").alias("severity"),
@@ -234,12 +269,12 @@ def import_bundle(stored: Memory, lines: DataFrame, seed_id: str, seed_version:
         "first_seed_version": F.coalesce("o.first_seed_version", seeded("first_seed_version")),
         "last_seed_version": F.coalesce(last, F.when(F.col("outcome") == "revised", F.lit(seed_version)), seeded("last_seed_version"))}))
 
-    items_both = _together(stored.items, items, "item_id", ITEMS).join(marks, "item_id", "left")
+    items_both = _together(heads, items, "item_id", HEADS).join(marks, "item_id", "left")
     given_up = (F.col("o.lifecycle") == "SUPERSEDED") | (F.col("n.lifecycle") == "SUPERSEDED")
     told = F.coalesce("o.superseded_by", "n.superseded_by")
     items_both = written(items_both.withColumn("newly", F.col("by_id").isNotNull() & ~(
         F.coalesce(given_up, F.lit(False)) & told.isNotNull())), "items-both")
-    current = items_both.select("outcome", "newly", *_picked(ITEMS, taken, {
+    current = items_both.select("outcome", "newly", *_picked(HEADS, taken, {
         "lifecycle": F.when(F.coalesce(given_up, F.lit(False)) | F.col("newly"), "SUPERSEDED").otherwise("ACTIVE"),
         "superseded_by": F.when(F.col("newly"), F.col("by_id")).otherwise(told),
         "seed_id": F.coalesce("o.seed_id", seeded("seed_id")),
@@ -247,9 +282,9 @@ def import_bundle(stored: Memory, lines: DataFrame, seed_id: str, seed_version:
         "last_seed_version": F.coalesce(last, F.when(F.col("outcome") == "revised", F.lit(seed_version)), seeded("last_seed_version"))}))
     archive = items_both.where("outcome = 'revised'").select(*[{
         "item_id": F.col("o.version_id"), "lifecycle": F.lit("SUPERSEDED"), "superseded_by": F.col("item_id")}.get(c, F.col(f"o.{c}"))
-        .alias(c) for c in ITEMS])
+        .alias(c) for c in HEADS])
     archive = archive.join(items_both.select(F.col("item_id")), "item_id", "left_anti")
-    all_items = written(current.drop("outcome", "newly").unionByName(archive.select(*ITEMS)), "items-after")
+    all_items = written(current.drop("outcome", "newly").unionByName(archive.select(*HEADS)), "items-after")
 
     # the automatic edge of each declared supersession, pinned to the versions that are current now
     ends = all_items.select("item_id", "version_id")
@@ -282,7 +317,7 @@ def import_bundle(stored: Memory, lines: DataFrame, seed_id: str, seed_version:
     explicit = ~F.coalesce(F.col("relation_id").startswith("rel:auto:SUPERSEDES:"), F.lit(False)) | F.lit(restore)
     by_relation = counted(relations_both.where(explicit), "relations", usual)
     counters = by_source.join(by_item).join(by_relation).select(*COUNTERS)
-    after = Memory(new_sources.select(*SOURCES), all_items.select(*ITEMS), new_relations.select(*RELATIONS))
+    after = Memory(new_sources.select(*SOURCES), _whole(all_items, claims), new_relations.select(*RELATIONS), all_items, claims)
     return Imported(True, after, errors, warnings, counters)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attesta.functions import vocabulary as v
 from attesta.operators import imports
 from attesta.plans.registry import query
-from attesta.session import scratch_path
+from attesta.session import scratch_path, written
 from attesta.sources import bundles
 
 KIND_AUTHORITY = {"HUMAN_REFERENCE": "HUMAN_REFERENCE_ONLY", "BOOK_DONOR": "RESEARCH_DONOR"}
@@ -18,11 +18,11 @@ FIRST, SECOND = "doc_id % 4 <> 3", "doc_id % 4 <> 0"
 
 
 def _sources(raw: DataFrame) -> DataFrame:
-    """Sources whose authority suits their kind."""
+    """Sources whose authority suits their kind; a small table, stored so that the documents meet it where they are."""
     authority = F.lit("RESEARCH_SYNTHESIS")
     for kind, only in KIND_AUTHORITY.items():
         authority = F.when(F.col("source_kind") == kind, only).otherwise(authority)
-    return raw.withColumn("authority_class", authority)
+    return written(raw.withColumn("authority_class", authority), "raw-sources")
 
 
 def _items(lake, sources: DataFrame, where: str) -> DataFrame:
@@ -40,7 +40,8 @@ def _lines(lake, items: DataFrame, sources: DataFrame) -> DataFrame:
         F.concat(F.lit("d"), F.col("doc_id") - F.col("doc_id") % 4).alias("to_item_id"))
     lines = bundles.bundle_export(items.drop("doc_id"), sources, support, {"format": "ref-jsonl/1", "seed_id": "documents"})
     path = scratch_path(lake.spark, "bundle")
-    lines.repartitionByRange(4, "part", "k1", "k2").sortWithinPartitions("part", "k1", "k2").select("value").write.text(path)
+    parts = max(4, int(lake.spark.conf.get("spark.sql.shuffle.partitions")))
+    lines.repartitionByRange(parts, "part", "k1", "k2").sortWithinPartitions("part", "k1", "k2").select("value").write.option("compression", "gzip").text(path)
     return bundles.bundle_lines(lake.spark, path, by_folder=True)
 
 
@@ -101,8 +102,8 @@ SELECT item_id AS logical_item_id, FALSE AS archived, sha256(text || CASE WHEN c
 UNION ALL SELECT item_id, TRUE, sha256(text), 'SUPERSEDED', item_id, revision, 'v1', 'v1' FROM marked WHERE revised""")
 def import_state(lake):
     """All items after both imports: current ones, and the archived versions of revised ones."""
-    return _second(lake).after.items.select(
-        "logical_item_id", (F.col("item_id") == F.col("version_id")).alias("archived"), F.sha2("claim", 256).alias("claim_hash"),
+    return imports.items_with_digests(_second(lake).after).select(
+        "logical_item_id", (F.col("item_id") == F.col("version_id")).alias("archived"), F.col("claim").alias("claim_hash"),
         "lifecycle", "superseded_by", F.col("source_revision_at_capture").alias("captured_revision"), "first_seed_version",
         "last_seed_version")
 
@@ -133,9 +134,12 @@ def round_trip(lake):
     before = _second(lake).after
     path = scratch_path(lake.spark, "export")
     lines = imports.export_lines(before, {"format": "ref-jsonl/1", "kind": "export"})
-    lines.repartitionByRange(5, "part", "k1", "k2").sortWithinPartitions("part", "k1", "k2").select("value").write.text(path)
+    parts = max(5, int(lake.spark.conf.get("spark.sql.shuffle.partitions")))
+    lines.repartitionByRange(parts, "part", "k1", "k2").sortWithinPartitions("part", "k1", "k2").select("value").write.option("compression", "gzip").text(path)
     back = imports.import_bundle(imports.empty_memory(lake.spark), bundles.bundle_lines(lake.spark, path, by_folder=True),
                                  "export", "x", restore=True).after
+    # claims are compared by their SHA-256
+    sides = {"items": (imports.items_with_digests(before), imports.items_with_digests(back)),
+             "sources": (before.sources, back.sources), "relations": (before.relations, back.relations)}
     return reduce(DataFrame.unionByName, [
-        bundles.compare_exports(getattr(before, name), getattr(back, name).select(*getattr(before, name).columns))
-        .withColumn("table_name", F.lit(name)) for name in ("items", "sources", "relations")])
+        bundles.compare_exports(was, now.select(*was.columns)).withColumn("table_name", F.lit(name)) for name, (was, now) in sides.items()])

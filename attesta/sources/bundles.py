@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from attesta.functions import vocabulary as v
 from attesta.functions.text import json_value
 from attesta.plans.scale import Running, lookup_join, running_values
-from attesta.session import scratch_path
+from attesta.session import scratch_path, written
 
 _TEXT = T.StringType()
 # what an import or an export carries beside the content
@@ -35,16 +35,19 @@ def bundle_lines(spark: SparkSession, path: str, by_folder: bool = False) -> Dat
     A bundle is a file, or with ``by_folder`` all files of a folder in the order of their names (as ``write_ordered``
     leaves them).  A file of any size is read in its splits: inside a split the rows keep their order, and the splits
     are put in order by file and by where they start, so the line number is a running count over all splits of the
-    bundle and no file goes through one task.
+    bundle and no file goes through one task.  Only one row for each split is moved for it; the lines are stored once
+    and stay where they are.
     """
     file = F.col("_metadata.file_path")
     rows = spark.read.text(path).select(
         (F.regexp_replace(file, "/[^/]*$", "") if by_folder else file).alias("bundle"), file.alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
         F.trim("value").alias("raw"))
-    numbered = running_values(rows, ["bundle"], ["file", "block", "place"],
-                              {"line": Running("sum", F.lit(1), inclusive=True)}, [["file", "block"]])
-    return numbered.select("bundle", F.col("line").cast("long").alias("line"), "raw")
+    rows = written(rows, "lines")
+    splits = rows.groupBy("bundle", "file", "block").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
+    before = running_values(splits, ["bundle"], ["file", "block"], {"before": Running("sum", F.col("lines"))}, [])
+    starts = written(before.select("file", "block", (F.coalesce("before", F.lit(0)) - F.col("first")).alias("shift")), "splits")
+    return rows.join(starts, ["file", "block"]).select("bundle", (F.col("shift") + F.col("place") + 1).alias("line"), "raw")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

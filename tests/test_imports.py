@@ -135,3 +135,19 @@ def test_export_and_back(spark, first):
 def test_nothing_at_all(spark):
     result = imports.import_bundle(imports.empty_memory(spark), lines_of(spark, ["", "// nothing"]), "seed", "v1")
     assert result.committed and counters(result) == {} and result.after.items.count() == 0
+
+
+def test_claims_do_not_move_in_an_import(spark, first):
+    """What an import stores beside the lines themselves has no claim in it; the items read back have them all."""
+    result = imports.import_bundle(first.after, lines_of(spark, [line(item=item("b", "another", source_id="s1"))]), "seed", "v3")
+    assert "claim" not in result.after.heads.columns
+    assert {i: r.claim for i, r in items(result.after).items() if "@" not in i} == {"a": "a claim", "b": "another", "c": "a claim"}
+    digests = {r.item_id: r.claim for r in imports.items_with_digests(result.after).collect()}
+    assert digests == {r.item_id: r.d for r in result.after.items.select("item_id", F.sha2("claim", 256).alias("d")).collect()}
+
+
+def test_a_memory_of_plain_tables_takes_an_import(spark, first):
+    plain = imports.Memory(first.after.sources, first.after.items, first.after.relations)
+    result = imports.import_bundle(plain, lines_of(spark, [line(item=item("b", "another", source_id="s1"))]), "seed", "v3")
+    assert counters(result)["items_revised"] == 1
+    assert sorted(r.claim for r in result.after.items.collect()) == ["a claim", "a claim", "another", "ein Anspruch"]
