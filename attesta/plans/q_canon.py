@@ -336,12 +336,15 @@ def registry_reader(lake):
                                                             F.sum(F.size("mechanisms")).cast("long").alias("words"))
 
 
+SEED_FILE_ROWS = 20_000  # some 7 MB: a file is hashed in the memory of one task
+
+
 @query("S4_seed_and_manifest", sql=RECORDS_SQL + """
 SELECT count(*) AS records, count(DISTINCT tenant) AS tenants, TRUE AS digests_match FROM rec""")
 def seed_and_manifest(lake):
     """Record set written as JSON lines; its files are hashed in the tasks and checked against their list."""
     rows = seed_records(lake)
-    path = bundles.write_lines(rows, "seed")
+    path = bundles.write_lines(rows, "seed", SEED_FILE_ROWS)
     digests = bundles.file_digests(lake.spark, f"{path}/part-*")
     listed = digests.select("name", F.col("actual").alias("expected"))
     checked = bundles.verify_digests(listed, digests).agg(F.every(F.col("status") == "MATCH").alias("ok"))

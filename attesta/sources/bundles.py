@@ -118,9 +118,10 @@ def write_ordered(lines: DataFrame, order: list[str], path: str) -> str:
     return path
 
 
-def write_lines(df: DataFrame, label: str) -> str:
+def write_lines(df: DataFrame, label: str, most: int = 0) -> str:
+    """JSON lines in the shared folder; with ``most`` no file has more rows, for readers that take a file as a whole."""
     path = scratch_path(df.sparkSession, label)
-    df.write.mode("errorifexists").json(path)
+    df.write.mode("errorifexists").option("maxRecordsPerFile", most).json(path)
     return path
 
 
@@ -183,7 +184,7 @@ def export_packages(package: DataFrame, passed: DataFrame, key: str, fields: lis
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file, read and hashed inside the tasks."""
+    """SHA-256 of each file, read and hashed inside the tasks.  A task holds one whole file: write them in small parts."""
     return spark.read.format("binaryFile").load(path).select(
         F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual"),
         F.col("length").alias("bytes"))

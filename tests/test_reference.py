@@ -314,3 +314,17 @@ def test_lineage_chains(spark):
             want.append((at, at in seen))
             seen.add(at)
         assert [got.get(start, {})[h] for h in sorted(got.get(start, {}))] == want, start
+
+
+def test_files_of_lines_are_bounded_and_hashed_one_by_one(spark):
+    """A reader that takes whole files meets none of more rows than asked, whatever the number of tasks that wrote them."""
+    import hashlib
+    rows = spark.range(25).select(F.concat(F.lit("line "), "id").alias("value")).coalesce(1)
+    path = bundles.write_lines(rows, "bounded", 10)
+    digests = {r.name: r for r in bundles.file_digests(spark, f"{path}/part-*").collect()}
+    counts = {r.f.rsplit("/", 1)[-1]: r.n for r in spark.read.text(path).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()}
+    assert sorted(counts.values()) == [5, 10, 10]
+    assert set(digests) == set(counts)
+    for name, row in digests.items():
+        with open(f"{path}/{name}", "rb") as f:
+            assert row.actual == hashlib.sha256(f.read()).hexdigest()
