@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN_TYPE = "array<struct<pos:long,start_at:long,end_at:long,piece:string>>"
+TEXTS_AT_ONCE = 64
 MARKER_TYPE = "array<struct<kind:string,start_at:long,end_at:long,piece:string>>"
 
 
@@ -16,14 +18,28 @@ def pieces(text: Column, pattern: str) -> Column:
     """Consecutive pieces of a text with their offsets.
 
     Arrow-batched: running offsets inside a row would cost the square of the number of pieces with array
-    functions, and a window would shuffle the texts.
+    functions, and a window would shuffle the texts.  A batch is cut a few texts at a time straight into Arrow columns,
+    so Python objects exist for those only, however many rows the session puts into a batch.
     """
     compiled = re.compile(pattern)
 
-    @F.pandas_udf(SPAN_TYPE)
-    def cut(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: None if t is None else [
-            {"pos": i, "start_at": m.start(), "end_at": m.end(), "piece": m.group()} for i, m in enumerate(compiled.finditer(t))])
+    @F.arrow_udf(SPAN_TYPE)
+    def cut(values: pa.Array) -> pa.Array:
+        def some(texts: list) -> pa.Array:
+            upto, pos, start, end, piece = [0], [], [], [], []
+            for t in texts:
+                for i, m in enumerate(() if t is None else compiled.finditer(t)):
+                    pos.append(i)
+                    start.append(m.start())
+                    end.append(m.end())
+                    piece.append(m.group())
+                upto.append(len(pos))
+            spans = pa.StructArray.from_arrays(
+                [pa.array(pos, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(piece, pa.string())],
+                ["pos", "start_at", "end_at", "piece"])
+            return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), spans, mask=pa.array([t is None for t in texts], pa.bool_()))
+
+        return pa.concat_arrays([some(values.slice(n, TEXTS_AT_ONCE).to_pylist()) for n in range(0, max(1, len(values)), TEXTS_AT_ONCE)])
 
     return cut(text)
 

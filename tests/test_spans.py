@@ -101,3 +101,15 @@ def test_texts_are_cut_once(spark):
     rows = corpus.atoms(df, PIECE)
     plan = rows._sc._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "simple")
     assert plan.count("ArrowEvalPython") == 1 and rows.count() == 2
+
+
+def test_pieces_of_one_large_batch(spark):
+    """More texts in a batch than are cut at once: missing and empty texts, letters beyond the first plane, no Python rows kept."""
+    import re
+    texts = [None if n % 7 == 3 else "" if n % 7 == 5 else f"Satz {n}. 𝔘nd é\n" * (n % 4) + "end" for n in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1)
+    got = {r.n: r.p for r in rows.select("n", sp.pieces(F.col("t"), r"[^.\n]*[.\n]+|[^.\n]+").alias("p")).collect()}
+    for n, t in enumerate(texts):
+        want = None if t is None else [(i, m.start(), m.end(), m.group()) for i, m in enumerate(re.finditer(r"[^.\n]*[.\n]+|[^.\n]+", t))]
+        assert (got[n] if got[n] is None else [tuple(x) for x in got[n]]) == want
+    assert sp.TEXTS_AT_ONCE < len(texts)
