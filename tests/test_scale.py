@@ -75,3 +75,13 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     assert df.groupBy("k").count().agg(F.max("count")).first()[0] == 3
     plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_values_are_made_after_the_exchange(spark):
+    """A row meets what earlier buckets carry without the running values beside the columns they are made of."""
+    rows = spark.range(100).select((F.col("id") % 3).alias("k"), "id", F.floor(F.col("id") / 10).alias("b"), F.lit("text").alias("t"))
+    out = running_values(rows, ["k"], ["id"], {"last": Running("last", F.struct("t"))}, [["b"]])
+    plan = out._jdf.queryExecution().analyzed().toString().splitlines()
+    below = plan[next(n for n, row in enumerate(plan) if "Join LeftOuter" in row) + 1]
+    assert "__in_" not in below
+    assert out.where("last.t = 'text'").count() == 97
