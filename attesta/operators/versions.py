@@ -137,15 +137,21 @@ def lineage_chains(links: DataFrame, max_hops: int = 50) -> DataFrame:
     is followed to the bound and can be seen.
     """
     known = links.select(F.col("item_id").alias("superseded_by"), F.lit(True).alias("known"))
-    first = lookup_join(links.select("item_id", "superseded_by"), known, ["superseded_by"], ["item_id"], "inner")
+    # both sides are about as large: neither is repeated
+    first = lookup_join(links.select("item_id", "superseded_by"), known, ["superseded_by"], ["item_id"], "inner", salts=1)
     state = cut_lineage(first.select("item_id", F.array("superseded_by").alias("chain")))
     length = 1
     while length < max_hops:
+        full = F.size("chain") == length
+        if not one_row_flag(state.where(full)):
+            break
+        # a chain that has come to its end is looked up, but asks for nothing more
         ahead = state.select(F.col("item_id").alias("last"), F.col("chain").alias("more"))
-        ends = state.withColumn("last", F.when(F.size("chain") == length, F.element_at("chain", -1)))
+        growing = state.where(full).withColumn("last", F.element_at("chain", -1))
         more = F.coalesce("more", F.array().cast(state.schema["chain"].dataType))
-        state = cut_lineage(lookup_join(ends, ahead, ["last"], ["item_id"]).select(
-            "item_id", F.slice(F.concat("chain", more), 1, max_hops).alias("chain")))
+        longer = lookup_join(growing, ahead, ["last"], ["item_id"], salts=1).select(
+            "item_id", F.slice(F.concat("chain", more), 1, max_hops).alias("chain"))
+        state = cut_lineage(state.where(~full).unionByName(longer))
         length *= 2
     rows = state.select("item_id", "chain", F.posexplode("chain").alias("place", "newer_id"))
     before = (F.col("newer_id") == F.col("item_id")) | (F.array_position("chain", F.col("newer_id")) <= F.col("place"))

@@ -13,6 +13,7 @@ from attesta.operators import reference as ref
 from attesta.operators import retrieval as rt
 from attesta.operators import search_index as si
 from attesta.operators import work
+from attesta.plans.scale import lookup_join
 from attesta.session import scratch_path
 from attesta.sources import bundles
 
@@ -316,6 +317,21 @@ def test_lineage_chains(spark):
         assert [got.get(start, {})[h] for h in sorted(got.get(start, {}))] == want, start
 
 
+def test_lineage_chains_move_each_row_once_a_round(spark, monkeypatch):
+    """No side of a join is repeated, and a chain that has come to its end asks for nothing more."""
+    asked = []
+
+    def counted(fact, dim, on, spread_by, how="left", salts=8):
+        asked.append((salts, fact.count()))
+        return lookup_join(fact, dim, on, spread_by, how, salts)
+
+    monkeypatch.setattr(versions, "lookup_join", counted)
+    links = spark.createDataFrame([(i, i + 1 if i % 10 != 9 else None) for i in range(100)], "item_id long, superseded_by long")
+    assert versions.lineage_chains(links).count() == 10 * sum(range(10))
+    assert [salts for salts, _ in asked] == [1] * len(asked)
+    assert [rows for _, rows in asked] == [100, 90, 80, 60, 20]
+
+
 def test_files_of_lines_are_bounded_and_hashed_one_by_one(spark):
     """A reader that takes whole files meets none of more rows than asked, whatever the number of tasks that wrote them."""
     import hashlib
