@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import vocabulary as v
 from attesta.functions.identity import content_hash, short_hash
 from attesta.plans.scale import Running, lookup_join, one_row_flag, running_values
-from attesta.session import cut_lineage
+from attesta.session import cut_lineage, written
 
 REVISION_CONTENT = ["status", "price", "priority"]
 # buckets follow the revision order (at, revision_no); ``at`` is a date, so a day is one bucket
@@ -59,10 +59,13 @@ def one_row_per_version(rows: DataFrame) -> DataFrame:
         best.select("version_id", F.col("best.item_id").alias("item_id")), ["version_id", "item_id"])
 
 
-def resolve_endpoints(relations: DataFrame, versions: DataFrame, row_key: str) -> DataFrame:
-    """Pinned endpoints with what they name; an endpoint that resolves to nothing is kept and marked."""
+def resolve_endpoints(relations: DataFrame, versions: DataFrame, row_key: str, ends: tuple[str, ...] = ("from", "to")) -> DataFrame:
+    """Pinned endpoints with what they name; an endpoint that resolves to nothing is kept and marked.
+
+    ``ends`` may be one end, for a table of pins that many relations share: it is resolved once, not for each relation.
+    """
     out = relations
-    for end in ("from", "to"):
+    for end in ends:
         dim = versions.select(F.col("version_id").alias(f"{end}_version_id"),
                               F.col("logical_item_id").alias(f"{end}_logical_id"),
                               F.col("lifecycle").alias(f"{end}_lifecycle"),
@@ -82,22 +85,38 @@ def touching(relations: DataFrame, wanted: DataFrame, row_key: str, start: str,
     return outgoing.unionByName(second)
 
 
+def mark_pins(pins: DataFrame, versions: DataFrame, row_key: str, end: str) -> DataFrame:
+    """``{end}_of``: the logical items of ``versions`` that the pin of this end names; empty where it names none.
+
+    For the relations themselves, or for a table of pins that many relations share."""
+    named = versions.where(F.col("version_id").isNotNull()).groupBy(F.col("version_id").alias(f"{end}_version_id")).agg(
+        F.collect_list(F.struct("logical_item_id")).alias(f"{end}_of"))
+    return lookup_join(pins, named, [f"{end}_version_id"], [row_key], salts=1)
+
+
+def _marked(relations: DataFrame, versions: DataFrame, row_key: str, kept: dict[str, Column]) -> DataFrame:
+    """What the ends of the relations are, stored, as the directions and the loose ends are read from it: ``row_key``,
+    ``kept`` (of ``from_of`` and ``to_of``), and the declared item of an end without a pin as ``{end}_loose``."""
+    for end in ("from", "to"):
+        if f"{end}_of" not in relations.columns:
+            relations = mark_pins(relations, versions, row_key, end)
+    loose = [F.when(F.col(f"{end}_version_id").isNull(), F.col(f"{end}_item_id")).alias(f"{end}_loose") for end in ("from", "to")]
+    return written(relations.select(row_key, *[value.alias(name) for name, value in kept.items()], *loose), "marked-relations")
+
+
 def edge_directions(relations: DataFrame, wanted: DataFrame, row_key: str) -> DataFrame:
-    """Edges of a set of versions: outgoing and incoming by pin, unpinned ones by the declared item."""
-    pins = wanted.select("version_id").distinct()
+    """Edges of a set of versions: outgoing and incoming by pin, unpinned ones by the declared item.
+
+    ``relations`` may come with ends that ``mark_pins`` has marked already by the wanted versions."""
     names = wanted.select("item_id").distinct()
-    parts = []
-    for label, column in (("outgoing", "from_version_id"), ("incoming", "to_version_id")):
-        hit = lookup_join(relations, pins.withColumnRenamed("version_id", column), [column], [row_key], "left_semi", salts=1)
-        parts.append(hit.withColumn("direction", F.lit(label)))
-    for pin, column in (("from_version_id", "from_item_id"), ("to_version_id", "to_item_id")):
-        loose = relations.where(F.col(pin).isNull())
-        hit = lookup_join(loose, names.withColumnRenamed("item_id", column), [column], [row_key], "left_semi", salts=1)
-        parts.append(hit.withColumn("direction", F.lit("unpinned")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(row_key, "direction").distinct()
+    directions = F.array_compact(F.array(F.when(F.size("from_of") > 0, "outgoing"), F.when(F.size("to_of") > 0, "incoming")))
+    marked = _marked(relations, wanted, row_key, {"directions": directions})
+    out = marked.select(row_key, F.explode("directions").alias("direction"))
+    for column in ("from_loose", "to_loose"):
+        hit = lookup_join(marked.where(F.col(column).isNotNull()).select(row_key, column), names.withColumnRenamed("item_id", column),
+                          [column], [row_key], "left_semi", salts=1)
+        out = out.unionByName(hit.select(row_key, F.lit("unpinned").alias("direction")))
+    return out.distinct()
 
 
 def lineage_heads(links: DataFrame, max_hops: int = 50) -> DataFrame:
@@ -211,18 +230,19 @@ def trace(versions: DataFrame, relations: DataFrame, row_key: str) -> DataFrame:
 
     A current version never takes over the edges of older ones; an edge without a pin belongs to the declared item.
     """
-    parts = [versions.select("logical_item_id", F.lit("version").alias("part"), F.col("version_id").alias("ref"),
-                             F.when(F.col("is_current_version"), "current").otherwise("archived").alias("detail"))]
     current = versions.where("is_current_version")
-    for label, column, name, loose in (
-            ("outgoing", "from_version_id", "version_id", False), ("incoming", "to_version_id", "version_id", False),
-            ("unpinned", "from_item_id", "item_id", True), ("unpinned", "to_item_id", "item_id", True)):
-        dim = current.select(F.col(name).alias(column), "logical_item_id")
-        edges = relations.where(F.col(column.replace("item", "version")).isNull()) if loose else relations
-        hit = lookup_join(edges, dim, [column], [row_key], "inner", salts=1)
-        parts.append(hit.select("logical_item_id", F.lit(label).alias("part"), F.col(row_key).alias("ref"),
-                                F.col("relation_type").alias("detail")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    marked = _marked(relations, current, row_key, {c: F.col(c) for c in ("relation_type", "from_of", "to_of")})
+    out = versions.select("logical_item_id", F.lit("version").alias("part"), F.col("version_id").alias("ref"),
+                          F.when(F.col("is_current_version"), "current").otherwise("archived").alias("detail"))
+    for label, end in (("outgoing", "from"), ("incoming", "to")):
+        edges = marked.select(F.explode(f"{end}_of.logical_item_id").alias("logical_item_id"), row_key, "relation_type")
+        out = out.unionByName(edges.select("logical_item_id", F.lit(label).alias("part"), F.col(row_key).alias("ref"),
+                                           F.col("relation_type").alias("detail")))
+    for end in ("from", "to"):
+        column = f"{end}_loose"
+        loose = marked.where(F.col(column).isNotNull()).select(row_key, "relation_type", column)
+        dim = current.select(F.col("item_id").alias(column), "logical_item_id")
+        hit = lookup_join(loose, dim, [column], [row_key], "inner", salts=1)
+        out = out.unionByName(hit.select("logical_item_id", F.lit("unpinned").alias("part"), F.col(row_key).alias("ref"),
+                                         F.col("relation_type").alias("detail")))
     return out

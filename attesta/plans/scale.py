@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.session import written
+
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
                     rank_name: str = "rank") -> DataFrame:
@@ -40,6 +42,16 @@ def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str], spread_by: list[
     return salted_fact.join(salted_dim, [*on, "__salt"], how).drop("__salt")
 
 
+def asked_rows(dim: DataFrame, fact: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of a large ``dim`` that some row of ``fact`` asks for, stored.
+
+    For keys that many rows of ``fact`` share: only the different keys are moved to find them.  The stored table has a
+    known size, so a join with few rows of it is a broadcast and ``fact`` stays where it is; with many, it is an
+    ordinary join.
+    """
+    return written(dim.join(fact.select(*on).distinct(), on, "left_semi"), "asked-rows")
+
+
 @dataclass(frozen=True)
 class Running:
     """One running value: ``last`` keeps the last non-null value, ``sum`` adds, ``max`` keeps the largest."""

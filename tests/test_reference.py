@@ -13,7 +13,7 @@ from attesta.operators import reference as ref
 from attesta.operators import retrieval as rt
 from attesta.operators import search_index as si
 from attesta.operators import work
-from attesta.plans.scale import lookup_join
+from attesta.plans.scale import asked_rows, lookup_join
 from attesta.session import scratch_path
 from attesta.sources import bundles
 
@@ -332,6 +332,76 @@ def test_lineage_chains_move_each_row_once_a_round(spark, monkeypatch):
     assert [rows for _, rows in asked] == [100, 90, 80, 60, 20]
 
 
+VERSIONS = [("ca", "ca@1", "ca@1", False), ("ca", "ca@2", "ca", True), ("cb", "cb@1", "cb", True), ("cc", "cc@1", "cc", True)]
+# the last two rows repeat; two ends without a pin, one of them of an unknown item
+RELATIONS = [("e1", "S", "ca@2", "ca", "cb@1", "cb"), ("e2", "S", "ca@1", "ca@1", "cb@1", "cb"), ("e3", "R", "ca@2", "ca", None, "cc"),
+             ("e4", "R", None, "cb", "ca@1", "ca"), ("e5", "R", None, None, None, "zz"), ("e6", "S", "cc@1", "cc", None, None),
+             ("e7", "S", "cb@1", "cb", "ca@2", "ca"), ("e7", "S", "cb@1", "cb", "ca@2", "ca")]
+
+
+def version_tables(spark):
+    rows = spark.createDataFrame(VERSIONS, "logical_item_id string, version_id string, item_id string, is_current_version boolean")
+    relations = spark.createDataFrame(RELATIONS, "edge_id string, relation_type string, from_version_id string, from_item_id string, "
+                                                 "to_version_id string, to_item_id string")
+    return rows, relations
+
+
+def edges_by_definition():
+    """(logical item, direction, edge, type) of the current versions, once for each relation."""
+    for edge, kind, from_pin, from_item, to_pin, to_item in RELATIONS:
+        for logical, version, item, current in VERSIONS:
+            if current:
+                yield from [(logical, "outgoing", edge, kind)] * (from_pin == version) + [(logical, "incoming", edge, kind)] * (to_pin == version)
+                yield from [(logical, "unpinned", edge, kind)] * ((from_pin is None and from_item == item) + (to_pin is None and to_item == item))
+
+
+def counting(monkeypatch, least):
+    """How many rows of facts of ``least`` rows or more are joined from now on."""
+    joined = []
+
+    def counted(fact, dim, on, spread_by, how="left", salts=8):
+        n = fact.count()
+        joined.extend([n] * (n >= least))
+        return lookup_join(fact, dim, on, spread_by, how, salts)
+
+    monkeypatch.setattr(versions, "lookup_join", counted)
+    return joined
+
+
+def test_edges_of_versions_from_marked_pins(spark, monkeypatch):
+    """Marked pins and unmarked relations give the edges of the definition; with marks, no relation is joined but the loose ones."""
+    rows, relations = version_tables(spark)
+    wanted = rows.where("is_current_version")
+    want = sorted(edges_by_definition())
+    marked = versions.mark_pins(versions.mark_pins(relations, wanted, "edge_id", "from"), wanted, "edge_id", "to")
+    joined = counting(monkeypatch, len(RELATIONS))
+    for given, joins in ((marked, 0), (relations, 2)):
+        trace = versions.trace(rows, given, "edge_id")
+        assert sorted(map(tuple, trace.where("part <> 'version'").select("logical_item_id", "part", "ref", "detail").collect())) == want
+        assert trace.where("part = 'version'").count() == len(VERSIONS)
+        edges = versions.edge_directions(given, wanted, "edge_id")
+        assert sorted(map(tuple, edges.collect())) == sorted({(edge, part) for _, part, edge, _ in want})
+        assert len(joined) == 2 * joins
+        joined.clear()
+
+
+def test_pins_are_resolved_at_one_end(spark):
+    rows, relations = version_tables(spark)
+    rows = rows.withColumn("lifecycle", F.when(F.col("is_current_version"), "ACTIVE").otherwise("SUPERSEDED"))
+    both = versions.resolve_endpoints(relations, rows, "edge_id")
+    start = versions.resolve_endpoints(relations.select("from_version_id").distinct(), rows, "from_version_id", ("from",))
+    shown = ["edge_id", "from_logical_id", "from_lifecycle", "from_unresolved"]
+    again = relations.alias("r").join(start.alias("s"), F.col("r.from_version_id").eqNullSafe(F.col("s.from_version_id")))
+    assert sorted(map(repr, both.select(*shown).collect())) == sorted(map(repr, again.select(*shown).collect()))
+    assert "to_logical_id" not in start.columns
+
+
+def test_only_asked_rows_are_stored(spark):
+    fact = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id long, k string")
+    dim = spark.createDataFrame([("a", 1), ("a", 2), ("c", 3), (None, 4)], "k string, v long")
+    assert sorted(map(tuple, asked_rows(dim, fact, ["k"]).collect())) == [("a", 1), ("a", 2)]
+
+
 def test_files_of_lines_are_bounded_and_hashed_one_by_one(spark):
     """A reader that takes whole files meets none of more rows than asked, whatever the number of tasks that wrote them."""
     import hashlib
