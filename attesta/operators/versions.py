@@ -78,11 +78,16 @@ def resolve_endpoints(relations: DataFrame, versions: DataFrame, row_key: str, e
 def touching(relations: DataFrame, wanted: DataFrame, row_key: str, start: str, end: str, key: str) -> DataFrame:
     """Relations with a wanted item at either end, each once: two equality joins and a union."""
     keys = wanted.select(key).distinct()
-    outgoing = lookup_join(relations, keys.withColumnRenamed(key, start), [start], [row_key], "left_semi", salts=1)
-    incoming = lookup_join(relations, keys.withColumnRenamed(key, end), [end], [row_key], "left_semi", salts=1)
-    # an edge between two wanted items comes from both sides; it is kept on the outgoing one
-    second = lookup_join(incoming, keys.withColumnRenamed(key, start), [start], [row_key], "left_anti", salts=1)
-    return outgoing.unionByName(second)
+    wanted_start, wanted_end = keys.withColumnRenamed(key, start), keys.withColumnRenamed(key, end)
+    has_start, has_end = F.col(start).isNotNull(), F.col(end).isNotNull()
+    # outgoing edges and the others come from one exchange of the relations that have both ends
+    both = relations.where(has_start & has_end)
+    outgoing = [lookup_join(rows, wanted_start, [start], [row_key], "left_semi", salts=1)
+                for rows in (both, relations.where(has_start & ~has_end))]
+    # an edge between two wanted items is kept on the outgoing side
+    others = lookup_join(both, wanted_start, [start], [row_key], "left_anti", salts=1).unionByName(relations.where(~has_start & has_end))
+    incoming = lookup_join(others, wanted_end, [end], [row_key], "left_semi", salts=1)
+    return outgoing[0].unionByName(outgoing[1]).unionByName(incoming)
 
 
 def mark_pins(pins: DataFrame, versions: DataFrame, row_key: str, end: str) -> DataFrame:

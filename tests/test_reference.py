@@ -402,6 +402,25 @@ def test_only_asked_rows_are_stored(spark):
     assert sorted(map(tuple, asked_rows(dim, fact, ["k"]).collect())) == [("a", 1), ("a", 2)]
 
 
+def test_touching_moves_relations_once_by_their_start(spark):
+    """Edges with a wanted end, once for each row, with ends that are missing; one exchange serves both outgoing and other edges."""
+    ends = [("a", "b"), ("b", "a"), ("a", None), (None, "a"), ("b", "c"), (None, None), ("c", "c"), ("d", "a"), ("d", "a")]
+    relations = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "edge long, start string, end string")
+    wanted = spark.createDataFrame([("a",), ("c",), ("a",), (None,)], "item string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for key, value in zip(before, ("-1", "false")):
+            spark.conf.set(key, value)
+        found = versions.touching(relations, wanted, "edge", "start", "end", "item")
+        assert sorted(r.edge for r in found.collect()) == [i for i, e in enumerate(ends) if "a" in e or "c" in e]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        moved = plan.count("ReusedExchange [edge")
+        assert moved == 1, plan
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_files_of_lines_are_bounded_and_hashed_one_by_one(spark):
     """A reader that takes whole files meets none of more rows than asked, whatever the number of tasks that wrote them."""
     import hashlib
