@@ -164,7 +164,7 @@ def lineage_chains(links: DataFrame, max_hops: int = 50) -> DataFrame:
     # both sides are about as large: neither is repeated
     first = lookup_join(links.select("item_id", "superseded_by"), known, ["superseded_by"], ["item_id"], "inner", salts=1)
     state = cut_lineage(first.select("item_id", F.array("superseded_by").alias("chain")))
-    length = 1
+    length, salts, items = 1, 1, state.count()
     while length < max_hops:
         full = F.size("chain") == length
         if not one_row_flag(state.where(full)):
@@ -173,9 +173,11 @@ def lineage_chains(links: DataFrame, max_hops: int = 50) -> DataFrame:
         ahead = state.select(F.col("item_id").alias("last"), F.col("chain").alias("more"))
         growing = state.where(full).withColumn("last", F.element_at("chain", -1))
         more = F.coalesce("more", F.array().cast(state.schema["chain"].dataType))
-        longer = lookup_join(growing, ahead, ["last"], ["item_id"], salts=1).select(
+        longer = lookup_join(growing, ahead, ["last"], ["item_id"], salts=salts).select(
             "item_id", F.slice(F.concat("chain", more), 1, max_hops).alias("chain"))
         state = cut_lineage(state.where(~full).unionByName(longer))
+        # items that repeat multiply the chains that meet them: those are spread
+        salts = 8 if state.count() > items else 1
         length *= 2
     rows = state.select("item_id", "chain", F.posexplode("chain").alias("place", "newer_id"))
     before = (F.col("newer_id") == F.col("item_id")) | (F.array_position("chain", F.col("newer_id")) <= F.col("place"))

@@ -2,6 +2,8 @@
 
 import json
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +239,39 @@ def test_search_reads_only_asked_parts(spark):
     assert searched(index, [("q", "abend")]) == [("q", 1, 26, "all")]
 
 
+def test_search_scores_in_slices_and_blocks(spark, monkeypatch):
+    """Blocks of two queries give the hits of one block; a query that comes twice is one query."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(1, 12) if i % j == 0)) for i in range(60)], "id long, t string")
+    index = si.build_index(docs, "id", {"t": rt.index_tokens(F.col("t"))})
+    queries = spark.createDataFrame([(f"q{k}", f"w{k} w{k % 3 + 5} zz") for k in range(1, 10)] + [("q1", "w1 w6 zz")], "query string, text string")
+
+    def hits():
+        return sorted(map(tuple, si.search(index, queries, rt.query_tokens(F.col("text"))).collect()))
+
+    whole = hits()
+    assert len(whole) == 90 and {h[0] for h in whole} == {f"q{k}" for k in range(1, 10)}
+    monkeypatch.setattr(si, "BLOCK_QUERIES", 2)
+    assert hits() == whole
+
+
+def test_an_item_lies_in_one_slice(monkeypatch):
+    """Rows of items that go on over batches, and of two filters, are all kept, and no slice has too many items."""
+    monkeypatch.setattr(si, "SLICE_ITEMS", 3)
+    monkeypatch.setattr(si, "SLICE_ROWS", 4)
+    rows = [([f], i, t, i + t / 10) for f in ("a", "b") for i in range(8) for t in range(1 + i % 4)]
+    types = [pa.list_(pa.string()), pa.int64(), pa.int64(), pa.float64()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 3]), types)], ["filter", "item_id", "term_id", "part"])
+               for at in range(0, len(rows), 3)]
+    got, seen = [], []
+    for batch in si._sliced(batches):
+        for s in batch.to_pylist():
+            items, terms, parts = np.frombuffer(s["items"], np.int32), np.frombuffer(s["terms"], np.int64), np.frombuffer(s["parts"])
+            assert len(s["item_ids"]) <= 3
+            seen += [(s["filter"][0], i) for i in s["item_ids"]]
+            got += [(s["filter"], s["item_ids"][i], t, p) for i, t, p in zip(items, terms, parts)]
+    assert sorted(got) == sorted(rows) and len(set(seen)) == len(seen) == 16
+
+
 def test_index_is_kept(spark):
     path = scratch_path(spark, "kept-index")
     records = spark.createDataFrame([("a", "OPEN_QUESTION", "OPEN", "rivers floods", "water")],
