@@ -11,6 +11,7 @@ its neighbours.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -33,7 +34,9 @@ SAMPLE_DOCS = 2000            # documents the dictionary is trained on, at most
 SAMPLE_BYTES = 8192           # ... and bytes of ids of each
 DICTIONARY_BYTES = 32768
 LEVEL = 1
-CACHE = 150_000               # words a worker remembers
+CACHE = 500_000               # words a worker remembers
+CALL = 256                    # words merged in one call of the model
+SPACE = "\u0120"              # a space in the alphabet of a byte-level vocabulary
 
 # in byte-level BPE a space followed by a non-space always starts a new piece, so the stretches between such spaces
 # are encoded on their own, each distinct one once
@@ -41,12 +44,25 @@ _LOOSE_SPACE = re.compile(r" (?!\S)")
 _GAP = re.compile(r" (?=\S)")
 
 # letters with or without marks after them are two pieces whatever follows
+_MARKS = ".,;:!?"
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]{0,8})")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 SEGMENTS = ("part int, segment int, first_doc_id long, last_doc_id long, doc_ids array<long>, n_tokens array<long>, "
             "offsets array<long>, tokens long, dict_hash string, payload binary")
 
 
+def _stretches(text: str) -> list[str]:
+    """The text cut before the spaces that start a piece, without those spaces.
+
+    Where spaces and line breaks are the only blanks and none stands beside another, a line break is a piece of its own;
+    there a stretch also begins at each."""
+    if (text.replace("\n", "").isprintable() and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
+            and not text.endswith((" ", "\n")) and not text.startswith("\n")):
+        return text.replace("\n", " \n").split(" ")
+    return _GAP.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
+
+
 def _byte_alphabet() -> dict[str, str]:
     """The character that stands for each byte in a byte-level vocabulary (a fixed rule of such vocabularies):
     printable Latin-1 characters stand for themselves, the others follow from U+0100 on."""
@@ -55,6 +71,25 @@ def _byte_alphabet() -> dict[str, str]:
     return {chr(b): chr(b) for b in printable} | {chr(b): chr(0x100 + i) for i, b in enumerate(others)}
 
 
+def _space_stays_apart(file: str) -> tuple[bool, np.ndarray]:
+    """Whether no merge joins the end of a letter (ASCII, or two bytes from 0xC3 on) with a space after it, and of every id
+    whether it begins with a space."""
+    with open(file, encoding="utf-8") as text:
+        model = json.load(text)["model"]
+    starts = np.zeros(max(model["vocab"].values()) + 1, bool)
+    starts[[i for t, i in model["vocab"].items() if t.startswith(SPACE)]] = True
+    if any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+        return False, starts
+    real = {c: ord(b) for b, c in _byte_alphabet().items()}
+    for merge in model["merges"]:
+        left, right = merge.split(" ") if isinstance(merge, str) else merge
+        if right.startswith(SPACE):
+            end = [real[c] for c in left[-2:]]
+            if chr(end[-1]).isalpha() and end[-1] < 128 or 128 <= end[-1] < 192 and (len(end) == 1 or end[0] == 0xC3):
+                return False, starts
+    return True, starts
+
+
 class ByteBpe:
     """The tokenizer of one worker, with a bounded memory of encoded words."""
 
@@ -71,6 +106,7 @@ class ByteBpe:
         self.cores: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.alphabet = str.maketrans(_byte_alphabet())
+        self.apart, self.starts = _space_stays_apart(file)
 
     @classmethod
     def of(cls, file: str) -> ByteBpe:
@@ -81,26 +117,64 @@ class ByteBpe:
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of a space and letters: one piece of the pre-tokenizer, so only the merges are left to do."""
-        found = self.cores.get(word)
-        if found is None:
-            mapped = (" " + word).encode().decode("latin-1").translate(self.alphabet)
-            ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.cores) < CACHE // 2:
-                self.cores[word] = found
-        return found
+    def _mapped(self, letters: str) -> str:
+        """Letters in the alphabet of the vocabulary (ASCII ones stand for themselves)."""
+        return letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.alphabet)
+
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of each of ``words``, letters in the alphabet of the vocabulary, with a space before it.
+
+        A word is one piece of the pre-tokenizer, so only the merges are left.  Where no merge of the vocabulary joins a
+        letter with a space after it, many words are merged in one call and cut before each space."""
+        if not self.apart:
+            return [self._letters(SPACE + w) for w in words]
+        out = []
+        for at in range(0, len(words), CALL):
+            some = words[at:at + CALL]
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(SPACE + SPACE.join(some))], "<u4")
+            cuts = (np.flatnonzero(self.starts[ids]) * 4).tolist()
+            joined = ids.tobytes()
+            out += map(joined.__getitem__, map(slice, cuts, [*cuts[1:], len(joined)]))
+        return out
+
+    def _letters(self, mapped: str) -> bytes:
+        """Ids of one piece."""
+        ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, with a space before it; plain ones together."""
+        cores = self.cores
+        own = [word.rstrip(_MARKS) for word in words]
+        fresh = [letters for letters in set(own).difference(cores) if _LATIN.fullmatch(letters)]
+        cores.update(zip(fresh, self._pieces([self._mapped(letters) for letters in fresh])))
+        out = []
+        for word, letters in zip(words, own):
+            ids, marks = cores.get(letters), word[len(letters):]
+            if ids is None or len(marks) > 8:
+                ids = self._word(word)
+            elif marks:
+                ids += self._mark(marks)
+            out.append(ids)
+        for letters in fresh[max(0, CACHE // 2 - len(cores) + len(fresh)):]:
+            del cores[letters]
+        return out
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word with a space before it."""
+    def _word(self, word: str, before: str = " ") -> bytes:
+        """Ids of a word with ``before`` (a space or nothing) before it; a line break that begins it stands for the space."""
+        if word.startswith("\n") and before:
+            return self._mark("\n") + self._word(word[1:], "")
         plain = _PLAIN.fullmatch(word)
         if not plain:
-            return self._ids(" " + word)
-        letters, marks = plain.groups()
-        if marks and marks not in self.marks:
-            self.marks[marks] = self._ids(marks)
-        return self._letters(letters) + (self.marks[marks] if marks else b"")
+            return self._ids(before + word)
+        mapped = (SPACE if before else "") + self._mapped(plain[1])
+        return self._letters(mapped) + (self._mark(plain[2]) if plain[2] else b"")
+
+    def _mark(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self.marks[marks] = self._ids(marks)
+        return found
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without an end id.
@@ -112,16 +186,18 @@ class ByteBpe:
         if special:
             rest = iter(self.encode_all([t for n, t in enumerate(texts) if n not in special]))
             return [special[n] if n in special else next(rest) for n in range(len(texts))]
-        cut = [_GAP.split(t) if _LOOSE_SPACE.search(t) else t.split(" ") for t in texts]
+        cut = [_stretches(t) for t in texts]
+        heads = [self._word(words.pop(0), "") for words in cut]
         known = self.known
-        fresh = {w: self._word(w) for w in {w for words in cut for w in words[1:]}.difference(known)}
-        if len(known) < CACHE:
-            known.update((w, fresh[w]) for w in list(fresh)[:CACHE - len(known)] if len(w) <= 64)
-        out = []
-        for head, *words in cut:
-            ids = [self._ids(head)] if head else []
-            ids += [known[w] if w in known else fresh[w] for w in words]
-            out.append(b"".join(ids))
+        fresh = list(set().union(*cut).difference(known))
+        known.update(zip(fresh, self._words(fresh)))
+        out = [head + b"".join(map(known.__getitem__, words)) for head, words in zip(heads, cut)]
+        room = max(0, CACHE - len(known) + len(fresh))
+        for w in fresh[room:]:
+            del known[w]
+        for w in fresh[:room]:
+            if len(w) > 64:
+                del known[w]
         return out
 
 
@@ -153,7 +229,7 @@ def _encoded(docs: DataFrame, file: str, finish, schema: str) -> DataFrame:
 
     def run(batches):
         bpe, make = ByteBpe.of(file), finish()
-        for batch in slices(batches, most=2**20, rows=256):
+        for batch in slices(batches, most=2**22, rows=1024):
             ids = [i + end for i in bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *make(ids)], names)
 

@@ -1,5 +1,6 @@
 """Token store and piece segmentation against the libraries, plain dynamic programming and exact round trips."""
 
+import json
 import random
 import zlib
 from collections import Counter
@@ -127,3 +128,45 @@ def test_round_trip(spark, docs, empty, which):
     assert encoded.columns == [*docs.columns, "ids"]
     assert all(r.decoded == r.text for r in pieces.decode(encoded, MODEL).collect())
     assert pieces.encoded_and_checked(empty, MODEL).count() == 0
+
+
+def test_new_words_are_merged_many_at_a_time():
+    calls = []
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, text):
+            calls.append(text)
+            return self.model.tokenize(text)
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.model = tokenizer, Model(tokenizer.model)
+
+        def encode(self, text, **more):
+            calls.append(text)
+            return self.tokenizer.encode(text, **more)
+
+    bpe = token_store.ByteBpe(BPE)
+    library = bpe.tokenizer
+    letters = "abcdefgh"
+    words = [a + b + c + d + e for a in letters for b in letters for c in letters for d in "aé" for e in ("", ".", "ing,")]
+    texts = [" ".join(words[i:i + 300]) + ".\n" + "\n".join(words[i:i + 30]) for i in range(0, len(words), 300)]
+    texts += ["a\n\nb", "\nab cd", "ab ", "  a  b\n c", "don't\nit's", "a.\n", "a" + "!" * 9 + " b!!!!!!!!! c",
+              "ª º µ × ab×", "日本 語。\nab", "a\u0301b c", "a\tb\r\nc", "<|endoftext|> ab", "ab .\ncd", "", "\n", "x\u00a0\ny"]
+    bpe.tokenizer = Counting(library)
+    found = bpe.encode_all(texts)
+    assert found == [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(calls) < len(words) / 3
+    assert bpe.encode_all(texts) == found
+
+
+def test_vocabularies_that_join_a_letter_and_a_space_are_told(tmp_path):
+    model = {"vocab": {"a": 0, "\u0120": 1, "a\u0120": 2, "\u0120a": 3}, "merges": [["\u0120", "a"]]}
+    file = tmp_path / "vocabulary.json"
+    for merges, apart in (([["\u0120", "a"]], True), ([["a", "\u0120"]], False), ([["\u0120\u00c2\u0142", "\u0120"]], True)):
+        file.write_text(json.dumps({"model": model | {"merges": merges}}))
+        told, starts = token_store._space_stays_apart(str(file))
+        assert (told, starts.tolist()) == (apart, [False, True, False, True])
