@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
 from attesta.plans.scale import lookup_join, top_k_per_group
+from attesta.session import written
 
 INDEX_TERM = r"[\p{L}\p{N}_]+"
 QUERY_TERM = r"[\p{L}\p{N}_]{2,}"
@@ -28,7 +29,9 @@ def _accents() -> tuple[str, str]:
 def index_fold(text: Column) -> Column:
     """Lower case without diacritics, for the index and for queries alike."""
     marked, bare = _accents()
-    return F.translate(F.lower(text), marked, bare)
+    lower = F.lower(text)
+    # a text of single bytes has no mark
+    return F.when(F.octet_length(lower) == F.length(lower), lower).otherwise(F.translate(lower, marked, bare))
 
 
 def index_tokens(text: Column) -> Column:
@@ -42,11 +45,30 @@ def query_tokens(text: Column) -> Column:
 
 
 # ---- index ------------------------------------------------------------------
+def counted_terms(rows: DataFrame, key: str, found: Column, count: str) -> DataFrame:
+    """(``key``, term, ``count``) over the arrays ``found`` of the rows of each key.
+
+    A key that one row has is counted inside that row: its terms are sorted, and each begins where the one before it ends.
+    No term of it is moved.  Rows that share a key (a missing one too) are counted together, spread by (key, term)."""
+    again = written(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("again")),
+                    "repeated-keys")
+    same = F.col(key).eqNullSafe(F.col("again"))
+    alone, shared = rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+    t, size = F.col("t"), F.size("t")
+    firsts = alone.select(key, F.sort_array(found).alias("t")).select(key, "t", F.when(size > 0, F.filter(
+        F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))).alias("at"))
+    ends = F.coalesce(F.get(F.col("at"), F.col("k") + 1), size)
+    # an outer generator: Spark would test the arrays of an inner one first, and so make them twice
+    inside = firsts.select(key, "t", "at", F.posexplode_outer("at").alias("k", "i")).where("i is not null").select(
+        key, F.get(t, F.col("i")).alias("term"), (ends - F.col("i")).cast("long").alias(count))
+    words = shared.select(key, F.explode(found).alias("term"))
+    return inside.unionByName(words.groupBy(key, "term").agg(F.count("*").alias(count)))
+
+
 def postings(items: DataFrame, id_column: str, text: Column) -> DataFrame:
-    """(term, item, tf): partially counted in the tasks, spread by (term, item), so a hot term is no hot key."""
-    words = items.select(F.col(id_column).alias("item_id"),
-                         F.explode(index_tokens(text)).alias("term"))
-    return words.groupBy("term", "item_id").agg(F.count("*").alias("tf"))
+    """(term, item, tf)."""
+    rows = items.select(F.col(id_column).alias("item_id"), text.alias("text"))
+    return counted_terms(rows, "item_id", index_tokens(F.col("text")), "tf").select("term", "item_id", "tf")
 
 
 def document_frequency(items: DataFrame, text: Column) -> DataFrame:
