@@ -49,8 +49,7 @@ def terms(lake):
 @query("X7_stemmed_tokens", sql="WITH " + token_sql("documents", "doc_id", "text") + """
 SELECT id AS doc_id, term, count(*) AS n FROM tok GROUP BY 1, 2""")
 def stemmed_tokens(lake):
-    rows = lake.texts("documents", "doc_id").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return rt.counted_terms(lake.texts("documents", "doc_id").select("doc_id", "text"), "doc_id", tx.tokens(F.col("text")), "n")
 
 
 @query("X7_russian_stems", sql="WITH words AS (SELECT o_orderkey, list_extract(['исследованиями', 'открытого', 'занимается', 'проверенный', 'ёлка', 'ABC-01'], "
