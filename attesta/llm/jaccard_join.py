@@ -396,12 +396,12 @@ def _with_leaders(keys: DataFrame) -> DataFrame:
 
 
 def _peeled(keys: DataFrame) -> DataFrame:
-    """``keys`` with leaders after ``PEELS`` rounds in which nodes with fewer shared keys than they ``need`` go.
+    """``keys`` (each once) with leaders after ``PEELS`` rounds in which nodes with fewer shared keys than they ``need`` go.
 
     A set shares the keys it needs with each set that it links to, and so does its partner: neither goes in any round,
     and the keys they share stay.  Sets that have only a passage in common mostly go.
     """
-    keys = written(_with_leaders(keys).drop("leader").distinct(), "shared-keys")
+    keys = written(_with_leaders(keys).drop("leader"), "shared-keys")
     for _ in range(PEELS):
         enough = keys.groupBy("node").agg(F.count("*").alias("has"), F.first("need").alias("need")).where("has >= need")
         keys = written(_with_leaders(keys.join(enough.select("node"), "node", "left_semi")), "peeled-keys")
@@ -409,6 +409,14 @@ def _peeled(keys: DataFrame) -> DataFrame:
     return led
 
 
+def _one_per_node(described: DataFrame) -> DataFrame:
+    """``node, n_shingles, sigs`` once for each set: only sets that several rows have are moved, not the keys of all."""
+    again = written(described.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "repeated-sets")
+    several = described.join(again, "node", "left_semi").groupBy("node").agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("sigs").alias("sigs"))
+    return described.join(again, "node", "left_anti").select("node", "n_shingles", "sigs").unionByName(several)
+
+
 def _star_links(led: DataFrame) -> DataFrame:
     """Links (``a, b``) that connect what shares a key: each node with the smallest of its leaders, and that one with its
     other leaders.  In a group of copies that share many keys these are about as many as its nodes, not its keys."""
@@ -420,7 +428,7 @@ def _star_links(led: DataFrame) -> DataFrame:
 def _candidate_texts(docs: DataFrame, described: DataFrame, least: int, by: str) -> DataFrame:
     """``comp, node, label, text`` of one document per node that shares enough parts with other nodes."""
     if by == "rare":
-        led = _peeled(described.select("node", keys_needed(F.col("n_shingles"), least).alias("need"),
+        led = _peeled(_one_per_node(described).select("node", keys_needed(F.col("n_shingles"), least).alias("need"),
                                        F.explode("sigs").alias("sig")))
     else:
         led = _with_leaders(described.select("node", F.explode("sigs").alias("sig")))

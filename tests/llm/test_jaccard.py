@@ -115,3 +115,11 @@ def test_rows_that_share_or_lack_an_id(spark, by):
         (0, 4), (1, 1), (1, 1), (2, 1), (2, 2), (3, 1), (4, 4), (5, 4), (6, 1), (6, 1)]
     stays = [tuple(r) for r in jaccard_join.one_of_each(table, 3, 80, by=by).collect()]
     assert sorted(stays, key=str) == sorted([(1, a), (1, b), (2, c), (4, chain[0]), (None, chain[1])], key=str)
+
+
+def test_each_set_gives_its_keys_once(spark):
+    rows = [(5, 3, [1, 2, 3]), (5, 3, [1, 2, 3]), (6, 2, [1, 9]), (7, 0, []), (7, 0, [])]
+    described = spark.createDataFrame([(i, i % 2, *r) for i, r in enumerate(rows)],
+                                      "doc_id long, __row long, node long, n_shingles long, sigs array<long>")
+    got = sorted(map(tuple, jaccard_join._one_per_node(described).collect()))
+    assert got == [(5, 3, [1, 2, 3]), (6, 2, [1, 9]), (7, 0, [])]
