@@ -386,11 +386,14 @@ def _described(docs: DataFrame, n: int, least: int, by: str) -> DataFrame:
         describe, "doc_id long, __row long, n_shingles long, node long, sigs array<long>"), "shingle-sets")
 
 
-def _with_leaders(keys: DataFrame) -> DataFrame:
-    """The rows of ``keys`` (``node, sig`` and more) whose key is in several nodes, plus the ``leader`` of the key."""
-    shared = written(keys.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("other"),
-                                             F.count("*").alias("n")).where("leader <> other").drop("other"),
-                     "shared-parts")
+def _with_leaders(keys: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``keys`` (``node, sig`` and more) whose key is in several nodes, plus the ``leader`` of the key.
+
+    Where each (``node, sig``) is there ``once``, their number tells whether there are several nodes: the largest node
+    of each key need not move."""
+    several = [] if once else [F.max("node").alias("other")]
+    shared = keys.groupBy("sig").agg(F.min("node").alias("leader"), F.count("*").alias("n"), *several)
+    shared = written(shared.where("n > 1" if once else "leader <> other").select("sig", "leader", "n"), "shared-parts")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return matched(keys, shared, "sig", "n", total).where("leader is not null").drop("n")
 
@@ -401,10 +404,10 @@ def _peeled(keys: DataFrame) -> DataFrame:
     A set shares the keys it needs with each set that it links to, and so does its partner: neither goes in any round,
     and the keys they share stay.  Sets that have only a passage in common mostly go.
     """
-    keys = written(_with_leaders(keys).drop("leader"), "shared-keys")
+    keys = written(_with_leaders(keys, once=True).drop("leader"), "shared-keys")
     for _ in range(PEELS):
         enough = keys.groupBy("node").agg(F.count("*").alias("has"), F.first("need").alias("need")).where("has >= need")
-        keys = written(_with_leaders(keys.join(enough.select("node"), "node", "left_semi")), "peeled-keys")
+        keys = written(_with_leaders(keys.join(enough.select("node"), "node", "left_semi"), once=True), "peeled-keys")
         keys, led = keys.drop("leader"), keys
     return led
 
