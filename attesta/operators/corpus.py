@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import spans as sp
-from attesta.plans.scale import Running, lookup_join, one_row_flag, running_values, top_k_per_group
+from attesta.plans.scale import Running, lookup_join, never_sent, one_row_flag, running_values, top_k_per_group
 from attesta.session import cut_lineage, written
 
 
@@ -77,7 +77,7 @@ def overlap_pairs(gold: DataFrame, pred: DataFrame, parent: str, threshold: floa
     g = g.withColumn("step", F.explode(around)).select(
         parent, "cls", (F.floor(F.col("start_at") / width) + F.col("step")).cast("long").alias("bucket"),
         F.col("span_id").alias("gold_id"), F.col("start_at").alias("gold_start"), F.col("end_at").alias("gold_end"))
-    pairs = g.join(p, [parent, "cls", "bucket"])
+    pairs = g.join(never_sent(p), [parent, "cls", "bucket"])
     share = sp.iou(F.col("gold_start"), F.col("gold_end"), F.col("pred_start"), F.col("pred_end"))
     return pairs.withColumn("iou", share).where(F.col("iou") >= threshold).drop("cls", "bucket")
 
@@ -93,9 +93,10 @@ def one_to_one(pairs: DataFrame, parent: str, most: int = 100_000) -> DataFrame:
     lo, hi = F.least("gold_start", "pred_start"), F.greatest("gold_end", "pred_end")
     ranges = written(pairs.withColumns({"__lo": lo, "__hi": hi}).withColumn("__block", F.shiftright("__lo", 10)), "pairs")
     order, levels = ["__lo", "gold_id", "pred_id"], [["__block"]]
-    reach = written(running_values(ranges, [parent], order, {"__reach": Running("max", F.col("__hi"))}, levels), "pair-reach")
+    reach = written(running_values(ranges, [parent], order, {"__reach": Running("max", F.col("__hi"))}, levels, stored=True),
+                    "pair-reach")
     begins = F.when(F.col("__reach").isNull() | (F.col("__lo") >= F.col("__reach")), F.col("__lo"))
-    cut = written(running_values(reach, [parent], order, {"__stretch": Running("last", begins, inclusive=True)}, levels)
+    cut = written(running_values(reach, [parent], order, {"__stretch": Running("last", begins, inclusive=True)}, levels, stored=True)
                   .drop("__hi", "__block", "__reach"), "pair-stretches")
     key = [parent, "__stretch"]
     large = cut.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*key)
@@ -162,7 +163,8 @@ def overlap_counts(left: DataFrame, right: DataFrame, parent: str) -> DataFrame:
             F.col("span_id"), F.lit(0).alias("one"), F.lit(sign).alias("sign"))
         parts += [points, asks]
     merged = reduce(DataFrame.unionByName, parts).withColumn("block", F.shiftright("at", 10))
-    counted = running_values(merged, [parent, "side"], ["at", "turn"], {"before": Running("sum", F.col("one"))}, [["block"]])
+    counted = running_values(merged, [parent, "side"], ["at", "turn"], {"before": Running("sum", F.col("one"))}, [["block"]],
+                             stored=True)
     return counted.where(F.col("span_id").isNotNull()).groupBy(parent, "span_id").agg(
         F.sum(F.coalesce("before", F.lit(0)) * F.col("sign")).cast("long").alias("partners"))
 
@@ -171,7 +173,7 @@ def segmentation_metrics(gold: DataFrame, pred: DataFrame, matched: DataFrame, p
     """Detection, boundary and segmentation figures in one row; splits and merges count raw overlaps."""
     split = overlap_counts(gold, pred, parent)
     wide = overlap_counts(pred, gold, parent).where("partners > 1").select(parent, "span_id")
-    merging = pred.join(wide, [parent, "span_id"], "left_semi")
+    merging = pred.join(never_sent(wide), [parent, "span_id"], "left_semi")
     merged = overlap_counts(gold, merging, parent)
     found = matched.agg(F.struct(F.count("*").alias("tp"), F.avg("iou").alias("mean_iou")).alias("m")).scalar()
     n_pred = pred.where("end_at > start_at").agg(F.count("*").alias("n")).scalar()

@@ -42,6 +42,15 @@ def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str], spread_by: list[
     return salted_fact.join(salted_dim, [*on, "__salt"], how).drop("__salt")
 
 
+def never_sent(dim: DataFrame) -> DataFrame:
+    """``dim`` as the side of a join that is never a broadcast.
+
+    A side that is read from a stored table is estimated by its compressed files: millions of ids are a few megabytes
+    there and hundreds on the driver, and a broadcast that is planned by the estimate is not given up for a measured size.
+    """
+    return dim.hint("merge")
+
+
 def asked_rows(dim: DataFrame, fact: DataFrame, on: list[str]) -> DataFrame:
     """The rows of a large ``dim`` that some row of ``fact`` asks for, stored.
 
@@ -72,7 +81,7 @@ def _combine(kind: str, value: Column) -> Column:
 
 
 def running_values(df: DataFrame, keys: list[str], order: list[str], outputs: dict[str, Running],
-                   levels: list[list[str]], reverse: bool = False) -> DataFrame:
+                   levels: list[list[str]], reverse: bool = False, stored: bool = False) -> DataFrame:
     """Window values over the rows before (or after) each row, exact for keys of any size.
 
     Rows are cut into (key, bucket): each task sorts one bucket only, what earlier buckets contribute is one
@@ -81,13 +90,13 @@ def running_values(df: DataFrame, keys: list[str], order: list[str], outputs: di
 
     A missing key is a key, and a missing bucket a bucket, like any other.  ``levels`` lists bucket columns from fine to
     coarse; the buckets must follow ``order`` and the columns of a coarser level must be among those of the finer
-    one.  Without levels it is a plain window.
+    one.  Without levels it is a plain window.  ``stored`` says that ``df`` is read from a stored table (``never_sent``).
     """
     specs = {n: (o.kind, o.inclusive, o.value) for n, o in outputs.items()}
-    return _running(df, keys, order, specs, levels, reverse).select(*df.columns, *outputs)
+    return _running(df, keys, order, specs, levels, reverse, stored).select(*df.columns, *outputs)
 
 
-def _running(df, keys, order, specs, levels, reverse):
+def _running(df, keys, order, specs, levels, reverse, stored):
     bucket = levels[0] if levels else []
     inputs = {f"__in_{n}": value for n, (_, _, value) in specs.items()}
     if bucket:
@@ -103,12 +112,12 @@ def _running(df, keys, order, specs, levels, reverse):
             totals.append(total.alias(f"__in_{name}"))
         per_bucket = df.withColumns(inputs).groupBy(*keys, *bucket).agg(*totals)
         carried = _running(per_bucket, keys, bucket, {n: (kind, False, F.col(f"__in_{n}")) for n, (kind, _, _) in specs.items()},
-                           levels[1:], reverse)
+                           levels[1:], reverse, stored)
         # a bucket may be null (an order value is missing): it is one bucket like any other
         carried = carried.select(*[F.col(c).alias(f"__key_{c}") for c in (*keys, *bucket)],
                                  *[F.col(n).alias(f"__carry_{n}") for n in specs])
         same = [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in (*keys, *bucket)]
-        df = df.join(carried, same, "left").drop(*[f"__key_{c}" for c in (*keys, *bucket)])
+        df = df.join(never_sent(carried) if stored else carried, same, "left").drop(*[f"__key_{c}" for c in (*keys, *bucket)])
     # the values are made where the rows are sorted, after the exchange: they do not travel beside what they are made of
     df = df.withColumns(inputs)
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]

@@ -113,3 +113,15 @@ def test_pieces_of_one_large_batch(spark):
         want = None if t is None else [(i, m.start(), m.end(), m.group()) for i, m in enumerate(re.finditer(r"[^.\n]*[.\n]+|[^.\n]+", t))]
         assert (got[n] if got[n] is None else [tuple(x) for x in got[n]]) == want
     assert sp.TEXTS_AT_ONCE < len(texts)
+
+
+def test_stored_spans_are_not_sent_to_the_driver(spark):
+    """Stored spans are small as files only: no side of the joins over them is a broadcast."""
+    from attesta.session import written
+    spans = written(spark.range(400).select((F.col("id") % 7).cast("string").alias("m"), F.col("id").cast("string").alias("span_id"),
+                                            (F.col("id") * 5).alias("start_at"), (F.col("id") * 5 + 5).alias("end_at")), "spans")
+    pairs = corpus.overlap_pairs(spans, spans, "m")
+    counts = corpus.overlap_counts(spans, spans, "m")
+    for df in (pairs, counts):
+        assert "BroadcastExchange" not in df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert pairs.where("gold_id = pred_id").count() == 400 and counts.where("partners = 1").count() == 400
