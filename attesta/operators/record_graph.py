@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.rules import Rule, violations
 from attesta.operators.versions import lineage_chains
-from attesta.plans.scale import lookup_join
+from attesta.plans.scale import lookup_join, never_sent
 
 
 def _found(df: DataFrame, rule: str, key: str, severity: str = "ERROR") -> DataFrame:
@@ -38,7 +38,7 @@ def lost_references(records: DataFrame) -> DataFrame:
     single = F.array(ref("SUPERSEDES_MISSING", F.col("supersedes")), ref("SUPERSEDED_BY_MISSING", F.col("superseded_by")))
     named = records.select("id", F.explode(F.concat(related, single)).alias("ref")).select("id", "ref.*").where(F.col("target").isNotNull())
     known = records.select(F.col("id").alias("target")).distinct().withColumn("known", F.lit(True))
-    return lookup_join(named, known, ["target"], ["id", "target"], salts=1).where(F.col("known").isNull()).drop("known")
+    return lookup_join(named, never_sent(known), ["target"], ["id", "target"], salts=1).where(F.col("known").isNull()).drop("known")
 
 
 def one_sided_supersession(records: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def one_sided_supersession(records: DataFrame) -> DataFrame:
         F.col("id").alias("older"), F.col("superseded_by").alias("newer"), F.lit(1).alias("from_older"), F.col("superseded_by").alias("other"))
     by_newer = records.where(F.col("supersedes").isNotNull()).select(
         F.col("supersedes").alias("older"), F.col("id").alias("newer"), F.lit(0).alias("from_older"), F.col("supersedes").alias("other"))
-    edges = lookup_join(by_older.unionByName(by_newer), ids, ["other"], ["older", "newer"], "left_semi", salts=1)
+    edges = lookup_join(by_older.unionByName(by_newer), never_sent(ids), ["other"], ["older", "newer"], "left_semi", salts=1)
     sides = edges.groupBy("older", "newer").agg(F.max("from_older").alias("older_says"), F.min("from_older").alias("newer_silent"))
     return sides.where("older_says = newer_silent").select(
         "older", "newer", F.when(F.col("older_says") == 1, "SUCCESSOR_DOES_NOT_SAY_SO").otherwise("PREDECESSOR_DOES_NOT_SAY_SO").alias("rule"),

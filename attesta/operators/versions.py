@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import vocabulary as v
 from attesta.functions.identity import content_hash, short_hash
-from attesta.plans.scale import Running, lookup_join, one_row_flag, running_values
+from attesta.plans.scale import Running, lookup_join, never_sent, one_row_flag, running_values
 from attesta.session import cut_lineage, written
 
 REVISION_CONTENT = ["status", "price", "priority"]
@@ -162,7 +162,7 @@ def lineage_chains(links: DataFrame, max_hops: int = 50) -> DataFrame:
     """
     known = links.select(F.col("item_id").alias("superseded_by"), F.lit(True).alias("known"))
     # both sides are about as large: neither is repeated
-    first = lookup_join(links.select("item_id", "superseded_by"), known, ["superseded_by"], ["item_id"], "inner", salts=1)
+    first = lookup_join(links.select("item_id", "superseded_by"), never_sent(known), ["superseded_by"], ["item_id"], "inner", salts=1)
     state = cut_lineage(first.select("item_id", F.array("superseded_by").alias("chain")))
     length, salts, items = 1, 1, state.count()
     while length < max_hops:

@@ -105,3 +105,12 @@ def test_cycles_of_records(spark):
     tail = [("t", None, "r0", None, "DOC", "X"), ("s", "s", "s", None, "DOC", "X")]
     got = {r.id: r.length for r in rg.supersession_cycles(spark.createDataFrame(ring + tail, GRAPH)).collect()}
     assert got == {"r0": 4, "r1": 4, "r2": 4, "r3": 4, "s": 1}
+
+
+def test_stored_records_are_not_sent_to_the_driver(spark):
+    """Millions of stored ids are a few megabytes as files only: they are not a broadcast."""
+    from attesta.session import written
+    rows = written(spark.createDataFrame([("a", None, "b", ["q"], "DOC", "X"), ("b", None, None, None, "DOC", "X")], GRAPH), "records")
+    for df in (rg.lost_references(rows), rg.one_sided_supersession(rows)):
+        assert "BroadcastExchange" not in df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        assert df.count() == 1
