@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from attesta.functions.vocabulary import (
     AUTHORITY_CLASSES, MAPPED_CURRENTNESS, SOURCE_KINDS, SURFACES, WORK_ROLES, WORK_SURFACES, WORK_TYPES)
-from attesta.plans.scale import lookup_join
+from attesta.plans.scale import lookup_join, never_sent
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -68,11 +68,14 @@ class Lake:
                 .withColumn("as_of", F.when(moved, "2024-03-01").otherwise(F.col("as_of"))))
 
     def raw_items(self, with_text: bool = True) -> DataFrame:
-        """One claim per document; the label decides the type, blanks are left to normalisation."""
+        """One claim per document; the label decides the type, blanks are left to normalisation.
+
+        Without their texts documents are no larger than the labels, which are never a broadcast then."""
         doc = F.col("doc_id")
         columns = ["doc_id", "lang", "source"] + (["text"] if with_text else [])
         documents = self.table("documents").select(*columns)
         quality = self.table("labels").select("doc_id", "quality")
+        quality = quality if with_text else never_sent(quality)
         item_type = (F.when(doc % 97 == 5, "MYSTERY").when(doc % 10 == 3, "IMPLEMENTATION_FACT")
                      .when(doc % 10 == 7, "HUMAN_LENS").when(F.col("quality") == 1, "RESEARCH_RESULT")
                      .when(F.col("quality") == 0, "HYPOTHESIS").otherwise("UNKNOWN"))

@@ -468,3 +468,12 @@ def test_files_of_lines_are_bounded_and_hashed_one_by_one(spark):
     for name, row in digests.items():
         with open(f"{path}/{name}", "rb") as f:
             assert row.actual == hashlib.sha256(f.read()).hexdigest()
+
+
+def test_labels_of_claims_without_texts_are_not_sent_to_the_driver(spark, tmp_path):
+    spark.createDataFrame([(1, "t", "en", "src1"), (2, "t", "de", "src2")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    from attesta.sources.lake import Lake
+    items = Lake(spark, str(tmp_path)).raw_items(False)
+    assert "BroadcastExchange" not in items._sc._jvm.PythonSQLUtils.explainString(items._jdf.queryExecution(), "simple")
+    assert {r.item_id: r.item_type for r in items.collect()} == {"d1": "UNKNOWN", "d2": "RESEARCH_RESULT"}
